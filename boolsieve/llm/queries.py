@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boolsieve.llm import decontaminate, mixing, simhash, sql
+from boolsieve.llm import chat, decontaminate, licenses, mixing, simhash, sql, url_filter
 from boolsieve.llm.common import table
 
 
@@ -14,14 +14,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("own_rule")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.with_probe(spark, table(spark, sf_dir, "conversations"))))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.WEIGHTS, size=mixing.SIZE)
     return mixed.select("doc_id", "source", "lang", "n_chars", "text", "copy", "rate", "shuffle_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op8_decontaminate, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op4_licenses, op6_urls, op8_decontaminate, op9_chat, op10_mix)}
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boolsieve.llm import mixing
+from boolsieve.llm import licenses, mixing, url_filter
 from boolsieve.llm.decontaminate import WINDOW
 
 #: Lower-cases A-Z alone.
@@ -44,7 +44,69 @@ SELECT {columns}, copy, rate, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST
 """
 
 
+
+
+def _licenses_sql() -> str:
+    per = []
+    for t in licenses.BASE + licenses.NOTICES:
+        n, k = len(t.words), len(t.key.split())
+        listed = "[" + ", ".join(f"'{w}'" for w in t.words) + "]"
+        need = 1.0 if t.base else licenses.THRESHOLD
+        where = "[s for s in range(0, len(w) - {m} + 1)]".format(m=n if t.base else t.key_at + k) if t.base else f"range(-{t.key_at}, greatest(len(w) - {t.key_at + k} + 1, -{t.key_at}))"
+        key = f"w[s + {t.key_at + 1} : s + {t.key_at + k}] = {listed}[{t.key_at + 1} : {t.key_at + k}]"
+        share = f"len(list_filter(range(1, {n + 1}), lambda j: s + j >= 1 AND s + j <= len(w) AND w[s + j] = {listed}[j]))::DOUBLE / {n}.0::DOUBLE"
+        made = f"{{'label': '{t.label}', 'start': s, 'share': {share}, 'base': {str(t.base).lower()}}}"
+        per.append(f"list_filter(list_transform(list_filter({where}, lambda s: s + {t.key_at} >= 0 AND {key}), lambda s: {made}), lambda m: m.share >= {need!r})")
+    return f"""
+WITH d AS (SELECT doc_id, {WORDS.format(LOWER.format("text"))} AS w FROM documents),
+f AS (SELECT doc_id, w, {" || ".join(per)} AS found FROM d),
+b AS (SELECT doc_id, len(w) AS n, found, list_filter(found, lambda m: m.base) AS base FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base,
+  CAST(list_min(list_transform(base, lambda m: m.start)) AS BIGINT) AS first_word, CAST(list_max(list_transform(base, lambda m: m.start)) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(base, lambda m: m.label))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(found, lambda m: m.label))), ','), '') AS labels,
+  coalesce(list_max(list_transform(found, lambda m: m.share)), 0.0)::DOUBLE AS score
+FROM b
+"""
+
+
+def _urls_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fits = []
+    for r in url_filter.BASE_RULES:
+        host, _, path = r.name.partition("/")
+        fits.append(f"SELECT u, '{r.name}' AS rule, '{r.verdict}' AS verdict FROM h WHERE (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')")
+    own = " OR ".join(f"({cond})" for cond in (
+        "regexp_matches('-' || replace(host, '.', '-.') || '-', '[^a-z0-9](cheap|buy|online)-(pills|meds)[^a-z0-9]')",
+        "regexp_matches('-' || host, '[^a-z0-9]spam(-[a-z0-9]+)*\\.')",
+        "regexp_matches('-' || host || '-', '[^a-z0-9]casino[^a-z0-9]')",
+        "regexp_matches(path, '\\.exe$')", "regexp_matches(path, '/login(/|\\.php|\\.html)?$')", "host = ''",
+    ))
+    return f"""
+WITH h AS (SELECT DISTINCT url AS u, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+fits AS ({" UNION ALL ".join(fits)}),
+best AS (SELECT u, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY u)
+SELECT p.page_id, h.host, h.path, best.rule, CASE WHEN best.rule IS NOT NULL THEN best.verdict WHEN {own} THEN 'block' ELSE 'allow' END AS verdict
+FROM pages p JOIN h ON p.url IS NOT DISTINCT FROM h.u LEFT JOIN best ON p.url = best.u
+"""
+
+
+_ESC = r"regexp_replace(regexp_replace({}, '(<)(\\*/?s>)', '\1\\\2', 'g'), '(\[)(\\*(/?INST|GEN)\])', '\1\\\2', 'g')"
+_OP9 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESC.format("role")}) + length({_ESC.format("text")}) + CASE WHEN role = 'assistant' THEN 12 ELSE 22 END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": _licenses_sql(),
+    "op6_urls": _urls_sql(),
     "op8_decontaminate": _OP8,
+    "op9_chat": _OP9,
     "op10_mix": mixing_sql("documents", mixing.WEIGHTS, mixing.SIZE, "doc_id, source, lang, n_chars, text"),
 }
