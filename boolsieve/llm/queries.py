@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boolsieve.llm import chat, decontaminate, licenses, mixing, simhash, sql, url_filter
+from boolsieve.llm import chat, decontaminate, licenses, media, mixing, quality, simhash, sql, url_filter
 from boolsieve.llm.common import table
 
 
@@ -18,10 +18,24 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("own_rule")
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the texts that labels call good."""
+    return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return scored.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,5 +49,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "n_chars", "text", "copy", "rate", "shuffle_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op4_licenses, op6_urls, op8_decontaminate, op9_chat, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op4_licenses, op5_media, op6_urls, op7_quality, op8_decontaminate, op9_chat, op10_mix)}
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
