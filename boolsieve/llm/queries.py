@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boolsieve.llm import chat, decontaminate, licenses, media, mixing, quality, simhash, sql, url_filter
+from boolsieve.llm import chat, decontaminate, licenses, media, mixing, quality, simhash, sql, token_counts, toxicity, url_filter
 from boolsieve.llm.common import table
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.load_pieces())
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "toxic_spans")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -49,5 +60,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "n_chars", "text", "copy", "rate", "shuffle_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash, op4_licenses, op5_media, op6_urls, op7_quality, op8_decontaminate, op9_chat, op10_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_toxicity, op3_simhash, op4_licenses, op5_media, op6_urls, op7_quality, op8_decontaminate, op9_chat, op10_mix)}
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
