@@ -342,7 +342,10 @@ def collect_matrix(post: DataFrame, docs: DataFrame, limit: int = MATRIX_POSTING
 
 @dataclass(frozen=True)
 class Forest:
-    """How many trees and how each differs. Tree 0 has all rows and all features."""
+    """How many trees and how each differs. Tree 0 has all rows and all features.
+
+    With ``drop_exponent`` the other trees draw the drops that they ask of OR terms between the set ones and 1.
+    """
 
     n_trees: int = 20
     bootstrap: bool = True
@@ -366,8 +369,8 @@ def fit_one(tree_id: int, x: Matrix, y: np.ndarray, w: np.ndarray, p: Params, f:
     if f.bootstrap:
         weights = w * np.bincount(rng.integers(0, len(y), bootstrap_size(len(y), f.max_samples)), minlength=len(y))
     if f.drop_exponent:
-        low = biased_random(p.min_drop_start, 1.0, 1 / f.drop_exponent * 10, rng)
-        p = Params(**{**asdict(p), "min_drop_start": low, "min_drop_end": max(low, p.min_drop_end)})
+        start, end = (biased_random(x, 1.0, f.drop_exponent, rng) for x in (p.min_drop_start, p.min_drop_end))
+        p = Params(**{**asdict(p), "min_drop_start": start, "min_drop_end": end})
     return grow(x, y, weights, p, rng)
 
 
@@ -454,5 +457,5 @@ def grow_levels(post: DataFrame, docs: DataFrame, p: Params = Params()) -> list[
         state = cut(moved.select("doc_id", side.cast("int").alias("node"), "y", "w"))
         gone = allowed.select("node", "term").join(rated.select("node", "term"), ["node", "term"], "left_anti").unionByName(table).unionByName(used)
         gone = gone.filter(F.col("node").isin(list(chosen)))
-        used = cut(gone.select(F.explode(F.array(F.col("node") * 2 + 1, F.col("node") * 2 + 2)).cast("int").alias("node"), "term").distinct())
+        used = cut(gone.select(F.explode(F.array(F.col("node") * 2 + 1, F.col("node") * 2 + 2)).alias("node"), "term").distinct())
     return [out[k] for k in sorted(out)]

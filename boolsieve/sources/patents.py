@@ -84,7 +84,7 @@ def _parties(nodes: list[ET.Element], name: str) -> list[dict]:
 
 def _ipc(text: str | None, sequence: str | None) -> dict | None:
     m = _SYMBOL.search(text or "")
-    version = re.search(r"\b(\d{8})\b", text or "")
+    version = re.search(r"(?<!\d)(\d{8})(?!\d)", text or "")
     return {"symbol": " ".join(m[0].split()), "version": version[1] if version else None, "is_primary": sequence == "1"} if m else None
 
 
