@@ -48,6 +48,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores behind it as it takes to be no column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that the texts of a piece take ``limit`` bytes, or are a single row."""
     for batch in batches:

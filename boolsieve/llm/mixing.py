@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import cut, without
+from boolsieve.llm.common import cut, free, without
 
 SEED = 7
 #: Groups (sources) up to which the table of their distributions is broadcast; it takes under 2 KB a group.
@@ -68,10 +68,12 @@ def mix(
     if table.count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
     rows = without(docs, "copy", "rate", "shuffle_key")
-    drawn = rows.join(table.select(F.col("key").alias("_key"), "rate", F.col("whole").alias("_whole"), F.col("cdf").alias("_cdf")), F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_key")))
-    copies = F.col("_whole") + F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col(f"`{id_col}`"))))
-    drawn = drawn.withColumn("_copies", copies).filter("_copies > 0").drop("_key", "_whole", "_cdf")
-    exploded = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    key, whole, cdf, copies = free(rows, "_key", "_whole", "_cdf", "_copies")
+    known = table.select(F.col("key").alias(key), "rate", F.col("whole").alias(whole), F.col("cdf").alias(cdf))
+    drawn = rows.join(known, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(key)))
+    count = F.col(whole) + F.size(F.filter(cdf, lambda c: c <= uniform(seed, F.col(f"`{id_col}`"))))
+    drawn = drawn.withColumn(copies, count).filter(F.col(copies) > 0).drop(key, whole, cdf)
+    exploded = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies)
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col("copy").cast("string"))
     keyed = exploded.withColumn("shuffle_key", F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long"))
     spread = keyed.repartition(partitions, "shuffle_key", f"`{id_col}`") if partitions else keyed.repartition("shuffle_key", f"`{id_col}`")

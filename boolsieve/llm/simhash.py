@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import cut, slices, utf8
+from boolsieve.llm.common import cut, free, slices, utf8
 
 BITS = 64
 SEED = 42
@@ -130,9 +130,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _one_each(df: DataFrame, key: str) -> DataFrame:
-    """One row of each key: the one whose columns have the smallest hash."""
-    columns = [f"`{c}`" for c in df.columns if c != key]
-    return df.select(key, F.struct(*columns).alias("_row")).groupBy(key).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    """One row of each value of a column that goes: the one whose other columns have the smallest hash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key])
+    return df.select(F.col(key).alias("k"), row.alias("row")).groupBy("k").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -145,14 +145,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = _heads(prints)
     chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n"), F.min("fp").alias("fp")))
     this = F.col(f"`{id_col}`").cast("long")
-    kept = docs.join(chosen.filter("n = 1 and head is not null").select(F.col("head").alias("_head")), this == F.col("_head"), "left_semi")
+    head, key, own, fp = free(docs, "_head", "_key", "_fp", "_f")
+    kept = docs.join(chosen.filter("n = 1 and head is not null").select(F.col("head").alias(head)), this == F.col(head), "left_semi")
     odd = chosen.filter("n > 1 or head is null")
     if not odd.isEmpty():
-        several = odd.filter("head is not null").select(F.col("head").alias("_head"))
-        kept = kept.unionByName(_one_each(docs.withColumn("_key", this).join(several, this == F.col("_head"), "left_semi"), "_key"))
-        nameless = docs.filter(this.isNull()).withColumn("_fp", _print_of(text_col, shingle))
-        roots = heads.filter("head is null").select(F.col("fp").alias("_f"), F.col("root").alias("_key"))
-        kept = kept.unionByName(_one_each(nameless.join(roots, F.col("_fp") == F.col("_f")).drop("_fp", "_f"), "_key"))
+        several = odd.filter("head is not null").select(F.col("head").alias(head))
+        kept = kept.unionByName(_one_each(docs.withColumn(key, this).join(several, this == F.col(head), "left_semi"), key))
+        nameless = docs.filter(this.isNull()).withColumn(own, _print_of(text_col, shingle))
+        roots = heads.filter("head is null").select(F.col("fp").alias(fp), F.col("root").alias(key))
+        kept = kept.unionByName(_one_each(nameless.join(roots, F.col(own) == F.col(fp)).drop(own, fp), key))
     return kept
 
 
