@@ -15,8 +15,8 @@ from boolsieve.llm.common import slices, utf8
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands before every pre-token.
 MARK = "▁"
-#: Nodes after which a task starts a new trie; counts are the same, only shared work is done again.
-TRIE_NODES = 400_000
+#: Pre-tokens whose counts a task remembers; beyond that it forgets them all and counts anew, with the same results.
+REMEMBERED = 600_000
 
 
 def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
@@ -30,11 +30,12 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Trie:
-    """A trie of pre-tokens. Each node has the best score of its prefix and that segmentation's number of pieces.
+    """A trie of pre-tokens, of which each node has the best score of its prefix and that segmentation's number of pieces.
 
     A node's forward score follows from its ancestors' scores and the pieces that end at it, so a prefix is scored once
-    for all pre-tokens that share it. A character that is no piece is spelled in bytes, each with ``byte_score``. Ties go
-    to fewer pieces.
+    for all pre-tokens that share it. Pre-tokens come in order, which walks the trie depth first: only the nodes on the way
+    to the present one are held. A character that is no piece is spelled in bytes, each with ``byte_score``. Ties go to
+    fewer pieces.
     """
 
     def __init__(self, pieces: dict[str, float]) -> None:
@@ -45,77 +46,70 @@ class Trie:
             if len(p) > 1:
                 lengths.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {k: tuple(sorted(v)) for k, v in lengths.items()}
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: list[dict[str, int] | None] = [None]
-        self.score: list[float] = [0.0]
-        self.count: list[int] = [0]
-
-    def insert(self, text: str) -> tuple[int, float]:
-        """The number of pieces of the best segmentation of ``text``, and its score."""
-        children, score, count, pieces = self.children, self.score, self.count, self.pieces
-        node, path = 0, [0]
-        for at, c in enumerate(text, 1):
-            below = children[node]
-            if below is None:
-                below = children[node] = {}
-            child = below.get(c)
-            if child is None:
-                single = pieces.get(c)
-                if single is None:
+        self.nodes = 0
+
+    def terminals(self, texts: list[str]) -> list[tuple[int, float]]:
+        """The number of pieces and the score of the best segmentation of each of some sorted texts."""
+        pieces, endings, byte_score = self.pieces.get, self.lengths.get, self.byte_score
+        score, count = [0.0], [0]
+        before, out = "", []
+        for text in texts:
+            same = 0
+            for a, b in zip(before, text):
+                if a != b:
+                    break
+                same += 1
+            del score[same + 1 :], count[same + 1 :]
+            for at in range(same + 1, len(text) + 1):
+                c = text[at - 1]
+                best = pieces(c)
+                if best is None:
                     size = len(c.encode("utf-8", "surrogatepass"))
-                    best, least = score[node] + size * self.byte_score, count[node] + size
+                    best, least = score[-1] + size * byte_score, count[-1] + size
                 else:
-                    best, least = score[node] + single, count[node] + 1
-                for n in self.lengths.get(text[at - 2 : at], ()) if at > 1 else ():
-                    if n > at:
-                        break
-                    value = pieces.get(text[at - n : at])
-                    if value is not None:
-                        up = path[at - n]
-                        value += score[up]
-                        if value > best or value == best and count[up] + 1 < least:
-                            best, least = value, count[up] + 1
-                child = below[c] = len(score)
-                children.append(None)
+                    best, least = score[-1] + best, count[-1] + 1
+                if at > 1:
+                    for n in endings(text[at - 2 : at], ()):
+                        if n > at:
+                            break
+                        value = pieces(text[at - n : at])
+                        if value is not None:
+                            value += score[at - n]
+                            if value > best or value == best and count[at - n] + 1 < least:
+                                best, least = value, count[at - n] + 1
                 score.append(best)
                 count.append(least)
-            node = child
-            path.append(node)
-        return count[node], score[node]
+            self.nodes += len(text) - same
+            before = text
+            out.append((count[-1], score[-1]))
+        return out
 
 
-class Counts(dict):
-    """The number of pieces of each pre-token seen; a new one goes through the trie."""
+def count_new(tokens: list[list[bytes]], known: dict[bytes, int], trie: Trie) -> None:
+    """Adds the counts of pre-tokens that are not known yet, all in one trie."""
+    new = sorted(MARK + t.decode() for t in set().union(*tokens) - known.keys())
+    for text, (n, _) in zip(new, trie.terminals(new)):
+        known[text[1:].encode()] = n
 
-    def __init__(self, trie: Trie, nodes: int) -> None:
-        super().__init__()
-        self.trie, self.nodes = trie, nodes
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self.trie.score) > self.nodes:
-            self.trie.clear()
-            self.clear()
-        self[token] = n = self.trie.insert(MARK + token.decode())[0]
-        return n
-
-
-def token_counts(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", text_col: str = "text", nodes: int = TRIE_NODES) -> DataFrame:
+def token_counts(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """(id, n_pretokens, n_tokens) for every row of ``docs``.
 
     Pre-tokens are runs without ASCII white space; each is segmented by itself, the mark before it. Null, empty and blank
     texts have none. Rows are counted alone: repeated rows and null ids each return; an empty table gives an empty
-    result; other columns are not read. A task keeps one trie of bounded size and a count for each pre-token in it. The
-    vocabulary is broadcast; it has the size of its file.
+    result; other columns are not read. A task inserts the distinct new pre-tokens of each step of text in a trie and
+    remembers a bounded number of counts. The vocabulary is broadcast; it has the size of its file.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(Trie(shared.value), nodes)
+        trie, known = Trie(shared.value), {}
         for part in slices(batches, "text"):
             tokens = [t.split() for t in utf8(part.column("text"))]
-            found = [sum(map(counts.__getitem__, t)) for t in tokens]
+            if len(known) > remembered:
+                known.clear()
+            count_new(tokens, known, trie)
+            found = [sum(map(known.__getitem__, t)) for t in tokens]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, tokens), pa.int64()), pa.array(found, pa.int64())], ["id", "n_pretokens", "n_tokens"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

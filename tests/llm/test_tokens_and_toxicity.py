@@ -27,32 +27,28 @@ def brute(text, pieces, byte_score):
 
 def test_trie_equals_brute_force():
     trie = tc.Trie(PIECES)
-    for n in range(1, 7):
-        for w in itertools.product("abé😀"[:3], repeat=n):
-            word = tc.MARK + "".join(w)
-            count, score = trie.insert(word)
-            want = brute(word, PIECES, trie.byte_score)
-            assert math.isclose(score, want[0]) and count == want[1], word
-    assert trie.insert(tc.MARK + "😀")[0] == 5
+    texts = sorted(tc.MARK + "".join(w) for n in range(1, 7) for w in itertools.product("abé", repeat=n))
+    for text, (count, score) in zip(texts, trie.terminals(texts)):
+        want = brute(text, PIECES, trie.byte_score)
+        assert math.isclose(score, want[0]) and count == want[1], text
+    assert trie.terminals([tc.MARK + "😀"])[0][0] == 5
 
 
 def test_prefixes_are_scored_once():
     trie = tc.Trie(PIECES)
-    trie.insert("▁abab")
-    n = len(trie.score)
-    trie.insert("▁abaa")
-    assert len(trie.score) == n + 1
+    trie.terminals(["▁abaa", "▁abab", "▁b"])
+    assert trie.nodes == 7
 
 
 def test_counts(spark, odd_docs, no_docs, clashing):
     pieces = tc.load_pieces()
     got = [tuple(r) for r in tc.token_counts(odd_docs, pieces).collect()]
-    assert sorted(got, key=repr) == sorted((tuple(r) for r in tc.token_counts(odd_docs, pieces, nodes=3).collect()), key=repr)
+    assert sorted(got, key=repr) == sorted((tuple(r) for r in tc.token_counts(odd_docs, pieces, remembered=1).collect()), key=repr)
     assert sorted(got, key=repr) == sorted((tuple(r) for r in tc.token_counts(clashing, pieces).collect()), key=repr)
     trie = tc.Trie(pieces)
     for r in odd_docs.collect():
         tokens = (r.text or "").encode().split()
-        want = (r.doc_id, len(tokens), sum(trie.insert(tc.MARK + t.decode())[0] for t in tokens))
+        want = (r.doc_id, len(tokens), sum(trie.terminals([tc.MARK + t.decode()])[0][0] for t in tokens))
         assert want in got
     assert len(got) == odd_docs.count() and tc.token_counts(no_docs, pieces).count() == 0
 
