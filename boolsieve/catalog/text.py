@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boolsieve.catalog.registry import SQL_DOCS, SQL_LAB, SQL_POST, SQL_TERMS, labelled, labels, postings, query, r6, rounded, sql_f, sql_ratio, table
-from boolsieve.functions import boolean, text
+from boolsieve.functions import boolean, strategies, text
 from boolsieve.functions.rules import RULE_TYPE, cost_column, rule, size_columns
 from boolsieve.functions.safe import precision, ratio, recall
 from boolsieve.operators import ablation, analytics, coverage, setcover, splits, vocabulary
 from boolsieve.plans import trees
+from boolsieve.session import cut
 
 SQL_DF = f"{SQL_POST}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term), n AS (SELECT count(*) AS n FROM documents)"
 
@@ -237,10 +238,10 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select("doc_id", F.lit(0).alias("node"), "y", F.when(F.col("y") == 1, 300).otherwise(100).alias("w"))
 
 
-def _root_splits(spark: SparkSession, sf_dir: str, prefer: float | None = None) -> DataFrame:
+def _root_splits(spark: SparkSession, sf_dir: str, prefer: float | None = None, post: DataFrame | None = None) -> DataFrame:
     state = _state(spark, sf_dir)
     nodes = splits.node_totals(state)
-    return splits.rated(splits.term_totals(postings(spark, sf_dir), state), nodes, float(nodes.first()["w"]), 3, 0.001, prefer)
+    return splits.rated(splits.term_totals(postings(spark, sf_dir) if post is None else post, state), nodes, float(nodes.first()["w"]), 3, 0.001, prefer)
 
 
 @query(f"WITH {_SPLIT} SELECT term, n_l, round(gain, 6) AS gain, positive FROM g")
@@ -260,11 +261,12 @@ m AS (SELECT term, (SELECT count(*) FROM cov JOIN st USING (doc_id)) + count(st.
 b AS (SELECT n_c, w_c, w1_c, 2 * (w1 / w) * (1 - w1 / w) - ({_GAIN.replace("w1_l", "w1_c").replace("w_l", "w_c")}) AS before FROM (SELECT count(*) AS n_c, sum(w) AS w_c, sum(w * y) AS w1_c FROM cov JOIN st USING (doc_id)), tot)
 SELECT term, round(before - (2 * (w1 / w) * (1 - w1 / w) - ({_GAIN})), 6) AS "drop" FROM m, tot, b WHERE n_l >= 3 AND n - n_l >= 3""")
 def or_expand_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _state(spark, sf_dir)
+    state = cut(_state(spark, sf_dir))
+    post = cut(postings(spark, sf_dir).join(state.select("doc_id"), "doc_id", "left_semi"))  # read three times
     chosen = spark.createDataFrame([(0, "trash"), (0, "clown")], "node int, term string")
-    candidates = _root_splits(spark, sf_dir).select("node", "term").filter(~F.col("term").isin("trash", "clown"))
+    candidates = _root_splits(spark, sf_dir, post=post).select("node", "term").filter(~F.col("term").isin("trash", "clown"))
     root = float(splits.node_totals(state).first()["w"])
-    return rounded(splits.or_candidates(postings(spark, sf_dir), state, chosen, candidates, root, 3, 0.001).select("term", "drop"), "drop")
+    return rounded(splits.or_candidates(post, state, chosen, candidates, root, 3, 0.001).select("term", "drop"), "drop")
 
 
 @query(f"""WITH {SQL_DOCS} SELECT doc_id, CAST(CASE WHEN list_has_any(terms, ['trash', 'clown']) THEN CASE WHEN list_contains(terms, 'he') THEN 0.9 ELSE 0.6 END
@@ -345,3 +347,52 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted(labels(spark, sf_dir), 0.2).agg(F.sum("w").alias("weight"), r6(p).alias("p1"), r6(gini(p)).alias("gini"))
 
 
+
+
+@query("""SELECT doc_id, CAST((length(text) - length(replace(text, 'OR', ''))) / 2 AS BIGINT) AS "OR", CAST((length(text) - length(replace(text, 'AND', ''))) / 3 AS BIGINT) AS "AND",
+CAST((length(text) - length(replace(text, 'NOT', ''))) / 3 AS BIGINT) AS "NOT", CAST((length(text) - length(replace(text, 'OR', ''))) / 2 + (length(text) - length(replace(text, 'AND', ''))) / 3
++ (length(text) - length(replace(text, 'NOT', ''))) / 3 AS BIGINT) AS "SUM" FROM documents""")
+def operator_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = strategies.keyword_counts(F.col("text"), ("OR", "AND", "NOT"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in counts.items()])
+
+
+_STRATEGIES = [
+    ("d1", "t1", {"MEDLINE search strategy": "1. a or b 2. c 3. or/1-2 4. 3 and x adj3 y not z", "PubMed search strategy": "(a OR b) AND c AND d"}),
+    ("d1", "t2", {"Medline Search Strategy": "1 x or y 2 z near w 3 or/1-9 "}), ("d1", "t3", {"MEDLINE search strategy": "or/9-2 a and b"}),
+    ("d2", "t4", {"CENTRAL search strategy": "a and b or c not d"}), ("d2", "t5", {"other": "a and b"}), ("d2", "t6", None),
+]
+
+
+@query("""SELECT * FROM (VALUES ('d1', 1.5::DOUBLE, 0.707107::DOUBLE, 1, 2, 5.0::DOUBLE, 5.656854::DOUBLE, 1, 9, 0.0::DOUBLE, 0.0::DOUBLE, 0, 0, 6.5::DOUBLE, 4.949747::DOUBLE, 3, 10),
+('d2', 1.0, 0.0, 1, 1, 1.0, 0.0, 1, 1, 1.0, 0.0, 1, 1, 3.0, 0.0, 3, 3)) t(dataset, ands_avg, ands_std, ands_min, ands_max, ors_avg, ors_std, ors_min, ors_max, nots_avg, nots_std, nots_min, nots_max, ops_avg, ops_std, ops_min, ops_max)""")
+def manual_strategy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topics = spark.createDataFrame(_STRATEGIES, "dataset string, query_id string, search_strategy map<string,string>")
+    out = strategies.strategy_stats(strategies.strategy_table(topics))
+    return rounded(out, *[c for c in out.columns if c.endswith(("_avg", "_std"))])
+
+
+@query("""SELECT * FROM (VALUES (0, 'a OR b'), (1, 'c and d'), (2, NULL)) t(id, query)""")
+def answered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(0, "x <answer>a OR b</answer> <answer>only</answer> <answer>(a OR b) AND c</answer>"), (1, "<answer> c and d </answer>"), (2, "none <answer>x</answer>")]
+    return spark.createDataFrame(rows, "id int, response string").select("id", strategies.answered_query(F.col("response")).alias("query"))
+
+
+@query("""SELECT n_nationkey, replace(replace(lower(n_name), '_', ' '), 'nation', 'country') AS mapped FROM nation""")
+def synonym_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    canonical = F.create_map(F.lit("nation"), F.lit("country"))
+    words = F.replace(F.lower("n_name"), F.lit("_"), F.lit(" "))
+    return table(spark, sf_dir, "nation").select("n_nationkey", strategies.map_words(words, canonical).alias("mapped"))
+
+
+_PAIR_SQL = """WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, label AS clause, vec_id % 3 AS literal FROM embeddings WHERE vec_id < 60),
+p AS (SELECT CASE WHEN a.literal = b.literal THEN 'or' ELSE 'and' END AS kind, list_cosine_similarity(a.e, b.e) AS s FROM t a JOIN t b ON a.clause = b.clause AND a.vec_id::VARCHAR < b.vec_id::VARCHAR)
+SELECT kind, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(min(s), 6) AS low, round(max(s), 6) AS high FROM p GROUP BY kind"""
+
+
+@query(_PAIR_SQL)
+def term_pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").filter("vec_id < 60")  # stands for the terms of one query
+    terms = v.select(F.lit("q").alias("query_id"), F.col("label").alias("clause"), (F.col("vec_id") % 3).alias("literal"), F.col("vec_id").cast("string").alias("term"))
+    out = ablation.pair_similarities(terms, v.select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").alias("vector")))
+    return rounded(out, "mean", "median", "low", "high")
