@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boolsieve.functions.text import terms
-from boolsieve.session import small
+from boolsieve.session import cut, small
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", bow: Column | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def numbered(vocab: DataFrame) -> DataFrame:
 
     Terms are counted by range partitions first, so that no task sees them all.
     """
-    ranged = vocab.repartitionByRange("term").sortWithinPartitions("term").withColumn("_part", F.spark_partition_id())
+    ranged = cut(vocab.repartitionByRange("term").withColumn("_part", F.spark_partition_id()))  # written, so that both uses see the same parts
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     place = F.row_number().over(Window.partitionBy("_part").orderBy("term")) - 1
