@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from boolsieve.functions.rules import Rule, has_positive, rule
 from boolsieve.functions.safe import f_beta_of, ratio_of
 from boolsieve.operators import splits
-from boolsieve.session import cut
+from boolsieve.session import Shared, cut
 
 #: Postings up to which a matrix is collected and broadcast: four bytes each.
 MATRIX_POSTINGS = 50_000_000
@@ -376,7 +376,7 @@ def fit_one(tree_id: int, x: Matrix, y: np.ndarray, w: np.ndarray, p: Params, f:
 
 def fit_forest(spark: SparkSession, x: Matrix, y: np.ndarray, w: np.ndarray, p: Params = Params(), f: Forest = Forest()) -> DataFrame:
     """The node tables of all trees that could be split: one tree a group, on the broadcast matrix."""
-    shared = spark.sparkContext.broadcast((x, y, w))
+    shared = Shared(spark, (x, y, w))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree_id"].iloc[0])

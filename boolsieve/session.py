@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from typing import Any
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Side tables of at most this many rows are broadcast by ``small``; a row of those takes under 200 bytes.
@@ -36,3 +40,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class Shared:
+    """A broadcast of a value whose class Python workers can't import: it travels as bytes and is read once a task."""
+
+    def __init__(self, spark: SparkSession, value: Any) -> None:
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value: Any = None
+
+    def __getstate__(self) -> dict:
+        return {"_bytes": self._bytes, "_value": None}
+
+    @property
+    def value(self) -> Any:
+        if self._value is None:
+            self._value = pickle.loads(self._bytes.value)
+        return self._value
