@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boolsieve.llm.common import slices, utf8, without, words
+from boolsieve.session import Shared
 
 #: Words of a window.
 WINDOW = 10
@@ -213,7 +214,7 @@ def mark(
     out = without(docs, "n_words", "hit_spans", "hit_items")
     at = out.columns.index(text_col)
     for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+        shared = Shared(docs.sparkSession, Phrases(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, text_col):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boolsieve.llm.common import slices, utf8, without, words
+from boolsieve.session import Shared
 
 #: Labelled rows of each class that the model is fitted on, at most, and the longest text among them, in bytes.
 SAMPLE_ROWS = 1500
@@ -283,7 +284,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels of an id that has several count as toxic if one is. Columns with the three names are replaced.
     """
     model = fit(*sample(docs, labels, id_col, text_col, label_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     rows = without(docs, "score", "predicted", "toxic_spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
