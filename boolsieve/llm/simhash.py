@@ -17,6 +17,10 @@ BITS = 64
 SEED = 42
 #: Fingerprints that differ in this many bits or fewer are linked.
 RADIUS = 2
+#: Words of the shingles, and their share, by which ``drop_near_copies`` calls texts alike.
+LIKE_WORDS, LIKENESS = 5, 0.8
+#: Mean number of shingles between the content-defined cuts of a text, and bins of a text's sketch.
+CHUNK, BINS = 16, 256
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -104,10 +108,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _heads(prints: DataFrame) -> DataFrame:
-    """(fp, root, head): for each distinct fingerprint its component and the smallest id in that."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = cut(components(links(distinct)))
+def _heads(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, head): for each distinct fingerprint (fp, rep) its component by links (a, b) and the smallest id in that."""
+    roots = cut(components(edges))
     known = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = distinct.join(known, distinct["fp"] == known["node"]).select("fp", "root", "rep")
     named = linked.groupBy("root").agg(F.min("rep").alias("head"))
@@ -124,7 +127,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named columns are read, so others may have any name. Copies meet as one distinct fingerprint before any join.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    return prints.join(_heads(prints), "fp").select(
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    return prints.join(_heads(distinct, links(distinct)), "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head").alias("component_id")
     )
 
@@ -135,15 +139,86 @@ def _one_each(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), row.alias("row")).groupBy("k").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` with one row of every component, the one of its smallest id, and all columns.
+def likeness(text: bytes) -> tuple[list[int], bytes]:
+    """(chunk keys, sketch) of a text's five-word shingles.
 
-    Of repeated rows with that id one stays, the one with the smallest hash of all columns; so it is in components
-    without any id. Null and blank texts are copies of each other. An empty table stays empty.
+    A text is cut where a shingle's hash is divisible by CHUNK, so that edits elsewhere leave a chunk as it is; its key sums
+    the hashes. The sketch has for each of BINS a byte of the smallest hash that falls in it, and 0 if none does.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    heads = _heads(prints)
-    chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n"), F.min("fp").alias("fp")))
+    tokens = text.lower().split()
+    sketch = np.zeros(BINS, np.uint8)
+    if not tokens:
+        return [], sketch.tobytes()
+    n = min(LIKE_WORDS, len(tokens))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*[tokens[i:] for i in range(n)])), repeat(SEED)), np.uint64)
+    starts = np.concatenate([[0], np.flatnonzero(hashes[:-1] % np.uint64(CHUNK) == 0) + 1])
+    keys = np.unique(np.add.reduceat(hashes, starts).view(np.int64))
+    ordered = np.sort(hashes)[::-1]  # of those in a bin the last and smallest stays
+    rest = ordered >> np.uint64(8)
+    sketch[(ordered & np.uint64(BINS - 1)).astype(np.int64)] = 1 + (rest % np.uint64(255)).astype(np.uint8)
+    return keys.tolist(), sketch.tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles for rows of sketches: equal bins among those that either has."""
+    used = (a | b) != 0
+    return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+
+
+def features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, keys, sketch) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            texts = utf8(part.column("text"))
+            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            keys, sketches = zip(*map(likeness, texts))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "fp", "keys", "sketch"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, fp long, keys array<long>, sketch binary")
+
+
+def like_links(distinct: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """(a, b), a > b: links between distinct texts (fp, keys, sketch) that are at least so much alike.
+
+    Texts that share a chunk are compared with three of those that have it, not with each other: the one of whose chunks
+    most are shared (edits make chunks of their own, so this is close to what the others were made of), and those of the
+    smallest and largest fingerprint. A chunk that many texts share costs three comparisons for each.
+    """
+    keyed = distinct.select("fp", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
+    shared = cut(keyed.join(cut(several), "key"))
+    middle = cut(shared.groupBy("fp").agg((F.count("*") / F.first("n")).alias("share")))
+    centres = shared.select("key", "fp").join(middle, "fp").groupBy("key").agg(F.max_by("fp", F.struct("share", "fp")).alias("centre"))
+    ends = shared.join(cut(centres), "key").select("fp", F.explode(F.array("centre", "lo", "hi")).alias("end")).filter("fp <> end")
+    pairs = cut(ends.select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct())
+    own = distinct.select("fp", "sketch")
+    both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "sa"):
+            sa, sb = (np.frombuffer(b"".join(utf8(part.column(c))), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+            yield part.filter(pa.array(alike(sa, sb) >= least)).select(["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS) -> DataFrame:
+    """``docs`` with one row of every group of near copies, the one of its smallest id, and all columns.
+
+    Texts link if their fingerprints differ in two bits or fewer, or if sketches of their five-word shingles say that they
+    share ``least`` of them; a group is what links connect. Fingerprints alone can't reach a likeness of 0.8: it stands for
+    some ten bits, and covering masks double with each. Of repeated rows with a group's smallest id one stays, the one with
+    the smallest hash of all columns; so it is in groups without any id. Null and blank texts are copies of each other. An
+    empty table stays empty.
+    """
+    found = cut(features(docs, id_col, text_col, shingle))
+    prints = found.select("id", "fp")
+    distinct = cut(found.groupBy("fp").agg(F.min("id").alias("rep"), F.min(F.struct("sketch", "keys")).alias("s")).select("fp", "rep", "s.*"))
+    nodes = distinct.select("fp", "rep")
+    heads = _heads(nodes, links(nodes).unionByName(like_links(distinct, least)))
+    chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n")))
     this = F.col(f"`{id_col}`").cast("long")
     head, key, own, fp = free(docs, "_head", "_key", "_fp", "_f")
     kept = docs.join(chosen.filter("n = 1 and head is not null").select(F.col("head").alias(head)), this == F.col(head), "left_semi")

@@ -3,7 +3,7 @@ import numpy as np
 import corpus_pipeline
 from boolsieve.llm import decontaminate, mixing, toxicity
 from boolsieve.llm.queries import QUERIES
-from test_simhash import slow_groups, slow_print
+from test_simhash import shingles, slow_groups, slow_print
 from test_text_scans import slow_marks
 
 
@@ -25,7 +25,12 @@ def test_stages_against_plain_python(spark, sf, tmp_path):
     scores = toxicity.score(good, spark.read.parquet(f"{sf}/labels.parquet"))
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in scores.filter("predicted = 0").collect()}
     rows = clean.collect()
-    assert {r.doc_id for r in single.collect()} == {h for _, _, h in slow_groups([(r.doc_id, slow_print(r.text)) for r in rows])}
+    staying = {r.doc_id for r in single.collect()}
+    assert staying <= {h for _, _, h in slow_groups([(r.doc_id, slow_print(r.text)) for r in rows])}
+    sets = {r.doc_id: shingles(r.text) for r in rows}
+    for i, s in sets.items():
+        most = max((len(s & t) / len(s | t) for j, t in sets.items() if j < i), default=0.0)
+        assert i in staying if most < 0.6 else i not in staying or most < 0.88
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     before = {r.doc_id: r.text for r in single.collect()}
     after = {r.doc_id: r for r in cut.collect()}

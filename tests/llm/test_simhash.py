@@ -68,7 +68,8 @@ def test_components_of_planted_fingerprints(spark):
     prints += [(1000 + i, crowd ^ (1 << i % 64) ^ (1 << (i * 7 + 3) % 64)) for i in range(150)]
     prints += [(None, base[1]), (5000, 0), (5001, 0), (None, 12345678901)]
     rows = spark.createDataFrame([(i, sh.signed(f)) for i, f in prints], "id long, fp long")
-    heads = {r.fp: r.head for r in sh._heads(rows).collect()}
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("rep"))
+    heads = {r.fp: r.head for r in sh._heads(distinct, sh.links(distinct)).collect()}
     for i, hexed, head in slow_groups(prints):
         assert heads[sh.signed(int(hexed, 16))] == head
 
@@ -102,3 +103,47 @@ def test_hot_copies_are_one_node(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same words every time").otherwise(F.concat(F.lit("only "), F.col("id"), F.lit(" of these"))).alias("text"))
     got = {r.doc_id: r.component_id for r in sh.simhash_groups(docs).collect()}
     assert all(got[i] == 0 for i in range(0, 3000, 3))
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_sketches_estimate_the_share_of_shingles():
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(500)]
+    for changes in (0, 1, 3, 8, 20, 60):
+        a = list(rng.choice(words, 400))
+        b = list(a)
+        for k in rng.integers(0, 400, changes):
+            b[k] = "new"
+        sa, sb = shingles(" ".join(a)), shingles(" ".join(b))
+        x, y = (np.frombuffer(sh.likeness(" ".join(t).encode())[1], np.uint8)[None] for t in (a, b))
+        assert abs(sh.alike(x, y)[0] - len(sa & sb) / len(sa | sb)) < 0.09
+    assert sh.likeness(b"") == ([], bytes(256)) and len(sh.likeness(b"a b")[0]) == 1
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows, groups = [], []
+    common = " ".join(rng.choice(words, 60))
+    for g in range(60):
+        text = list(rng.choice(words, int(rng.integers(60, 500))))
+        ids = []
+        for c in range(4):
+            t = list(text)
+            for k in rng.integers(0, len(t), max(1, len(t) // 120) if c else 0):
+                t[k] = f"x{rng.integers(1000)}"
+            ids.append(len(rows))
+            rows.append((len(rows), " ".join(t) + (f" {common}" if g % 3 == 0 else "")))
+        groups.append(ids)
+    rows.append((len(rows), common))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in sh.drop_near_copies(docs).collect()}
+    texts = dict(rows)
+    near = lambda a, b: len(shingles(texts[a]) & shingles(texts[b])) / len(shingles(texts[a]) | shingles(texts[b]))
+    assert all(ids[0] in kept for ids in groups) and len(rows) - 1 in kept
+    should_go = [i for ids in groups for i in ids[1:] if any(near(i, j) >= 0.85 for j in ids if j < i)]
+    assert len(should_go) > 120 and np.mean([i not in kept for i in should_go]) > 0.97
