@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boolsieve.catalog.registry import query, rounded, sql_ratio, table
 from boolsieve.functions.text import tokens
 from boolsieve.operators import analytics, ranking
+from boolsieve.session import small
 
 #: Every vector whose id this divides is a query against all vectors; relevant is what has its label.
 EVERY = 20
@@ -28,7 +29,7 @@ def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir).select("vec_id", "label")
     q = v.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
-    return v.join(F.broadcast(q), "label").filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"), F.lit(1).alias("rel"))
+    return v.join(small(q), "label").filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"), F.lit(1).alias("rel"))
 
 
 def _rel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -77,11 +78,11 @@ def micro_macro_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.micro_macro(*_rel(spark, sf_dir), 20), "macro_precision", "macro_recall", "micro_precision", "micro_recall")
 
 
-@query(f"""WITH {SQL_RANK} SELECT query_id, count(*) AS judged, round(sum(rel)::DOUBLE / count(*), 6) AS precision FROM r WHERE rank < 50 AND doc_id % 3 = 0 GROUP BY query_id""")
+@query(f"""WITH {SQL_RANK} SELECT query_id, count(*) AS judged, round(sum(rel)::DOUBLE / count(*), 6) AS precision FROM r WHERE rank < 50 AND doc_id IN (SELECT doc_id FROM labels) GROUP BY query_id""")
 def judged_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "label")
     q = v.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("label").alias("ql"))
-    judged = v.filter("doc_id % 3 = 0").join(F.broadcast(q)).select("query_id", "doc_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"))
+    judged = v.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").join(small(q)).select("query_id", "doc_id", (F.col("label") == F.col("ql")).cast("int").alias("rel"))
     return rounded(ranking.judged_precision(_ranking(spark, sf_dir), judged, 50), "precision")
 
 
@@ -109,12 +110,12 @@ def positives_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(ranking.interpolate((F.col("c_custkey") % 700).cast("double")), 6).alias("k"))
 
 
-@query(f"""WITH {SQL_RANK}, c AS (SELECT query_id, rank + 1 AS k, hits / positives::DOUBLE AS v FROM h JOIN pos USING (query_id) WHERE (rank + 1) % 10 = 0),
+@query(f"""WITH {SQL_RANK}, c AS (SELECT query_id, rank + 1 AS k, hits / positives::DOUBLE AS v FROM h JOIN pos USING (query_id)),
 l AS (SELECT *, lag(v) OVER w AS v0, lag(k) OVER w AS k0 FROM c WINDOW w AS (PARTITION BY query_id ORDER BY k)), f AS (SELECT * FROM l WHERE v >= 0.7 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k) = 1)
 SELECT m.query_id, round(CASE WHEN f.k IS NULL THEN last WHEN v0 IS NULL OR v = v0 THEN f.k ELSE k0 + (0.7 - v0) / (v - v0) * (f.k - k0) END::DOUBLE, 6) AS k FROM (SELECT query_id, max(k) AS last FROM c GROUP BY 1) m LEFT JOIN f USING (query_id)""")
 def k_at_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel, positives = _rel(spark, sf_dir)
-    curve = rel.join(F.broadcast(positives), "query_id").filter((F.col("rank") + 1) % 10 == 0).select("query_id", (F.col("rank") + 1).alias("k"), (F.col("hits") / F.col("positives")).alias("v"))
+    curve = rel.join(small(positives), "query_id").select("query_id", (F.col("rank") + 1).alias("k"), (F.col("hits") / F.col("positives")).alias("v"))
     return rounded(ranking.k_at_recall(curve, 0.7), "k")
 
 
@@ -199,8 +200,8 @@ def _source_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "labels"), "doc_id").select("query_id", "doc_id", F.col("toxic").alias("rel"))
 
 
-@query("""WITH x AS (SELECT source AS query_id, doc_id, toxic AS rel FROM documents JOIN labels USING (doc_id) WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label < 5))
+@query("""WITH x AS (SELECT source AS query_id, doc_id, toxic AS rel FROM documents JOIN labels USING (doc_id) WHERE doc_id IN (SELECT vec_id FROM embeddings))
 SELECT query_id, doc_id, rel FROM x WHERE query_id IN (SELECT query_id FROM x WHERE rel > 0)""")
 def qrels_pool_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _vectors(spark, sf_dir).filter("label < 5").select(F.col("vec_id").alias("doc_id"))
+    known = _vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))
     return analytics.pooled_qrels(_source_qrels(spark, sf_dir), known).select("query_id", "doc_id", "rel")

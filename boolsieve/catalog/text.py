@@ -209,21 +209,24 @@ def variable_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(coverage.variable_frequencies(spark.createDataFrame(rows, f"rule_id long, rule {RULE_TYPE}, trees array<int>"), 5), "tree_freq", "rule_freq")
 
 
-@query("""WITH x AS (SELECT doc_id, unnest(w) AS name, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:12] AS w FROM documents))
-SELECT doc_id, count(*) AS n, round((count(*) - count(DISTINCT name)) * 100.0 / count(*), 6) AS pct FROM x GROUP BY doc_id""")
+_URL_SQL = "x AS (SELECT page_id, unnest(w) AS name, unnest(range(len(w))) AS pos FROM (SELECT page_id, regexp_extract_all(lower(url), '[a-z0-9]+') AS w FROM pages))"
+
+
+def _url_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, pos, name): the tokens of a page's url, which stand for the terms of a query."""
+    tokens = F.regexp_extract_all(F.lower("url"), F.lit("[a-z0-9]+"), 0)
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(tokens).alias("pos", "name"))
+
+
+@query(f"WITH {_URL_SQL} SELECT page_id, count(*) AS n, round((count(*) - count(DISTINCT name)) * 100.0 / count(*), 6) AS pct FROM x GROUP BY page_id")
 def duplicate_feature_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), 1, 12)  # a document's first words stand for a query's terms
-    items = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(head).alias("pos", "name"))
-    return rounded(analytics.duplicate_share(items, "doc_id", "name", "pos"), "pct")
+    return rounded(analytics.duplicate_share(_url_items(spark, sf_dir), "page_id", "name", "pos"), "pct")
 
 
-@query("""WITH x AS (SELECT doc_id, unnest(w) AS name, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:12] AS w FROM documents)),
-d AS (SELECT DISTINCT a.doc_id, a.pos FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.pos < a.pos AND (contains(a.name, b.name) OR contains(b.name, a.name)))
-SELECT doc_id, count(*) AS n, round(count(d.pos) * 100.0 / count(*), 6) AS pct FROM x LEFT JOIN d USING (doc_id, pos) GROUP BY doc_id""")
+@query(f"""WITH {_URL_SQL}, d AS (SELECT DISTINCT a.page_id, a.pos FROM x a JOIN x b ON a.page_id = b.page_id AND b.pos < a.pos AND (contains(a.name, b.name) OR contains(b.name, a.name)))
+SELECT page_id, count(*) AS n, round(count(d.pos) * 100.0 / count(*), 6) AS pct FROM x LEFT JOIN d USING (page_id, pos) GROUP BY page_id""")
 def similar_feature_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), 1, 12)
-    items = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(head).alias("pos", "name"))
-    return rounded(analytics.duplicate_share(items, "doc_id", "name", "pos", substring=True), "pct")
+    return rounded(analytics.duplicate_share(_url_items(spark, sf_dir), "page_id", "name", "pos", substring=True), "pct")
 
 
 _GAIN = "2 * (w1 / w) * (1 - w1 / w) - (w_l * 2 * (w1_l / w_l) * (1 - w1_l / w_l) + (w - w_l) * 2 * ((w1 - w1_l) / (w - w_l)) * (1 - (w1 - w1_l) / (w - w_l))) / w"
@@ -385,14 +388,12 @@ def synonym_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", strategies.map_words(words, canonical).alias("mapped"))
 
 
-_PAIR_SQL = """WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, label AS clause, vec_id % 3 AS literal FROM embeddings WHERE vec_id < 60),
-p AS (SELECT CASE WHEN a.literal = b.literal THEN 'or' ELSE 'and' END AS kind, list_cosine_similarity(a.e, b.e) AS s FROM t a JOIN t b ON a.clause = b.clause AND a.vec_id::VARCHAR < b.vec_id::VARCHAR)
-SELECT kind, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(min(s), 6) AS low, round(max(s), 6) AS high FROM p GROUP BY kind"""
-
-
-@query(_PAIR_SQL)
+@query("""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, vec_id // 60 AS q, label AS clause, vec_id % 3 AS literal FROM embeddings),
+p AS (SELECT CASE WHEN a.literal = b.literal THEN 'or' ELSE 'and' END AS kind, list_cosine_similarity(a.e, b.e) AS s FROM t a JOIN t b ON a.q = b.q AND a.clause = b.clause AND a.vec_id::VARCHAR < b.vec_id::VARCHAR)
+SELECT kind, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(min(s), 6) AS low, round(max(s), 6) AS high FROM p GROUP BY kind""")
 def term_pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 60")  # stands for the terms of one query
-    terms = v.select(F.lit("q").alias("query_id"), F.col("label").alias("clause"), (F.col("vec_id") % 3).alias("literal"), F.col("vec_id").cast("string").alias("term"))
+    """Vectors stand for terms, sixty in a query."""
+    v = table(spark, sf_dir, "embeddings")
+    terms = v.select(F.floor(F.col("vec_id") / 60).alias("query_id"), F.col("label").alias("clause"), (F.col("vec_id") % 3).alias("literal"), F.col("vec_id").cast("string").alias("term"))
     out = ablation.pair_similarities(terms, v.select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").alias("vector")))
     return rounded(out, "mean", "median", "low", "high")
