@@ -47,3 +47,54 @@ def highlight(query: str, words: set[str], mark: str = "**") -> str:
     import re
 
     return re.sub(r"[A-Za-z0-9-]+", lambda m: f"{mark}{m[0]}{mark}" if m[0] in words else m[0], query)
+
+
+def query_entries(results: DataFrame) -> DataFrame:
+    """Result rows with ``terms`` and ``nested`` (an OR of ANDs of ORs of terms) of their query; null if it can't be read."""
+    from boolsieve.functions import boolean
+
+    def read(query):  # type: ignore[no-untyped-def]
+        if query is None or not boolean.is_valid(query):
+            return None
+        node = boolean.parse(query)
+        return [t.text for t in boolean.terms_of(node)], boolean.nested(node)
+
+    parsed = F.udf(read, "struct<terms:array<string>,nested:array<array<array<string>>>>")
+    return results.withColumn("_q", parsed("pubmed_query")).select(*results.columns, "_q.terms", "_q.nested")
+
+
+#: Rows that a figure may have; a feed with more must be aggregated first.
+FIGURE_ROWS = 20_000
+
+
+def figure(rows: DataFrame, kind: str, x: str, y: str, series: str | None = None, size: str | None = None) -> object:
+    """A line, bar, scatter or heat map of a report feed, as a matplotlib figure (if that is installed).
+
+    Of a scatter ``size`` is the column of multiplicities, of a heat map that of the values.
+    """
+    import matplotlib.pyplot as plt
+
+    names = list(dict.fromkeys(c for c in (x, y, series, size) if c))
+    data = rows.select(*names).limit(FIGURE_ROWS + 1).toPandas()
+    if len(data) > FIGURE_ROWS:
+        raise ValueError("the feed has too many rows for a figure")
+    fig, ax = plt.subplots()
+    if kind == "heat":
+        grid = data.pivot(index=y, columns=x, values=size).fillna(0)
+        ax.imshow(grid.to_numpy(), origin="lower", aspect="auto")
+    else:
+        for label, part in data.groupby(series) if series else [(None, data)]:
+            part = part.sort_values(x)
+            if kind == "line":
+                ax.plot(part[x], part[y], label=label)
+            elif kind == "bar":
+                ax.bar(part[x].astype(str), part[y], label=label)
+            elif kind == "scatter":
+                ax.scatter(part[x], part[y], s=part[size] * 4 if size else None, label=label)
+            else:
+                raise ValueError(f"there is no figure {kind!r}")
+        if series:
+            ax.legend()
+    ax.set_xlabel(x)
+    ax.set_ylabel(y)
+    return fig

@@ -6,6 +6,7 @@ grouped maps; ``grow_levels`` grows one tree on postings that no machine holds.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -316,6 +317,14 @@ def from_rows(rows: list[tuple]) -> Node:
     return go(0)
 
 
+def to_json(node: Node) -> str:
+    return json.dumps(to_rows(node))
+
+
+def from_json(text: str) -> Node:
+    return from_rows(json.loads(text))
+
+
 def describe(node: Node, names: list[str], depth: int = 0) -> str:
     """The tree as indented text."""
     pad = "  " * depth

@@ -109,3 +109,20 @@ class LocalClient:
 
     def count(self, query: str, first: int, last: int) -> int:
         return len(self.ids(query, first, last))
+
+
+def fetch(ids: Any, client_name: str, schema: str, batch: int = 200) -> Any:
+    """The records of (doc_id) rows by ``client.records(ids)`` in batches, with retries; fields that a record lacks are null."""
+    import pandas as pd
+
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        module, _, name = client_name.partition(":")
+        client = getattr(importlib.import_module(module), name)()
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                some = pdf["doc_id"].iloc[at : at + batch].tolist()
+                yield pd.DataFrame([{n: r.get(n) for n in names} for r in retried(lambda some=some: client.records(some))], columns=names)
+
+    return ids.select("doc_id").mapInPandas(run, schema)

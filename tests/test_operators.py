@@ -75,3 +75,29 @@ def test_text_helpers(spark):
     assert [r[0] for r in df.select(text.terms(df.t)).collect()] == [["known"], [], []] or [r[0] for r in df.select(text.terms(df.t)).collect()] == [["test", "well-known"], [], []]
     assert df.select(text.surface_form(df.t)).first()[0] == "well-known x s test 12 nan"
     assert text.strip_outer_brackets("((a OR b))") == "a OR b" and text.strip_outer_brackets("(a) OR (b)") == "(a) OR (b)"
+
+
+def test_embeddings_have_length_one(spark):
+    from boolsieve.operators import embedding
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "a b c")], "doc_id long, text string")
+    rows = {r.doc_id: np.array(r.embedding) for r in embedding.embed(docs, embedding.hashed_words(16), batch=2).collect()}
+    assert np.isclose(np.linalg.norm(rows["1"]), 1) and (rows["1"] == rows["3"]).all() and not rows["2"].any()
+    assert embedding.known_ids(docs).count() == 3
+
+
+def test_tree_json():
+    from boolsieve.plans import trees
+
+    tree = trees.Node(2, 3, 0.6, [4, 1], trees.Node(0, 3, 1.0), trees.Node(2, 0, 0.0))
+    assert trees.from_json(trees.to_json(tree)) == tree
+    assert trees.describe(tree, list("abcde")).splitlines()[0] == "any of e, b (3 of 5)"
+
+
+def test_figures_if_they_can_be_drawn(spark):
+    pytest.importorskip("matplotlib")
+    from boolsieve.plans import reports
+
+    rows = spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "a"), (1, 1.0, "b")], "x int, y double, s string")
+    for kind in ("line", "bar", "scatter"):
+        assert reports.figure(rows, kind, "x", "y", "s") is not None

@@ -197,3 +197,22 @@ def test_resume(spark, tmp_path):
 def test_manifest(spark):
     rows = spark.createDataFrame([([(1, [("a.zip", "http://x/a.zip", "ff")]), (2, [("b.zip", "http://x/b.zip", "ee")])],)], "items array<struct<id:int,files:array<struct<name:string,url:string,checksum:string>>>>")
     assert [r.value for r in files.manifest(rows, [2]).collect()] == ["http://x/b.zip\n  out=b.zip\n  checksum=sha-1=ee"]
+
+
+class RecordClient:
+    def records(self, ids):
+        return [{"doc_id": i, "title": f"t{i}"} for i in ids]
+
+
+def test_records_come_in_batches(spark):
+    ids = spark.range(450).selectExpr("string(id) doc_id")
+    rows = search.fetch(ids, "test_sources:RecordClient", "doc_id string, title string, abstract string", 100).collect()
+    assert len(rows) == 450 and all(r.title == f"t{r.doc_id}" and r.abstract is None for r in rows)
+
+
+def test_query_entries(spark):
+    from boolsieve.plans import reports
+
+    rows = spark.createDataFrame([("(a OR b) AND c",), ("bad (",), (None,)], "pubmed_query string")
+    got = {r.pubmed_query: (r.terms, r.nested) for r in reports.query_entries(rows).collect()}
+    assert got["(a OR b) AND c"] == (["a", "b", "c"], [[["a", "b"], ["c"]]]) and got["bad ("] == (None, None) and got[None] == (None, None)
