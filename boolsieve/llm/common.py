@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that one step of a Python operator holds at a time, in bytes; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.

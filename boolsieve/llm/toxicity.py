@@ -29,7 +29,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 #: Bytes of the stems that are features beside the word itself, so that other forms of a toxic word are found.
 STEMS = (4, 5)
 _HALF = 4  # words on either side of a training window's middle
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def fold(id_col: str) -> F.Column:
