@@ -97,3 +97,10 @@ def cost_column(of: dict[str, Column], weights: dict[str, float] = COSTS) -> Col
     for k, w in weights.items():
         total = total + F.lit(w) * of[k]
     return total
+
+
+def mean_literal_length(rules: Column) -> Column:
+    """The mean number of terms in the literals of an array of rules; 0 if there are none."""
+    sizes = F.flatten(F.transform(rules, lambda r: F.transform(r, lambda x: F.size(x["feats"]))))
+    total = F.aggregate(sizes, F.lit(0.0), lambda s, n: s + n)
+    return F.when(F.size(sizes) > 0, total / F.size(sizes)).otherwise(0.0)

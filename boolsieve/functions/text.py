@@ -114,3 +114,10 @@ def number_of_operators(query: Column) -> Column:
 
 def is_heading(term: str) -> bool:
     return bool(re.search(r"\[mh(:noexp)?\]$", term))
+
+
+def heading_share(query: Column) -> Column:
+    """The share of a query's terms that are headings; 0 if it has none."""
+    n = F.size(query_words(query))
+    headings = F.size(F.regexp_extract_all(query, F.lit(r"\[mh(?::noexp)?\]"), 0))
+    return F.when(n > 0, headings / n).otherwise(0.0)

@@ -98,3 +98,22 @@ def figure(rows: DataFrame, kind: str, x: str, y: str, series: str | None = None
     ax.set_xlabel(x)
     ax.set_ylabel(y)
     return fig
+
+
+def annotated(query: str, counts: dict[str, int]) -> str:
+    """A query with the number of documents behind each of its terms that has one."""
+    import re
+
+    def shown(n: int) -> str:
+        return str(n) if n < 1000 else f"{n / 1000:.1f}k" if n < 10_000 else f"{n / 1000:.0f}k" if n < 1_000_000 else f"{n / 1e6:.2f}m" if n < 10_000_000 else f"{n / 1e6:.1f}m"
+
+    return re.sub(r'"[^"]*"|[A-Za-z0-9-]+', lambda m: f"{m[0]} ({shown(counts[k])})" if (k := m[0].strip('"')) in counts else m[0], query)
+
+
+def label(name: str) -> str:
+    """A column's name as a heading: words apart, the first letter large, known short forms as they are read."""
+    # fixed values: short forms of measures
+    short = {"f1": "F1", "f3": "F3", "f50": "F50", "ands": "ANDs", "ors": "ORs", "nots": "NOTs", "ndcg": "nDCG", "mrr": "MRR", "map": "MAP"}
+    words = [short.get(w.lower(), w) for w in name.replace("_", " ").split()]
+    text = " ".join(words)
+    return text[:1].upper() + text[1:]

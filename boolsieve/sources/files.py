@@ -174,10 +174,16 @@ def read_results(spark: SparkSession, path: str, min_positive: int = 0, query_id
     return rows
 
 
-def k_type(path: Column) -> Column:
-    """cosine, pos_count or fixed, from a path; null if it names none."""
+def k_type(path: Column, strict: bool = False) -> Column:
+    """cosine, pos_count or fixed, from a path; null if it names none, or an error with ``strict``."""
     found = F.regexp_extract(path, "ktype=(cosine|pos_count|fixed)", 1)
-    return F.when(found != "", found)
+    known = F.when(found != "", found)
+    return known.otherwise(F.raise_error(F.concat(F.lit("no cutoff type in "), path)).cast("string")) if strict else known
+
+
+def run_means(results: DataFrame, columns: list[str]) -> DataFrame:
+    """(file, n, <column>_mean): the means of each result file's rows."""
+    return results.groupBy("file").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns])
 
 
 def examples(spark: SparkSession, path: str, paper: str | None = None) -> DataFrame:

@@ -169,3 +169,18 @@ def full_text() -> Column:
         F.transform("ipc", lambda x: x["symbol"]), F.transform("cpc", lambda x: x["symbol"]), "priorities", "states",
     ))
     return F.array_join(F.filter(parts, lambda t: F.trim(t) != ""), " ")
+
+
+def matching_claims(words: list[str], mark: str = "*") -> Column:
+    """The claims that have all the words, with these marked; an empty array if none has."""
+    every = [rf"(?<![a-z0-9]){re.escape(w.lower())}(?![a-z0-9])" for w in words]
+    pattern = "|".join(re.escape(w) for w in words)
+
+    def has_all(claim: Column) -> Column:
+        out = F.lit(True)
+        for e in every:
+            out = out & F.lower(claim["text"]).rlike(e)
+        return out
+
+    hits = F.filter("claims", has_all)
+    return F.transform(hits, lambda c: F.struct(c["num"].alias("num"), F.regexp_replace(c["text"], rf"(?i)(?<![a-z0-9])({pattern})(?![a-z0-9])", rf"{mark}$1{mark}").alias("text")))

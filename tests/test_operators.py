@@ -101,3 +101,14 @@ def test_figures_if_they_can_be_drawn(spark):
     rows = spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "a"), (1, 1.0, "b")], "x int, y double, s string")
     for kind in ("line", "bar", "scatter"):
         assert reports.figure(rows, kind, "x", "y", "s") is not None
+
+
+def test_report_strings(spark):
+    from boolsieve.functions import rules
+    from boolsieve.plans import reports
+
+    assert reports.annotated('"a b" OR cd AND ef', {"a b": 1200, "ef": 7}) == '"a b" (1.2k) OR cd AND ef (7)'
+    assert reports.label("pubmed_f3") == "Pubmed F3" and reports.highlight("ab OR abc", {"ab"}) == "**ab** OR abc"
+    df = spark.createDataFrame([('(a OR "b"[mh]) NOT c[tiab]', [[(["a", "b"], True), (["c"], False)]]), ("", [])], f"q string, r array<{rules.RULE_TYPE}>")
+    got = df.select(text.heading_share(df.q).alias("h"), rules.mean_literal_length(df.r).alias("m")).collect()
+    assert [(round(r.h, 3), r.m) for r in got] == [(0.333, 1.5), (0.0, 0.0)]

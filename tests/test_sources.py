@@ -85,6 +85,9 @@ def test_results(spark, tmp_path):
     assert files.read_results(spark, str(tmp_path), betas=[3.0, 50.0]).count() == 2
     assert files.read_results(spark, str(tmp_path), betas=[15.0]).count() == 0
     assert files.read_results(spark, str(tmp_path), k_types=["fixed"]).count() == 0
+    assert files.run_means(rows, ["pubmed_recall"]).first()["pubmed_recall_mean"] == 0.4
+    with pytest.raises(Exception, match="cutoff"):
+        spark.createDataFrame([("a/b",)], "p string").select(files.k_type(F.col("p"), strict=True)).collect()
     table = {r.query_id: r for r in reports.derived(rows).collect()}
     assert table["CD1"].logical_operators == 2 and table["CD1"].num_positive_bucket == ">=50" and round(table["CD1"].f1, 6) == 0.444444
     assert "**" in reports.markup_table(rows.select("query_id", "num_positive"), ["query_id", "num_positive"], {"num_positive": "max"})
@@ -135,6 +138,9 @@ def test_patents(spark, tmp_path):
     assert [(x.lang, x.text) for x in e.titles] == [("de", "Titel"), ("en", "Title")]
     assert [c.text for c in e.claims] == ["A thing."] and e.states == ["AT", "BE"] and e.inventors[0].address == "S, C"
     assert a.full.startswith("EP-123-A1 9 A title One. Two.")
+    claims = patents.documents(patents.archives(spark, str(tmp_path))).filter("id = 'EP1'")
+    assert [tuple(c) for c in claims.select(patents.matching_claims(["THING", "a"]).alias("c")).first().c] == [("0001", "*A* *thing*.")]
+    assert claims.select(patents.matching_claims(["thin"]).alias("c")).first().c == []
 
 
 ROWS = [(i, i % 40, {"a", "b"} if i % 3 else {"b"}) for i in range(500)]
