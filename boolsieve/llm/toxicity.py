@@ -126,19 +126,26 @@ def toxic_words(texts: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
 
     A text counts a word once, with its neighbours there, so copies of a text count as one.
     """
-    contexts: tuple[dict[bytes, set], dict[bytes, set]] = (defaultdict(set), defaultdict(set))
+    contexts: dict[bytes, set] = defaultdict(set)
     totals = [0, 0]
-    for tokens, bad in zip(texts, toxic):
+    for tokens in (t for t, bad in zip(texts, toxic) if bad):
         seen: set[bytes] = set()
-        own = contexts[bad]
         for before, word, after in zip([b"", *tokens[:-1]], tokens, [*tokens[1:], b""]):
             if word not in seen:
                 seen.add(word)
-                own[word].add(hash((before, after)))
-        totals[bad] += len(seen)
+                contexts[word].add(hash((before, after)))
+        totals[1] += len(seen)
     least = MIN_CONTEXTS + sum(toxic) // 100
-    lift = lambda w, n: (n / max(1, totals[1])) / ((len(contexts[0].get(w, ())) + 0.5) / max(1, totals[0]))
-    return {w for w, c in contexts[1].items() if len(c) >= least and lift(w, len(c)) >= MIN_LIFT}
+    likely = {w: len(c) for w, c in contexts.items() if len(c) >= least}
+    elsewhere: dict[bytes, set] = {w: set() for w in likely}
+    for tokens in (t for t, bad in zip(texts, toxic) if not bad):
+        seen = set(tokens)
+        totals[0] += len(seen)
+        for word in seen & likely.keys():
+            at = tokens.index(word)
+            elsewhere[word].add(hash((tokens[at - 1] if at else b"", tokens[at + 1] if at + 1 < len(tokens) else b"")))
+    lift = lambda w: (likely[w] / max(1, totals[1])) / ((len(elsewhere[w]) + 0.5) / max(1, totals[0]))
+    return {w for w in likely if lift(w) >= MIN_LIFT}
 
 
 def fit(rows: list[tuple[bytes, bool]], shares: tuple[float, float]) -> Model:
