@@ -1,0 +1,188 @@
+"""Quality by the perplexity of an interpolated modified Kneser-Ney model of bytes, whose n-grams grow with the trusted texts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from boolsieve.llm.common import cut, free, slices, without
+from boolsieve.llm.quality import QUANTILE, _hint, _raw, _with_scores, judge, kneser_ney
+
+#: Bytes of an n-gram, all 256 of them told apart: six pack into 48 bits, which doubles and longs hold exactly.
+ORDER, ALPHABET = 6, 256
+START = 0xFF  # stands before a text; UTF-8 has no such byte
+#: Distinct n-grams of the documents up to which their probabilities are broadcast, 12 bytes each; more are joined shard by shard.
+BROADCAST_GRAMS = 4_000_000
+#: Text of a shard of the documents, in bytes, and the fewest shards.
+SHARD_BYTES, LEAST_SHARDS = 32 << 20, 12
+#: Text that a task counts at a time, and n-grams that it holds before it merges them.
+STEP_BYTES, MERGE_ROWS = 2 << 20, 4_000_000
+
+
+def byte_grams(data: np.ndarray, ends: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The n-gram that ends at every byte of some texts, as a number."""
+    pad = order - 1
+    sizes = np.diff(ends)
+    padded = np.full(len(data) + pad * len(sizes), START, np.int64)
+    at = np.arange(len(data)) + pad * np.repeat(np.arange(len(sizes)), sizes)
+    padded[at + pad] = data
+    numbers = np.zeros(max(len(padded) - pad, 0), np.int64)
+    for k in range(order):
+        numbers <<= 8
+        numbers |= padded[k : k + len(numbers)]
+    return numbers[at]
+
+
+def merged(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and the sums of their numbers."""
+    g, m = np.concatenate(grams), np.concatenate(n)
+    if not len(g):
+        return g, m
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[starts], np.add.reduceat(m[order], starts, axis=0)
+
+
+def fold(text_col: str) -> Column:
+    """Which half of the trusted texts a text is in, 1 or 2; copies are in one."""
+    return (F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(2)) + 1).cast("int")
+
+
+def count_bytes(docs: DataFrame) -> DataFrame:
+    """(gram, n1, n2): all n-grams of texts (text, part), and how often each stands in those of part 1 and 2; others are in part 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+        for part in slices(batches, "text", STEP_BYTES):
+            data, ends = _raw(part.column("text"))
+            numbers = byte_grams(data, ends)
+            kinds = np.repeat(part.column("part").to_numpy(), np.diff(ends))
+            for kind in range(3):
+                own, counts = np.unique(numbers[kinds == kind], return_counts=True)
+                grams.append(own)
+                n.append(np.outer(counts, [kind == 1, kind == 2]).astype(np.int64))
+            if sum(map(len, grams)) > MERGE_ROWS:
+                one, sums = merged(grams, n)
+                grams, n = [one], [sums]
+                if len(one) > MERGE_ROWS // 2:
+                    yield rows(one, sums)
+                    grams, n = [one[:0]], [sums[:0]]
+        yield rows(*merged(grams, n))
+
+    def rows(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], ["gram", "n1", "n2"])
+
+    return docs.mapInArrow(run, "gram long, n1 long, n2 long").groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+
+
+def probabilities(levels: list[tuple[DataFrame, DataFrame]], needed: DataFrame) -> DataFrame:
+    """(gram, p) of all ``needed`` n-grams (gram), seen by the model or not; every order is joined shard by shard."""
+    below = None
+    for k, (seen, contexts) in enumerate(levels, 1):
+        own = needed if k == len(levels) else needed.select(F.pmod("gram", F.lit(ALPHABET**k)).alias("gram")).distinct()
+        found = own.join(seen, "gram", "left").withColumn("context", F.floor(F.col("gram") / ALPHABET).cast("long")).join(contexts, "context", "left")
+        if below is None:
+            found = found.withColumn("q", F.lit(1.0 / ALPHABET))
+        else:
+            found = found.withColumn("suffix", F.pmod("gram", F.lit(ALPHABET ** (k - 1)))).join(below.toDF("suffix", "q"), "suffix")
+        below = cut(found.select("gram", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p")))
+    return below
+
+
+def _sums(part: pa.RecordBatch | pa.Table, column: str, grams: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each text and the sum of their negative log probabilities, from the sorted n-grams and what they have."""
+    data, ends = _raw(part.column(column))
+    sizes = np.diff(ends)
+    if not len(data):
+        return sizes, np.zeros(len(sizes))
+    nll = logs[np.searchsorted(grams, byte_grams(data, ends))]
+    sums = np.concatenate([[0.0], np.cumsum(-nll.astype(np.float64))])
+    at = ends - ends[0]
+    return sizes, np.round(sums[at[1:]] - sums[at[:-1]], 6)
+
+
+def _by_broadcast(values: DataFrame, text_col: str) -> Callable[[DataFrame, str, str], DataFrame]:
+    table = values.toArrow().sort_by("gram")
+    shared = values.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(), table["v"].to_numpy()))
+    return lambda of, size, nll: _with_scores(of, text_col, size, nll, lambda part: _sums(part, text_col, *shared.value))
+
+
+def _by_shards(values: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Callable[[DataFrame, str, str], DataFrame]:
+    """Every shard of texts names its distinct n-grams once, gets their values by a join, and sums them for its texts.
+
+    What leaves a shard is a row for each text: two hashes of it, its bytes and its sum.
+    """
+
+    def keys(column: str) -> list:
+        text = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+        return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+    total = rows.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
+    h1, h2 = keys(text_col)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    texts = rows.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), text), F.lit(shards)).alias("shard"), h1.alias("h1"), h2.alias("h2"), text.alias("text"))
+
+    def distinct(table: pa.Table) -> pa.Table:
+        grams = np.zeros(0, np.int64)
+        for part in slices(iter(table.select(["text"]).to_batches()), "text", STEP_BYTES):
+            grams = np.union1d(grams, byte_grams(*_raw(part.column("text"))))
+        return pa.table({"shard": pa.array(np.full(len(grams), table["shard"][0].as_py())), "gram": pa.array(grams)})
+
+    def sums(table: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("gram")
+        grams, logs = found["gram"].to_numpy(), found["v"].to_numpy()
+        out = []
+        for part in slices(iter(table.select(["h1", "h2", "text"]).to_batches()), "text", STEP_BYTES):
+            sizes, nll = _sums(part, "text", grams, logs)
+            out.append(pa.table({"h1": part.column("h1"), "h2": part.column("h2"), "size": pa.array(sizes.astype(np.int64)), "nll": pa.array(nll)}))
+        return pa.concat_tables(out)
+
+    own = texts.groupBy("shard").applyInArrow(distinct, "shard long, gram long").join(values, "gram").select("shard", "gram", "v")
+    narrow = texts.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(sums, "h1 long, h2 long, size long, nll double")
+    narrow = cut(narrow.dropDuplicates(["h1", "h2"]))
+
+    def scored(of: DataFrame, size: str, nll: str) -> DataFrame:
+        a, b, x, y = free(of, "_h1", "_h2", "_x", "_y")
+        keyed = of.select("*", *[k.alias(n) for k, n in zip(keys(text_col), (x, y))])
+        found = keyed.join(narrow.toDF(a, b, size, nll), (F.col(x) == F.col(a)) & (F.col(y) == F.col(b)))
+        return found.select(*[f"`{c}`" for c in of.columns], size, nll)
+
+    return scored
+
+
+def score(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, broadcast_grams: int | None = None) -> DataFrame:
+    """``docs`` with ``perplexity`` (of a byte), ``threshold`` and ``kept``, as ``quality.score`` says, by whole bytes.
+
+    All n-grams of all trusted texts count. A trusted text is more likely by a model that has seen it, the more so the longer
+    the n-grams are, so thresholds come from trusted texts by the counts of the half of them that they are not in. Those of the documents get their probability by joins, order by order; the
+    texts then get them as a broadcast if they are at most ``broadcast_grams``, else by shards. Both ways give the same, but for the rounding of sums.
+    """
+    ids = cut(trusted_ids.toDF("_trusted").filter("_trusted is not null").distinct())
+    rows = without(docs, "perplexity", "threshold", "kept")
+    texts = rows.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    marked = texts.join(_hint(ids), F.col("_id") == F.col("_trusted"), "left")
+    counts = cut(count_bytes(marked.select("text", F.when(F.col("_trusted").isNotNull(), fold("text")).otherwise(0).alias("part"))))
+    most = BROADCAST_GRAMS if broadcast_grams is None else broadcast_grams
+
+    def fit(n: Column, needed: Column, of: DataFrame, own_id: str, own_text: str) -> Callable[[DataFrame, str, str], DataFrame]:
+        levels = kneser_ney(counts.select("gram", n.alias("n")).filter("n > 0"), ORDER, ALPHABET)
+        own = counts.filter(needed).select("gram")
+        values = probabilities(levels, own).select("gram", F.log("p").cast("float").alias("v"))
+        return _by_broadcast(values, own_text) if own.count() <= most else _by_shards(values, of, own_id, own_text)
+
+    good = marked.filter("_trusted is not null")
+    halves = {k: fit(F.col(f"n{3 - k}"), F.col(f"n{k}") > 0, good.filter(fold("text") == k), "_id", "text") for k in (1, 2)}
+
+    def crossed(of: DataFrame, size: str, nll: str) -> DataFrame:
+        named = of.withColumnRenamed(text_col, "text")
+        one, two = (cut(halves[k](named.filter(fold("text") == k), size, nll).select("_lang", size, nll)) for k in (1, 2))
+        return one.unionAll(two)
+
+    scored = fit(F.col("n1") + F.col("n2"), F.lit(True), rows, id_col, text_col)
+    return judge(rows, ids, scored, id_col, text_col, lang_col, quantile, crossed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +97,7 @@ def discounts(counts: DataFrame) -> list[float]:
     return out
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+def kneser_ney(counts: DataFrame, order: int = ORDER, alphabet: int = ALPHABET) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (gram, p) of the n-grams seen, and (context, gamma) of their contexts.
 
     The highest order has the counts themselves; a lower one counts the different symbols before an n-gram. A seen n-gram
@@ -106,22 +106,22 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, D
     """
     levels = [cut(counts)]
     for k in range(order - 1, 0, -1):
-        shorter = levels[-1].groupBy(F.pmod("gram", F.lit(ALPHABET**k)).alias("gram")).agg(F.count("*").alias("n"))
+        shorter = levels[-1].groupBy(F.pmod("gram", F.lit(alphabet**k)).alias("gram")).agg(F.count("*").alias("n"))
         levels.append(cut(shorter))
     out: list[tuple[DataFrame, DataFrame]] = []
     below = None
     for table in reversed(levels):
         d1, d2, d3 = discounts(table)
         off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = table.withColumn("context", F.floor(F.col("gram") / ALPHABET).cast("long"))
+        rows = table.withColumn("context", F.floor(F.col("gram") / alphabet).cast("long"))
         contexts = cut(rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("mass")).withColumn("gamma", F.col("mass") / F.col("total")))
         joined = rows.join(contexts, "context")
         own = (F.col("n") - off) / F.col("total")
         if below is None:
-            p = joined.select("gram", (own + F.col("gamma") / ALPHABET).alias("p"))
+            p = joined.select("gram", (own + F.col("gamma") / alphabet).alias("p"))
         else:
             lower = below.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            size = ALPHABET ** (len(out))
+            size = alphabet ** len(out)
             p = joined.withColumn("suffix", F.pmod("gram", F.lit(size))).join(lower, "suffix").select("gram", (own + F.col("gamma") * F.col("q")).alias("p"))
         below = cut(p)
         out.append((below, contexts.select("context", "gamma")))
@@ -166,35 +166,51 @@ def score(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     threshold of all; without any trusted text all with words are kept. Null and empty texts have no perplexity and are
     not kept. Repeated rows count as often as they stand. Columns with the three names are replaced; ids may be null.
     """
-    spark = docs.sparkSession
     ids = cut(trusted_ids.toDF("_trusted").filter("_trusted is not null").distinct())
-    small = ids.count() <= BROADCAST_IDS
     rows = without(docs, "perplexity", "threshold", "kept")
-    nll, size, of_lang, own_mean, own_limit = free(rows, "_nll", "_bytes", "_lang", "_mean", "_limit")
     trusted = rows.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("text"))
-    trusted = trusted.join(F.broadcast(ids) if small else ids, F.col("_id") == F.col("_trusted"), "left_semi")
-    shared = spark.sparkContext.broadcast(dense_table(kneser_ney(count_grams(trusted))))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    trusted = trusted.join(_hint(ids), F.col("_id") == F.col("_trusted"), "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(dense_table(kneser_ney(count_grams(trusted))))
+
+    def scored(of: DataFrame, size: str, nll: str) -> DataFrame:
+        return _with_scores(of, text_col, size, nll, lambda part: _scores(part, text_col, shared.value))
+
+    return judge(rows, ids, scored, id_col, text_col, lang_col, quantile)
+
+
+def _hint(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _with_scores(of: DataFrame, text_col: str, size: str, nll: str, measure: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``of`` with what ``measure`` says of its texts: bytes and sum of negative log probabilities."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in of.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, STEP_BYTES):
             filled = part.set_column(part.schema.names.index(text_col), text_col, _filled(part.column(text_col)))
-            sizes, sums = _scores(filled, text_col, shared.value)
+            sizes, sums = measure(filled)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes.astype(np.int64)), pa.array(sums)], [*part.schema.names, size, nll])
 
-    def scored(of: DataFrame, names: str) -> DataFrame:
-        return of.mapInArrow(run, f"{names}, {size} long, {nll} double")
+    return of.mapInArrow(run, f"{fields}, {size} long, {nll} double")
+
+
+def judge(rows: DataFrame, ids: DataFrame, scored: Callable[[DataFrame, str, str], DataFrame], id_col: str, text_col: str, lang_col: str, quantile: float, calibrated: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
+    """``rows`` with perplexity, threshold and kept by what ``scored`` adds to rows: bytes and negative log probability.
 
+    Thresholds are those of trusted rows as ``calibrated`` scores them, or ``scored`` if there is none.
+    """
+    nll, size, of_lang, own_mean, own_limit = free(rows, "_nll", "_bytes", "_lang", "_mean", "_limit")
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
     base = rows.select(F.col(f"`{id_col}`").cast("long").alias("_id"), lang.alias("_lang"), F.col(f"`{text_col}`").cast("string").alias(text_col))
-    known = scored(base.join(F.broadcast(ids) if small else ids, F.col("_id") == F.col("_trusted"), "left_semi"), f"_id long, _lang string, `{text_col}` string")
+    known = (calibrated or scored)(base.join(_hint(ids), F.col("_id") == F.col("_trusted"), "left_semi"), size, nll)
     sample = cut(known.filter(F.col(size) > 0).select("_lang", F.col(size).alias("_bytes"), F.col(nll).alias("_nll")))
     limits = thresholds(sample, quantile)
     everything = limits.filter("_lang is null").first()
     limits = cut(limits.filter("_lang is not null"))
     few = limits.count() <= 10_000
     limits = (F.broadcast(limits) if few else limits).toDF(of_lang, own_mean, own_limit)
-    joined = scored(rows, fields).join(limits, lang == F.col(of_lang), "left")
+    joined = scored(rows, size, nll).join(limits, lang == F.col(of_lang), "left")
     mean = F.coalesce(own_mean, F.lit(everything["mean"] if everything else 0.0))
     limit = F.coalesce(own_limit, F.lit(everything["limit"] if everything else float("inf")))
     drawn = (F.col(nll) + mean * PRIOR_BYTES) / (F.col(size) + PRIOR_BYTES)

@@ -1,0 +1,34 @@
+"""The model of whole bytes behind op7 and the pipeline's first stage."""
+
+import random
+
+from boolsieve.llm import byte_quality
+from boolsieve.llm.queries import QUERIES
+
+
+def cyrillic(seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["вода", "река", "берег", "лодка", "ветер", "камень", "дорога"]) for _ in range(60))
+
+
+def twin(text):
+    """Other letters of the same kind of bytes: what follows a lead byte is twelve further."""
+    return "".join(bytes([raw[0], 0x80 + (raw[1] - 0x80 + 12) % 60]).decode() if len(raw := c.encode()) == 2 else c for c in text)
+
+
+def test_letters_beyond_ascii_are_told_apart(spark, tmp_path):
+    rows = [(i, cyrillic(i), "ru") for i in range(40)] + [(40, cyrillic(99), "ru"), (41, twin(cyrillic(99)), "ru")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id: r.kept for r in QUERIES["op7_quality"](spark, str(tmp_path)).collect()}
+    assert kept[40] and not kept[41] and all(kept[i] for i in range(40))
+
+
+def test_shards_give_what_the_broadcast_gives(spark, odd_docs, no_docs, clashing):
+    ids = odd_docs.select("doc_id").filter("doc_id in (1, 5, 8)")
+    for docs in (odd_docs, clashing):
+        one, other = ([(r.doc_id, r.text, r.kept, r.perplexity and round(r.perplexity, 4)) for r in byte_quality.score(docs, ids, broadcast_grams=n).collect()] for n in (10**6, 0))
+        assert sorted(one, key=repr) == sorted(other, key=repr) and len(one) == docs.count()
+    assert byte_quality.score(no_docs, ids).count() == 0 and byte_quality.score(no_docs, ids, broadcast_grams=-1).count() == 0
+    alone = byte_quality.score(odd_docs, ids.filter("false")).collect()
+    assert all(r.kept == bool(r.text) for r in alone)
