@@ -21,6 +21,8 @@ RADIUS = 2
 LIKE_WORDS, LIKENESS = 5, 0.8
 #: Mean number of shingles between the content-defined cuts of a text, and bins of a text's sketch.
 CHUNK, BINS = 16, 256
+#: How much less alike sketches may say that texts are for their shingles to be compared; four times the standard error.
+SLACK = 0.1
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -139,18 +141,25 @@ def _one_each(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), row.alias("row")).groupBy("k").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The hash of each five-word shingle of a text, in its order; of all words if there are fewer."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    n = min(LIKE_WORDS, len(tokens))
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*[tokens[i:] for i in range(n)])), repeat(SEED)), np.uint64)
+
+
 def likeness(text: bytes) -> tuple[list[int], bytes]:
     """(chunk keys, sketch) of a text's five-word shingles.
 
     A text is cut where a shingle's hash is divisible by CHUNK, so that edits elsewhere leave a chunk as it is; its key sums
     the hashes. The sketch has for each of BINS a byte of the smallest hash that falls in it, and 0 if none does.
     """
-    tokens = text.lower().split()
     sketch = np.zeros(BINS, np.uint8)
-    if not tokens:
+    hashes = shingle_hashes(text)
+    if not len(hashes):
         return [], sketch.tobytes()
-    n = min(LIKE_WORDS, len(tokens))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*[tokens[i:] for i in range(n)])), repeat(SEED)), np.uint64)
     starts = np.concatenate([[0], np.flatnonzero(hashes[:-1] % np.uint64(CHUNK) == 0) + 1])
     keys = np.unique(np.add.reduceat(hashes, starts).view(np.int64))
     ordered = np.sort(hashes)[::-1]  # of those in a bin the last and smallest stays
@@ -166,25 +175,27 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, keys, sketch) of every row."""
+    """(id, fp, keys, sketch, shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = utf8(part.column("text"))
             prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             keys, sketches = zip(*map(likeness, texts))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "fp", "keys", "sketch"])
+            sets = pa.array([np.unique(shingle_hashes(t)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), sets], ["id", "fp", "keys", "sketch", "shingles"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "id long, fp long, keys array<long>, sketch binary, shingles array<long>")
 
 
 def like_links(distinct: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """(a, b), a > b: links between distinct texts (fp, keys, sketch) that are at least so much alike.
+    """(a, b), a > b: links between distinct texts (fp, keys, sketch, shingles) that are at least so much alike.
 
     Texts that share a chunk are compared with three of those that have it, not with each other: the one of whose chunks
     most are shared (edits make chunks of their own, so this is close to what the others were made of), and those of the
     smallest and largest fingerprint. A chunk that many texts share costs three comparisons for each.
+    Sketches only choose which of these pairs are compared by their shingles.
     """
     keyed = distinct.select("fp", F.size("keys").alias("n"), F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
@@ -199,23 +210,27 @@ def like_links(distinct: DataFrame, least: float = LIKENESS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "sa"):
             sa, sb = (np.frombuffer(b"".join(utf8(part.column(c))), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-            yield part.filter(pa.array(alike(sa, sb) >= least)).select(["a", "b"])
+            yield part.filter(pa.array(alike(sa, sb) >= least - SLACK)).select(["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    near = cut(both.mapInArrow(run, "a long, b long"))
+    sets = distinct.select("fp", "shingles")
+    exact = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = exact.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    return common.filter(F.col("both") >= F.lit(least) * (F.col("n") - F.col("both"))).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS) -> DataFrame:
     """``docs`` with one row of every group of near copies, the one of its smallest id, and all columns.
 
-    Texts link if their fingerprints differ in two bits or fewer, or if sketches of their five-word shingles say that they
-    share ``least`` of them; a group is what links connect. Fingerprints alone can't reach a likeness of 0.8: it stands for
+    Texts link if their fingerprints differ in two bits or fewer, or if they share ``least`` of their five-word
+    shingles; a group is what links connect. Fingerprints alone can't reach a likeness of 0.8: it stands for
     some ten bits, and covering masks double with each. Of repeated rows with a group's smallest id one stays, the one with
     the smallest hash of all columns; so it is in groups without any id. Null and blank texts are copies of each other. An
     empty table stays empty.
     """
     found = cut(features(docs, id_col, text_col, shingle))
     prints = found.select("id", "fp")
-    distinct = cut(found.groupBy("fp").agg(F.min("id").alias("rep"), F.min(F.struct("sketch", "keys")).alias("s")).select("fp", "rep", "s.*"))
+    distinct = cut(found.groupBy("fp").agg(F.min("id").alias("rep"), F.min(F.struct("sketch", "keys", "shingles")).alias("s")).select("fp", "rep", "s.*"))
     nodes = distinct.select("fp", "rep")
     heads = _heads(nodes, links(nodes).unionByName(like_links(distinct, least)))
     chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n")))
