@@ -49,10 +49,15 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.postings(table(spark, sf_dir, "documents"))
 
 
+def searched(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
+    """(doc_id, terms, tokens, y) of all documents; y is null without a label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("terms"), tokens(F.col("text")).alias("tokens"))
+    return docs.join(labels(spark, sf_dir), "doc_id", how)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, terms, tokens, y) of labelled documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("terms"), tokens(F.col("text")).alias("tokens"))
-    return docs.join(labels(spark, sf_dir), "doc_id")
+    return searched(spark, sf_dir, "inner")
 
 
 _RX = "'[a-z0-9]+(?:-[a-z0-9]+)*'"
