@@ -349,6 +349,14 @@ def collect_matrix(post: DataFrame, docs: DataFrame, limit: int = MATRIX_POSTING
     return Matrix.of(term, row, int(term.max()) + 1 if len(term) else 0, len(table)), table
 
 
+def needed_matrix(post: DataFrame, docs: DataFrame) -> tuple[Matrix, pd.DataFrame]:
+    """``collect_matrix`` for what has no other way to grow: raises ValueError if there are too many postings."""
+    got = collect_matrix(post, docs, MATRIX_POSTINGS)
+    if got is None:
+        raise ValueError(f"more than {MATRIX_POSTINGS} postings or documents: a forest or sweep needs them as a matrix")
+    return got
+
+
 @dataclass(frozen=True)
 class Forest:
     """How many trees and how each differs. Tree 0 has all rows and all features.

@@ -1,0 +1,13 @@
+"""Queries that need a matrix say so when it would be too large."""
+
+import pytest
+
+from boolsieve.catalog import QUERIES
+from boolsieve.plans import trees
+
+
+@pytest.mark.parametrize("name", ["forest_nodes", "heading_sweep"])
+def test_too_many_postings_raise_a_clear_error(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(trees, "MATRIX_POSTINGS", 10)
+    with pytest.raises(ValueError, match="more than 10 postings"):
+        QUERIES[name](spark, sf)
