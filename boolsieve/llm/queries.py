@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boolsieve.llm import byte_quality, chat, decontaminate, licenses, media, mixing, simhash, sql, token_counts, toxicity, url_filter
+from boolsieve.llm import chat, decontaminate, licenses, media, mixing, quality, simhash, sql, token_counts, toxicity, url_filter
 from boolsieve.llm.common import table
 
 
@@ -43,8 +43,8 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = byte_quality.score(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
-    return scored.select("doc_id", "lang", "perplexity", "threshold", "kept")
+    scored = quality.score(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return scored.select("doc_id", "lang", "perplexity", "smoothed", "threshold", "kept")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Licences, urls, decontamination, quality, mixing."""
+"""Licences, urls, decontamination, mixing."""
 
 import math
 import random
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boolsieve.llm import decontaminate as dc
-from boolsieve.llm import licenses, mixing, quality, url_filter
+from boolsieve.llm import licenses, mixing, url_filter
 from boolsieve.llm.common import words
 from boolsieve.llm.queries import QUERIES
 
@@ -146,75 +146,6 @@ def test_passages_are_cut_out(spark):
     assert got == {1: ("Start. ! end ü", 14), 2: ("nothing", 7), 3: (None, None), 4: ("", 0)}
 
 
-def test_kneser_ney_sums_to_one_and_equals_a_loop(spark):
-    rng = np.random.default_rng(4)
-    text = "".join(rng.choice(list("abc "), 400))
-    docs = spark.createDataFrame([("".join(text),), ("abcab",), (None,)], "text string")
-    levels = quality.kneser_ney(quality.count_grams(docs))
-    table = np.exp(quality.dense_table(levels).astype(float)).reshape(-1, quality.ALPHABET)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
-    counts = {r.gram: r.n for r in quality.count_grams(docs).collect()}
-    a = quality.ALPHABET
-    tables = [counts]
-    for k in range(quality.ORDER - 1, 0, -1):
-        lower = {}
-        for g in tables[-1]:
-            lower[g % a**k] = lower.get(g % a**k, 0) + 1
-        tables.append(lower)
-
-    def off(t):
-        n = [sum(v == i for v in t.values()) for i in range(5)]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        return [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * 0.5, 0.05 * k), 0.95 * k) for k in (1, 2, 3)]
-
-    def p(g, level):
-        if level == len(tables):
-            return 1 / a
-        t, d = tables[level], off(tables[level])
-        own = {x: v for x, v in t.items() if x // a == g // a}
-        size = a ** (quality.ORDER - level - 1)
-        if not own:
-            return p(g % size, level + 1)
-        total = sum(own.values())
-        gamma = sum(d[min(v, 3)] for v in own.values()) / total
-        c = t.get(g, 0)
-        return max(c - d[min(c, 3)], 0) / total + gamma * p(g % size, level + 1)
-
-    flat = table.ravel()
-    for g in [*list(counts)[:40], *rng.integers(0, a**quality.ORDER, 20).tolist()]:
-        assert math.isclose(flat[g], p(int(g), 0), rel_tol=1e-4)
-
-
-def test_perplexity_of_texts_equals_a_loop(spark):
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["a cat sat", "the cat", "", None, "É. Cat 12"])], "doc_id long, text string, lang string")
-    trusted = docs.select("doc_id").filter("doc_id < 2")
-    got = {r.doc_id: r for r in quality.score(docs, trusted).collect()}
-    table = quality.dense_table(quality.kneser_ney(quality.count_grams(docs.filter("doc_id < 2")))).astype(float)
-    for i in (0, 1, 4):
-        raw = docs.filter(f"doc_id = {i}").first().text.encode()
-        s = [quality.START] * 3 + [int(quality.CLASSES[b]) for b in raw]
-        nll = -sum(table[((s[k] * 48 + s[k + 1]) * 48 + s[k + 2]) * 48 + s[k + 3]] for k in range(len(raw)))
-        assert math.isclose(got[i].perplexity, math.exp(nll / len(raw)), rel_tol=1e-4)
-    assert got[2].perplexity is None and not got[2].kept and not got[3].kept and got[0].kept
-
-
-def test_quality_of_odd_rows(spark, odd_docs, no_docs, clashing):
-    ids = odd_docs.select("doc_id")
-    out = quality.score(clashing, ids)
-    assert {c.lower() for c in out.columns} == {c.lower() for c in clashing.columns} | {"threshold"} and out.count() == clashing.count()
-    assert quality.score(no_docs, ids).count() == 0
-    alone = quality.score(odd_docs, ids.filter("false")).collect()
-    assert all(r.kept == bool(r.text) for r in alone)
-
-
-def test_clean_texts_stay_and_junk_goes(spark, sf):
-    rows = {r.doc_id: r.kept for r in QUERIES["op7_quality"](spark, sf).collect()}
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    good = [rows[i] for i, q in labels.items() if q == 1]
-    junk = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").filter(r"text rlike '[%&$*#]{3}'").collect()]
-    assert np.mean(good) > 0.97 and junk and not any(rows[i] for i in junk)
-
-
 def test_mixing(spark, odd_docs, no_docs, clashing):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7)).alias("source"))
     weights = {"s0": 1.0, "s1": 5.0, "s2": 0.0}
