@@ -19,10 +19,13 @@ SEED = 42
 RADIUS = 2
 #: Words of the shingles, and their share, by which ``drop_near_copies`` calls texts alike.
 LIKE_WORDS, LIKENESS = 5, 0.8
-#: Mean number of shingles between the content-defined cuts of a text, and bins of a text's sketch.
-CHUNK, BINS = 16, 256
-#: How much less alike sketches may say that texts are for their shingles to be compared; four times the standard error.
+#: Bins of a text's sketch and how many make a band: texts of likeness 0.8 share one of the 32 bands with a chance of 0.997.
+BINS, ROWS = 256, 8
+#: How much less alike sketches of BINS different shingles may say that texts are for their shingles to be compared: four times
+#: the standard error, which grows with the root of fewer shingles.
 SLACK = 0.1
+#: Members of a bucket that the others are compared with at first, and how much that grows for those without a link.
+CENTRES, GROWTH = 3, 4
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -150,73 +153,117 @@ def shingle_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*[tokens[i:] for i in range(n)])), repeat(SEED)), np.uint64)
 
 
-def likeness(text: bytes) -> tuple[list[int], bytes]:
-    """(chunk keys, sketch) of a text's five-word shingles.
+def _turns() -> np.ndarray:
+    """The bins that each bin asks in turn if it is empty: another order for each, the same in every text."""
+    order = np.arange(1, BINS)
+    return (np.arange(BINS)[:, None] + (order * (2 * np.arange(BINS)[:, None] + 1)) % BINS) % BINS
 
-    A text is cut where a shingle's hash is divisible by CHUNK, so that edits elsewhere leave a chunk as it is; its key sums
-    the hashes. The sketch has for each of BINS a byte of the smallest hash that falls in it, and 0 if none does.
+
+_TURNS = _turns()
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """BINS bytes of a text's shingles: two texts have the same byte in a bin with the chance of their likeness.
+
+    A bin has a byte of the smallest hash that falls in it; an empty one takes that of the first full bin in its own turn.
     """
     sketch = np.zeros(BINS, np.uint8)
-    hashes = shingle_hashes(text)
     if not len(hashes):
-        return [], sketch.tobytes()
-    starts = np.concatenate([[0], np.flatnonzero(hashes[:-1] % np.uint64(CHUNK) == 0) + 1])
-    keys = np.unique(np.add.reduceat(hashes, starts).view(np.int64))
+        return sketch.tobytes()
     ordered = np.sort(hashes)[::-1]  # of those in a bin the last and smallest stays
-    rest = ordered >> np.uint64(8)
-    sketch[(ordered & np.uint64(BINS - 1)).astype(np.int64)] = 1 + (rest % np.uint64(255)).astype(np.uint8)
-    return keys.tolist(), sketch.tobytes()
+    sketch[(ordered & np.uint64(BINS - 1)).astype(np.int64)] = 1 + ((ordered >> np.uint64(8)) % np.uint64(255)).astype(np.uint8)
+    empty = np.flatnonzero(sketch == 0)
+    if len(empty):
+        full = sketch[_TURNS[empty]]
+        sketch[empty] = full[np.arange(len(empty)), (full > 0).argmax(axis=1)]
+    return sketch.tobytes()
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common shingles for rows of sketches: equal bins among those that either has."""
-    used = (a | b) != 0
-    return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+    """Estimated share of common shingles for rows of sketches."""
+    return (a == b).mean(axis=1)
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, keys, sketch, shingles) of every row."""
+    """(id, text_id, fp, sketch, shingles) of every row; ``text_id`` hashes the words, so texts of the same words share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = utf8(part.column("text"))
             prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            keys, sketches = zip(*map(likeness, texts))
-            sets = pa.array([np.unique(shingle_hashes(t)).view(np.int64) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), sets], ["id", "fp", "keys", "sketch", "shingles"])
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts], np.uint64).view(np.int64)
+            hashes = [np.unique(shingle_hashes(t)) for t in texts]
+            sets = pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(same), pa.array(prints), pa.array(list(map(sketch_of, hashes)), pa.binary()), sets], ["id", "text_id", "fp", "sketch", "shingles"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, keys array<long>, sketch binary, shingles array<long>")
+    return rows.mapInArrow(run, "id long, text_id long, fp long, sketch binary, shingles array<long>")
 
 
-def like_links(distinct: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """(a, b), a > b: links between distinct texts (fp, keys, sketch, shingles) that are at least so much alike.
+def bands(distinct: DataFrame) -> DataFrame:
+    """(bucket, node): the buckets of each node (node, sketch), one for each band of its sketch, that others are in, too."""
 
-    Texts that share a chunk are compared with three of those that have it, not with each other: the one of whose chunks
-    most are shared (edits make chunks of their own, so this is close to what the others were made of), and those of the
-    smallest and largest fingerprint. A chunk that many texts share costs three comparisons for each.
-    Sketches only choose which of these pairs are compared by their shingles.
-    """
-    keyed = distinct.select("fp", F.size("keys").alias("n"), F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
-    shared = cut(keyed.join(cut(several), "key"))
-    middle = cut(shared.groupBy("fp").agg((F.count("*") / F.first("n")).alias("share")))
-    centres = shared.select("key", "fp").join(middle, "fp").groupBy("key").agg(F.max_by("fp", F.struct("share", "fp")).alias("centre"))
-    ends = shared.join(cut(centres), "key").select("fp", F.explode(F.array("centre", "lo", "hi")).alias("end")).filter("fp <> end")
-    pairs = cut(ends.select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct())
-    own = distinct.select("fp", "sketch")
-    both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            keys = np.frombuffer(b"".join(utf8(part.column("sketch"))), np.uint64).reshape(-1, BINS // ROWS)
+            keys = (keys + np.arange(1, BINS // ROWS + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(29)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part.column("node").to_numpy(), BINS // ROWS))], ["bucket", "node"])
+
+    keyed = distinct.filter("size(shingles) > 0").select("node", "sketch").mapInArrow(run, "bucket long, node long")
+    several = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
+    return cut(keyed.join(cut(several), "bucket"))
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that share ``least`` of their shingles; sketches only spare the comparison of what is far apart."""
+    own = distinct.select("node", "sketch", F.size("shingles").alias("n"))
+    both = pairs.join(own.toDF("a", "sa", "na"), "a").join(own.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "sa"):
             sa, sb = (np.frombuffer(b"".join(utf8(part.column(c))), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-            yield part.filter(pa.array(alike(sa, sb) >= least - SLACK)).select(["a", "b"])
+            slack = SLACK * np.sqrt(BINS / np.minimum(part.column("n").to_numpy(), BINS))
+            yield part.filter(pa.array(alike(sa, sb) >= least - slack)).select(["a", "b"])
 
     near = cut(both.mapInArrow(run, "a long, b long"))
-    sets = distinct.select("fp", "shingles")
+    sets = distinct.select("node", "shingles")
     exact = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = exact.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return common.filter(F.col("both") >= F.lit(least) * (F.col("n") - F.col("both"))).select("a", "b")
+    return cut(common.filter(F.col("both") >= F.lit(least) * (F.col("n") - F.col("both"))).select("a", "b"))
+
+
+def like_links(distinct: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """(a, b), a > b: links between distinct texts (node, sketch, shingles) that share ``least`` of their shingles.
+
+    Texts whose sketches agree in a whole band are in a bucket. There they are compared with a few members, not with each
+    other: the one that is in most buckets (what others are copies of) and some by hash, other ones in each bucket. Those
+    that none of these is like go on to be compared with more members, until they have a link or have been compared with
+    all; so a hot bucket of copies costs three comparisons for each, and no member is left out.
+    """
+    member = bands(distinct)
+    sizes = cut(member.groupBy("bucket").agg(F.count("*").alias("size")))
+    weight = cut(member.groupBy("node").agg(F.count("*").alias("weight")))
+    central = cut(member.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("centre")))
+    tried = found = None
+    still, k = member, CENTRES
+    while True:
+        part = F.when(F.col("size") <= k, F.col("node")).otherwise(F.pmod(F.xxhash64("bucket", "node"), F.lit(k)))
+        chosen = member if still is member else member.join(still.select("bucket").distinct(), "bucket")
+        chosen = chosen.join(sizes, "bucket").groupBy("bucket", part.alias("part")).agg(F.max_by("node", F.xxhash64("node", F.lit(k))).alias("centre"))
+        chosen = cut(chosen.select("bucket", "centre").unionAll(central if still is member else central.join(still.select("bucket").distinct(), "bucket")).distinct())
+        ends = still.join(chosen, "bucket").filter("node <> centre")
+        pairs = ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        new = verified(pairs, distinct, least)
+        found = new if found is None else found.unionAll(new)
+        linked = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("node", "centre")
+        reached = still.join(chosen, "bucket").join(linked, ["node", "centre"]).select("bucket", "node").distinct()
+        still = cut(still.join(sizes.filter(F.col("size") > k), "bucket").select("bucket", "node").join(reached, ["bucket", "node"], "left_anti"))
+        if still.isEmpty():
+            return found
+        k *= GROWTH
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS) -> DataFrame:
@@ -230,9 +277,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = cut(features(docs, id_col, text_col, shingle))
     prints = found.select("id", "fp")
-    distinct = cut(found.groupBy("fp").agg(F.min("id").alias("rep"), F.min(F.struct("sketch", "keys", "shingles")).alias("s")).select("fp", "rep", "s.*"))
-    nodes = distinct.select("fp", "rep")
-    heads = _heads(nodes, links(nodes).unionByName(like_links(distinct, least)))
+    distinct = found.groupBy(F.col("text_id").alias("node")).agg(F.min("id").alias("rep"), F.min(F.struct("fp", "sketch", "shingles")).alias("s"))
+    distinct = cut(distinct.select("node", "rep", "s.*"))
+    nodes = cut(distinct.groupBy("fp").agg(F.min("rep").alias("rep")))
+    of = distinct.select("node", "fp")
+    alike_texts = like_links(distinct.select("node", "sketch", "shingles"), least)
+    between = alike_texts.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").filter("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    heads = _heads(nodes, links(nodes).unionByName(between))
     chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n")))
     this = F.col(f"`{id_col}`").cast("long")
     head, key, own, fp = free(docs, "_head", "_key", "_fp", "_f")

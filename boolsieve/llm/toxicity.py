@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -12,23 +13,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import slices, utf8, without, words
+from boolsieve.llm.common import cut, slices, utf8, without, words
 from boolsieve.session import Shared
 
-#: Labelled rows of each class that the model is fitted on, at most, and the longest text among them, in bytes.
+#: Labelled rows of each class that the model is fitted on, at most, of those whose text takes at most so many bytes.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 32 << 10
 #: Every fifth id by CRC-32 is held out.
 FOLDS = 5
-#: A word is labelled toxic in toxic texts if it, or its stem, has this many different contexts there, besides one for every
-#: hundred toxic texts, and this many times its share in others.
-MIN_CONTEXTS, MIN_LIFT = 6, 8.0
+#: A word is labelled toxic in toxic texts if it, or its stem, has this many different contexts there, this many times its share
+#: in others, and so few by chance that of all words chosen this share is wrong (by Benjamini and Hochberg's step-up rule).
+MIN_CONTEXTS, MIN_LIFT, FALSE_SHARE = 3, 8.0, 0.05
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 #: Bytes of the stems that are features beside the word itself, so that other forms of a toxic word are found.
 STEMS = (4, 5)
-_HALF = 4  # words on either side of a training window's middle
+#: Words on either side of a training window's middle, and windows of each text besides those around all its marked words and
+#: all that look like marked ones.
+HALF_WINDOW, OTHER_WINDOWS = 4, 4
 _CACHE = 150_000
 
 
@@ -121,31 +124,64 @@ def marginals(emission: np.ndarray, first: np.ndarray, model: Model, width: int
     return found.T.ravel()[:n]
 
 
+def _sides(tokens: list[bytes], at: int) -> tuple[tuple[bytes, ...], tuple[bytes, ...]]:
+    """The two words before a place, and the two after it."""
+    return tuple(tokens[max(0, at - 2) : at]), tuple(tokens[at + 1 : at + 3])
+
+
+def places(contexts: set[tuple]) -> int:
+    """How many places contexts (before, after) come from: those that share a side are one, as copies with an edit do."""
+    root: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for before, after in contexts:
+        root[find((0, before))] = find((1, after))
+    return len({find(x) for x in root})
+
+
 def toxic_words(texts: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
     """The words whose places in toxic texts get the toxic label: many contexts there, few elsewhere.
 
-    A text counts a word once, with its neighbours there, so copies of a text count as one.
+    A text counts a word once, by what stands on either side of it there, so copies of a text count as one, edited or not.
     """
     contexts: dict[bytes, set] = defaultdict(set)
     totals = [0, 0]
     for tokens in (t for t, bad in zip(texts, toxic) if bad):
         seen: set[bytes] = set()
-        for before, word, after in zip([b"", *tokens[:-1]], tokens, [*tokens[1:], b""]):
+        for at, word in enumerate(tokens):
             if word not in seen:
                 seen.add(word)
-                contexts[word].add(hash((before, after)))
+                contexts[word].add(_sides(tokens, at))
         totals[1] += len(seen)
-    least = MIN_CONTEXTS + sum(toxic) // 100
-    likely = {w: len(c) for w, c in contexts.items() if len(c) >= least}
-    elsewhere: dict[bytes, set] = {w: set() for w in likely}
+    likely = {w: n for w, c in contexts.items() if len(c) >= MIN_CONTEXTS and (n := places(c)) >= MIN_CONTEXTS}
+    there: dict[bytes, set] = {w: set() for w in likely}
     for tokens in (t for t, bad in zip(texts, toxic) if not bad):
         seen = set(tokens)
         totals[0] += len(seen)
         for word in seen & likely.keys():
-            at = tokens.index(word)
-            elsewhere[word].add(hash((tokens[at - 1] if at else b"", tokens[at + 1] if at + 1 < len(tokens) else b"")))
-    lift = lambda w: (likely[w] / max(1, totals[1])) / ((len(elsewhere[w]) + 0.5) / max(1, totals[0]))
-    return {w for w in likely if lift(w) >= MIN_LIFT}
+            there[word].add(_sides(tokens, tokens.index(word)))
+    elsewhere = {w: places(c) for w, c in there.items()}
+    share = totals[1] / max(1, sum(totals))
+    rated = sorted((_by_chance(n, n + elsewhere[w], share), w) for w, n in likely.items())
+    bound = max((k for k, (p, _) in enumerate(rated, 1) if p <= FALSE_SHARE * k / len(contexts)), default=0)
+    return {w for _, w in rated[:bound] if likely[w] * (1 - share) >= MIN_LIFT * (elsewhere[w] + 0.5) * share}
+
+
+def _by_chance(n: int, of: int, share: float) -> float:
+    """The chance that at least ``n`` of so many places are in toxic texts, if they hold this share of all words."""
+    if not 0 < share < 1:
+        return 1.0
+    log, total = math.log, 0.0
+    for k in range(n, of + 1):
+        term = math.exp(math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * log(share) + (of - k) * log(1 - share))
+        total += term
+        if k > of * share and term < 1e-6 * total:
+            break
+    return min(1.0, total)
 
 
 def fit(rows: list[tuple[bytes, bool]], shares: tuple[float, float]) -> Model:
@@ -161,10 +197,10 @@ def fit(rows: list[tuple[bytes, bool]], shares: tuple[float, float]) -> Model:
     for i, (tokens, is_toxic) in enumerate(zip(texts, toxic)):
         marks = [int(is_toxic and (w in bad or w[: STEMS[1]] in forms)) for w in tokens]
         alike = [k for k, w in enumerate(tokens) if not marks[k] and w[: STEMS[0]] in stems]  # what the model must tell apart
-        middles = [k for k, y in enumerate(marks) if y][:6] + alike[:6] + [(i * 7919 + j * 104729) % len(tokens) for j in range(4) if tokens]
+        middles = [k for k, y in enumerate(marks) if y] + alike + [(i * 7919 + j * 104729) % len(tokens) for j in range(OTHER_WINDOWS) if tokens]
         for k in middles:
-            a = max(0, k - _HALF)
-            windows.append((tokens[a : k + _HALF + 1], marks[a : k + _HALF + 1], a == 0))
+            a = max(0, k - HALF_WINDOW)
+            windows.append((tokens[a : k + HALF_WINDOW + 1], marks[a : k + HALF_WINDOW + 1], a == 0))
     if stems and windows:
         _train(model, windows)
     _regress(model, texts, toxic, shares)
@@ -174,7 +210,7 @@ def fit(rows: list[tuple[bytes, bool]], shares: tuple[float, float]) -> Model:
 def _train(model: Model, windows: list[tuple[list[bytes], list[int], bool]], rounds: int = 12, batch: int = 256, rate: float = 0.3) -> None:
     """Maximum likelihood of the windows' tags, by adaptive gradient steps with a small penalty."""
     index: dict[bytes, int] = {}
-    length = 2 * _HALF + 1
+    length = 2 * HALF_WINDOW + 1
     n = len(windows)
     ids = np.zeros((n, length, 3), np.int64)
     tags, real, heads = np.zeros((n, length), np.int64), np.zeros((n, length), bool), np.array([h for _, _, h in windows])
@@ -182,46 +218,56 @@ def _train(model: Model, windows: list[tuple[list[bytes], list[int], bool]], rou
         for k, (w, y) in enumerate(zip(tokens, marks)):
             ids[r, k] = [index.setdefault(f, len(index)) for f in _features(w)]
             tags[r, k], real[r, k] = y, True
-    weights, bias, moves, starts = np.zeros(len(index)), np.array([-2.0]), np.zeros((2, 2)), np.zeros(2)
-    sums = [np.full_like(p, 1e-6) for p in (weights, bias, moves, starts)]
+    params = [np.zeros(len(index)), np.array([-2.0]), np.zeros((2, 2)), np.zeros(2)]
+    sums = [np.full_like(p, 1e-6) for p in params]
     order = np.random.default_rng(5).permutation(n)
     for _ in range(rounds):
         for at in range(0, n, batch):
             rows = order[at : at + batch]
-            i, y, ok = ids[rows], tags[rows], real[rows]
-            e = weights[i].sum(axis=2) + bias[0]
-            alpha = np.empty((length, len(rows), 2))
-            alpha[0, :, 0], alpha[0, :, 1] = np.where(heads[rows], starts[0], 0), e[:, 0] + np.where(heads[rows], starts[1], 0)
-            for k in range(1, length):
-                step = np.logaddexp(alpha[k - 1, :, :1] + moves[0], alpha[k - 1, :, 1:] + moves[1])
-                step[:, 1] += e[:, k]
-                alpha[k] = np.where(ok[:, k, None], step, alpha[k - 1])
-            log_z = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
-            beta = np.zeros((len(rows), 2))
-            p = np.empty((len(rows), length))
-            pairs = np.zeros((2, 2))
-            for k in range(length - 1, -1, -1):
-                p[:, k] = np.exp(alpha[k, :, 1] + beta[:, 1] - log_z) * ok[:, k]
-                if k:
-                    inner = beta.copy()
-                    inner[:, 1] += e[:, k]
-                    joint = alpha[k - 1, :, :, None] + moves + inner[:, None, :] - log_z[:, None, None]
-                    pairs += (np.exp(joint) * ok[:, k, None, None]).sum(axis=0)
-                    np.subtract.at(pairs, (y[ok[:, k], k - 1], y[ok[:, k], k]), 1.0)
-                    beta = np.where(ok[:, k, None], np.logaddexp(moves[:, 0] + inner[:, :1], moves[:, 1] + inner[:, 1:]), beta)
-            wrong = (p - y) * ok
-            grads = [np.zeros_like(weights), np.array([wrong.sum()]), pairs, np.zeros(2)]
-            np.add.at(grads[0], i.ravel(), np.repeat(wrong.ravel(), 3))
-            begin = wrong[heads[rows], 0].sum()
-            grads[3][:] = -begin, begin
-            for value, grad, total in zip((weights, bias, moves, starts), grads, sums):
+            _, grads = likelihood(params, ids[rows], tags[rows], real[rows], heads[rows])
+            for value, grad, total in zip(params, grads, sums):
                 grad = grad / len(rows) + 1e-5 * value
                 total += grad**2
                 value -= rate * grad / np.sqrt(total)
+    weights, bias, moves, starts = params
     model.weights = {f: float(weights[k]) for f, k in index.items() if abs(weights[k]) > 0.02}
     model.bias, model.moves, model.starts = float(bias[0]), moves, starts
 
 
+def likelihood(params: list[np.ndarray], ids: np.ndarray, y: np.ndarray, ok: np.ndarray, heads: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The negative log likelihood of windows' tags and its gradient by weights, bias, moves and starts.
+
+    ``ids`` are the features of each word, ``ok`` says where a window has words, ``heads`` which windows begin a text.
+    """
+    weights, bias, moves, starts = params
+    rows, length = y.shape
+    at = np.arange(rows)
+    e = weights[ids].sum(axis=2) + bias[0]
+    alpha = np.empty((length, rows, 2))
+    alpha[0, :, 0], alpha[0, :, 1] = np.where(heads, starts[0], 0), e[:, 0] + np.where(heads, starts[1], 0)
+    told = alpha[0, at, y[:, 0]]
+    for k in range(1, length):
+        step = np.logaddexp(alpha[k - 1, :, :1] + moves[0], alpha[k - 1, :, 1:] + moves[1])
+        step[:, 1] += e[:, k]
+        alpha[k] = np.where(ok[:, k, None], step, alpha[k - 1])
+        told = told + np.where(ok[:, k], moves[y[:, k - 1], y[:, k]] + e[:, k] * y[:, k], 0)
+    log_z = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
+    beta, p, pairs = np.zeros((rows, 2)), np.empty((rows, length)), np.zeros((2, 2))
+    for k in range(length - 1, -1, -1):
+        p[:, k] = np.exp(alpha[k, :, 1] + beta[:, 1] - log_z) * ok[:, k]
+        if k:
+            inner = beta.copy()
+            inner[:, 1] += e[:, k]
+            joint = alpha[k - 1, :, :, None] + moves + inner[:, None, :] - log_z[:, None, None]
+            pairs += (np.exp(joint) * ok[:, k, None, None]).sum(axis=0)
+            np.subtract.at(pairs, (y[ok[:, k], k - 1], y[ok[:, k], k]), 1.0)
+            beta = np.where(ok[:, k, None], np.logaddexp(moves[:, 0] + inner[:, :1], moves[:, 1] + inner[:, 1:]), beta)
+    wrong = (p - y) * ok
+    by_weight = np.bincount(ids.ravel(), np.repeat(wrong.ravel(), ids.shape[2]), len(weights))
+    begin = wrong[heads, 0].sum()
+    return float((log_z - told).sum()), [by_weight, np.array([wrong.sum()]), pairs, np.array([-begin, begin])]
+
+
 def aggregate(p: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text the largest marginal, and the sum of those of one half or more."""
     most, total = np.zeros(len(ends)), np.zeros(len(ends))
@@ -268,29 +314,42 @@ def _regress(model: Model, texts: list[list[bytes]], toxic: list[bool], shares:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[bytes, bool]], tuple[float, float]]:
     """Up to SAMPLE_ROWS training texts of each class, those with the smallest hashes, and what each row stands for."""
+    key, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     known = labels.filter(f"`{label_col}` is not null and `{id_col}` is not null").filter(fold(id_col) != 0)
-    known = known.groupBy(F.col(f"`{id_col}`").cast("long").alias("_id")).agg((F.max(label_col) > 0).alias("_toxic")).withColumn("_h", F.xxhash64("_id"))
+    known = known.groupBy(key.alias("_id")).agg((F.max(label_col) > 0).alias("_toxic")).withColumn("_h", F.xxhash64("_id"))
+    fitting = docs.filter(F.octet_length(text) <= SAMPLE_BYTES)
+    known = cut(known.join(fitting.select(key.alias("_id")).distinct(), "_id", "left_semi"))
     sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     parts = [known.filter(F.col("_toxic") == flag).orderBy("_h", "_id").limit(SAMPLE_ROWS) for flag in (False, True)]
-    chosen = F.broadcast(parts[0].unionAll(parts[1]).select("_id", "_toxic"))  # 2 * SAMPLE_ROWS rows at most
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_d"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = rows.join(chosen, F.col("_d") == F.col("_id")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    chosen = F.broadcast(cut(parts[0].unionAll(parts[1]).select("_id", "_toxic")))  # 2 * SAMPLE_ROWS rows at most
+    rows = fitting.select(key.alias("_d"), text.alias("text")).join(chosen, F.col("_d") == F.col("_id"))
     got = rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).collect()
     got = sorted(((r["_id"], r["text"].encode(), r["_toxic"]) for r in got))
     counts = [max(1, sum(1 for r in got if r[2] == flag)) for flag in (False, True)]
     return [(t, b) for _, t, b in got], (sizes.get(False, 0) / counts[0], sizes.get(True, 0) / counts[1])
 
 
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model of a bounded sample of labelled rows outside the held-out fifth; ids are compared as strings.
+
+    Of an id with several texts the smallest is learnt; labels of an id that has several count as toxic if one is.
+    """
+    return fit(*sample(docs, labels, id_col, text_col, label_col))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``docs`` as ``apply`` rates them by a model that is learnt from them and ``labels``."""
+    return apply(docs, learn(docs, labels, id_col, text_col, label_col), text_col)
+
+
+def apply(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 if score >= 0.5) and ``toxic_spans`` (offsets in characters).
 
-    The field is fitted on a bounded sample of labelled rows outside the held-out fifth; nothing but a text's words makes
-    its score, so equal texts have equal scores. Words are lower-cased runs of letters, digits and characters above
-    ASCII; a span joins neighbouring words of which the toxic tag is likelier than not. Null, empty and wordless texts
-    have the score of texts without toxic words and no spans. Without labels of both classes every score is constant.
-    Labels of an id that has several count as toxic if one is. Columns with the three names are replaced.
+    Nothing but a text's words makes its score, so equal texts have equal scores. Words are lower-cased runs of letters,
+    digits and characters above ASCII; a span joins neighbouring words of which the toxic tag is likelier than not. Null,
+    empty and wordless texts have the score of texts without toxic words and no spans. Without labels of both classes
+    every score is constant. Columns with the three names are replaced.
     """
-    model = fit(*sample(docs, labels, id_col, text_col, label_col))
     shared = Shared(docs.sparkSession, model)
     rows = without(docs, "score", "predicted", "toxic_spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
