@@ -12,14 +12,16 @@ from boolsieve.llm.common import cut, free, without
 SEED = 7
 #: Groups (sources) up to which the table of their distributions is broadcast; it takes under 2 KB a group.
 BROADCAST_GROUPS = 2_000
-#: Highest mean of one draw; a larger rate is made of whole copies and a draw of the rest.
+#: Highest mean of one draw. A larger rate is the sum of as many independent draws of equal means as it takes, which is
+#: Poisson distributed with that rate, too.
 LARGEST_MEAN = 16.0
 _STEPS = 64  # the distribution of a mean up to LARGEST_MEAN is 1 in double precision well before
 
 
-def uniform(seed: int, id_col: Column) -> Column:
-    """A number in [0, 1) from the MD5 of seed and id: the same on every run, engine and partitioning."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+def uniform(seed: int, id_col: Column, draw: Column | None = None) -> Column:
+    """A number in [0, 1) from the MD5 of seed and id, and of the draw if there are several: the same on every run, engine and partitioning."""
+    name = F.lit(f"{seed}:") if draw is None else F.concat(F.lit(f"{seed}/"), draw.cast("string"), F.lit(":"))
+    digest = F.md5(F.concat(name, F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -35,8 +37,9 @@ def distribution(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source", size: float = 1.0, default_weight: float = 1.0) -> DataFrame:
-    """(key, rate, whole, cdf) of every source: rate is how often one of its documents shall stand in the mixture.
+    """(key, rate, draws, cdf) of every source: rate is how often one of its documents shall stand in the mixture.
 
+    ``cdf`` is the Poisson distribution function of a draw's mean, ``draws`` how many make the rate.
     A source's share of the mixture is its weight over the sum of the weights of the sources that have rows; the mixture
     has ``size`` times the documents of the input. A source without a weight has ``default_weight``, a null source counts
     as a source of its own. Counts are aggregated in the map tasks.
@@ -49,8 +52,18 @@ def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source"
     counted = cut(docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("key")).agg(F.count("*").alias("n")).withColumn("w", weight))
     totals = counted.agg(F.sum("n").cast("double").alias("n"), F.sum("w").alias("w")).first()
     rate = F.lit(float(size)) * F.lit(totals["n"] or 0.0) * F.col("w") / F.lit(totals["w"] or 1.0) / F.col("n")
-    whole = F.greatest(F.lit(0), F.ceil((F.col("rate") - LARGEST_MEAN) / F.lit(1.0)).cast("int"))
-    return counted.withColumn("rate", rate).withColumn("whole", whole).withColumn("cdf", distribution(F.col("rate") - F.col("whole"))).select("key", "rate", "whole", "cdf")
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(LARGEST_MEAN)).cast("int"))
+    return counted.withColumn("rate", rate).withColumn("draws", draws).withColumn("cdf", distribution(F.col("rate") / F.col("draws"))).select("key", "rate", "draws", "cdf")
+
+
+def copies_of(cdf: Column, draws: Column, seed: int, id_col: Column) -> Column:
+    """How many values of the distribution function are at most a uniform number, added up over the draws."""
+
+    def one(u: Column) -> Column:
+        return F.size(F.filter(cdf, lambda c: c <= u))
+
+    several = F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda total, k: total + one(uniform(seed, id_col, k)))
+    return F.when(draws == 1, one(uniform(seed, id_col))).otherwise(several)
 
 
 def mix(
@@ -68,11 +81,11 @@ def mix(
     if table.count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
     rows = without(docs, "copy", "rate", "shuffle_key")
-    key, whole, cdf, copies = free(rows, "_key", "_whole", "_cdf", "_copies")
-    known = table.select(F.col("key").alias(key), "rate", F.col("whole").alias(whole), F.col("cdf").alias(cdf))
+    key, draws, cdf, copies = free(rows, "_key", "_draws", "_cdf", "_copies")
+    known = table.select(F.col("key").alias(key), "rate", F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     drawn = rows.join(known, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(key)))
-    count = F.col(whole) + F.size(F.filter(cdf, lambda c: c <= uniform(seed, F.col(f"`{id_col}`"))))
-    drawn = drawn.withColumn(copies, count).filter(F.col(copies) > 0).drop(key, whole, cdf)
+    count = copies_of(F.col(cdf), F.col(draws), seed, F.col(f"`{id_col}`"))
+    drawn = drawn.withColumn(copies, count).filter(F.col(copies) > 0).drop(key, draws, cdf)
     exploded = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies)
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col("copy").cast("string"))
     keyed = exploded.withColumn("shuffle_key", F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long"))

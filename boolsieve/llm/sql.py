@@ -33,11 +33,12 @@ def mixing_sql(docs: str, weights: dict[str, float], size: float, columns: str,
 WITH c AS (SELECT source, count(*) AS n, CASE {weight} ELSE 1.0 END::DOUBLE AS w FROM {docs} GROUP BY source),
 t AS (SELECT sum(n)::DOUBLE AS n, sum(w) AS w FROM c),
 q AS (SELECT c.source, CAST({float(size)!r} AS DOUBLE) * t.n * c.w / t.w / c.n AS rate FROM c, t),
-s AS (SELECT source, rate, greatest(0, CAST(ceil(rate - {mixing.LARGEST_MEAN!r}) AS INTEGER)) AS whole FROM q),
-k AS (SELECT source, rate, whole, list_reduce([{{'c': exp(-(rate - whole)), 'p': exp(-(rate - whole)), 'all': [exp(-(rate - whole))], 'i': 0}}]
+s AS (SELECT source, rate, greatest(1, CAST(ceil(rate / {mixing.LARGEST_MEAN!r}) AS INTEGER)) AS draws, rate / greatest(1, CAST(ceil(rate / {mixing.LARGEST_MEAN!r}) AS INTEGER)) AS mean FROM q),
+k AS (SELECT source, rate, draws, list_reduce([{{'c': exp(-mean), 'p': exp(-mean), 'all': [exp(-mean)], 'i': 0}}]
         || list_transform(range(1, {mixing._STEPS} + 1), lambda i: {{'c': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'all': []::DOUBLE[], 'i': i}}),
-        lambda a, b: {{'c': a.c + a.p * (rate - whole) / b.i, 'p': a.p * (rate - whole) / b.i, 'all': list_append(a.all, a.c + a.p * (rate - whole) / b.i), 'i': b.i}}).all AS cdf FROM s),
-u AS (SELECT d.*, k.rate, k.whole + len(list_filter(k.cdf, lambda x: x <= CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE / {float(1 << 52)!r})) AS copies
+        lambda a, b: {{'c': a.c + a.p * mean / b.i, 'p': a.p * mean / b.i, 'all': list_append(a.all, a.c + a.p * mean / b.i), 'i': b.i}}).all AS cdf FROM s),
+u AS (SELECT d.*, k.rate, CAST(list_sum(list_transform(CASE WHEN k.draws = 1 THEN ['{seed}:'] ELSE list_transform(range(1, k.draws + 1), lambda i: '{seed}/' || i || ':') END,
+        lambda name: len(list_filter(k.cdf, lambda x: x <= CAST('0x' || substr(md5(name || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE / {float(1 << 52)!r})))) AS BIGINT) AS copies
       FROM {docs} d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
 e AS (SELECT *, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM u)
 SELECT {columns}, copy, rate, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 15) AS BIGINT) AS shuffle_key FROM e
@@ -76,12 +77,7 @@ def _urls_sql() -> str:
     for r in url_filter.BASE_RULES:
         host, _, path = r.name.partition("/")
         fits.append(f"SELECT u, '{r.name}' AS rule, '{r.verdict}' AS verdict FROM h WHERE (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')")
-    own = " OR ".join(f"({cond})" for cond in (
-        "regexp_matches('-' || replace(host, '.', '-.') || '-', '[^a-z0-9](cheap|buy|online)-(pills|meds)[^a-z0-9]')",
-        "regexp_matches('-' || host, '[^a-z0-9]spam(-[a-z0-9]+)*\\.')",
-        "regexp_matches('-' || host || '-', '[^a-z0-9]casino[^a-z0-9]')",
-        "regexp_matches(path, '\\.exe$')", "regexp_matches(path, '/login(/|\\.php|\\.html)?$')", "host = ''",
-    ))
+    own = " OR ".join(["host = ''", *[f"regexp_matches(host || path, '{r.pattern}')" for r in url_filter.OWN_RULES]])
     return f"""
 WITH h AS (SELECT DISTINCT url AS u, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
       regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),

@@ -17,13 +17,41 @@ def pairs():
         texts = [" ".join(t) for t in (a, b)]
         sa, sb = (set(sh.shingle_hashes(t.encode()).tolist()) for t in texts)
         true = len(sa & sb) / len(sa | sb)
-        sketch = sh.alike(*(np.frombuffer(sh.likeness(t.encode())[1], np.uint8)[None] for t in texts))[0]
+        sketch = sh.alike(*(np.frombuffer(sh.sketch_of(sh.shingle_hashes(t.encode())), np.uint8)[None] for t in texts))[0]
         far = (sh.fingerprint(texts[0].encode()) ^ sh.fingerprint(texts[1].encode())).bit_count() > 2
         if far and (true >= 0.8) != (sketch >= 0.8):
             found.setdefault(bool(true >= 0.8), texts)
     return found
 
 
+def test_texts_of_one_fingerprint_keep_their_own_links(spark):
+    """Two texts with one fingerprint, of which the second alone is like a third: none of the three is lost."""
+    distinct = []
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 62, 200) for _ in range(2)]
+    sets.append(np.concatenate([sets[1][:190], rng.integers(0, 1 << 62, 10)]))
+    for k, x in enumerate(sets):
+        h = np.unique(x).astype(np.uint64)
+        distinct.append((k, bytearray(sh.sketch_of(h)), h.view(np.int64).tolist()))
+    df = spark.createDataFrame(distinct, "node long, sketch binary, shingles array<long>")
+    assert [tuple(r) for r in sh.like_links(df).collect()] == [(2, 1)]
+
+
+def test_members_that_centres_miss_meet_all_others(spark):
+    """A bucket full of unlike texts but for one pair: no cap on comparisons hides it."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 400)).astype(np.uint64)
+    rows = []
+    for k in range(40):
+        own = np.unique(np.concatenate([rng.choice(base, 240, replace=False), rng.integers(0, 1 << 62, 160).astype(np.uint64)]))
+        rows.append([k, own])
+    rows.append([40, np.unique(np.concatenate([rows[17][1][:-30], rng.integers(0, 1 << 62, 30).astype(np.uint64)]))])
+    same = sh.sketch_of(base)
+    made = [(k, bytearray(same[:8] + sh.sketch_of(h)[8:]), h.view(np.int64).tolist()) for k, h in rows]  # all share a band
+    df = spark.createDataFrame(made, "node long, sketch binary, shingles array<long>")
+    assert {tuple(r) for r in sh.like_links(df).collect()} == {(40, 17)}
+
+
 def test_pairs_about_the_bound_are_compared_exactly(spark):
     found = pairs()
     docs = spark.createDataFrame(list(enumerate(found[True] + found[False])), "doc_id long, text string")

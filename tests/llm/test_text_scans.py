@@ -80,6 +80,25 @@ def test_urls(spark):
     assert {r.page_id for r in url_filter.keep_allowed(pages).collect()} == {r.page_id for r in got if r.verdict == "allow"} | ({None} if verdicts[URLS[4]] == "allow" else set())
 
 
+def test_rules_without_tokens_are_run_on_every_url(spark):
+    rules = (url_filter.place_rule("block", "my-site", "/x"), url_filter.place_rule("allow", "my-site", "/x1"), url_filter.Rule("end", "block", "z$", ()), *url_filter.BASE_RULES)
+    assert [r.tokens for r in rules[:3]] == [(), (), ()]
+    urls = ["http://my-site/x2", "http://a.my-site/x1", "http://other/z", "http://other/y", "http://example.com/en/8z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, r.own_rule) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {0: ("my-site/x", "block", None), 1: ("my-site/x1", "allow", None), 2: (None, "block", "end"), 3: (None, "allow", None), 4: ("com/en/", "block", None)}
+
+
+def test_allowed_pages_keep_all_their_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/de/1"), (2, "http://casino.net/")], "page_id long, url string").withColumn("_allowed", F.lit("x"))
+    assert [(r.page_id, r._allowed) for r in url_filter.keep_allowed(pages).collect()] == [(1, "x")]
+
+
+def test_rules_come_from_no_python_rdd(spark, sf):
+    for name in ("op4_licenses", "op6_urls"):
+        assert "Python" not in QUERIES[name](spark, sf)._jdf.queryExecution().toRdd().toDebugString()
+
+
 def test_every_rule_with_a_path_end_keeps_whole_tokens():
     assert url_filter.place_rule("block", "example.net", "/de/8").tokens == ("example", "net", "de")
 
@@ -174,5 +193,19 @@ def test_counts_invert_the_poisson_distribution(spark):
             want.append((want[-1] if want else 0.0) + term)
             term *= mean / (k + 1)
         assert np.allclose(cdf, want) and cdf[-1] > 1 - 1e-12
-    big = mixing.mix(spark.createDataFrame([(i, "x" if i else "y") for i in range(2)], "doc_id long, source string"), {"x": 99.0, "y": 1.0}, size=60.0)
-    assert big.filter("source = 'x'").count() > 80
+
+
+@pytest.mark.parametrize("rate", [0.5, 8.0, 16.5, 64.0, 300.0])
+def test_copies_have_the_mean_and_variance_of_a_poisson_variable(spark, rate):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("source"))
+    n = [r.n for r in docs.join(mixing.mix(docs, {}, size=rate).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").fillna(0).select("n").collect()]
+    assert abs(np.mean(n) - rate) < 5 * math.sqrt(rate / 3000) and abs(np.var(n) / rate - 1) < 5 * math.sqrt((2 + 1 / rate) / 3000)
+
+
+def test_large_rates_match_sql(spark, tmp_path):
+    from boolsieve.llm.sql import mixing_sql
+    from oracle import compare
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "a").when(F.col("id") < 4, "b").otherwise("c").alias("source"))
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    compare(mixing.mix(docs, {"a": 3.0}, size=6.0), mixing_sql("documents", {"a": 3.0}, 6.0, "doc_id, source"), str(tmp_path))

@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import zlib
 
 import numpy as np
@@ -76,6 +77,55 @@ def test_marginals_equal_enumeration():
     assert len(tx.marginals(np.zeros(0), np.zeros(0, bool), tx.Model())) == 0
 
 
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(2)
+    rows, length, features = 6, 5, 9
+    ids, y = rng.integers(0, features, (rows, length, 3)), rng.integers(0, 2, (rows, length))
+    ok = np.arange(length) < rng.integers(1, length + 1, rows)[:, None]
+    y, ids = y * ok, ids * ok[:, :, None]
+    heads = rng.random(rows) < 0.5
+    params = [rng.normal(size=features), rng.normal(size=1), rng.normal(size=(2, 2)), rng.normal(size=2)]
+    _, grads = tx.likelihood(params, ids, y, ok, heads)
+    for k, value in enumerate(params):
+        for at in np.ndindex(value.shape):
+            either = []
+            for step in (1e-5, -1e-5):
+                moved = [v.copy() for v in params]
+                moved[k][at] += step
+                either.append(tx.likelihood(moved, ids, y, ok, heads)[0])
+            assert math.isclose((either[0] - either[1]) / 2e-5, grads[k][at], abs_tol=1e-5)
+
+
+def test_likelihood_equals_enumeration():
+    rng = np.random.default_rng(4)
+    params = [rng.normal(size=7), rng.normal(size=1), rng.normal(size=(2, 2)), rng.normal(size=2)]
+    ids, y, ok = rng.integers(0, 7, (1, 4, 3)), np.array([[0, 1, 1, 0]]), np.ones((1, 4), bool)
+
+    def weight(z):
+        e = params[0][ids[0]].sum(axis=1) + params[1][0]
+        return math.exp(params[3][z[0]] + sum(e[k] * z[k] for k in range(4)) + sum(params[2][z[k], z[k + 1]] for k in range(3)))
+
+    want = -math.log(weight(y[0]) / sum(weight(z) for z in itertools.product((0, 1), repeat=4)))
+    assert math.isclose(tx.likelihood(params, ids, y, ok, np.array([True]))[0], want)
+
+
+def test_edited_copies_are_one_place_and_chance_is_binomial():
+    t = [b"a", b"b", b"w", b"c", b"d"]
+    edits = [t, [b"a", b"x", b"w", b"c", b"d"], [b"a", b"b", b"w", b"y", b"d"]]
+    assert tx.places({tx._sides(e, 2) for e in edits}) == 1 and tx.places({tx._sides(e, 2) for e in [*edits, [b"p", b"q", b"w", b"r"]]}) == 2
+    assert math.isclose(tx._by_chance(3, 5, 0.3), sum(math.comb(5, k) * 0.3**k * 0.7 ** (5 - k) for k in (3, 4, 5)))
+
+
+def test_no_language_is_missed(spark):
+    """Held-out recall by language at the size of the tests' larger table."""
+    folder = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rated = tx.score(docs, labels).join(labels, "doc_id").filter(tx.fold("doc_id") == 0)
+    found = rated.filter("toxic = 1").groupBy("lang").agg(F.avg("predicted").alias("p")).collect()
+    assert len(found) == 4 and all(r.p >= 0.85 for r in found)
+    assert rated.filter("toxic = 0").agg(F.avg("predicted").alias("p")).first().p < 0.01
+
+
 def labelled_corpus(spark, n=400):
     rng = np.random.default_rng(1)
     filler = [f"w{i}" for i in range(300)]
