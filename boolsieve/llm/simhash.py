@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,6 +26,8 @@ BINS, ROWS = 256, 8
 SLACK = 0.1
 #: Members of a bucket that the others are compared with at first, and how much that grows for those without a link.
 CENTRES, GROWTH = 3, 4
+#: Texts that share a band with another up to which tasks get their hashes as a broadcast, 8 bytes each; more are joined by a shuffle.
+BROADCAST_TEXTS = 4_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -184,20 +186,49 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
+def word_hash(text: bytes) -> int:
+    """The hash of a text's words: texts of the same words share it."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, text_id, fp, sketch, shingles) of every row; ``text_id`` hashes the words, so texts of the same words share it."""
+    """(id, text_id, fp, sketch, n) of every row: the hash of its words, its fingerprint, and its sketch and number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = utf8(part.column("text"))
-            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts], np.uint64).view(np.int64)
+            prints, same = (np.array([f(t) for t in texts], np.uint64).view(np.int64) for f in (lambda t: fingerprint(t, shingle), word_hash))
             hashes = [np.unique(shingle_hashes(t)) for t in texts]
-            sets = pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(same), pa.array(prints), pa.array(list(map(sketch_of, hashes)), pa.binary()), sets], ["id", "text_id", "fp", "sketch", "shingles"])
+            columns = [part.column("id"), pa.array(same), pa.array(prints), pa.array(list(map(sketch_of, hashes)), pa.binary()), pa.array([len(h) for h in hashes], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_id", "fp", "sketch", "n"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, text_id long, fp long, sketch binary, shingles array<long>")
+    return rows.mapInArrow(run, "id long, text_id long, fp long, sketch binary, n long")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(node, shingles): the distinct shingles' hashes of the texts whose word hash is in ``wanted`` (node)."""
+    few = None
+    if wanted.count() <= BROADCAST_TEXTS:
+        few = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["node"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for part in slices(batches, "text"):
+            texts = utf8(part.column("text"))
+            nodes = np.array([word_hash(t) for t in texts], np.uint64).view(np.int64)
+            if few is not None and len(few.value):
+                known = few.value[np.minimum(np.searchsorted(few.value, nodes), len(few.value) - 1)] == nodes
+            else:
+                known = np.full(len(nodes), few is None)
+            new = [k for k in np.flatnonzero(known).tolist() if nodes[k] not in done and not done.add(nodes[k])]
+            sets = [np.unique(shingle_hashes(texts[k])).view(np.int64) for k in new]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    made = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    if few is None:
+        made = made.join(wanted, "node", "left_semi")
+    return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def bands(distinct: DataFrame) -> DataFrame:
@@ -210,15 +241,14 @@ def bands(distinct: DataFrame) -> DataFrame:
             keys ^= keys >> np.uint64(29)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part.column("node").to_numpy(), BINS // ROWS))], ["bucket", "node"])
 
-    keyed = distinct.filter("size(shingles) > 0").select("node", "sketch").mapInArrow(run, "bucket long, node long")
+    keyed = distinct.filter("n > 0").select("node", "sketch").mapInArrow(run, "bucket long, node long")
     several = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
     return cut(keyed.join(cut(several), "bucket"))
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that share ``least`` of their shingles; sketches only spare the comparison of what is far apart."""
-    own = distinct.select("node", "sketch", F.size("shingles").alias("n"))
-    both = pairs.join(own.toDF("a", "sa", "na"), "a").join(own.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
+    both = pairs.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "sa"):
@@ -227,14 +257,15 @@ def verified(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
             yield part.filter(pa.array(alike(sa, sb) >= least - slack)).select(["a", "b"])
 
     near = cut(both.mapInArrow(run, "a long, b long"))
-    sets = distinct.select("node", "shingles")
     exact = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = exact.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return cut(common.filter(F.col("both") >= F.lit(least) * (F.col("n") - F.col("both"))).select("a", "b"))
 
 
-def like_links(distinct: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """(a, b), a > b: links between distinct texts (node, sketch, shingles) that share ``least`` of their shingles.
+def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float = LIKENESS) -> DataFrame:
+    """(a, b), a > b: links between distinct texts (node, sketch, n) that share ``least`` of their shingles.
+
+    ``sets_of`` gives (node, shingles) of the nodes (node) that share a bucket with another; the rest are never compared.
 
     Texts whose sketches agree in a whole band are in a bucket. There they are compared with a few members, not with each
     other: the one that is in most buckets (what others are copies of) and some by hash, other ones in each bucket. Those
@@ -242,6 +273,9 @@ def like_links(distinct: DataFrame, least: float = LIKENESS) -> DataFrame:
     all; so a hot bucket of copies costs three comparisons for each, and no member is left out.
     """
     member = bands(distinct)
+    wanted = cut(member.select("node").distinct())
+    sets = sets_of(wanted)
+    sketches = cut(distinct.select("node", "sketch", "n").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS // 8 else wanted, "node", "left_semi"))
     sizes = cut(member.groupBy("bucket").agg(F.count("*").alias("size")))
     weight = cut(member.groupBy("node").agg(F.count("*").alias("weight")))
     central = cut(member.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("centre")))
@@ -256,7 +290,7 @@ def like_links(distinct: DataFrame, least: float = LIKENESS) -> DataFrame:
         pairs = ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionAll(pairs)
-        new = verified(pairs, distinct, least)
+        new = verified(pairs, sketches, sets, least)
         found = new if found is None else found.unionAll(new)
         linked = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("node", "centre")
         reached = still.join(chosen, "bucket").join(linked, ["node", "centre"]).select("bucket", "node").distinct()
@@ -277,11 +311,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = cut(features(docs, id_col, text_col, shingle))
     prints = found.select("id", "fp")
-    distinct = found.groupBy(F.col("text_id").alias("node")).agg(F.min("id").alias("rep"), F.min(F.struct("fp", "sketch", "shingles")).alias("s"))
+    distinct = found.groupBy(F.col("text_id").alias("node")).agg(F.min("id").alias("rep"), F.min(F.struct("fp", "sketch", "n")).alias("s"))
     distinct = cut(distinct.select("node", "rep", "s.*"))
     nodes = cut(distinct.groupBy("fp").agg(F.min("rep").alias("rep")))
     of = distinct.select("node", "fp")
-    alike_texts = like_links(distinct.select("node", "sketch", "shingles"), least)
+    alike_texts = like_links(distinct.select("node", "sketch", "n"), lambda wanted: shingle_sets(docs, text_col, wanted), least)
     between = alike_texts.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").filter("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     heads = _heads(nodes, links(nodes).unionByName(between))
     chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n")))

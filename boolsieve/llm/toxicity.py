@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -124,16 +124,16 @@ def marginals(emission: np.ndarray, first: np.ndarray, model: Model, width: int
     return found.T.ravel()[:n]
 
 
-def _sides(tokens: list[bytes], at: int) -> tuple[tuple[bytes, ...], tuple[bytes, ...]]:
-    """The two words before a place, and the two after it."""
-    return tuple(tokens[max(0, at - 2) : at]), tuple(tokens[at + 1 : at + 3])
+def _sides(tokens: list[bytes], at: int) -> tuple[int, int]:
+    """Hashes of the two words before a place, and of the two after it."""
+    return hash(tuple(tokens[max(0, at - 2) : at])), hash(tuple(tokens[at + 1 : at + 3]))
 
 
 def places(contexts: set[tuple]) -> int:
     """How many places contexts (before, after) come from: those that share a side are one, as copies with an edit do."""
-    root: dict[tuple, tuple] = {}
+    root: dict[tuple[int, int], tuple[int, int]] = {}
 
-    def find(x: tuple) -> tuple:
+    def find(x: tuple[int, int]) -> tuple[int, int]:
         while root.setdefault(x, x) != x:
             root[x] = x = root[root[x]]
         return x
@@ -148,16 +148,14 @@ def toxic_words(texts: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
 
     A text counts a word once, by what stands on either side of it there, so copies of a text count as one, edited or not.
     """
-    contexts: dict[bytes, set] = defaultdict(set)
-    totals = [0, 0]
+    standing = Counter(word for tokens, bad in zip(texts, toxic) if bad for word in set(tokens))
+    contexts: dict[bytes, set] = {w: set() for w, n in standing.items() if n >= MIN_CONTEXTS}
+    totals = [0, sum(standing.values())]
     for tokens in (t for t, bad in zip(texts, toxic) if bad):
-        seen: set[bytes] = set()
-        for at, word in enumerate(tokens):
-            if word not in seen:
-                seen.add(word)
-                contexts[word].add(_sides(tokens, at))
-        totals[1] += len(seen)
+        for word in contexts.keys() & set(tokens):
+            contexts[word].add(_sides(tokens, tokens.index(word)))
     likely = {w: n for w, c in contexts.items() if len(c) >= MIN_CONTEXTS and (n := places(c)) >= MIN_CONTEXTS}
+    contexts.clear()
     there: dict[bytes, set] = {w: set() for w in likely}
     for tokens in (t for t, bad in zip(texts, toxic) if not bad):
         seen = set(tokens)
@@ -167,7 +165,7 @@ def toxic_words(texts: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
     elsewhere = {w: places(c) for w, c in there.items()}
     share = totals[1] / max(1, sum(totals))
     rated = sorted((_by_chance(n, n + elsewhere[w], share), w) for w, n in likely.items())
-    bound = max((k for k, (p, _) in enumerate(rated, 1) if p <= FALSE_SHARE * k / len(contexts)), default=0)
+    bound = max((k for k, (p, _) in enumerate(rated, 1) if p <= FALSE_SHARE * k / len(standing)), default=0)
     return {w for _, w in rated[:bound] if likely[w] * (1 - share) >= MIN_LIFT * (elsewhere[w] + 0.5) * share}
 
 

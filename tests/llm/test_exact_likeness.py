@@ -33,8 +33,8 @@ def test_texts_of_one_fingerprint_keep_their_own_links(spark):
     for k, x in enumerate(sets):
         h = np.unique(x).astype(np.uint64)
         distinct.append((k, bytearray(sh.sketch_of(h)), h.view(np.int64).tolist()))
-    df = spark.createDataFrame(distinct, "node long, sketch binary, shingles array<long>")
-    assert [tuple(r) for r in sh.like_links(df).collect()] == [(2, 1)]
+    df = spark.createDataFrame(distinct, "node long, sketch binary, shingles array<long>").selectExpr("*", "bigint(size(shingles)) n")
+    assert [tuple(r) for r in sh.like_links(df, lambda _: df.select("node", "shingles")).collect()] == [(2, 1)]
 
 
 def test_members_that_centres_miss_meet_all_others(spark):
@@ -48,8 +48,8 @@ def test_members_that_centres_miss_meet_all_others(spark):
     rows.append([40, np.unique(np.concatenate([rows[17][1][:-30], rng.integers(0, 1 << 62, 30).astype(np.uint64)]))])
     same = sh.sketch_of(base)
     made = [(k, bytearray(same[:8] + sh.sketch_of(h)[8:]), h.view(np.int64).tolist()) for k, h in rows]  # all share a band
-    df = spark.createDataFrame(made, "node long, sketch binary, shingles array<long>")
-    assert {tuple(r) for r in sh.like_links(df).collect()} == {(40, 17)}
+    df = spark.createDataFrame(made, "node long, sketch binary, shingles array<long>").selectExpr("*", "bigint(size(shingles)) n")
+    assert {tuple(r) for r in sh.like_links(df, lambda _: df.select("node", "shingles")).collect()} == {(40, 17)}
 
 
 def test_pairs_about_the_bound_are_compared_exactly(spark):
