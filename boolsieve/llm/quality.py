@@ -34,7 +34,7 @@ BROADCAST_GRAMS = 4_000_000
 #: Text for each shard of the n-grams and each block of texts, in bytes, and the fewest of either.
 SHARD_BYTES, LEAST_SHARDS = 64 << 20, 12
 #: Text that a task looks at at a time, and distinct n-grams that it holds before it hands them on.
-STEP_BYTES, HELD_GRAMS = 1 << 20, 2_000_000
+STEP_BYTES, HELD_GRAMS = 1 << 20, 400_000
 _STEP = 1000.0  # of the histogram from which quantiles are read: thousandths of a nat
 _LOW_BITS = [(1 << 8 * k) - 1 for k in range(ORDER + 1)]
 
@@ -122,21 +122,28 @@ def count_grams(texts: DataFrame, shards: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+        held, n, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for part in slices(batches, "text", STEP_BYTES):
             data, ends = raw_texts(part.column("text"))
-            numbers, kinds = grams(data, ends), np.repeat(part.column("kind").to_numpy(), np.diff(ends))
-            for kind in range(3):
-                own, counts = np.unique(numbers[kinds == kind], return_counts=True)
-                held.append(own)
-                n.append(np.outer(counts, np.arange(3) == kind).astype(np.int64))
-            if sum(map(len, held)) > HELD_GRAMS:
+            keys = grams(data, ends) << 2
+            keys |= np.repeat(part.column("kind").to_numpy(), np.diff(ends))
+            own, counts = np.unique(keys, return_counts=True)
+            held.append(own)
+            n.append(counts)
+            size += len(own)
+            if size > 2 * HELD_GRAMS:
                 one, sums = merged(held, n)
-                held, n = [one], [sums]
-                if len(one) > HELD_GRAMS // 2:
-                    yield dealt(one, sums)
-                    held, n = [one[:0]], [sums[:0]]
-        yield dealt(*merged(held, n))
+                held, n, size = [one], [sums], len(one)
+                if size > HELD_GRAMS:
+                    yield dealt(*by_kind(one, sums))
+                    held, n, size = [one[:0]], [sums[:0]], 0
+        yield dealt(*by_kind(*merged(held, n)))
+
+    def by_kind(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers, at = np.unique(keys >> 2, return_inverse=True)
+        out = np.zeros((len(numbers), 3), np.int64)
+        out[at, keys & 3] = n
+        return numbers, out
 
     def dealt(numbers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         to = shard_of(numbers, shards)
@@ -322,15 +329,17 @@ Scored = Callable[[DataFrame, str, str], DataFrame]
 
 
 def _by_broadcast(values: DataFrame, text_col: str, kind_col: str) -> Scored:
-    shared = Shared(values.sparkSession, _scores(values.toArrow().to_pydict()))
+    known = _scores(values.toArrow().to_pydict())
+    table = values.sparkSession.sparkContext.broadcast((known.numbers, known.values))
 
     def scored(of: DataFrame, size: str, nll: str) -> DataFrame:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in of.schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Scores(*table.value)
             for part in slices(batches, text_col, STEP_BYTES):
                 column = part.column(text_col)
-                sizes, sums = shared.value.sums(column.fill_null("") if column.null_count else column, part.column(kind_col).to_numpy())
+                sizes, sums = own.sums(column.fill_null("") if column.null_count else column, part.column(kind_col).to_numpy())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes.astype(np.int64)), pa.array(sums)], [*part.schema.names, size, nll])
 
         return of.mapInArrow(run, f"{fields}, {size} long, {nll} double")

@@ -184,12 +184,14 @@ def _by_chance(n: int, of: int, share: float) -> float:
 
 def fit(rows: list[tuple[bytes, bool]], shares: tuple[float, float]) -> Model:
     """The field and the document's regression. ``shares``: how many labelled rows stand for each row of either class."""
-    texts, toxic = [words(t) for t, _ in rows], [b for _, b in rows]
+    one: dict[bytes, bytes] = {}  # a word that stands often is one object
+    texts, toxic = [[one.setdefault(w, w) for w in words(t)] for t, _ in rows], [b for _, b in rows]
     model = Model()
     bad, forms = set(), set()
     if any(toxic) and not all(toxic):
         bad = toxic_words(texts, toxic)
-        forms = {w for w in toxic_words([[w[: STEMS[1]] for w in t] for t in texts], toxic) if len(w) == STEMS[1]}
+        short = {w: w[: STEMS[1]] for w in one}
+        forms = {w for w in toxic_words([[short[w] for w in t] for t in texts], toxic) if len(w) == STEMS[1]}
     stems = {w[: STEMS[0]] for w in bad | forms}
     windows: list[tuple[list[bytes], list[int], bool]] = []
     for i, (tokens, is_toxic) in enumerate(zip(texts, toxic)):
@@ -297,8 +299,8 @@ def _regress(model: Model, texts: list[list[bytes]], toxic: list[bool], shares:
     if not len(y) or y.min() == y.max():
         model.document = np.array([3.0 if len(y) and y.min() else -3.0, 0.0, 0.0])
         return
-    p, ends = _tag(texts, Emissions(model), model)
-    x = _design(*aggregate(p, ends))
+    emissions = Emissions(model)
+    x = np.concatenate([_design(*aggregate(*_tag(texts[k : k + 256], emissions, model))) for k in range(0, len(texts), 256)])
     weight = np.where(y == 1, shares[1], shares[0])
     weight = weight / weight.mean()
     b = np.zeros(3)
