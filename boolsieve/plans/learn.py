@@ -13,6 +13,7 @@ from boolsieve.operators import coverage, vocabulary
 from boolsieve.operators.splits import class_weight
 from boolsieve.plans import rules as rule_plans
 from boolsieve.plans import trees as tree_plans
+from boolsieve.plans.shards import build
 from boolsieve.plans.trees import Forest, Params
 from boolsieve.session import cut
 
@@ -48,7 +49,6 @@ class Learned:
     size: dict
     cost: float
     objective: float
-    names: list[str] = field(default_factory=list)
 
 
 def weighted(labels: DataFrame, alpha: float | str | None) -> DataFrame:
@@ -59,67 +59,39 @@ def weighted(labels: DataFrame, alpha: float | str | None) -> DataFrame:
     return rows.withColumn("w", F.when(F.col("y") == 1, F.lit(int(w[1] * 100))).otherwise(F.lit(int(w[0] * 100))))
 
 
-def learn(post: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Learned:
+def learn(post: DataFrame, labels: DataFrame, settings: Settings = Settings(), driver_postings: int | None = None) -> Learned:
     """The query for labels (doc_id, y) or weighted ones (doc_id, y, w), from postings (doc_id, term).
 
-    Only labelled documents count. Postings that fit are broadcast as a matrix to a forest; more grow one tree level by
-    level. Raises ValueError if there is one class only, or nothing splits it.
+    Only labelled documents count. Their rows are dealt to shards, and the forest, thresholds, pruning and selection are sums
+    over the shards, in the driver for few postings and in tasks for more: the rules are the same. Raises ValueError if
+    there is one class only, or nothing splits it.
     """
-    spark = post.sparkSession
     docs = cut(labels.select("doc_id", "y", "w") if "w" in labels.columns else weighted(labels, settings.params.class_weight))
-    own = post.join(docs.select("doc_id"), "doc_id", "left_semi")
+    own = cut(post.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "term"))
     vocab = cut(vocabulary.vocabulary(own, docs.count(), settings.min_df, settings.max_df))
-    got = tree_plans.collect_matrix(vocabulary.restrict(own, vocab), docs)
-    if got is None:
-        return _by_levels(vocabulary.restrict(own, vocab).join(vocab.select("term_id", "term"), "term_id").select("doc_id", "term"), docs, settings)
-    matrix, table = got
-    names = [r["term"] for r in vocab.orderBy("term_id").select("term").collect()]
-    y, w = table["y"].to_numpy(), table["w"].to_numpy()
-    trees = tree_plans.collect_trees(tree_plans.fit_forest(spark, matrix, y, w, settings.params, settings.forest))
+    shards = build(vocabulary.restrict(own, vocab), docs, vocab.count(), driver_postings=driver_postings)
+    trees = tree_plans.fit_forest(shards, settings.params, settings.forest)
     if not trees:
         raise ValueError("nothing splits the classes")
-    limits = {k: tree_plans.best_threshold(t, matrix, y, settings.goal)[0] for k, t in trees.items()}
+    limits = {k: tree_plans.threshold_of(leaves, settings.goal)[0] for k, leaves in tree_plans.leaf_counts(shards, trees).items()}
     trees = {k: t for k, t in trees.items() if limits[k] is not None}
     found = rule_plans.forest_rules(trees, limits)
     kept = rule_plans.prune_rare(found, max(1, len(trees)), settings.min_tree_occ, settings.min_rule_occ) or found
-    scores = rule_plans.Scores(matrix, y, settings.pruning_beta)
+    scores = rule_plans.Scores(shards, settings.pruning_beta)
     pool = rule_plans.pool(kept, scores, settings.min_precision)
     if not pool.rules:
         raise ValueError("no rule is precise enough")
     if len(pool.rules) == 1:
         chosen, value = [0], float("nan")
     elif settings.genetic:
-        chosen, value = rule_plans.select_genetic(pool, y, settings.cover_beta, settings.cost_factor, settings.max_rules)
+        chosen, value = rule_plans.select_genetic(shards, pool, settings.cover_beta, settings.cost_factor, settings.max_rules)
     else:
-        chosen, value = rule_plans.select_local(pool, y, settings.cover_beta, settings.cost_factor, max_rules=settings.max_rules)
-    by_name = [rule([([names[f] for f in feats], pos) for feats, pos in pool.rules[i]]) for i in chosen]
-    return _finish(sorted(by_name), value, settings, names)
-
-
-def _finish(rules: list[Rule], value: float, s: Settings, names: list[str]) -> Learned:
-    query, size = render(rules, None, s.expansions, s.tiab, s.mh_noexp)
-    return Learned(query, rules, size, cost(size), value, names)
-
-
-def _by_levels(post: DataFrame, docs: DataFrame, s: Settings) -> Learned:
-    nodes = {r["node"]: r for r in tree_plans.grow_levels(cut(post), docs, s.params)}
-    if not nodes or not nodes[0]["features"]:
-        raise ValueError("nothing splits the classes")
-    rules: set[Rule] = set()
-
-    def go(k: int, so_far: tuple) -> None:
-        r = nodes[k]
-        if r["features"]:
-            go(r["left"], (*so_far, (r["features"], True)))
-            go(r["right"], (*so_far, (r["features"], False)))
-        elif r["p1"] >= 0.5:
-            rules.add(rule(so_far))
-
-    go(0, ())
-    kept = sorted(r for r in rules if any(p for _, p in r))
-    if not kept:
-        raise ValueError("no leaf is positive")
-    return _finish(kept, float("nan"), s, [])
+        chosen, value = rule_plans.select_local(shards, pool, settings.cover_beta, settings.cost_factor, max_rules=settings.max_rules)
+    used = sorted({f for i in chosen for feats, _ in pool.rules[i] for f in feats})
+    name = {r["term_id"]: r["term"] for r in vocab.filter(F.col("term_id").isin(used)).collect()}
+    rules = sorted(rule([([name[f] for f in feats], pos) for feats, pos in pool.rules[i]]) for i in chosen)
+    query, size = render(rules, None, settings.expansions, settings.tiab, settings.mh_noexp)
+    return Learned(query, rules, size, cost(size), value)
 
 
 def evaluate(query: str, docs: DataFrame, tokens: Column, y: Column) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
 from boolsieve.functions.rules import Rule, has_positive, rule, rule_cost
 from boolsieve.functions.safe import f_beta_of, ratio_of
-from boolsieve.plans.trees import Matrix, Node, paths
+from boolsieve.plans.shards import Part, Shards
+from boolsieve.plans.trees import Node, paths
 
 
 @dataclass(frozen=True)
@@ -60,33 +61,37 @@ def prune_rare(rules: dict[Rule, set[int]], n_trees: int, min_trees: float = 0.0
     return out
 
 
-@dataclass
+def cover(part: Part, r: Rule) -> np.ndarray:
+    """The rows of a shard that a rule fits."""
+    out = np.ones(len(part.y), bool)
+    for feats, pos in r:
+        hit = part.x.any_of(feats)
+        out &= hit if pos else ~hit
+    return out
+
+
 class Scores:
-    """Coverage and measures of rules on one matrix, each computed once."""
+    """Measures of rules, each counted once; what is asked for together takes one pass over the shards."""
 
-    x: Matrix
-    y: np.ndarray
-    beta: float
-    masks: dict[tuple, np.ndarray] = field(default_factory=dict)
-    known: dict[Rule, dict] = field(default_factory=dict)
+    def __init__(self, shards: Shards, beta: float) -> None:
+        self.shards, self.beta, self.known = shards, beta, {}
+        self.positives = int(shards.total(lambda part: [((0,), np.array([part.y.sum()]))])[0,][0])
 
-    def literal(self, feats: tuple) -> np.ndarray:
-        if feats not in self.masks:
-            self.masks[feats] = self.x.any_of(feats)
-        return self.masks[feats]
+    def ask(self, rules: Iterable[Rule]) -> None:
+        new = sorted(set(rules) - self.known.keys())
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
 
-    def cover(self, r: Rule) -> np.ndarray:
-        out = np.ones(self.x.n_rows, bool)
-        for feats, pos in r:
-            out &= self.literal(feats) if pos else ~self.literal(feats)
-        return out
+            def counted(part: Part, some: list[Rule] = some) -> list[tuple[tuple, np.ndarray]]:
+                hits = (cover(part, r) for r in some)
+                return [((0,), np.array([[h.sum(), part.y[h].sum()] for h in hits], np.int64))]
+
+            for r, (n, tp) in zip(some, self.shards.total(counted)[0,].tolist()):
+                p, rec = ratio_of(tp, n), ratio_of(tp, self.positives)
+                self.known[r] = {"tp": tp, "returned": n, "precision": p, "recall": rec, "f": f_beta_of(p, rec, self.beta)}
 
     def of(self, r: Rule) -> dict:
-        if r not in self.known:
-            hit = self.cover(r)
-            tp, n, pos = int((hit & (self.y == 1)).sum()), int(hit.sum()), int(self.y.sum())
-            p, rec = ratio_of(tp, n), ratio_of(tp, pos)
-            self.known[r] = {"tp": tp, "returned": n, "precision": p, "recall": rec, "f": f_beta_of(p, rec, self.beta)}
+        self.ask([r])
         return self.known[r]
 
 
@@ -117,43 +122,51 @@ def choose(options: list[dict], limits: dict = PRUNING) -> tuple[int | None, boo
     return best, replaces
 
 
-def prune(r: Rule, scores: Scores, tails: dict[Rule, tuple[Rule, ...]] | None = None, limits: dict = PRUNING) -> list[Rule]:
-    """The rules on the way from ``r`` to its shortest acceptable form; those that a step replaces are left out.
+def prune_all(rules: Iterable[Rule], scores: Scores, limits: dict = PRUNING) -> dict[Rule, list[Rule]]:
+    """For each rule those on the way to its shortest acceptable form; those that a step replaces are left out.
 
-    ``tails`` remembers how a rule went on, so that a way that meets an earlier one takes its rest. Empty if nothing relevant
-    is covered.
+    All rules go a step at a time together; ways that meet go on as one. Empty if nothing relevant is covered.
     """
-    now = scores.of(r)
-    if not now["tp"]:
-        return []
-    history = [r]
-    tails = {} if tails is None else tails
-    while True:
-        if r in tails and len(r) > 1:
-            return history + list(tails[r])
-        options = []
-        for kind, negated, v in variations(r):
-            new = scores.of(v)
-            options.append(new | {"kind": kind, "negated": negated, "rule": v, "tp_gain": new["tp"] / now["tp"] - 1, "precision_gain": new["precision"] / now["precision"] - 1})
-        best, replaces = choose(options, limits)
-        if best is None:
-            break
-        r = options[best]["rule"]
-        now = scores.of(r)
-        if replaces:
-            history.pop()
-        history.append(r)
-    for i, h in enumerate(history):
-        tails.setdefault(h, tuple(history[i + 1 :]))
-    return history
+    rules = list(rules)
+    scores.ask(rules)
+    steps: dict[Rule, tuple[Rule, bool] | None] = {}  # where a rule goes, and whether that takes its place
+    now = {r for r in rules if scores.of(r)["tp"]}
+    while now:
+        scores.ask(v for r in now for _, _, v in variations(r))
+        ahead = set()
+        for r in now:
+            own, options = scores.of(r), []
+            for kind, negated, v in variations(r):
+                new = scores.of(v)
+                options.append(new | {"kind": kind, "negated": negated, "rule": v, "tp_gain": new["tp"] / own["tp"] - 1, "precision_gain": new["precision"] / own["precision"] - 1})
+            best, replaces = choose(options, limits)
+            steps[r] = None if best is None else (options[best]["rule"], replaces)
+            if best is not None and options[best]["tp"]:
+                ahead.add(options[best]["rule"])
+        now = ahead - steps.keys()
+    out = {}
+    for r in rules:
+        history = [r] if scores.of(r)["tp"] else []
+        at = r
+        while history and (step := steps.get(at)) is not None:
+            at, replaces = step
+            if replaces:
+                history.pop()
+            history.append(at)
+        out[r] = history
+    return out
+
+
+def prune(r: Rule, scores: Scores, limits: dict = PRUNING) -> list[Rule]:
+    """``prune_all`` of one rule."""
+    return prune_all([r], scores, limits)[r]
 
 
 @dataclass
 class Pool:
-    """The rules to select from, with their coverage (rules x rows), costs, and a start for each tree."""
+    """The rules to select from, their costs, and a start for each tree."""
 
     rules: list[Rule]
-    cover: np.ndarray
     costs: np.ndarray
     starts: list[list[int]]
 
@@ -162,18 +175,21 @@ def pool(rules: dict[Rule, set[int]], scores: Scores, min_precision: float = 0.0
     """All rules of all prunings that are precise enough; a tree's start is what its rules came to first."""
     found: dict[Rule, int] = {}
     starts: dict[int, list[int]] = {}
-    tails: dict[Rule, tuple[Rule, ...]] = {}
+    pruned = prune_all(sorted(rules), scores)
     for r, trees in sorted(rules.items()):
-        kept = [h for h in prune(r, scores, tails) if scores.of(h)["precision"] >= min_precision]
+        kept = [h for h in pruned[r] if scores.of(h)["precision"] >= min_precision]
         for h in kept:
             found.setdefault(h, len(found))
         for k in trees if kept else ():
             own = starts.setdefault(k, [])
             if found[kept[0]] not in own:
                 own.append(found[kept[0]])
-    listed = list(found)
-    cover = np.array([scores.cover(r) for r in listed]) if listed else np.zeros((0, len(scores.y)), bool)
-    return Pool(listed, cover, np.array([rule_cost(r) for r in listed]), [starts[k] for k in sorted(starts)])
+    return Pool(list(found), np.array([rule_cost(r) for r in found]), [starts[k] for k in sorted(starts)])
+
+
+def covers(part: Part, rules: list[Rule]) -> np.ndarray:
+    """Rules x rows of a shard."""
+    return np.array([cover(part, r) for r in rules]) if rules else np.zeros((0, len(part.y)), bool)
 
 
 def objective(tp: np.ndarray, fp: np.ndarray, positives: int, cost: np.ndarray, beta: float, factor: float) -> np.ndarray:
@@ -187,83 +203,122 @@ def objective(tp: np.ndarray, fp: np.ndarray, positives: int, cost: np.ndarray,
     return f - factor * np.asarray(cost, float)
 
 
-def select_local(pool_: Pool, y: np.ndarray, beta: float = 2.0, factor: float = 0.002, starts: Iterable[Iterable[int]] | None = None, max_rules: int = 10, max_rounds: int = 100) -> tuple[list[int], float]:
+def move_sums(part: Part, rules: list[Rule], chosen: list[list[int]]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """What all adds, removals and swaps of one rule would change in each set, of class 1 and of class 0.
+
+    The first row of a set's array has what the set covers, then what no rule of it covers of each rule, and then for each
+    of its rules what that rule alone covers and, of each rule, what both cover of that.
+    """
+    hit = covers(part, rules)
+    n = len(rules)
+    for at, inside in enumerate(chosen):
+        count = hit[inside].sum(axis=0) if inside else np.zeros(len(part.y), np.int64)
+        out = np.zeros((1 + len(inside), 2, n + 1), np.int64)
+        for c in (0, 1):
+            own = part.y == 1 - c
+            out[0, c, n] = ((count > 0) & own).sum()
+            out[0, c, :n] = hit[:, (count == 0) & own].sum(axis=1)
+            for k, b in enumerate(inside, 1):
+                alone = hit[b] & (count == 1) & own
+                out[k, c, n] = alone.sum()
+                out[k, c, :n] = hit[:, alone].sum(axis=1)
+        yield (at,), out
+
+
+def select_local(shards: Shards, pool_: Pool, beta: float = 2.0, factor: float = 0.002, starts: Iterable[Iterable[int]] | None = None, max_rules: int = 10, max_rounds: int = 100) -> tuple[list[int], float]:
     """The best set that adding, removing and swapping one rule at a time comes to from any start, and its objective.
 
-    All moves of a round are rated at once from how often each row is covered. A start that meets a set that was gone
-    through before ends there. Ties go to the first move: adds, removals, swaps, each by number.
+    All starts go together; a round rates all moves of all of them in one pass over the shards. A set that was met before
+    goes on as it did then. Ties go to the first start and move: adds, removals, swaps, each by number.
     """
-    cover = pool_.cover.astype(np.float32)
-    pos = (y == 1).astype(np.float32)
-    positives = int(pos.sum())
+    rules, n = pool_.rules, len(pool_.rules)
+    positives = int(shards.total(lambda part: [((0,), np.array([part.y.sum()]))])[0,][0])
+    ahead: dict[tuple[int, ...], tuple[int, ...] | None] = {}  # where a set goes
+    rated: dict[tuple[int, ...], float] = {}
+    begun = [tuple(sorted(set(s))) for s in (starts if starts is not None else (pool_.starts or [[]]))]
+    now = sorted(set(begun))
+    for _ in range(max_rounds + 1):
+        if not now:
+            break
+        asked = [list(s) for s in now]
+        sums = shards.total(lambda part: move_sums(part, rules, asked))
+        new = set()
+        for at, inside in enumerate(now):
+            best, rated[inside] = _best_move(sums[at,].astype(float), inside, pool_.costs, positives, beta, factor, max_rules, n)
+            ahead[inside] = best
+            if best is not None:
+                new.add(best)
+        now = sorted(new - rated.keys())
     best, best_score = [], float("-inf")
-    seen: set[frozenset[int]] = set()
-    n = len(pool_.rules)
-    for start in starts if starts is not None else (pool_.starts or [[]]):
-        chosen = set(start)
-        for _ in range(max_rounds + 1):
-            count = pool_.cover[sorted(chosen)].sum(axis=0) if chosen else np.zeros(len(y))
-            tp, fp = float(pos[count > 0].sum()), float((1 - pos)[count > 0].sum())
-            cost = float(pool_.costs[sorted(chosen)].sum())
-            score = float(objective(tp, fp, positives, cost, beta, factor))
-            key = frozenset(chosen)
-            if score > best_score:
-                best, best_score = sorted(chosen), score
-            if key in seen:
-                break
-            seen.add(key)
-            free, single = (count == 0).astype(np.float32), (count == 1).astype(np.float32)
-            gain_p, gain_n = cover @ (free * pos), cover @ (free * (1 - pos))
-            outside = np.array([r for r in range(n) if r not in chosen], np.int64)
-            inside = sorted(chosen)
-            moves: list[tuple[np.ndarray, list[tuple[int | None, int | None]]]] = []
-            if len(chosen) < max_rules and len(outside):
-                moves.append((objective(tp + gain_p[outside], fp + gain_n[outside], positives, cost + pool_.costs[outside], beta, factor), [(int(a), None) for a in outside]))
-            lost = {b: (float((cover[b] * single * pos).sum()), float((cover[b] * single * (1 - pos)).sum())) for b in inside}
-            if len(chosen) > 1:
-                lp, ln = np.array([lost[b][0] for b in inside]), np.array([lost[b][1] for b in inside])
-                moves.append((objective(tp - lp, fp - ln, positives, cost - pool_.costs[inside], beta, factor), [(None, b) for b in inside]))
-            for b in inside if len(outside) else ():
-                own = cover[b] * single
-                kept_p, kept_n = cover[outside] @ (own * pos), cover[outside] @ (own * (1 - pos))
-                new_tp, new_fp = tp + gain_p[outside] - lost[b][0] + kept_p, fp + gain_n[outside] - lost[b][1] + kept_n
-                moves.append((objective(new_tp, new_fp, positives, cost + pool_.costs[outside] - pool_.costs[b], beta, factor), [(int(a), b) for a in outside]))
-            if not moves:
-                break
-            rated = np.concatenate([m[0] for m in moves])
-            at = int(np.argmax(rated))
-            if not rated[at] > score + 1e-12:
-                break
-            add, drop = [m for _, names in moves for m in names][at]
-            chosen -= {drop}
-            chosen |= {add} - {None}
+    for start in begun:
+        at: tuple[int, ...] | None = start
+        while at is not None and at in rated:
+            if rated[at] > best_score:
+                best, best_score = list(at), rated[at]
+            at = ahead[at]
     return best, best_score
 
 
-def select_genetic(pool_: Pool, y: np.ndarray, beta: float = 2.0, factor: float = 0.002, max_rules: int = 10, size: int = 100, rounds: int = 50, seed: int = 1) -> tuple[list[int], float]:
-    """Selection by a genetic algorithm: uniform crossover, bit flips, tournaments of three; the best set ever met."""
+def _best_move(sums: np.ndarray, inside: tuple[int, ...], costs: np.ndarray, positives: int, beta: float, factor: float, max_rules: int, n: int) -> tuple[tuple[int, ...] | None, float]:
+    """The set after the best move, if it is better, and the set's own objective."""
+    (tp, fp), gain = sums[0, :, n], sums[0, :, :n]
+    cost = float(costs[list(inside)].sum())
+    score = float(objective(tp, fp, positives, cost, beta, factor))
+    outside = np.array([r for r in range(n) if r not in inside], np.int64)
+    moves: list[tuple[np.ndarray, list[tuple[int | None, int | None]]]] = []
+    if len(inside) < max_rules and len(outside):
+        moves.append((objective(tp + gain[0, outside], fp + gain[1, outside], positives, cost + costs[outside], beta, factor), [(int(a), None) for a in outside]))
+    lost = sums[1:, :, n]
+    if len(inside) > 1:
+        moves.append((objective(tp - lost[:, 0], fp - lost[:, 1], positives, cost - costs[list(inside)], beta, factor), [(None, b) for b in inside]))
+    for k, b in enumerate(inside) if len(outside) else ():
+        kept = sums[1 + k, :, :n][:, outside]
+        new_tp, new_fp = tp + gain[0, outside] - lost[k, 0] + kept[0], fp + gain[1, outside] - lost[k, 1] + kept[1]
+        moves.append((objective(new_tp, new_fp, positives, cost + costs[outside] - costs[b], beta, factor), [(int(a), b) for a in outside]))
+    if not moves:
+        return None, score
+    values = np.concatenate([m[0] for m in moves])
+    at = int(np.argmax(values))
+    if not values[at] > score + 1e-12:
+        return None, score
+    add, drop = [m for _, names in moves for m in names][at]
+    return tuple(sorted((set(inside) - {drop}) | ({add} - {None}))), score
+
+
+#: The share of bits that a generation flips.
+FLIP_RATE = 0.05  # fixed value
+
+
+def select_genetic(shards: Shards, pool_: Pool, beta: float = 2.0, factor: float = 0.002, max_rules: int = 10, size: int = 100, rounds: int = 50, seed: int = 1) -> tuple[list[int], float]:
+    """Selection by a genetic algorithm: uniform crossover, bit flips, tournaments of three; the best set ever met.
+
+    A generation is rated in one pass over the shards.
+    """
     rng = np.random.default_rng(seed)
-    n = len(pool_.rules)
+    rules, n = pool_.rules, len(pool_.rules)
     if not n:
         return [], float("-inf")
-    cover, pos = pool_.cover.astype(np.float32), (y == 1)
+    positives = int(shards.total(lambda part: [((0,), np.array([part.y.sum()]))])[0,][0])
     people = rng.random((size, n)) < min(0.5, max_rules / (2 * n))
     for i, s in enumerate(pool_.starts[: size // 2]):
         people[i] = False
         people[i, s] = True
 
     def rate(p: np.ndarray) -> np.ndarray:
-        hit = p.astype(np.float32) @ cover > 0
-        score = objective(hit[:, pos].sum(axis=1), hit[:, ~pos].sum(axis=1), int(pos.sum()), p @ pool_.costs, beta, factor)
+        def counted(part: Part) -> list[tuple[tuple, np.ndarray]]:
+            hit = p.astype(np.float32) @ covers(part, rules).astype(np.float32) > 0
+            return [((0,), np.stack([hit[:, part.y == 1].sum(axis=1), hit[:, part.y != 1].sum(axis=1)]))]
+
+        tp, fp = shards.total(counted)[0,]
         k = p.sum(axis=1)
-        return np.where((k == 0) | (k > max_rules), -np.inf, score)
+        return np.where((k == 0) | (k > max_rules), -np.inf, objective(tp, fp, positives, p @ pool_.costs, beta, factor))
 
     score = rate(people)
     best, best_score = people[int(np.argmax(score))].copy(), float(score.max())
     for _ in range(rounds):
         picks = rng.integers(0, size, (2, size, 3))
         parents = [people[p[np.arange(size), np.argmax(score[p], axis=1)]] for p in picks]
-        people = np.where(rng.random((size, n)) < 0.5, *parents) ^ (rng.random((size, n)) < 0.05 / max(1, n / 20))
+        people = np.where(rng.random((size, n)) < 0.5, *parents) ^ (rng.random((size, n)) < FLIP_RATE)
         score = rate(people)
         if score.max() > best_score:
             best, best_score = people[int(np.argmax(score))].copy(), float(score.max())

@@ -1,7 +1,8 @@
 """OR-decision trees and forests over binary postings.
 
-A node asks whether a document has any of a set of terms. Trees grow in NumPy on a broadcast matrix, many at a time as
-grouped maps; ``grow_levels`` grows one tree on postings that no machine holds.
+A node asks whether a document has any of a set of terms. All nodes of a level of all trees grow side by side; each step
+is a sum over the shards of the rows, and what reaches the driver is a bounded number of candidates for each node.
+``grow_levels`` grows one tree by SQL alone.
 """
 
 from __future__ import annotations
@@ -13,18 +14,14 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boolsieve.functions.rules import Rule, has_positive, rule
 from boolsieve.functions.safe import f_beta_of, ratio_of
 from boolsieve.operators import splits
-from boolsieve.session import Shared, cut
-
-#: Postings up to which a matrix is collected and broadcast: four bytes each.
-MATRIX_POSTINGS = 50_000_000
-
+from boolsieve.plans.shards import Matrix, Part, Shards
+from boolsieve.session import cut
 
 @dataclass(frozen=True)
 class Params:
@@ -46,47 +43,6 @@ class Params:
         return self.min_drop_start + (self.min_drop_end - self.min_drop_start) * (1 - n / n_root)
 
 
-@dataclass
-class Matrix:
-    """A binary matrix by columns: the rows of term t are ``rows[starts[t]:starts[t + 1]]``, in order."""
-
-    starts: np.ndarray
-    rows: np.ndarray
-    n_rows: int
-
-    @classmethod
-    def of(cls, term: np.ndarray, row: np.ndarray, n_terms: int, n_rows: int) -> Matrix:
-        order = np.lexsort((row, term))
-        starts = np.zeros(n_terms + 1, np.int64)
-        np.cumsum(np.bincount(term, minlength=n_terms), out=starts[1:])
-        return cls(starts, row[order].astype(np.int32), n_rows)
-
-    @property
-    def n_terms(self) -> int:
-        return len(self.starts) - 1
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """The sum of some row values over every column."""
-        upto = np.concatenate([[0], np.cumsum(values[self.rows])])
-        return upto[self.starts[1:]] - upto[self.starts[:-1]]
-
-    def column(self, t: int) -> np.ndarray:
-        return self.rows[self.starts[t] : self.starts[t + 1]]
-
-    def any_of(self, terms: list[int] | tuple[int, ...]) -> np.ndarray:
-        out = np.zeros(self.n_rows, bool)
-        for t in terms:
-            out[self.column(t)] = True
-        return out
-
-    def only(self, terms: np.ndarray) -> Matrix:
-        """The columns of some terms."""
-        sizes = self.starts[terms + 1] - self.starts[terms]
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(starts[-1]) - np.repeat(starts[:-1] - self.starts[terms], sizes)
-        return Matrix(starts, self.rows[at], self.n_rows)
-
-
 @dataclass
 class Node:
     """A leaf has no features."""
@@ -133,77 +89,227 @@ def biased_random(low: float, high: float, exponent: float, rng: np.random.Gener
     return low + (high - low) * rng.random() ** exponent
 
 
-def _expand(x: Matrix, here: np.ndarray, wy: np.ndarray, w: np.ndarray, first: int, candidates: np.ndarray, start: float, need: float, root: float, p: Params) -> list[int]:
-    """Adds the candidate of the largest drop while it is large enough.
+@dataclass(frozen=True)
+class Plan:
+    """What a tree learns: its number, how it grows, the mean of its rows' Poisson weights (None: each row once), and its target."""
+
+    tree_id: int
+    params: Params
+    seed: int = 0
+    mean: float | None = None
+    target: int | None = None
+
+
+def row_weights(part: Part, plan: Plan) -> np.ndarray:
+    """The rows' weights in a tree: times a Poisson number made of seed, tree and row, which is what drawing rows comes to."""
+    if plan.mean is None:
+        return part.w
+    with np.errstate(over="ignore"):
+        h = part.key.astype(np.uint64) ^ (np.uint64(plan.seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(plan.tree_id) * np.uint64(0xD1B54A32D192ED03))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    terms = [math.exp(-plan.mean)]
+    while len(terms) < plan.mean + 12 * math.sqrt(plan.mean) + 20:
+        terms.append(terms[-1] * plan.mean / len(terms))
+    return part.w * np.searchsorted(np.cumsum(terms), u, side="right")
+
+
+def place(part: Part, w: np.ndarray, features: dict[int, list[int]]) -> np.ndarray:
+    """The node of every row with weight, -1 for others. The children of node k are 2k + 1, which has a term, and 2k + 2."""
+    at = np.where(w > 0, 0, -1)
+    for k in sorted(features):
+        hit = part.x.any_of(features[k])
+        at[(at == k) & hit] = 2 * k + 1
+        at[(at == k) & ~hit] = 2 * k + 2
+    return at
+
+
+def _four(x: Matrix, here: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows, rows of class 1, weight and weight of class 1 of every column, of the rows that are ``here``."""
+    on = here[x.rows]
+    term, row = x.term[on], x.rows[on]
+    ids = np.flatnonzero(np.bincount(term, minlength=x.n_terms))
+    sums = [np.bincount(term, v, x.n_terms)[ids] for v in (None, y[row], w[row], (w * y)[row])]
+    return np.stack([ids, *[np.rint(s).astype(np.int64) for s in sums]])
+
 
-    The totals of a union are those of what is covered and of what a candidate adds to it, so each step sums each
-    candidate's uncovered rows once.
+@dataclass
+class _Open:
+    """A node that may split: its totals (rows, rows of class 1, weight, weight of class 1), and the terms above it."""
+
+    plan: Plan
+    at: int
+    totals: np.ndarray
+    above: frozenset[int]
+    valid: int
+    chosen: list[int] = field(default_factory=list)
+    covered: np.ndarray | None = None
+    best: float = 1.0
+    candidates: np.ndarray | None = None
+
+
+def _rate(four: np.ndarray, o: _Open, root: float) -> tuple[np.ndarray, np.ndarray]:
+    """The impurity of splits that take these sums to the left, and which are valid."""
+    n, _, w, w1 = (float(t) for t in o.totals)
+    return impurity(four[2].astype(float), four[3].astype(float), w, w1), _valid(four[0], four[2], int(n), w, root, o.plan.params)
+
+
+def _looked_at(o: _Open, terms: np.ndarray) -> np.ndarray:
+    """Which terms a node looks at: each by a hash of seed, tree, node and term, as many of the valid ones as wanted on average."""
+    p = o.plan.params
+    if p.max_features is None and not p.feature_exponent:
+        return np.ones(len(terms), bool)
+    rng = np.random.default_rng([o.plan.seed, o.plan.tree_id, o.at])
+    share = subset_size(o.valid, p.max_features, p.feature_exponent, rng) / max(1, o.valid)
+    with np.errstate(over="ignore"):
+        h = (terms.astype(np.uint64) + np.uint64(rng.integers(1 << 62))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(11)) / float(1 << 53) < share
+
+
+def _candidates(four: np.ndarray, o: _Open, root: float) -> dict[str, Any]:
+    """Of a block of terms: the best split that the node looks at, the ``top_candidates`` of the highest gain, and how many are valid."""
+    p, terms = o.plan.params, four[0]
+    score, ok = _rate(four[1:], o, root)
+    ok &= ~np.isin(terms, list(o.above))
+    _, _, w, w1 = (float(t) for t in o.totals)
+    share = ratio_of(w1, w)
+    gain = 2 * share * (1 - share) - score
+    if p.prefer_positive:
+        w_l, w1_l = four[3].astype(float), four[4].astype(float)
+        gain = np.where(w1_l * (w - w_l) > (w1 - w1_l) * w_l, gain * p.prefer_positive, gain)
+    gain = np.where(ok, gain, -np.inf)
+    allowed = np.where(_looked_at(o, terms), gain, -np.inf)
+    best = None
+    if len(terms) and allowed.max() > 0:
+        k = int(np.argmax(allowed))
+        best = (-float(allowed[k]), int(terms[k]), float(score[k]), four[1:, k])
+    top = np.argsort(-gain, kind="stable")[: p.top_candidates]
+    top = top[ok[top]]
+    return {"best": best, "top": [(-float(gain[k]), int(terms[k])) for k in top], "valid": int(ok.sum())}
+
+
+def grow_forest(shards: Shards, plans: list[Plan]) -> dict[int, Node]:
+    """The trees of all plans, by number; those whose root can't be split are left out. Ties go to the term of the lower number.
+
+    A level takes one pass over the shards for the first term of every node, and one for each further term of its OR-set.
     """
-    chosen, best = [first], start
-    n, total, ones = int(here.sum()), float(w.sum()), float(wy.sum())
-    open_ = here.copy()
-    open_[x.column(first)] = False
-    sub = x.only(candidates)
-    free = np.ones(len(candidates), bool)
-    while free.any() and len(chosen) < p.max_or:
-        gone = here & ~open_
-        n_l = gone.sum() + sub.sums(open_.astype(np.int64))
-        w_l = w[gone].sum() + sub.sums(np.where(open_, w, 0.0))
-        w1_l = wy[gone].sum() + sub.sums(np.where(open_, wy, 0.0))
-        drop = np.where(_valid(n_l, w_l, n, total, root, p) & free, best - impurity(w_l, w1_l, total, ones), -1.0)
-        at = int(np.argmax(drop))
-        if drop[at] <= 0 or drop[at] < need:
-            break
-        chosen.append(int(candidates[at]))
-        best -= float(drop[at])
-        free[at] = False
-        open_[sub.column(at)] = False
-    return chosen
-
-
-def grow(x: Matrix, y: np.ndarray, w: np.ndarray, p: Params = Params(), rng: np.random.Generator | None = None) -> Node | None:
-    """A tree on labels ``y`` and weights ``w``; None if the root can't be split. Ties go to the term of the lower number."""
-    rng = rng or np.random.default_rng(0)
-    weighted = w > 0
-    if not weighted.any() or not 0 < y[weighted].sum() < weighted.sum():
-        return None
-    root, n_root = float(w.sum()), int(weighted.sum())
-
-    def build(here: np.ndarray, depth: int, features: np.ndarray) -> Node:
-        own_w = np.where(here, w, 0).astype(float)
-        own_wy = own_w * y
-        n, n1, total, ones = int(here.sum()), int(y[here].sum()), own_w.sum(), own_wy.sum()
-        node = Node(n - n1, n1, ratio_of(float(ones), float(total)))
-        if depth >= p.max_depth or n < p.min_rows or total / root < p.min_share or n1 in (0, n) or not len(features):
-            return node
-        sub = x.only(features)
-        n_l, w_l, w1_l = sub.sums(here.astype(np.int64)), sub.sums(own_w), sub.sums(own_wy)
-        ok = _valid(n_l, w_l, n, total, root, p)
-        score = impurity(w_l, w1_l, total, ones)
-        gain = 2 * node.p1 * (1 - node.p1) - score
-        if p.prefer_positive:
-            positive = w1_l * (total - w_l) > (ones - w1_l) * w_l
-            gain = np.where(positive, gain * p.prefer_positive, gain)
-        gain = np.where(ok, gain, -np.inf)
-        allowed = gain
-        if p.max_features is not None or p.feature_exponent:
-            picked = rng.choice(len(features), subset_size(len(features), p.max_features, p.feature_exponent, rng), replace=False)
-            allowed = np.full(len(features), -np.inf)
-            allowed[picked] = gain[picked]
-        best = int(np.argmax(allowed))
-        if not allowed[best] > 0 or score[best] >= 2 * node.p1 * (1 - node.p1):
-            return node
-        order = np.argsort(-gain, kind="stable")[: p.top_candidates]
-        order = order[ok[order] & (order != best)]
-        chosen = _expand(x, here, own_wy, own_w, int(features[best]), features[order], float(score[best]), p.drop_at(n, n_root), root, p)
-        rest = features[ok & ~np.isin(features, chosen)]
-        hit = here & x.any_of(chosen)
-        node.features = chosen
-        node.left, node.right = build(hit, depth + 1, rest), build(here & ~hit, depth + 1, rest)
+    by_id = {p.tree_id: p for p in plans}
+
+    def roots(part: Part) -> Iterator[tuple[tuple, np.ndarray]]:
+        for p in plans:
+            w, y = row_weights(part, p), part.labels(p.target)
+            yield (p.tree_id,), np.array([(w > 0).sum(), y[w > 0].sum(), w.sum(), (w * y).sum()], np.int64)
+
+    tops = {k: v for (k,), v in shards.total(roots).items()}
+    features: dict[int, dict[int, list[int]]] = {k: {} for k in by_id}
+    nodes: dict[int, dict[int, np.ndarray]] = {k: {0: v} for k, v in tops.items()}
+    live = [_Open(by_id[k], 0, v, frozenset(), shards.n_terms) for k, v in sorted(tops.items()) if 0 < v[1] < v[0]]
+    depth = 0
+    while live:
+        still = [o for o in live if _may_split(o, depth, float(tops[o.plan.tree_id][2]))]
+        open_ = {(o.plan.tree_id, o.at): o for o in still}
+        trees = {o.plan.tree_id: (o.plan, dict(features[o.plan.tree_id]), [x for x in still if x.plan.tree_id == o.plan.tree_id]) for o in still}
+        root = {k: float(tops[k][2]) for k in trees}
+        block = shards.block
+
+        def first(part: Part) -> Iterator[tuple[tuple, np.ndarray]]:
+            for k, (plan, known, own) in trees.items():
+                w, y = row_weights(part, plan), part.labels(plan.target)
+                at = place(part, w, known)
+                for o in own:
+                    four = _four(part.x, at == o.at, y, w)
+                    edges = np.searchsorted(four[0], np.arange(0, part.x.n_terms + block, block))
+                    for b, (i, j) in enumerate(zip(edges, edges[1:])):
+                        if j > i:
+                            yield (k, o.at, b), four[:, i:j]
+
+        def rated(key: tuple, four: np.ndarray) -> dict[str, Any]:
+            return _candidates(four, open_[key[:2]], root[key[0]])
+
+        found: dict[tuple[int, int], list[dict]] = {}
+        for key, value in sorted(shards.total(first, rated, sparse=True).items()) if still else ():
+            found.setdefault(key[:2], []).append(value)
+        growing = []
+        for key, blocks in found.items():
+            o = open_[key]
+            best = min((b["best"] for b in blocks if b["best"]), key=lambda b: b[:2], default=None)
+            share = ratio_of(float(o.totals[3]), float(o.totals[2]))
+            if best is None or best[2] >= 2 * share * (1 - share):
+                continue
+            top = sorted(t for b in blocks for t in b["top"])[: o.plan.params.top_candidates]
+            o.chosen, o.best, o.covered, o.valid = [best[1]], best[2], best[3], sum(b["valid"] for b in blocks)
+            o.candidates = np.array([t for _, t in top if t != best[1]], np.int64)
+            growing.append(o)
+        split = list(growing)
+        while growing := [o for o in growing if len(o.candidates) and len(o.chosen) < o.plan.params.max_or]:
+            growing = _expand(shards, growing, trees, tops)
+        live = []
+        for o in split:
+            k = o.plan.tree_id
+            features[k][o.at] = o.chosen
+            for child, totals in ((2 * o.at + 1, o.covered), (2 * o.at + 2, o.totals - o.covered)):
+                nodes[k][child] = totals
+                live.append(_Open(o.plan, child, totals, o.above | set(o.chosen), o.valid))
+        depth += 1
+
+    def built(k: int, at: int) -> Node:
+        n, n1, w, w1 = nodes[k][at].tolist()
+        node = Node(n - n1, n1, ratio_of(float(w1), float(w)))
+        if at in features[k]:
+            node.features, node.left, node.right = features[k][at], built(k, 2 * at + 1), built(k, 2 * at + 2)
         return node
 
-    tree = build(weighted, 0, np.arange(x.n_terms))
-    return tree if tree.features else None
+    return {k: built(k, 0) for k in sorted(features) if features[k]}
+
+
+def _may_split(o: _Open, depth: int, root: float) -> bool:
+    p, (n, n1, w, _) = o.plan.params, o.totals
+    return depth < p.max_depth and n >= p.min_rows and w / root >= p.min_share and 0 < n1 < n and o.valid > 0
+
+
+def _expand(shards: Shards, growing: list[_Open], trees: dict, tops: dict[int, np.ndarray]) -> list[_Open]:
+    """Adds to each node the candidate of the largest drop if it is large enough; the nodes that got one.
+
+    The totals of a union are those of what is covered and of what a candidate adds to it, so a step sums each candidate's
+    uncovered rows once.
+    """
+    by_tree: dict[int, list[tuple[int, list[int], np.ndarray]]] = {}
+    for o in growing:
+        by_tree.setdefault(o.plan.tree_id, []).append((o.at, o.chosen, o.candidates))
+    known = {k: trees[k][:2] for k in by_tree}
+
+    def uncovered(part: Part) -> Iterator[tuple[tuple, np.ndarray]]:
+        for k, own in by_tree.items():
+            plan, features = known[k]
+            w, y = row_weights(part, plan), part.labels(plan.target)
+            at = place(part, w, features)
+            for node, chosen, candidates in own:
+                rest = (at == node) & ~part.x.any_of(chosen)
+                sub = part.x.only(candidates)
+                yield (k, node), np.stack([np.rint(sub.sums(np.where(rest, v, 0))).astype(np.int64) for v in (np.ones(len(w), np.int64), y, w, w * y)])
+
+    sums = shards.total(uncovered)
+    out = []
+    for o in growing:
+        root = tops[o.plan.tree_id]
+        union = sums[o.plan.tree_id, o.at] + o.covered[:, None]
+        score, ok = _rate(union, o, float(root[2]))
+        drop = np.where(ok, o.best - score, -1.0)
+        k = int(np.argmax(drop))
+        if drop[k] > 0 and drop[k] >= o.plan.params.drop_at(int(o.totals[0]), int(root[0])):
+            o.chosen.append(int(o.candidates[k]))
+            o.best -= float(drop[k])
+            o.covered = union[:, k]
+            o.candidates = np.delete(o.candidates, k)
+            out.append(o)
+    return out
+
+
+def grow(x: Matrix, y: np.ndarray, w: np.ndarray, p: Params = Params()) -> Node | None:
+    """One tree on a matrix, labels ``y`` and weights ``w``; None if the root can't be split."""
+    return grow_forest(Shards.of(x, y, w), [Plan(0, p)]).get(0)
 
 
 def walk(node: Node) -> Iterator[Node]:
@@ -241,16 +347,42 @@ def metric(name: str) -> Callable[[int, int, int], float]:
     raise ValueError(f"there is no measure {name!r}")
 
 
-def best_threshold(node: Node, x: Matrix, y: np.ndarray, goal: str = "f1", constraint: tuple[str, float] | None = None) -> tuple[float | None, float]:
+def leaf_counts(shards: Shards, trees: dict[int, Node], targets: dict[int, int] | None = None) -> dict[int, list[tuple[float, int, int]]]:
+    """For each tree (share, rows, rows of class 1) of its leaves, over all rows; rows without any term on their way have share 0."""
+    flat: dict[int, tuple[dict[int, list[int]], dict[int, float]]] = {}
+    for k, tree in trees.items():
+        features, shares = {}, {}
+
+        def go(n: Node, at: int, turned: bool) -> None:
+            if n.features:
+                features[at] = n.features
+                go(n.left, 2 * at + 1, True)
+                go(n.right, 2 * at + 2, turned)
+            else:
+                shares[at] = n.p1 if turned else 0.0
+
+        go(tree, 0, False)
+        flat[k] = features, shares
+
+    def counted(part: Part) -> Iterator[tuple[tuple, np.ndarray]]:
+        for k, (features, shares) in flat.items():
+            at, y = place(part, np.ones(len(part.y)), features), part.labels(targets[k] if targets else None)
+            yield (k,), np.array([[(at == leaf).sum(), y[at == leaf].sum()] for leaf in shares], np.int64)
+
+    return {k: [(s, int(n), int(n1)) for s, (n, n1) in zip(flat[k][1].values(), v)] for (k,), v in shards.total(counted).items()}
+
+
+def threshold_of(leaves: list[tuple[float, int, int]], goal: str = "f1", constraint: tuple[str, float] | None = None) -> tuple[float | None, float]:
     """The leaf share from which on a leaf counts as positive so that the goal is best, lowest first; and the goal's value.
 
     With a constraint (measure, least value) only thresholds that keep it count; if none does, the one that is closest.
+    Shares are those of all leaves of the tree; 0 is none.
     """
-    p = predict(node, x)
+    positives = sum(n1 for _, _, n1 in leaves)
     rows = []
-    for t in sorted({n.p1 for n in walk(node) if not n.features} - {0.0}):
-        hit = p >= t - 1e-8
-        got = int((hit & (y == 1)).sum()), int(hit.sum()), int(y.sum())
+    for t in sorted({s for s, _, _ in leaves} - {0.0}):
+        hit = [(n, n1) for s, n, n1 in leaves if s >= t - 1e-8]
+        got = sum(n1 for _, n1 in hit), sum(n for n, _ in hit), positives
         rows.append((t, metric(goal)(*got), metric(constraint[0])(*got) if constraint else 0.0))
     if not rows:
         return None, float("-inf")
@@ -264,6 +396,11 @@ def best_threshold(node: Node, x: Matrix, y: np.ndarray, goal: str = "f1", const
     return best[0], best[1]
 
 
+def best_threshold(node: Node, x: Matrix, y: np.ndarray, goal: str = "f1", constraint: tuple[str, float] | None = None) -> tuple[float | None, float]:
+    """``threshold_of`` the leaves of a tree on a matrix."""
+    return threshold_of(leaf_counts(Shards.of(x, y), {0: node})[0], goal, constraint)
+
+
 def paths(node: Node, threshold: float) -> set[Rule]:
     """The rules of the positive leaves. Subtrees of one class are one leaf; rules without a positive literal are left out."""
 
@@ -334,29 +471,6 @@ def describe(node: Node, names: list[str], depth: int = 0) -> str:
     return head + describe(node.left, names, depth + 1) + f"{pad}none\n" + describe(node.right, names, depth + 1)
 
 
-def collect_matrix(post: DataFrame, docs: DataFrame, limit: int = MATRIX_POSTINGS) -> tuple[Matrix, pd.DataFrame] | None:
-    """The matrix of (doc_id, term_id) postings and the documents (doc_id, y, w) in row order; None if there are too many.
-
-    Only postings of the given documents count. The check is a count, so nothing large is fetched by mistake.
-    """
-    rows = cut(post.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("term_id").cast("long")))
-    if rows.count() > limit or docs.count() > limit:
-        return None
-    table = docs.orderBy("doc_id").toPandas()
-    pairs = rows.toArrow()
-    row = np.searchsorted(table["doc_id"].to_numpy(), pairs["doc_id"].to_numpy())
-    term = pairs["term_id"].to_numpy()
-    return Matrix.of(term, row, int(term.max()) + 1 if len(term) else 0, len(table)), table
-
-
-def needed_matrix(post: DataFrame, docs: DataFrame) -> tuple[Matrix, pd.DataFrame]:
-    """``collect_matrix`` for what has no other way to grow: raises ValueError if there are too many postings."""
-    got = collect_matrix(post, docs, MATRIX_POSTINGS)
-    if got is None:
-        raise ValueError(f"more than {MATRIX_POSTINGS} postings or documents: a forest or sweep needs them as a matrix")
-    return got
-
-
 @dataclass(frozen=True)
 class Forest:
     """How many trees and how each differs. Tree 0 has all rows and all features.
@@ -377,40 +491,28 @@ def bootstrap_size(n: int, wanted: int | float | None) -> int:
     return wanted if isinstance(wanted, int) else max(round(n * wanted), 1)
 
 
-def fit_one(tree_id: int, x: Matrix, y: np.ndarray, w: np.ndarray, p: Params, f: Forest) -> Node | None:
-    """One tree of a forest, seeded by the forest's seed and its own number."""
-    if tree_id == 0:
-        return grow(x, y, w, Params(**{**asdict(p), "max_features": None, "feature_exponent": None}))
-    rng = np.random.default_rng([f.seed, tree_id])
-    weights = w
-    if f.bootstrap:
-        weights = w * np.bincount(rng.integers(0, len(y), bootstrap_size(len(y), f.max_samples)), minlength=len(y))
-    if f.drop_exponent:
-        start, end = (biased_random(x, 1.0, f.drop_exponent, rng) for x in (p.min_drop_start, p.min_drop_end))
-        p = Params(**{**asdict(p), "min_drop_start": start, "min_drop_end": end})
-    return grow(x, y, weights, p, rng)
-
-
-def fit_forest(spark: SparkSession, x: Matrix, y: np.ndarray, w: np.ndarray, p: Params = Params(), f: Forest = Forest()) -> DataFrame:
-    """The node tables of all trees that could be split: one tree a group, on the broadcast matrix."""
-    shared = Shared(spark, (x, y, w))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree_id = int(pdf["tree_id"].iloc[0])
-        tree = fit_one(tree_id, *shared.value, p, f)
-        names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-        out = pd.DataFrame(to_rows(tree, tree_id) if tree else [], columns=names)
-        return out.astype({"left": "Int32", "right": "Int32"}) if len(out) else out
-
-    return spark.range(f.n_trees).withColumnRenamed("id", "tree_id").groupBy("tree_id").applyInPandas(run, NODE_SCHEMA)
-
-
-def collect_trees(nodes: DataFrame) -> dict[int, Node]:
-    """The trees by number; a forest's nodes are few."""
-    by: dict[int, list[tuple]] = {}
-    for r in nodes.collect():
-        by.setdefault(r["tree_id"], []).append(tuple(r))
-    return {k: from_rows(v) for k, v in sorted(by.items())}
+def forest_plans(p: Params, f: Forest, n_rows: int) -> list[Plan]:
+    """What each tree of a forest learns: tree 0 from all rows and features, the others from drawn ones, by their own seed."""
+    out = [Plan(0, Params(**{**asdict(p), "max_features": None, "feature_exponent": None}))]
+    for k in range(1, f.n_trees):
+        own = p
+        if f.drop_exponent:
+            rng = np.random.default_rng([f.seed, k])
+            start, end = (biased_random(x, 1.0, f.drop_exponent, rng) for x in (p.min_drop_start, p.min_drop_end))
+            own = Params(**{**asdict(p), "min_drop_start": start, "min_drop_end": end})
+        out.append(Plan(k, own, f.seed, bootstrap_size(n_rows, f.max_samples) / max(1, n_rows) if f.bootstrap else None))
+    return out[: f.n_trees]
+
+
+def fit_forest(shards: Shards, p: Params = Params(), f: Forest = Forest()) -> dict[int, Node]:
+    """The trees of a forest that could be split, by number."""
+    n = shards.total(lambda part: [((0,), np.array([len(part.y)]))]) if f.bootstrap else {}
+    return grow_forest(shards, forest_plans(p, f, int(n[0,][0]) if n else 0))
+
+
+def node_table(spark: SparkSession, trees: dict[int, Node]) -> DataFrame:
+    """The node tables of trees as one."""
+    return spark.createDataFrame([r for k, t in sorted(trees.items()) for r in to_rows(t, k)], NODE_SCHEMA)
 
 
 def tree_column(node: Node, terms: F.Column, names: list[str]) -> F.Column:

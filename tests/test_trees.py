@@ -1,14 +1,17 @@
 import itertools
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from boolsieve.functions import boolean as b
-from boolsieve.functions.rules import render, rule
+from boolsieve.functions.rules import rule
+from boolsieve.functions.text import strip_outer_brackets
 from boolsieve.operators import coverage, splits
-from boolsieve.plans import learn, rules, trees
-from boolsieve.plans.trees import Forest, Matrix, Node, Params
+from boolsieve.plans import learn, rules, shards, trees
+from boolsieve.plans.shards import Matrix, Part, Shards
+from boolsieve.plans.trees import Forest, Node, Params, Plan
 from test_boolean import FORMULAS
 
 
@@ -93,38 +96,69 @@ def test_class_weight():
         splits.class_weight(3, 0, 1.0)
 
 
-def corpus(formula, seed=42, n=3000):
-    """The same as a synthetic corpus, as arrays: true variables, filler words, labels."""
-    rng = np.random.default_rng(seed)
-    node = b.parse(formula)
-    names = sorted({t.text for t in b.terms_of(node)})
-    bits = np.arange(n) % (1 << len(names))
-    own = (bits[:, None] >> np.arange(len(names)) & 1).astype(bool)
-    y = np.array([b.evaluate(node, lambda t, k=k: bool(own[k, names.index(t.text)])) for k in range(min(n, 1 << len(names)))])[bits].astype(int)
-    filler = rng.random((n, 150)) < 0.05
-    x = np.concatenate([own, filler], axis=1)
-    row, term = np.nonzero(x)
-    return node, names + [f"r{i}" for i in range(150)], Matrix.of(term, row, x.shape[1], n), y
+def pieces(m, y, w, n, rng):
+    """A matrix as several shards."""
+    to = rng.integers(0, n, m.n_rows)
+    parts = []
+    for k in range(n):
+        rows = np.flatnonzero(to == k)
+        new = np.full(m.n_rows, -1)
+        new[rows] = np.arange(len(rows))
+        on = new[m.rows] >= 0
+        parts.append(Part(Matrix.of(m.term[on], new[m.rows[on]], m.n_terms, len(rows)), y[rows], w[rows], rows))
+    return Shards(m.n_terms, parts, None, n)
+
+
+def test_any_number_of_shards_grows_the_same_forest():
+    rng = np.random.default_rng(9)
+    x, m = random_matrix(rng, 300, 40, 0.2)
+    y, w = ((x[:, 0] | x[:, 3]) & ~x[:, 7] | (rng.random(300) < 0.05)).astype(int), rng.integers(1, 4, 300)
+    p = Params(max_depth=3, min_rows=2, min_share=0.0, max_features="sqrt", feature_exponent=0.9, top_candidates=15)
+    whole = trees.fit_forest(Shards.of(m, y, w), p, Forest(n_trees=6))
+    assert len(whole) >= 4 and len({str(t) for t in whole.values()}) > 3
+    for n in (2, 5):
+        dealt = pieces(m, y, w, n, rng)
+        assert trees.fit_forest(dealt, p, Forest(n_trees=6)) == whole
+        assert trees.leaf_counts(dealt, whole) == trees.leaf_counts(Shards.of(m, y, w), whole)
+    small = Shards.of(m, y, w)
+    small.__class__ = type("Narrow", (Shards,), {"block": 7})
+    assert trees.fit_forest(small, p, Forest(n_trees=6)) == whole
+
+
+def test_rows_are_drawn_as_poisson_numbers():
+    n = 20_000
+    part = Part(Matrix.of(np.zeros(0, int), np.zeros(0, int), 0, n), np.zeros(n, int), np.ones(n, int), np.arange(n))
+    for mean in (1.0, 0.3, 40.0):
+        w = trees.row_weights(part, Plan(3, Params(), 1, mean))
+        assert abs(w.mean() - mean) < 5 * np.sqrt(mean / n) and abs(w.var() / mean - 1) < 0.1
+    one, other = (trees.row_weights(part, Plan(k, Params(), 1, 1.0)) for k in (1, 2))
+    assert abs(np.corrcoef(one, other)[0, 1]) < 0.05
+
+
+def test_nodes_look_at_as_many_terms_as_wanted():
+    o = trees._Open(Plan(1, Params(max_features=0.25), 5), 0, np.zeros(4), frozenset(), 40_000)
+    assert abs(trees._looked_at(o, np.arange(40_000)).sum() - 10_000) < 500
+
+
+SETTINGS = learn.Settings(
+    min_df=1, max_df=1.0, params=Params(max_depth=5, min_rows=1, min_share=0.0, class_weight="balanced"), forest=Forest(n_trees=20), goal="f1", min_tree_occ=0.0, min_rule_occ=0.0,
+    min_precision=0.5, cover_beta=1.0, cost_factor=0.002, max_rules=12,
+)
 
 
 @pytest.mark.parametrize("formula", FORMULAS)
-def test_learned_rules_equal_the_formula(formula):
-    node, names, m, y = corpus(formula)
-    p = Params(max_depth=8, min_rows=2, min_share=0.0, class_weight=None, prefer_positive=1.1)
-    forest = {k: t for k in range(12) if (t := trees.fit_one(k, m, y, np.full(len(y), 100), p, Forest())) is not None}
-    limits = {k: trees.best_threshold(t, m, y, "f1")[0] for k, t in forest.items()}
-    found = rules.forest_rules(forest, limits)
-    scores = rules.Scores(m, y, 0.1)
-    pool = rules.pool(found, scores, 0.5)
-    chosen, value = rules.select_local(pool, y, beta=1.0, factor=0.0005, max_rules=12)
-    query, size = render([pool.rules[i] for i in chosen], names)
-    learned = b.parse(query)
-    cover = pool.cover[chosen].any(axis=0)
-    assert (cover == (y == 1)).all(), query
-    variables = {t.text for t in b.terms_of(node)}
-    assert {t.text for t in b.terms_of(learned)} <= variables
-    counts = b.counts(learned)
-    assert counts == {"AND": size["ANDs"], "NOT": size["NOTs"], "OR": size["ORs"] + size["added_ORs"]}
+def test_learned_query_equals_the_formula(spark, formula):
+    """Ten thousand documents of a thousand filler words: the query says what the formula says, in its words, and no longer."""
+    docs = learn.synthetic_corpus(spark, formula, 10_000, pool=1000, mean_length=60).cache()
+    found = learn.learn(docs.select("doc_id", F.explode("terms").alias("term")), docs.select("doc_id", "y"), SETTINGS)
+    got = learn.evaluate(found.query, docs, F.col("terms"), F.col("y")).first()
+    docs.unpersist()
+    assert got["f1"] == 1.0, found.query
+    learned, size = b.parse(found.query), found.size
+    assert {t.text for t in b.terms_of(learned)} == {t.text for t in b.terms_of(b.parse(formula))}
+    assert b.counts(learned) == {"AND": size["ANDs"], "NOT": size["NOTs"], "OR": size["ORs"] + size["added_ORs"]}
+    plain = strip_outer_brackets(re.sub(r'\[tiab\]|"', "", found.query))
+    assert len(plain) <= len(formula), plain
 
 
 def test_levels_grow_the_same_tree(spark):
@@ -154,11 +188,11 @@ def test_pruning_and_choice():
     assert rules.choose([{"kind": "or", "negated": False, "tp_gain": -0.05, "f": 0.9}, {"kind": "and", "negated": False, "precision_gain": 0.0, "f": 0.2}]) == (1, True)
     x, m = random_matrix(np.random.default_rng(6), 300, 6, 0.4)
     y = x[:, 0].astype(int)
-    scores = rules.Scores(m, y, 0.1)
+    scores = rules.Scores(Shards.of(m, y), 0.1)
     long_rule = rule([((0, 4), True), ((1,), True)])
     history = rules.prune(long_rule, scores)
     assert rule([((0,), True)]) in history
-    assert rules.prune(rule([((0,), True)]), rules.Scores(m, np.zeros(300, int), 0.1)) == []
+    assert rules.prune(rule([((0,), True)]), rules.Scores(Shards.of(m, np.zeros(300, int)), 0.1)) == []
 
 
 def test_rare_terms_go():
@@ -173,8 +207,10 @@ def test_local_search_beats_every_neighbour_and_matches_recount():
     rng = np.random.default_rng(7)
     cover = rng.random((12, 200)) < 0.1
     y = (rng.random(200) < 0.3).astype(int)
-    pool = rules.Pool([rule([((i,), True)]) for i in range(12)], cover, np.full(12, 3.0), [[0], [1, 2]])
-    chosen, value = rules.select_local(pool, y, 2.0, 0.002, max_rules=4)
+    row, term = np.nonzero(cover.T)
+    held = Shards.of(Matrix.of(term, row, 12, 200), y)
+    pool = rules.Pool([rule([((i,), True)]) for i in range(12)], np.full(12, 3.0), [[0], [1, 2]])
+    chosen, value = rules.select_local(held, pool, 2.0, 0.002, max_rules=4)
 
     def full(s):
         hit = cover[list(s)].any(axis=0)
@@ -185,7 +221,7 @@ def test_local_search_beats_every_neighbour_and_matches_recount():
     for s in itertools.chain.from_iterable(itertools.combinations(range(12), k) for k in (1, 2)):
         if len(set(s) ^ set(chosen)) <= 1 and s:
             assert full(s) <= value + 1e-9
-    ga, score = rules.select_genetic(pool, y, 2.0, 0.002, max_rules=4, rounds=30)
+    ga, score = rules.select_genetic(held, pool, 2.0, 0.002, max_rules=4, rounds=30)
     assert np.isclose(score, full(ga)) and len(ga) <= 4
 
 
@@ -216,9 +252,13 @@ def test_learning_end_to_end(spark):
         learn.learn(post, docs.select("doc_id", F.lit(1).alias("y")), settings)
 
 
-def test_level_fallback_gives_rules(spark, monkeypatch):
-    docs = learn.synthetic_corpus(spark, "(cats OR dogs) NOT house", 200, pool=30, mean_length=6)
+@pytest.mark.parametrize("genetic", [False, True])
+def test_learning_is_the_same_in_the_driver_and_in_tasks(spark, monkeypatch, genetic):
+    docs = learn.synthetic_corpus(spark, "(cats OR dogs) AND (bowl OR box) NOT house", 300, pool=40, mean_length=8)
     post = docs.select("doc_id", F.explode("terms").alias("term"))
-    monkeypatch.setattr(trees.collect_matrix, "__defaults__", (0,))
-    found = learn.learn(post, docs.select("doc_id", "y"), learn.Settings(min_df=2, max_df=1.0, params=Params(max_depth=3, class_weight=None, min_share=0.0, max_or=3, top_candidates=20)))
-    assert learn.evaluate(found.query, docs, F.col("terms"), F.col("y")).first()["f1"] == 1.0
+    settings = learn.Settings(min_df=2, max_df=1.0, params=Params(max_depth=3, class_weight=None, min_share=0.0, max_or=3, top_candidates=20), forest=Forest(n_trees=3), genetic=genetic)
+    if genetic:
+        monkeypatch.setattr(rules.select_genetic, "__defaults__", (2.0, 0.002, 10, 30, 3, 1))
+    here = learn.learn(post, docs.select("doc_id", "y"), settings)
+    monkeypatch.setattr(shards, "SHARD_POSTINGS", 700)
+    assert learn.learn(post, docs.select("doc_id", "y"), settings, driver_postings=0) == here
