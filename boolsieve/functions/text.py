@@ -22,8 +22,13 @@ def tokens(text: Column) -> Column:
 
 def terms(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, min_length: int = 2, numbers: bool = False) -> Column:
     """The different terms of a text, sorted: no stop words, no forbidden ones, none shorter, no bare numbers unless asked."""
-    found = F.array_except(F.array_distinct(tokens(text)), F.array(*[F.lit(w) for w in (*stop_words, *FORBIDDEN)]))
-    return F.array_sort(F.filter(found, lambda t: (F.length(t) >= min_length) & (F.lit(numbers) | ~t.rlike(r"^[0-9-]+$"))))
+    return F.array_sort(F.filter(F.array_distinct(tokens(text)), lambda t: is_term(t, stop_words, min_length, numbers)))
+
+
+def is_term(t: Column, stop_words: tuple[str, ...] = STOP_WORDS, min_length: int = 2, numbers: bool = False) -> Column:
+    """Whether a token counts as a term."""
+    found = (F.length(t) >= min_length) & ~t.isin(*stop_words, *FORBIDDEN)
+    return found if numbers else found & ~t.rlike(r"^[0-9-]+$")
 
 
 def surface_form(word: Column) -> Column:

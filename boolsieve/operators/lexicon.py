@@ -48,18 +48,20 @@ def merge_targets(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("the lexicon did not settle")
 
 
-def closure(edges: DataFrame, starts: DataFrame, depth: int = 20) -> DataFrame:
-    """(word, related): all words that edges (word, related) reach from the starting words, themselves included."""
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(word, related): all words that edges (word, related) reach from the starting words, themselves included.
+
+    Each round goes a step further than the last, from what that found new, until nothing is; cycles end there, too.
+    """
     reached = cut(starts.select("word", F.col("word").alias("related")).distinct())
     front = reached
     step = edges.select(F.col("word").alias("_from"), F.col("related").alias("_to"))
-    for _ in range(depth):
+    while True:
         new = front.join(step, F.col("related") == F.col("_from")).select("word", F.col("_to").alias("related")).distinct()
         front = cut(new.join(reached, ["word", "related"], "left_anti"))
         if front.isEmpty():
             return reached
         reached = cut(reached.unionByName(front))
-    return reached
 
 
 def dominating_words(words: DataFrame, related: DataFrame) -> DataFrame:
@@ -117,14 +119,16 @@ def cluster_words(vectors: DataFrame, threshold: float) -> DataFrame:
         v = np.array(pdf["vector"].tolist(), float)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         distance = 1 - v @ v.T
-        clusters = [[i] for i in range(len(v))]
-        while len(clusters) > 1:
-            far = [(max(distance[i, j] for i in a for j in b), x, y) for x, a in enumerate(clusters) for y, b in enumerate(clusters) if x < y]
-            d, x, y = min(far)
-            if d > 1 - threshold:
+        head = np.arange(len(v))
+        far = np.where(np.arange(len(v))[:, None] < np.arange(len(v)), distance, np.inf)  # of each pair of clusters, by their first members
+        while len(v) > 1:
+            x, y = np.unravel_index(np.argmin(far), far.shape)
+            if not far[x, y] <= 1 - threshold:
                 break
-            clusters[x] += clusters.pop(y)
-        head = {i: pdf["word"][min(c)] for c in clusters for i in c}
-        return pdf.assign(canonical=[head[i] for i in range(len(pdf))])[["group", "word", "canonical"]]
+            either = np.maximum(np.minimum(far[x], far[:, x]), np.minimum(far[y], far[:, y]))
+            far[y], far[:, y] = np.inf, np.inf
+            far[x], far[:, x] = np.where(np.arange(len(v)) > x, either, np.inf), np.where(np.arange(len(v)) < x, either, np.inf)
+            head[head == y] = x
+        return pdf.assign(canonical=pdf["word"].to_numpy()[head])[["group", "word", "canonical"]]
 
     return vectors.groupBy("group").applyInPandas(run, "group string, word string, canonical string")

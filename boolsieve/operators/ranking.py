@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boolsieve.functions.safe import f_beta, ratio
-from boolsieve.session import small
+from boolsieve.session import cut, fits, small
 
 # fixed values: calibrated cutoffs for a mean recall of 0.7 (number of positives, documents to take)
 POSITIVES_CURVE = (
@@ -26,6 +27,10 @@ BUCKETS = (
 )
 
 
+#: Queries of a block that is broadcast, some 8 KB each.
+QUERY_BLOCK = 2000
+
+
 def dot(a: Column, b: Column) -> Column:
     """The scalar product of two arrays, in double precision and in order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -39,8 +44,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None = None, thresho
     """(query_id, doc_id, score, rank) for a stated set of queries (query_id, q) against all vectors.
 
     ``rank`` starts at 0, ties go by id. With k only the best k stay: each task keeps k rows a query before the shuffle.
+    Queries that are too large for a broadcast go in blocks of QUERY_BLOCK by a hash of their id, each against all vectors.
     """
-    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v")).join(small(queries))
+    queries = cut(queries)
+    own = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v"))
+    if fits(queries):
+        rows = own.join(F.broadcast(queries))
+    else:
+        blocks = -(-queries.count() // QUERY_BLOCK)
+        part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        rows = reduce(DataFrame.unionByName, [own.join(F.broadcast(queries.filter(part == k))) for k in range(blocks)])
     if skip_self:
         rows = rows.filter(F.col("doc_id") != F.col("query_id"))
     scored = rows.select("query_id", "doc_id", cosine(F.col("v"), F.col("q")).alias("score"))
@@ -268,7 +281,7 @@ def stratified_sample(rows: DataFrame, by: str, allocation: dict[str, int], key:
     """The allotted number of rows of each stratum, those with the smallest hashes of seed and key."""
     spark = rows.sparkSession
     table = spark.createDataFrame(list(allocation.items()), f"`{by}` string, _take int")
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
     return rows.join(small(table), by).withColumn("_n", F.row_number().over(order)).filter("_n <= _take").drop("_n", "_take")
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boolsieve.functions.text import terms
+from boolsieve.functions.text import is_term, tokens
 from boolsieve.session import cut, small
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", bow: Column | None = None) -> DataFrame:
     """(doc, term): every different term of every document once. ``bow``: an array of terms to use instead of the text's."""
-    return docs.select(doc, F.explode(terms(F.col(text)) if bow is None else F.array_distinct(bow)).alias("term"))
+    if bow is not None:
+        return docs.select(doc, F.explode(F.array_distinct(bow)).alias("term"))
+    return docs.select(doc, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).filter(is_term(F.col("term")))  # what is filtered after the explode is compiled
 
 
 def document_frequencies(post: DataFrame) -> DataFrame:

@@ -108,7 +108,8 @@ def synthetic_corpus(spark: SparkSession, formula: str, n_docs: int, pool: int =
     variables = sorted({t.text for t in boolean.terms_of(node)})
     n = len(variables)
     bit = lambda i, k: F.pmod(F.floor(i / F.lit(float(1 << k))), F.lit(2)) == 1
-    uniform = lambda *x: F.pmod(F.xxhash64(F.lit(seed), *x), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    hashed = lambda *x: F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in x]).cast("binary"))
+    uniform = lambda *x: F.conv(F.substring(hashed(*x), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     used = max(1, round((1 << n) * share))
     row = F.col("id")
     assigned = F.pmod(row, F.lit(used)) * F.lit(((1 << n) // used) or 1)

@@ -29,9 +29,18 @@ def result_table(results: DataFrame, by: list[str], measures: list[str]) -> Data
     return analytics.group_stats(results, by, measures)
 
 
+#: Rows that a table may have; a report with more must be cut or aggregated first.
+TABLE_ROWS = 1000
+
+
 def markup_table(rows: DataFrame, columns: list[str], best: dict[str, str] | None = None, digits: int = 4) -> str:
-    """A table in Markdown of a report's rows (a page's worth); ``best`` names columns whose "max" or "min" is set bold."""
-    data = [r.asDict() for r in rows.select(*columns).limit(1000).collect()]
+    """A table in Markdown of all of a report's rows; ``best`` names columns whose "max" or "min" is set bold.
+
+    Raises ValueError if there are more than TABLE_ROWS.
+    """
+    data = [r.asDict() for r in rows.select(*columns).limit(TABLE_ROWS + 1).collect()]
+    if len(data) > TABLE_ROWS:
+        raise ValueError(f"more than {TABLE_ROWS} rows for a table")
     tops = {c: (max if how == "max" else min)(r[c] for r in data if r[c] is not None) for c, how in (best or {}).items() if any(r[c] is not None for r in data)}
 
     def show(c: str, v: object) -> str:
@@ -49,6 +58,24 @@ def highlight(query: str, words: set[str], mark: str = "**") -> str:
     return re.sub(r"[A-Za-z0-9-]+", lambda m: f"{mark}{m[0]}{mark}" if m[0] in words else m[0], query)
 
 
+#: What LaTeX reads as its own, and how it is written.
+LATEX_MARKS = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
+def latex(query: str, strong: set[str] | None = None, colours: dict[str, str] | None = None) -> str:
+    """A query in LaTeX: its own marks escaped, some words (operators by default) bold, some in a colour."""
+    import re
+
+    strong = {"AND", "OR", "NOT"} if strong is None else strong
+
+    def one(word: str) -> str:
+        text = "".join(LATEX_MARKS.get(c, c) for c in word)
+        text = rf"\textcolor{{{colours[word]}}}{{{text}}}" if colours and word in colours else text
+        return rf"\textbf{{{text}}}" if word in strong else text
+
+    return re.sub(r"[A-Za-z0-9-]+|[^A-Za-z0-9\s-]", lambda m: one(m[0]), query)
+
+
 def query_entries(results: DataFrame) -> DataFrame:
     """Result rows with ``terms`` and ``nested`` (an OR of ANDs of ORs of terms) of their query; null if it can't be read."""
     from boolsieve.functions import boolean
@@ -59,7 +86,7 @@ def query_entries(results: DataFrame) -> DataFrame:
         node = boolean.parse(query)
         return [t.text for t in boolean.terms_of(node)], boolean.nested(node)
 
-    parsed = F.udf(read, "struct<terms:array<string>,nested:array<array<array<string>>>>")
+    parsed = F.udf(read, "struct<terms:array<string>,nested:array<array<array<string>>>>", useArrow=True)
     return results.withColumn("_q", parsed("pubmed_query")).select(*results.columns, "_q.terms", "_q.nested")
 
 

@@ -22,7 +22,7 @@ class Limits:
     replace: float = -0.01
 
 
-#: By kind of removal and whether it was in a negative literal.
+# fixed values: by kind of removal and whether it was in a negative literal, the measure and its bounds (those of Limits)
 PRUNING = {
     ("or", False): Limits("tp_gain"), ("or", True): Limits("precision_gain"),
     ("and", False): Limits("precision_gain"), ("and", True): Limits("precision_gain"),

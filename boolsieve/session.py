@@ -8,8 +8,8 @@ from typing import Any
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-#: Side tables of at most this many rows are broadcast by ``small``; a row of those takes under 200 bytes.
-BROADCAST_ROWS = 100_000
+#: Side tables of at most so many rows and bytes are broadcast by ``small``.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -27,19 +27,41 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. One beside the warehouse stands in on a single machine; a cluster must name its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join.
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and BROADCAST_BYTES bytes, else as it is, for a shuffled join.
 
     Counting costs a job, so this is for tables that are cheap to make: literals, aggregates, checkpoints.
     """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if fits(df, rows) else df
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table may be broadcast, by its rows and the bytes of its columns: eight for a number, texts and arrays by their length."""
+    from pyspark.sql import functions as F
+
+    wide = [f for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    size = F.lit(8 * len(df.schema))
+    for f in wide:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        plain = kind == "array" and f.dataType.elementType.typeName() not in ("string", "binary", "array", "map", "struct")
+        size = size + F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 8 if plain else F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return got["n"] <= rows and (got["b"] or 0) <= BROADCAST_BYTES
 
 
 class Shared:

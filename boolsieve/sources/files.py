@@ -110,6 +110,13 @@ def file_stems(spark: SparkSession, path: str) -> DataFrame:
     return names.distinct()
 
 
+def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(query_id, place) of two lists (query_id): whether a topic is in both, left or right."""
+    a, b = (x.select("query_id").distinct().withColumn(name, F.lit(1)) for x, name in ((left, "_l"), (right, "_r")))
+    place = F.when(F.col("_l").isNull(), "right").when(F.col("_r").isNull(), "left").otherwise("both")
+    return a.join(b, "query_id", "full_outer").select("query_id", place.alias("place"))
+
+
 def topics(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, title) of files with ``Topic:`` and ``Title:`` up to ``Query``."""
     rows = spark.read.text(path, wholetext=True)
@@ -237,6 +244,13 @@ def manifest(rows: DataFrame, deliveries: list[int] | None = None) -> DataFrame:
     return files.select(F.format_string("%s\n  out=%s\n  checksum=sha-1=%s", "f.url", "f.name", "f.checksum").alias("value"))
 
 
+def with_column(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Bags of words with one column more, for a new output: inputs are never changed in place. A name that there is already is an error."""
+    if name.lower() in (c.lower() for c in rows.columns):
+        raise ValueError(f"there is a column {name!r} already")
+    return rows.withColumn(name, value)
+
+
 def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

@@ -24,29 +24,34 @@ _ENTITY = re.compile(rb"<!ENTITY\s+([\w.-]+)\s+\"([^\"]*)\"")
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, xml) of every document in the archives below a folder: XML files, in archives in archives, tables of contents left out.
+    """``members`` of the archives below a folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
+    return members(found)
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """(path, xml) of every document in archives (path, content): XML files, in archives in archives, tables of contents left out.
 
     Entities that an archive's DTD files define are resolved before the XML is read. One archive is one row of work.
     """
 
-    def members(data: bytes, name: str) -> Iterator[tuple[str, bytes]]:
+    def inside(data: bytes, name: str) -> Iterator[tuple[str, bytes]]:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in sorted(z.infolist(), key=lambda i: i.filename):
                 if info.filename.lower().endswith(".zip"):
-                    yield from members(z.read(info), f"{name}/{info.filename}")
+                    yield from inside(z.read(info), f"{name}/{info.filename}")
                 elif not info.is_dir():
                     yield f"{name}/{info.filename}", z.read(info)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                files = list(members(content, path))
+                files = list(inside(content, path))
                 entities = {k.decode(): v.decode() for n, d in files if n.lower().endswith((".dtd", ".ent")) for k, v in _ENTITY.findall(d)}
                 xml = [(n, resolve_entities(d.decode("utf-8", "replace"), entities)) for n, d in files if n.lower().endswith(".xml") and not n.lower().endswith("toc.xml")]
                 yield pd.DataFrame(xml, columns=["path", "xml"])
 
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    return found.select("path", "content").mapInPandas(run, "path string, xml string")
+    return rows.select("path", "content").mapInPandas(run, "path string, xml string")
 
 
 def resolve_entities(xml: str, entities: dict[str, str]) -> str:

@@ -111,6 +111,13 @@ class LocalClient:
         return len(self.ids(query, first, last))
 
 
+class EchoClient:
+    """Gives a record with a title of its own for every id; for tests of what fetches records."""
+
+    def records(self, ids: list[str]) -> list[dict[str, str]]:
+        return [{"doc_id": i, "title": f"title {i}"} for i in ids]
+
+
 def fetch(ids: Any, client_name: str, schema: str, batch: int = 200) -> Any:
     """The records of (doc_id) rows by ``client.records(ids)`` in batches, with retries; fields that a record lacks are null."""
     import pandas as pd
