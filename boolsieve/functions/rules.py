@@ -15,7 +15,7 @@ Literal = tuple[tuple, bool]
 Rule = tuple[Literal, ...]
 
 RULE_TYPE = "array<struct<feats:array<string>,pos:boolean>>"
-#: What a path, an AND, a NOT and an added OR cost.
+# fixed values: what a path, an AND, a NOT and an added OR cost
 COSTS = {"paths": 2.0, "ANDs": 1.0, "NOTs": 1.5, "added_ORs": 0.5}
 
 

@@ -63,7 +63,7 @@ def expand_heading(heading: Column) -> Column:
     One head was renamed in the vocabulary and is mapped to its present name.
     """
     plain = F.replace(F.replace(F.lower(F.trim(heading)), F.lit("*"), F.lit("")), F.lit("&"), F.lit("and"))
-    plain = F.regexp_replace(plain, r"^purpura, schoenlein-henoch", "iga vasculitis")
+    plain = F.regexp_replace(plain, r"^purpura, schoenlein-henoch", "iga vasculitis")  # fixed value: the renamed heading
     parts = F.transform(F.split(plain, "/"), lambda p: F.trim(p))
     head = F.element_at(parts, 1)
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from boolsieve.functions.safe import f_beta, ratio
 
-#: name: (kind, low, high) or ("choice", values); the parameters of a learning run that a study varies.
+# fixed values: the parameters of a learning run that a study varies, name: (kind, low, high, step) or ("choice", values)
 SPACE: dict[str, tuple] = {
-    "top_k": ("float", 0.5, 3.0), "dont_cares": ("float", 0.0, 3.0), "rank_weight": ("float", 1.0, 3.0), "n_estimators": ("int", 10, 100),
-    "max_depth": ("int", 2, 10), "min_samples_split": ("int", 2, 10), "min_weight_fraction_leaf": ("log", 1e-5, 1e-2), "max_features": ("float", 0.1, 1.0),
-    "randomize_max_feature": ("float", 0.3, 3.0), "min_impurity_decrease_range_start": ("log", 1e-5, 1e-1), "min_impurity_decrease_range_end": ("log", 1e-5, 1e-1),
-    "class_weight": ("float", 0.0, 1.0), "prefer_pos_splits": ("float", 1.0, 1.5), "max_or_features": ("int", 1, 20), "min_tree_occ": ("float", 0.0, 0.2),
-    "min_rule_occ": ("float", 0.0, 0.2), "cost_factor": ("log", 1e-4, 1e-2), "cover_beta": ("float", 0.5, 5.0), "pruning_beta": ("log", 0.05, 1.0),
+    "max_depth": ("int", 3, 10, 1), "min_weight_fraction_leaf": ("float", 0.0, 0.002, 0.0001), "top_k": ("float", 0.1, 2.0, 0.1), "dont_cares": ("float", 0.0, 5.0, 0.25),
+    "rank_weight": ("float", 1.0, 10.0, 0.5), "max_features": ("float", 0.01, 1.0, 0.01), "min_impurity_decrease_range_start": ("float", 0.001, 0.05, 0.0035),
+    "min_impurity_decrease_range_end": ("float", 0.001, 0.05, 0.0035), "class_weight": ("float", 0.0, 1.0, 0.1), "top_k_or_candidates": ("int", 500, 3000, 500),
+    "randomize_max_feature": ("float", 0.0, 3.0, 0.3), "randomize_min_impurity_decrease_range": ("float", 0.0, 3.0, 0.3), "min_tree_occ": ("float", 0.0, 0.2, 0.02),
+    "min_rule_occ": ("float", 0.0, 0.1, 0.01), "cover_beta": ("float", 0.1, 2.0, 0.1), "pruning_beta": ("float", 0.05, 1.0, 0.05), "term_expansions": ("choice", (True, False)),
+    "mh_noexp": ("choice", (True, False)), "tiab": ("choice", (True, False)),
 }
 
 TRIAL_SCHEMA = "study string, trial int, state string, params string, topic string, step int, precision double, recall double, value double"
@@ -35,13 +36,16 @@ def draw(space: dict[str, tuple], rng: np.random.Generator, good: list[dict] | N
         if spec[0] == "choice":
             out[name] = near[name] if near and rng.random() < 0.5 else spec[1][int(rng.integers(len(spec[1])))]
             continue
-        kind, low, high = spec
+        kind, low, high, *step = spec
         a, b = (math.log(low), math.log(high)) if kind == "log" else (low, high)
         x = rng.uniform(a, b)
         if near is not None and rng.random() < 0.5:
             middle = math.log(near[name]) if kind == "log" else near[name]
             x = min(max(rng.normal(middle, (b - a) / 10), a), b)
-        out[name] = round(x) if kind == "int" else round(math.exp(x) if kind == "log" else x, 6)
+        x = math.exp(x) if kind == "log" else x
+        if step:
+            x = min(low + round((x - low) / step[0]) * step[0], high)
+        out[name] = round(x) if kind == "int" else round(x, 6)
     return out
 
 
