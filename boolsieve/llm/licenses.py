@@ -40,18 +40,45 @@ BASE = (
     Template("apache", "apache license", "apache license", True),
     Template("gpl", "general public license", "general public license", True),
 )
-#: Common notices in lower case, without punctuation.
-NOTICES = (
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
-    Template("apache", "licensed under the apache license version 2 0", "apache license"),
-    Template("gpl", "licensed under the gnu general public license version 3", "general public license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("cc-by", "licensed under cc by 4 0", "cc by 4"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    Template("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-)
+#: Notices of public licences as they stand in files, in lower case, without punctuation: label, words, key phrase.
+NOTICES = tuple(Template(*x) for x in (
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
+    ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "on an as is basis"),
+    ("gpl", "licensed under the gnu general public license version 3", "general public license"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    ("cddl", "subject to the terms of the common development and distribution license", "common development and distribution"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "granted to anyone to use"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("artistic", "under the terms of the artistic license", "artistic license"),
+    ("wtfpl", "do what the fuck you want to public license", "want to public license"),
+    ("postgresql", "without a written agreement is hereby granted provided that the above copyright notice", "without a written agreement"),
+    ("psf", "licensed under the python software foundation license", "python software foundation"),
+    ("ofl", "licensed under the sil open font license", "open font license"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "dedicated the work"),
+    ("cc0", "licensed under cc0 1 0", "cc0 1 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike 4"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "attribution noncommercial 4"),
+    ("reserved", "all rights reserved no part of this publication may be reproduced", "no part of this publication"),
+))
 
 
 def idf(templates: tuple[Template, ...]) -> dict[str, float]:
@@ -70,42 +97,57 @@ def anchors(templates: tuple[Template, ...]) -> list[tuple[Template, str, int]]:
     return out
 
 
+def _alternatives(words: list[str]) -> str:
+    """An expression of all the words, shared beginnings once."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    if list(by) == [""]:
+        return ""
+    parts = [k + _alternatives(sorted(set(v))) for k, v in sorted(by.items()) if k]
+    return f"(?:{'|'.join(parts)}){'?' if '' in by else ''}"
+
+
+def _constant(templates: tuple[Template, ...], threshold: float) -> tuple[str, str]:
+    """The templates and their postings as SQL constants: an array of templates, and a map from a word to (template, place)."""
+    quoted = lambda words: "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+    rows = [f"named_struct('label', '{t.label}', 'words', {quoted(t.words)}, 'at', {t.key_at}, 'key', {quoted(t.key.split())}, 'base', {str(t.base).lower()}, 'least', {1.0 if t.base else threshold}D)" for t in templates]
+    postings: dict[str, list[str]] = {}
+    for k, (_, word, at) in enumerate(anchors(templates)):
+        postings.setdefault(word, []).append(f"named_struct('t', {k}, 'at', {at})")
+    return f"array({', '.join(rows)})", "map(" + ", ".join(f"'{w}', array({', '.join(p)})" for w, p in sorted(postings.items())) + ")"
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, found) for every row of ``docs``.
 
-    Words are runs of letters, digits and characters above ASCII, A-Z lower-cased. Postings of rare words give the places
-    where a template can start; there its words are intersected by position; it is found if its key phrase stands whole
-    and ``threshold`` of its words are in place. ``found`` lists label, start and share; ``score`` is the largest share
-    (0: none). Null and empty texts have no words. Rows are judged alone: repeated ones return alike, ids may be null,
-    other columns are not read. Texts without any rare word are only counted.
+    Words are runs of letters, digits and characters above ASCII, A-Z lower-cased. A template stands in the index under
+    the word of its key phrase that the fewest templates have. Every such word of a text looks up its postings, which are
+    data and not part of the expression; each gives the place where its template would start. There words are intersected
+    by position; a template is found if its key phrase stands whole and ``threshold`` of its words are in place. ``found``
+    lists label, start, share and base; ``score`` is the largest share (0: none). Null and empty texts have no words. Rows are
+    judged alone: repeated ones return alike, ids may be null, other columns are not read. Texts without any word of the
+    index are only counted.
     """
-    index = anchors(templates)
-    rare = sorted({w for _, w, _ in index})
+    table, postings = _constant(templates, threshold)
+    rare = sorted({w for _, w, _ in anchors(templates)})
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    bound = WORD.removesuffix("+")
-    maybe = F.col("text").rlike(f"(?i)(?<!{bound})(?:{'|'.join(rare)})(?!{bound})")
+    gap = GAP.removesuffix("+")
+    maybe = F.col("text").rlike(f"(?i)(?:^|{gap}){_alternatives(rare)}(?:{gap}|$)")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     split = rows.select("id", F.regexp_extract_all("text", F.lit(WORD), 0).alias("w"), maybe.alias("maybe"))
+    lowered = split.select("id", F.size("w").cast("long").alias("n_words"), F.expr(f"if(maybe, transform(w, x -> {low.format('x')}), cast(array() as array<string>))").alias("w"))
     listed = ", ".join(f"'{w}'" for w in rare)
-    hits = F.expr(f"if(maybe, filter(transform(w, (x, i) -> struct({low.format('x')} as x, i as i)), h -> h.x in ({listed})), array())")
-    posted = split.select("id", "w", hits.alias("hits"))
-    per = []
-    for t, anchor, at in index:
-        n = len(t.words)
-        same = " + ".join(f"int({low.format(f'get(w, s + {j})')} <=> '{word}')" for j, word in enumerate(t.words))
-        key = " and ".join(f"{low.format(f'get(w, s + {t.key_at + j})')} <=> '{word}'" for j, word in enumerate(t.key.split()))
-        starts = f"transform(filter(hits, h -> h.x = '{anchor}' and {f'h.i >= {at}' if t.base else 'true'}), h -> h.i - {at})"
-        rated = f"transform(filter({starts}, s -> {key}), s -> named_struct('label', '{t.label}', 'start', s, 'share', ({same}) / {n}D, 'base', {str(t.base).lower()}))"
-        per.append(f"filter({rated}, m -> m.share >= {1.0 if t.base else threshold}D)")
-    found = F.expr(f"if(size(hits) > 0, concat({', '.join(per)}), array())")
-    listed_docs = posted.select("id", F.size("w").cast("long").alias("n_words"), found.alias("found"))
+    hits = f"filter(transform(w, (x, i) -> struct(x as x, i as i)), h -> h.x in ({listed}))"
+    starts = f"flatten(transform({hits}, h -> transform(element_at({postings}, h.x), p -> named_struct('t', element_at({table}, p.t + 1), 's', h.i - p.at))))"
+    whole = "(not c.t.base or c.s >= 0) and size(filter(c.t.key, (k, j) -> get(w, c.s + c.t.at + j) <=> k)) = size(c.t.key)"
+    rated = f"transform(filter({starts}, c -> {whole}), c -> named_struct('label', c.t.label, 'start', c.s, 'share', size(filter(c.t.words, (k, j) -> get(w, c.s + j) <=> k)) / double(size(c.t.words)), 'base', c.t.base, 'least', c.t.least))"
+    kept = F.filter(F.expr(rated), lambda m: m["share"] >= m["least"])
+    listed_docs = lowered.select("id", "n_words", F.transform(kept, lambda m: m.dropFields("least")).alias("found"))
     base = F.filter("found", lambda m: m["base"])
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda m: m["label"]))), ",")
-    starts = F.transform(base, lambda m: m["start"].cast("long"))
+    places = F.transform(base, lambda m: m["start"].cast("long"))
     return listed_docs.select(
-        F.col("id").alias(id_col), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.col("id").alias(id_col), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
         names(base).alias("base_labels"), names(F.col("found")).alias("labels"), F.coalesce(F.array_max(F.transform("found", lambda m: m["share"])), F.lit(0.0)).alias("score"), "found",
     )
-
-
-__all__ = ["BASE", "GAP", "NOTICES", "THRESHOLD", "Template", "anchors", "idf", "scan"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from html import escape
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import cut, slices, utf8
+from boolsieve.llm.common import cut, free, slices, utf8
 
 #: Samples of a picture's row: 64 pixels of three 8-bit channels.
 ROW_BYTES = 192
@@ -157,39 +158,88 @@ def resolve(items: DataFrame, payloads: DataFrame) -> DataFrame:
     """The items with their payload's columns, joined by digest; text items and unknown digests have nulls there.
 
     Payloads are reduced to a row for each digest first, so that a medium with many copies is one row in the join; its
-    references can be split among tasks. Payloads should carry what is asked of them (features, a path) and not media.
+    references can be split among tasks. Payloads should carry what is asked of them (features, a path) and not media; of
+    several rows of a digest one stays whole, the one of the smallest hash.
     """
-    once = cut(payloads.groupBy("digest").agg(*[F.min(c).alias(c) for c in payloads.columns if c != "digest"]))
-    known = once.withColumnRenamed("digest", "_digest")
-    return items.join(known, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    (digest,) = free(items, "_digest")
+    row = F.struct(*[F.col(f"`{c}`") for c in payloads.columns if c != "digest"])
+    once = cut(payloads.groupBy("digest").agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select(F.col("digest").alias(digest), "_row.*"))
+    return items.join(once, F.col("digest") == F.col(digest), "left").drop(digest)
 
 
-def wrap_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(page_id, html, n_bytes): for each row a page of a caption and a reference to its text's stored form."""
+#: Bytes of a text from which on the next line break, or after twice as many the next blank, ends a block of its page.
+BLOCK = 2000
+
+
+def blocks(text: str) -> list[str]:
+    """A text in order, cut behind line breaks or blanks; the blocks joined are the text."""
+    out, at = [], 0
+    while at < len(text):
+        end = text.find("\n", at + BLOCK, at + 2 * BLOCK)
+        if end < 0:
+            end = text.find(" ", at + 2 * BLOCK, at + 4 * BLOCK)
+        end = min(len(text), at + 4 * BLOCK) if end < 0 else end + 1
+        if len(text) <= at + 2 * BLOCK:
+            end = len(text)
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def text_items(html: str) -> list[str]:
+    """What a reader sees of some HTML, block by block, blanks made one."""
+    return [i["text"] for i in parse_html(html) if i["kind"] == "text"]
+
+
+def page_of(text: bytes) -> str:
+    """A page with the text's blocks as paragraphs in order, and behind each a figure that refers to the text's stored form.
+
+    A figure's caption says which block it follows, of how many, and the text's bytes.
+    """
+    ref = hashlib.sha256(encode_picture(text)).hexdigest()
+    parts = blocks(text.decode()) or [""]
+    figure = f'<figure><img src="sha256:{ref}"/><figcaption>block {{}} of {len(parts)}, bytes {len(text)}</figcaption></figure>'
+    return "<article>" + "".join(f"<p>{escape(b)}</p>{figure.format(k)}" for k, b in enumerate(parts, 1)) + "</article>"
+
+
+_CAPTION = re.compile(r"block (\d+) of (\d+), bytes (\d+)")
+_SEQUENCE = "n_items long, n_media long, digest string, n_bytes long, sequence_sha256 string"
+
+
+def _sequence(items: list[dict]) -> tuple[int, int, str, int, str]:
+    """What a page's items come to: a caption that doesn't follow its block, or names another text, is an error."""
+    media = [i for i in items if i["kind"] == "media"]
+    told = [tuple(map(int, _CAPTION.fullmatch(m["caption"]).groups())) for m in media]
+    if [k for k, _, _ in told] != list(range(1, len(media) + 1)) or len({(m["digest"], *t[1:]) for m, t in zip(media, told)}) != 1 or told[0][1] != len(media):
+        raise ValueError("captions and positions of a page don't go together")
+    lines = (f"{i['position']}\t{i['kind']}\t{i['text'] if i['kind'] == 'text' else i['digest'] + ' ' + i['caption']}\n" for i in items)
+    return len(items), len(media), media[0]["digest"], told[0][2], hashlib.sha256("".join(lines).encode()).hexdigest()
+
+
+def page_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_items, n_media, digest, n_bytes, sequence_sha256) of each row's page, as parsing it gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            texts = utf8(part.column("text"))
-            pages = [
-                f'<article><p>document</p><figure><img src="sha256:{hashlib.sha256(encode_picture(t)).hexdigest()}"/><figcaption>{escape(f"bytes {len(t)}")}</figcaption></figure></article>'
-                for t in texts
-            ]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pages, pa.string())], ["page_id", "html"])
+            rows = [_sequence(parse_html(page_of(t))) for t in utf8(part.column("text"))]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["id", *(f.split()[0] for f in _SEQUENCE.split(", "))])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "page_id long, html string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_SEQUENCE}")
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: what reading its text's stored form back gives.
+    """One row for each row of ``docs``: what reading its text's stored form back gives, and its page's sequence.
 
-    Texts become pages that refer to pictures by digest; the pages are parsed, their references resolved by a digest join
-    with the payload store, and the caption's count checked against it. Null texts are empty; an empty text is one row
-    of spaces. Equal texts give equal values; repeated rows and null ids each return; other columns are not read.
+    Texts become pages of blocks and figures that refer to pictures by digest; the pages are parsed to sequences in which
+    every caption must follow its block, and references are resolved by a digest join with the payload store. A payload
+    whose size isn't that of the captions is an error. Null texts are empty; an empty text is one row of spaces. Equal texts
+    give equal values; repeated rows and null ids each return; other columns are not read.
     """
-    items = sequences(wrap_pages(docs, id_col, text_col)).filter("kind = 'media'")
-    joined = resolve(items, read_payloads(payload_store(docs, text_col)))
+    joined = resolve(page_sequences(docs, id_col, text_col), read_payloads(payload_store(docs, text_col)))
+    padded = F.greatest(F.ceil(F.col("n_bytes") / ROW_BYTES), F.lit(1)) * ROW_BYTES
+    checked = F.when(F.col("payload_bytes") == padded, F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a payload isn't what its captions say")).cast("long"))
     return joined.select(
-        F.col("page_id").alias(id_col), F.regexp_extract("caption", r"^bytes (\d+)$", 1).cast("long").alias("n_bytes"),
-        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        F.col("id").alias(id_col), "n_bytes", checked.alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "n_media", "sequence_sha256",
     )

@@ -57,7 +57,8 @@ def _licenses_sql() -> str:
         key = f"w[s + {t.key_at + 1} : s + {t.key_at + k}] = {listed}[{t.key_at + 1} : {t.key_at + k}]"
         share = f"len(list_filter(range(1, {n + 1}), lambda j: s + j >= 1 AND s + j <= len(w) AND w[s + j] = {listed}[j]))::DOUBLE / {n}.0::DOUBLE"
         made = f"{{'label': '{t.label}', 'start': s, 'share': {share}, 'base': {str(t.base).lower()}}}"
-        per.append(f"list_filter(list_transform(list_filter({where}, lambda s: s + {t.key_at} >= 0 AND {key}), lambda s: {made}), lambda m: m.share >= {need!r})")
+        got = f"list_filter(list_transform(list_filter({where}, lambda s: s + {t.key_at} >= 0 AND {key}), lambda s: {made}), lambda m: m.share >= {need!r})"
+        per.append(f"CASE WHEN {' AND '.join(f"list_contains(w, '{k}')" for k in t.key.split())} THEN {got} ELSE [] END")
     return f"""
 WITH d AS (SELECT doc_id, {WORDS.format(LOWER.format("text"))} AS w FROM documents),
 f AS (SELECT doc_id, w, {" || ".join(per)} AS found FROM d),
