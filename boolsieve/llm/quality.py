@@ -34,7 +34,7 @@ BROADCAST_GRAMS = 4_000_000
 #: Text for each shard of the n-grams and each block of texts, in bytes, and the fewest of either.
 SHARD_BYTES, LEAST_SHARDS = 64 << 20, 12
 #: Text that a task looks at at a time, and distinct n-grams that it holds before it hands them on.
-STEP_BYTES, HELD_GRAMS = 1 << 20, 400_000
+STEP_BYTES, HELD_GRAMS = 1 << 20, 1_000_000
 _STEP = 1000.0  # of the histogram from which quantiles are read: thousandths of a nat
 _LOW_BITS = [(1 << 8 * k) - 1 for k in range(ORDER + 1)]
 
@@ -152,8 +152,18 @@ def count_grams(texts: DataFrame, shards: int) -> DataFrame:
         return _batch([_count_rows(s, numbers[order[a:b]], n[order[a:b]]) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a], _COUNTS)
 
     def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        return pa.Table.from_batches([_batch([_count_rows(rows["shard"][0], *merged(*_unpacked(rows)))], _COUNTS)])
+        held, n, size, most = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)], 0, HELD_GRAMS // 4
+        for batch in table.to_batches():
+            for i in range(batch.num_rows):
+                own, counts = _unpacked(batch.slice(i, 1).to_pydict())
+                held += own
+                n += counts
+                size += len(own[0])
+                if size > most:
+                    one, sums = merged(held, n)
+                    held, n, size = [one], [sums], len(one)
+                    most = max(HELD_GRAMS // 4, 2 * size)
+        return pa.Table.from_batches([_batch([_count_rows(table["shard"][0].as_py(), *merged(held, n))], _COUNTS)])
 
     return texts.mapInArrow(run, _COUNTS).groupBy("shard").applyInArrow(add, _COUNTS)
 
