@@ -24,8 +24,10 @@ BINS, ROWS = 256, 8
 #: How much less alike sketches of BINS different shingles may say that texts are for their shingles to be compared: four times
 #: the standard error, which grows with the root of fewer shingles.
 SLACK = 0.1
-#: Members of a bucket that the others are compared with at first, and how much that grows for those without a link.
-CENTRES, GROWTH = 3, 4
+#: Members of a bucket up to which all are compared with each other.
+FEW = 3
+#: Shingles of the texts that a task compares with each other, and of those that it counts together.
+BLOCK_SHINGLES, COLUMNS = 500_000, 2048
 #: Texts that share a band with another up to which tasks get their hashes as a broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_TEXTS = 4_000_000
 
@@ -262,42 +264,78 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, least: floa
     return cut(common.filter(F.col("both") >= F.lit(least) * (F.col("n") - F.col("both"))).select("a", "b"))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of the left shares with each of the right. Those of one set alone don't count."""
+    both = left + right
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, token, n = np.unique(np.concatenate([*both, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    shared = n[token] > 1
+    _, token = np.unique(token[shared], return_inverse=True)
+    owner = owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, [at, at + COLUMNS])
+        has = np.zeros((len(both), COLUMNS), np.float32)
+        has[owner[a:b], token[a:b] - at] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def rest_links(alone: DataFrame, member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): exact links of the members ``alone`` (bucket, node) with all members of their buckets.
+
+    A bucket is cut into blocks of BLOCK_SHINGLES by a hash of its members; a task compares one block with another and
+    gives links only, so no task holds a whole bucket and no pairs are written.
+    """
+    own = member.join(alone.select("bucket").distinct(), "bucket", "left_semi")
+    size = own.join(sets.select("node", F.size("shingles").alias("n")), "node").groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    size = cut(size)
+    block, every = F.pmod(F.xxhash64("bucket", "node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = alone.join(size, "bucket").select("bucket", "node", block.alias("i"), every.alias("j"), F.lit(True).alias("open"))
+    right = own.join(size, "bucket").select("bucket", "node", every.alias("i"), block.alias("j"), F.lit(False).alias("open"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        mine = table["open"].to_numpy()
+        nodes, found = table["node"].to_numpy(), [np.asarray(x, np.int64) for x in table["shingles"].to_numpy()]
+        x, y = np.flatnonzero(mine), np.flatnonzero(~mine)
+        n = np.array([len(f) for f in found], np.float32)
+        common = overlaps([found[k] for k in x], [found[k] for k in y])
+        hit = (common >= least * (n[x][:, None] + n[y][None, :] - common)) & (nodes[x][:, None] != nodes[y][None, :])
+        p, q = np.nonzero(hit)
+        one, other = nodes[x[p]], nodes[y[q]]
+        return pa.table({"a": np.maximum(one, other), "b": np.minimum(one, other)})
+
+    rows = left.unionAll(right).join(sets, "node")
+    return cut(rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+
+
 def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float = LIKENESS) -> DataFrame:
     """(a, b), a > b: links between distinct texts (node, sketch, n) that share ``least`` of their shingles.
 
     ``sets_of`` gives (node, shingles) of the nodes (node) that share a bucket with another; the rest are never compared.
-
-    Texts whose sketches agree in a whole band are in a bucket. There they are compared with a few members, not with each
-    other: the one that is in most buckets (what others are copies of) and some by hash, other ones in each bucket. Those
-    that none of these is like go on to be compared with more members, until they have a link or have been compared with
-    all; so a hot bucket of copies costs three comparisons for each, and no member is left out.
+    Texts whose sketches agree in a whole band are in a bucket. Up to FEW of them are compared with each other. Of more, each
+    is compared with the one that meets most others in all its buckets, which is what they are copies of: a hot bucket
+    of copies costs a comparison for each. Those that are like none of these are then compared with all members of their
+    buckets, by their shingles and in blocks. So no text stays without a link that it has, however full its buckets are.
     """
     member = bands(distinct)
     wanted = cut(member.select("node").distinct())
     sets = sets_of(wanted)
     sketches = cut(distinct.select("node", "sketch", "n").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS // 8 else wanted, "node", "left_semi"))
     sizes = cut(member.groupBy("bucket").agg(F.count("*").alias("size")))
-    weight = cut(member.groupBy("node").agg(F.count("*").alias("weight")))
-    central = cut(member.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("centre")))
-    tried = found = None
-    still, k = member, CENTRES
-    while True:
-        part = F.when(F.col("size") <= k, F.col("node")).otherwise(F.pmod(F.xxhash64("bucket", "node"), F.lit(k)))
-        chosen = member if still is member else member.join(still.select("bucket").distinct(), "bucket")
-        chosen = chosen.join(sizes, "bucket").groupBy("bucket", part.alias("part")).agg(F.max_by("node", F.xxhash64("node", F.lit(k))).alias("centre"))
-        chosen = cut(chosen.select("bucket", "centre").unionAll(central if still is member else central.join(still.select("bucket").distinct(), "bucket")).distinct())
-        ends = still.join(chosen, "bucket").filter("node <> centre")
-        pairs = ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        new = verified(pairs, sketches, sets, least)
-        found = new if found is None else found.unionAll(new)
-        linked = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("node", "centre")
-        reached = still.join(chosen, "bucket").join(linked, ["node", "centre"]).select("bucket", "node").distinct()
-        still = cut(still.join(sizes.filter(F.col("size") > k), "bucket").select("bucket", "node").join(reached, ["bucket", "node"], "left_anti"))
-        if still.isEmpty():
-            return found
-        k *= GROWTH
+    weight = cut(member.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight")))
+    central = member.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
+    few = member.join(sizes.filter(F.col("size") <= FEW), "bucket").select("bucket", F.col("node").alias("centre"))
+    ends = member.join(cut(central.unionAll(few).distinct()), "bucket").filter("node <> centre")
+    pairs = cut(ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
+    found = verified(pairs, sketches, sets, least)
+    linked = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
+    alone = cut(member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi").join(linked.distinct(), "node", "left_anti"))
+    if alone.isEmpty():
+        return found
+    return found.unionAll(rest_links(alone, member, sets, least)).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS) -> DataFrame:

@@ -56,3 +56,15 @@ def test_pairs_about_the_bound_are_compared_exactly(spark):
     found = pairs()
     docs = spark.createDataFrame(list(enumerate(found[True] + found[False])), "doc_id long, text string")
     assert {r.doc_id for r in sh.drop_near_copies(docs).collect()} == {0, 2, 3}
+
+
+def test_overlaps_equal_sets():
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, 6000, int(rng.integers(0, 900)))) for _ in range(n)] for n in (5, 7))
+    assert sh.overlaps(left, right).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert sh.overlaps([np.zeros(0, np.int64)], left[:1]).tolist() == [[0]]
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(sh, "BLOCK_SHINGLES", 150)
+    test_members_that_centres_miss_meet_all_others(spark)
