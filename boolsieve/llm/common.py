@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,9 +69,17 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system: workers are kept from task to task, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that the texts of a piece take ``limit`` bytes, or are a single row."""
     for batch in batches:
+        release()
         ends = offsets(batch.column(column))
         at = 0
         while at < batch.num_rows:
@@ -77,6 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYT
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def offsets(column: pa.Array) -> np.ndarray:

@@ -34,7 +34,7 @@ BROADCAST_GRAMS = 4_000_000
 #: Text for each shard of the n-grams and each block of texts, in bytes, and the fewest of either.
 SHARD_BYTES, LEAST_SHARDS = 64 << 20, 12
 #: Text that a task looks at at a time, and distinct n-grams that it holds before it hands them on.
-STEP_BYTES, HELD_GRAMS = 1 << 20, 1_000_000
+STEP_BYTES, HELD_GRAMS = 512 << 10, 600_000
 _STEP = 1000.0  # of the histogram from which quantiles are read: thousandths of a nat
 _LOW_BITS = [(1 << 8 * k) - 1 for k in range(ORDER + 1)]
 
