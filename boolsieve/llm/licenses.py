@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,18 +80,24 @@ NOTICES = tuple(Template(*x) for x in (
 ))
 
 
-def idf(templates: tuple[Template, ...]) -> dict[str, float]:
-    """Inverse document frequency of each word among the templates."""
-    df = Counter(w for t in templates for w in set(t.words))
-    return {w: math.log(len(templates) / n) for w, n in df.items()}
+def key_words(templates: tuple[Template, ...]) -> list[str]:
+    """The words of all key phrases."""
+    return sorted({w for t in templates for w in t.key.split()})
 
 
-def anchors(templates: tuple[Template, ...]) -> list[tuple[Template, str, int]]:
-    """Each template with the word of its key phrase that has the highest IDF, and that word's place."""
-    weight = idf(templates)
+def document_counts(texts: DataFrame, words: list[str]) -> dict[str, int]:
+    """How many rows of ``texts`` (a column ``text``) have each word. The driver gets one number for each word of the templates."""
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    found = F.regexp_extract_all(lowered, F.lit(f"(?<!{WORD[:-1]}){_alternatives(words)}(?!{WORD[:-1]})"), 0)
+    counted = texts.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").count()
+    return {r["word"]: r["count"] for r in counted.collect()}
+
+
+def anchors(templates: tuple[Template, ...], counts: dict[str, int]) -> list[tuple[Template, str, int]]:
+    """Each template with the word of its key phrase that has the highest IDF, the fewest documents, and that word's place; ties go to the first."""
     out = []
     for t in templates:
-        at = max(range(t.key_at, t.key_at + len(t.key.split())), key=lambda i: (weight[t.words[i]], -i))
+        at = min(range(t.key_at, t.key_at + len(t.key.split())), key=lambda i: (counts.get(t.words[i], 0), i))
         out.append((t, t.words[at], at))
     return out
 
@@ -108,12 +113,12 @@ def _alternatives(words: list[str]) -> str:
     return f"(?:{'|'.join(parts)}){'?' if '' in by else ''}"
 
 
-def _constant(templates: tuple[Template, ...], threshold: float) -> tuple[str, str]:
+def _constant(indexed: list[tuple[Template, str, int]], threshold: float) -> tuple[str, str]:
     """The templates and their postings as SQL constants: an array of templates, and a map from a word to (template, place)."""
     quoted = lambda words: "array(" + ", ".join(f"'{w}'" for w in words) + ")"
-    rows = [f"named_struct('label', '{t.label}', 'words', {quoted(t.words)}, 'at', {t.key_at}, 'key', {quoted(t.key.split())}, 'base', {str(t.base).lower()}, 'least', {1.0 if t.base else threshold}D)" for t in templates]
+    rows = [f"named_struct('label', '{t.label}', 'words', {quoted(t.words)}, 'at', {t.key_at}, 'key', {quoted(t.key.split())}, 'base', {str(t.base).lower()}, 'least', {1.0 if t.base else threshold}D)" for t, _, _ in indexed]
     postings: dict[str, list[str]] = {}
-    for k, (_, word, at) in enumerate(anchors(templates)):
+    for k, (_, word, at) in enumerate(indexed):
         postings.setdefault(word, []).append(f"named_struct('t', {k}, 'at', {at})")
     return f"array({', '.join(rows)})", "map(" + ", ".join(f"'{w}', array({', '.join(p)})" for w, p in sorted(postings.items())) + ")"
 
@@ -121,20 +126,22 @@ def _constant(templates: tuple[Template, ...], threshold: float) -> tuple[str, s
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, found) for every row of ``docs``.
 
-    Words are runs of letters, digits and characters above ASCII, A-Z lower-cased. A template stands in the index under
-    the word of its key phrase that the fewest templates have. Every such word of a text looks up its postings, which are
+    Words are runs of letters, digits and characters above ASCII, A-Z lower-cased. A first job counts the documents that
+    have each word of the key phrases; a template stands in the index under the word of its key phrase that the fewest
+    documents have (which word that is does not change a result). Every such word of a text looks up its postings, which are
     data and not part of the expression; each gives the place where its template would start. There words are intersected
     by position; a template is found if its key phrase stands whole and ``threshold`` of its words are in place. ``found``
     lists label, start, share and base; ``score`` is the largest share (0: none). Null and empty texts have no words. Rows are
     judged alone: repeated ones return alike, ids may be null, other columns are not read. Texts without any word of the
     index are only counted.
     """
-    table, postings = _constant(templates, threshold)
-    rare = sorted({w for _, w, _ in anchors(templates)})
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    indexed = anchors(templates, document_counts(rows, key_words(templates)))
+    table, postings = _constant(indexed, threshold)
+    rare = sorted({w for _, w, _ in indexed})
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     gap = GAP.removesuffix("+")
     maybe = F.col("text").rlike(f"(?i)(?:^|{gap}){_alternatives(rare)}(?:{gap}|$)")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     split = rows.select("id", F.regexp_extract_all("text", F.lit(WORD), 0).alias("w"), maybe.alias("maybe"))
     lowered = split.select("id", F.size("w").cast("long").alias("n_words"), F.expr(f"if(maybe, transform(w, x -> {low.format('x')}), cast(array() as array<string>))").alias("w"))
     listed = ", ".join(f"'{w}'" for w in rare)

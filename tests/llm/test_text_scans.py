@@ -38,6 +38,20 @@ def test_licences(spark, odd_docs, no_docs, clashing):
     assert licenses.scan(clashing).count() == odd_docs.count() and licenses.scan(no_docs).count() == 0
 
 
+def test_rare_words_are_those_of_the_documents(spark, odd_docs, no_docs):
+    more = spark.createDataFrame([(30, "THE mit, a (license) public-license", None, None, 1), (31, "mit license emit mits é", None, None, 1), (32, "licenseé émit general public Mit", None, None, 1)], odd_docs.schema)
+    docs = odd_docs.unionByName(more)
+    keys = licenses.key_words(licenses.BASE + licenses.NOTICES)
+    have = [set(x.decode() for x in words((r.text or "").encode())) for r in docs.collect()]
+    want = {k: sum(k in h for h in have) for k in keys}
+    got = licenses.document_counts(docs, keys)
+    assert got == {k: n for k, n in want.items() if n} and got["mit"] > got["public"] > 1
+    assert licenses.document_counts(no_docs, keys) == {}
+    mit, gpl = licenses.BASE[0], licenses.BASE[2]
+    assert licenses.anchors((mit, gpl), {"mit": 9, "license": 5, "public": 1}) == [(mit, "license", 1), (gpl, "general", 0)]
+    assert licenses.anchors((mit,), {}) == [(mit, "mit", 0)]
+
+
 def test_licence_plan_has_no_python(spark, sf):
     for name in ("op4_licenses", "op6_urls"):
         assert "Python" not in QUERIES[name](spark, sf)._jdf.queryExecution().toString()
