@@ -20,13 +20,24 @@ REMEMBERED = 600_000
 
 
 def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
-    """Pieces with log probabilities. The file ranks its pieces; rank r gets the share of Zipf's law, 1 / (r * H)."""
+    """Pieces with log probabilities.
+
+    A unigram file's scores are log probabilities and are taken as they are. The scores of a merge file are ranks, whole
+    numbers from zero down; its piece of rank r gets the share of Zipf's law, 1 / (r * H).
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    norm = math.log(sum(1 / r for r in range(1, len(names) + 1)))
-    return {name: -math.log(r) - norm for r, name in enumerate(names, 1)}
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    return log_shares([(model.id_to_piece(i), model.get_score(i)) for i in plain])
+
+
+def log_shares(scored: list[tuple[str, float]]) -> dict[str, float]:
+    """Log probabilities of pieces in the order of their ranks, from the scores of a vocabulary file; see ``load_pieces``."""
+    if any(score != int(score) for _, score in scored):
+        return dict(scored)
+    norm = math.log(sum(1 / r for r in range(1, len(scored) + 1)))
+    return {name: -math.log(r) - norm for r, (name, _) in enumerate(scored, 1)}
 
 
 class Trie:

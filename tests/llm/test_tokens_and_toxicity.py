@@ -41,6 +41,12 @@ def test_prefixes_are_scored_once():
     assert trie.nodes == 7
 
 
+def test_scores_of_a_unigram_file_are_taken_as_they_are():
+    assert tc.log_shares([("a", -0.5), ("b", -3.25)]) == {"a": -0.5, "b": -3.25}
+    ranks = tc.log_shares([("a", 0.0), ("b", -1.0), ("c", -2.0)])
+    assert math.isclose(sum(map(math.exp, ranks.values())), 1) and math.isclose(ranks["a"] - ranks["c"], math.log(3))
+
+
 def test_counts(spark, odd_docs, no_docs, clashing):
     pieces = tc.load_pieces()
     got = [tuple(r) for r in tc.token_counts(odd_docs, pieces).collect()]
