@@ -34,23 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for data between jobs that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session that names none (a test) gets one beside its warehouse.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, so that its lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns of these names in any case: an operator's own columns replace an input's."""
     taken = {n.lower() for n in names}

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import cut, free, slices, utf8
+from boolsieve.llm.common import free, slices, utf8
+from boolsieve.session import cut
 
 #: Samples of a picture's row: 64 pixels of three 8-bit channels.
 ROW_BYTES = 192

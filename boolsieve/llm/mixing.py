@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import cut, free, without
+from boolsieve.llm.common import free, without
+from boolsieve.session import cut
 
 SEED = 7
 #: Groups (sources) up to which the table of their distributions is broadcast; it takes under 2 KB a group.

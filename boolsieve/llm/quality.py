@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boolsieve.llm.common import cut, free, offsets, slices, without
-from boolsieve.session import Shared
+from boolsieve.llm.common import free, offsets, slices, without
+from boolsieve.session import Shared, cut
 
 #: Bytes of an n-gram, all 256 of them told apart: six pack into 48 bits of a long.
 ORDER, ALPHABET = 6, 256

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import cut, free, slices, utf8
+from boolsieve.llm.common import free, slices, utf8
+from boolsieve.session import cut
 
 BITS = 64
 SEED = 42

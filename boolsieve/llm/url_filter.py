@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import cut, free
+from boolsieve.llm.common import free
+from boolsieve.session import cut
 
 #: Rules up to which their table is broadcast; it takes under 1 KB a rule.
 BROADCAST_RULES = 20_000
