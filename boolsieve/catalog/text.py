@@ -9,7 +9,7 @@ from boolsieve.catalog.registry import SQL_DOCS, SQL_LAB, SQL_POST, SQL_TERMS, l
 from boolsieve.functions import boolean, strategies, text
 from boolsieve.functions.rules import RULE_TYPE, cost_column, rule, size_columns
 from boolsieve.functions.safe import precision, ratio, recall
-from boolsieve.operators import ablation, analytics, coverage, setcover, splits, vocabulary
+from boolsieve.operators import ablation, analytics, coverage, lexicon, setcover, splits, vocabulary
 from boolsieve.plans import trees
 from boolsieve.session import cut
 
@@ -66,6 +66,25 @@ def bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.bag_of_words(F.col("text"), F.array("lang", "source")), " ").alias("bow"))
 
 
+# the plural rules in the order in which they decide, irregular forms first
+_SQL_LEMMA = "CASE " + " ".join(f"WHEN term = '{a}' THEN '{b}'" for a, b in text.IRREGULAR.items()) + """ WHEN length(term) <= 3 THEN term
+WHEN term LIKE '%ies' THEN regexp_replace(term, '([^ae])ies$', '\\1y') WHEN term LIKE '%es' THEN regexp_replace(term, '([^aeo])es$', '\\1e') ELSE regexp_replace(term, '([^su])s$', '\\1') END"""
+
+
+@query(f"WITH {SQL_POST} SELECT lemma, array_to_string(list_sort(list(DISTINCT term)), ' ') AS forms, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, term, {_SQL_LEMMA} AS lemma FROM post) GROUP BY lemma")
+def lemma_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lemma with the forms that stand for it and the documents that have it (F1)."""
+    forms = cut(lexicon.lemma_forms(table(spark, sf_dir, "documents")))
+    df = forms.groupBy("lemma").agg(F.count("*").alias("df"))
+    return lexicon.global_lexicon(forms).join(df, "lemma").select("lemma", F.array_join("forms", " ").alias("forms"), "df")
+
+
+@query(f"WITH {SQL_POST}, l AS (SELECT DISTINCT doc_id, {_SQL_LEMMA} AS lemma FROM post) SELECT d.doc_id, coalesce(string_agg(lemma, ' ' ORDER BY lemma), '') AS lemmas FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id")
+def document_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different lemmas of every document (F2)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.lemmas(F.col("text")), " ").alias("lemmas"))
+
+
 _HEADINGS = ["Down Syndrome/blood/*prevention & control", "Purpura, Schoenlein-Henoch", "(Asthma)", "Neoplasms/*therapy"]
 
 
@@ -389,11 +408,13 @@ def synonym_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, vec_id // 60 AS q, label AS clause, vec_id % 3 AS literal FROM embeddings),
-p AS (SELECT CASE WHEN a.literal = b.literal THEN 'or' ELSE 'and' END AS kind, list_cosine_similarity(a.e, b.e) AS s FROM t a JOIN t b ON a.q = b.q AND a.clause = b.clause AND a.vec_id::VARCHAR < b.vec_id::VARCHAR)
-SELECT kind, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(min(s), 6) AS low, round(max(s), 6) AS high FROM p GROUP BY kind""")
+p AS (SELECT CASE WHEN a.literal = b.literal THEN 'or' ELSE 'and' END AS kind, list_cosine_similarity(a.e, b.e) AS s FROM t a JOIN t b ON a.q = b.q AND a.clause = b.clause AND a.vec_id::VARCHAR < b.vec_id::VARCHAR),
+o AS (SELECT e, row_number() OVER (ORDER BY md5('7:' || vec_id::VARCHAR), vec_id::VARCHAR) - 1 AS at FROM t),
+u AS (SELECT * FROM p UNION ALL SELECT 'random', list_cosine_similarity(x.e, y.e) FROM o x JOIN o y ON x.at % 2 = 0 AND y.at = x.at + 1 AND y.at < 400)
+SELECT kind, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(min(s), 6) AS low, round(max(s), 6) AS high FROM u GROUP BY kind""")
 def term_pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors stand for terms, sixty in a query."""
     v = table(spark, sf_dir, "embeddings")
     terms = v.select(F.floor(F.col("vec_id") / 60).alias("query_id"), F.col("label").alias("clause"), (F.col("vec_id") % 3).alias("literal"), F.col("vec_id").cast("string").alias("term"))
-    out = ablation.pair_similarities(terms, v.select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").alias("vector")))
+    out = ablation.pair_similarities(terms, v.select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").alias("vector")), random_pairs=200, seed=7)
     return rounded(out, "mean", "median", "low", "high")

@@ -31,6 +31,29 @@ def is_term(t: Column, stop_words: tuple[str, ...] = STOP_WORDS, min_length: int
     return found if numbers else found & ~t.rlike(r"^[0-9-]+$")
 
 
+# fixed values: English plurals that no ending gives away
+IRREGULAR = {"children": "child", "criteria": "criterion", "feet": "foot", "geese": "goose", "men": "man", "mice": "mouse", "phenomena": "phenomenon", "teeth": "tooth", "women": "woman"}
+
+
+def lemma(word: Column, irregular: dict[str, str] | None = None) -> Column:
+    """The dictionary form of a lower-case word, as far as endings tell: irregular forms, then the plural rules of the S stemmer.
+
+    The rules are those of Harman, "How effective is suffixing?" (1991): -ies becomes -y but after a or e, -es becomes -e but
+    after a, e or o, -s goes but after s or u; the first ending that is there decides. Words of up to three letters stay.
+    """
+    known = IRREGULAR if irregular is None else irregular
+    plural = F.when(word.rlike("ies$"), F.regexp_replace(word, "(?<![ae])ies$", "y")).when(word.rlike("es$"), F.regexp_replace(word, "(?<![aeo])es$", "e")).otherwise(F.regexp_replace(word, "(?<![su])s$", ""))
+    regular = F.when(F.length(word) > 3, plural).otherwise(word)
+    if not known:
+        return regular
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair]), word), regular)
+
+
+def lemmas(text: Column) -> Column:
+    """The different lemmas of a text's terms, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(terms(text), lambda t: lemma(t))))
+
+
 def surface_form(word: Column) -> Column:
     """A word as it is searched for: lower case, marks other than hyphens as spaces, no hyphens or spaces at its ends or in a row."""
     plain = F.regexp_replace(F.lower(word), "[^a-z0-9\\s-]", " ")

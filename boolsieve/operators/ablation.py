@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from boolsieve.functions import boolean
 from boolsieve.functions.safe import f_beta, precision, recall
@@ -50,15 +51,14 @@ def substitutions(docs: DataFrame, first: str, second: str, beta: float = 50.0)
 
 def best_replacements(gains: DataFrame, k: int) -> DataFrame:
     """The k best replacements of each term, with ``rank``; ties by the other term."""
-    from pyspark.sql.window import Window
-
     return gains.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("f_gain"), "other"))).filter(F.col("rank") <= k)
 
 
-def pair_similarities(terms: DataFrame, vectors: DataFrame) -> DataFrame:
+def pair_similarities(terms: DataFrame, vectors: DataFrame, random_pairs: int = 0, seed: int = 0) -> DataFrame:
     """(kind, n, mean, median, low, high): cosine of term pairs in the same OR and of those in the same AND but other ORs.
 
-    terms: (query_id, clause, literal, term), those of queries; vectors: (term, vector).
+    terms: (query_id, clause, literal, term), those of queries; vectors: (term, vector). ``random_pairs`` adds the kind
+    "random": so many pairs of different terms of ``vectors``, neighbours in the order of a hash of seed and term.
     """
     from boolsieve.operators.ranking import cosine
 
@@ -67,6 +67,11 @@ def pair_similarities(terms: DataFrame, vectors: DataFrame) -> DataFrame:
     pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.clause") == F.col("b.clause")) & (F.col("a.term") < F.col("b.term")))
     kind = F.when(F.col("a.literal") == F.col("b.literal"), "or").otherwise("and")
     scored = pairs.select(kind.alias("kind"), cosine(F.col("a.vector"), F.col("b.vector")).alias("s"))
+    if random_pairs:
+        drawn = vectors.withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), "term"))).orderBy("hash", "term").limit(2 * random_pairs)
+        at = F.row_number().over(Window.orderBy("hash", "term")) - 1  # over the drawn rows only
+        paired = drawn.withColumn("at", at).groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(F.min_by("vector", "at").alias("v"), F.max_by("vector", "at").alias("w"), F.count("*").alias("n"))
+        scored = scored.unionByName(paired.filter("n = 2").select(F.lit("random").alias("kind"), cosine(F.col("v"), F.col("w")).alias("s")))
     return scored.groupBy("kind").agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.percentile("s", 0.5).alias("median"), F.min("s").alias("low"), F.max("s").alias("high"))
 
 

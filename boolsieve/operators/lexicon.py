@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.functions.text import prefixes
+from boolsieve.functions.text import lemma, prefixes
+from boolsieve.operators.vocabulary import postings
 from boolsieve.session import cut, small
 
 
@@ -76,6 +77,12 @@ def dominating_words(words: DataFrame, related: DataFrame) -> DataFrame:
     return rated.groupBy("word").agg(F.min_by("choice", F.struct(-F.col("n"), F.col("choice"))).alias("target"))
 
 
+def lemma_forms(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, lemma, forms): each lemma of a document with the sorted different forms that stand for it there. Null texts have none."""
+    found = postings(docs, doc, text).withColumn("lemma", lemma(F.col("term")))
+    return found.groupBy(doc, "lemma").agg(F.array_sort(F.collect_set("term")).alias("forms"))
+
+
 def global_lexicon(forms: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(lemma, forms): the sorted different forms of each lemma over all documents' (lemma, forms), after a remap (word, target)."""
     rows = forms.select("lemma", F.explode("forms").alias("form"))

@@ -72,11 +72,33 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(rank_order()) - 1)
 
 
-def star_graph(vectors: DataFrame, query: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a query's neighbours: nodes (doc_id, x, y) by the first two dimensions, edges (source, target, weight)."""
+def plane(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, x, y): vectors on their first two principal components. The larger loading of a component is positive.
+
+    The driver gets sums of products, a number for each pair of dimensions, however many vectors there are.
+    """
+    import numpy as np
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select(F.col(id_col), F.col(vec_col).cast("array<double>").alias("v"))
+    model = PCA(k=2, inputCol="p", outputCol="q").fit(rows.select(array_to_vector("v").alias("p")))
+    axes = model.pc.toArray().T
+    axes = axes * np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]
+    along = lambda axis: dot(F.col("v"), F.array(*[F.lit(float(a)) for a in axis]))
+    return rows.select(id_col, along(axes[0]).alias("x"), along(axes[1]).alias("y"))
+
+
+def star_graph(vectors: DataFrame, query: DataFrame, threshold: float, k: int, projected: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a query's neighbours: nodes (doc_id, x, y), edges (source, target, weight).
+
+    Nodes are placed by their first two dimensions, or if ``projected`` by their first two principal components.
+    """
     near = search(vectors, query, k, threshold)
     edges = near.select(F.col("query_id").alias("source"), F.col("doc_id").alias("target"), F.col("score").alias("weight"))
     nodes = vectors.join(small(near.select(F.col("doc_id").alias("vec_id"))), "vec_id", "left_semi")
+    if projected:
+        return plane(cut(nodes)).withColumnRenamed("vec_id", "doc_id"), edges
     return nodes.select(F.col("vec_id").alias("doc_id"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")), edges
 
 

@@ -76,6 +76,26 @@ def latex(query: str, strong: set[str] | None = None, colours: dict[str, str] |
     return re.sub(r"[A-Za-z0-9-]+|[^A-Za-z0-9\s-]", lambda m: one(m[0]), query)
 
 
+def outer_operators(query: str, mark: str = "**") -> str:
+    """A query with those operators marked that stand in no brackets and no quotes."""
+    import re
+
+    depth, out = 0, []
+    for part in re.findall(r'"[^"]*"|[A-Za-z0-9-]+|.', query, re.DOTALL):
+        depth += (part == "(") - (part == ")")
+        out.append(f"{mark}{part}{mark}" if not depth and part in ("AND", "OR", "NOT") else part)
+    return "".join(out)
+
+
+def shade(value: float | None, low: float, high: float, steps: int = 5) -> int | None:
+    """Which of ``steps`` equal parts of low to high a value is in, from 0; values outside go to the ends, none stays none."""
+    if value is None:
+        return None
+    if high <= low:
+        return 0
+    return min(steps - 1, max(0, int((value - low) / (high - low) * steps)))
+
+
 def query_entries(results: DataFrame) -> DataFrame:
     """Result rows with ``terms`` and ``nested`` (an OR of ANDs of ORs of terms) of their query; null if it can't be read."""
     from boolsieve.functions import boolean

@@ -372,17 +372,21 @@ def leaf_counts(shards: Shards, trees: dict[int, Node], targets: dict[int, int]
     return {k: [(s, int(n), int(n1)) for s, (n, n1) in zip(flat[k][1].values(), v)] for (k,), v in shards.total(counted).items()}
 
 
-def threshold_of(leaves: list[tuple[float, int, int]], goal: str = "f1", constraint: tuple[str, float] | None = None) -> tuple[float | None, float]:
+def threshold_of(
+    leaves: list[tuple[float, int, int]], goal: str = "f1", constraint: tuple[str, float] | None = None, retrieved: Callable[[float], int] | None = None
+) -> tuple[float | None, float]:
     """The leaf share from which on a leaf counts as positive so that the goal is best, lowest first; and the goal's value.
 
     With a constraint (measure, least value) only thresholds that keep it count; if none does, the one that is closest.
-    Shares are those of all leaves of the tree; 0 is none.
+    Shares are those of all leaves of the tree; 0 is none. ``retrieved`` gives how many documents a threshold's query finds
+    in another collection, such as a search service; precision is then over that number, or the rows here if they are more.
     """
     positives = sum(n1 for _, _, n1 in leaves)
     rows = []
     for t in sorted({s for s, _, _ in leaves} - {0.0}):
         hit = [(n, n1) for s, n, n1 in leaves if s >= t - 1e-8]
-        got = sum(n1 for _, n1 in hit), sum(n for n, _ in hit), positives
+        rows_here = sum(n for n, _ in hit)
+        got = sum(n1 for _, n1 in hit), max(rows_here, retrieved(t)) if retrieved else rows_here, positives
         rows.append((t, metric(goal)(*got), metric(constraint[0])(*got) if constraint else 0.0))
     if not rows:
         return None, float("-inf")

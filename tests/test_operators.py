@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boolsieve.functions import text
-from boolsieve.operators import analytics, lexicon, ranking
-from boolsieve.plans import study
+from boolsieve.operators import ablation, analytics, lexicon, ranking
+from boolsieve.plans import reports, study, trees
 
 
 def test_lexicon_merge_golden():
@@ -87,8 +88,6 @@ def test_embeddings_have_length_one(spark):
 
 
 def test_tree_json():
-    from boolsieve.plans import trees
-
     tree = trees.Node(2, 3, 0.6, [4, 1], trees.Node(0, 3, 1.0), trees.Node(2, 0, 0.0))
     assert trees.from_json(trees.to_json(tree)) == tree
     assert trees.describe(tree, list("abcde")).splitlines()[0] == "any of e, b (3 of 5)"
@@ -96,8 +95,6 @@ def test_tree_json():
 
 def test_figures_if_they_can_be_drawn(spark):
     pytest.importorskip("matplotlib")
-    from boolsieve.plans import reports
-
     rows = spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "a"), (1, 1.0, "b")], "x int, y double, s string")
     for kind in ("line", "bar", "scatter"):
         assert reports.figure(rows, kind, "x", "y", "s") is not None
@@ -105,10 +102,56 @@ def test_figures_if_they_can_be_drawn(spark):
 
 def test_report_strings(spark):
     from boolsieve.functions import rules
-    from boolsieve.plans import reports
 
     assert reports.annotated('"a b" OR cd AND ef', {"a b": 1200, "ef": 7}) == '"a b" (1.2k) OR cd AND ef (7)'
     assert reports.label("pubmed_f3") == "Pubmed F3" and reports.highlight("ab OR abc", {"ab"}) == "**ab** OR abc"
     df = spark.createDataFrame([('(a OR "b"[mh]) NOT c[tiab]', [[(["a", "b"], True), (["c"], False)]]), ("", [])], f"q string, r array<{rules.RULE_TYPE}>")
     got = df.select(text.heading_share(df.q).alias("h"), rules.mean_literal_length(df.r).alias("m")).collect()
     assert [(round(r.h, 3), r.m) for r in got] == [(0.333, 1.5), (0.0, 0.0)]
+
+
+def test_lemmas(spark):
+    words = ["studies", "eies", "trees", "houses", "does", "glass", "virus", "gas", "cells", "mice", "women", "cell", "ties", "x-rays"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r.w: r.l for r in rows.select("w", text.lemma(F.col("w")).alias("l")).collect()}
+    assert got == {"studies": "study", "eies": "eies", "trees": "trees", "houses": "house", "does": "does", "glass": "glass", "virus": "virus", "gas": "gas", "cells": "cell",
+                   "mice": "mouse", "women": "woman", "cell": "cell", "ties": "ty", "x-rays": "x-ray"}
+    assert rows.select(text.lemma(F.col("w"), {}).alias("l")).filter("l = 'mice'").count() == 1
+
+
+def test_lemma_forms(spark):
+    docs = spark.createDataFrame([(1, "Cell cells CELLS, mice and a mouse 42"), (2, None), (3, ""), (4, "the cells"), (4, "the cells")], "doc_id long, text string")
+    got = {(r.doc_id, r.lemma): r.forms for r in lexicon.lemma_forms(docs).collect()}
+    assert got == {(1, "cell"): ["cell", "cells"], (1, "mouse"): ["mice", "mouse"], (4, "cell"): ["cells"]}
+    assert lexicon.lemma_forms(docs.limit(0)).count() == 0
+
+
+def test_plane_equals_numpy(spark):
+    v = np.random.default_rng(3).normal(size=(80, 6)) * [5, 1, 1, 3, 1, 0.5]
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    _, axes = np.linalg.eigh(np.cov(v.T))
+    axes = axes[:, ::-1].T[:2]
+    axes = axes * np.sign(axes[[0, 1], np.abs(axes).argmax(1)])[:, None]
+    for r in ranking.plane(table).collect():
+        assert np.allclose((r.x, r.y), axes @ v[r.vec_id])
+    nodes, edges = ranking.star_graph(table, table.filter("vec_id = 0").selectExpr("vec_id AS query_id", "embedding AS q"), -1.0, 10, projected=True)
+    assert nodes.columns == ["doc_id", "x", "y"] and nodes.count() == edges.count() == 10
+
+
+def test_random_pairs(spark):
+    terms = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 1, "b")], "query_id int, clause int, literal int, term string")
+    vectors = spark.createDataFrame([(w, [1.0, float(i)]) for i, w in enumerate("abcde")], "term string, vector array<double>")
+    count = lambda n: {r.kind: r.n for r in ablation.pair_similarities(terms, vectors, n, 1).collect()}
+    assert count(0) == {"or": 1} and count(1) == {"or": 1, "random": 1} and count(9) == {"or": 1, "random": 2}
+
+
+def test_thresholds_by_what_a_search_finds():
+    leaves = [(0.9, 10, 9), (0.5, 10, 5), (0.0, 80, 0)]
+    assert trees.threshold_of(leaves, "precision") == (0.9, 0.9)
+    assert trees.threshold_of(leaves, "precision", retrieved=lambda t: 900 if t > 0.6 else 28) == (0.5, 0.5)
+    assert trees.threshold_of(leaves, "precision", retrieved=lambda t: 0) == (0.9, 0.9)
+
+
+def test_markup_of_operators_and_shades():
+    assert reports.outer_operators('(a OR b) AND "c AND d" NOT e') == '(a OR b) **AND** "c AND d" **NOT** e'
+    assert [reports.shade(x, 0.0, 1.0) for x in (None, -1.0, 0.0, 0.39, 1.0, 2.0)] == [None, 0, 0, 1, 4, 4] and reports.shade(3.0, 1.0, 1.0) == 0
