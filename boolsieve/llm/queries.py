@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boolsieve.llm import chat, decontaminate, licenses, media, mixing, quality, simhash, sql, token_counts, toxicity, url_filter
+from boolsieve.llm import chat, decontaminate, divergence, exact_search, licenses, media, merkle, mixing, quality, simhash, sql, token_counts, toxicity, url_filter
 from boolsieve.llm.common import table
 
 
@@ -60,5 +60,17 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "n_chars", "text", "copy", "rate", "shuffle_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_toxicity, op3_simhash, op4_licenses, op5_media, op6_urls, op7_quality, op8_decontaminate, op9_chat, op10_mix)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_toxicity, op3_simhash, op4_licenses, op5_media, op6_urls, op7_quality, op8_decontaminate, op9_chat, op10_mix, op11_divergence, op12_manifest, op13_topk)}
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boolsieve.llm import licenses, mixing, url_filter
+from boolsieve.llm import divergence, licenses, mixing, url_filter
 from boolsieve.llm.decontaminate import WINDOW
 
 #: Lower-cases A-Z alone.
@@ -100,10 +100,73 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
+_LETTERS = r"regexp_extract_all({}, '[^\x00-\x60\x7B-\x7F]+')"
+_P = "(1 + CAST(1000000000 * (CAST({0} AS HUGEINT) + 2) // (CAST({1} AS HUGEINT) + 2 * v) AS BIGINT))"
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS.format(LOWER.format("text"))} AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(lang_c) AS lang_n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL),
+n AS (SELECT lang, source, kept.term, coalesce(c, 0) AS c, lang_c, lang_n, v, sum(coalesce(c, 0)) OVER (PARTITION BY lang, source) AS n
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, c, {_P.format("c", "n")} AS p, {_P.format("lang_c", "lang_n")} AS q FROM n),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+      LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE c > 0 AND p > q),
+parts AS (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf(number: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", number, "text")) + ")"
+
+
+#: CRC-32 of a decimal number, byte by byte with a table made of the reversed polynomial.
+_CRC = """xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT),
+  lambda c, b: xor(crc.t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)))"""
+_UP = "list_transform(range(0, (len({0}) + 1) // 2), lambda i: sha256({0}[2 * i + 1] || coalesce({0}[2 * i + 2], '')))"
+_OP12 = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b::UBIGINT] || repeat([0::UBIGINT], 8),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+leaves AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS other FROM documents, crc),
+placed AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes(lang, l, hs) AS (SELECT lang, 0, list(leaf ORDER BY pos) FROM placed GROUP BY lang
+  UNION ALL SELECT lang, l + 1, {_UP.format("hs")} FROM nodes WHERE len(hs) > 1),
+subroots AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM nodes WHERE len(hs) = 1),
+top(l, hs) AS (SELECT 0, list(subroot ORDER BY place) FROM subroots UNION ALL SELECT l + 1, {_UP.format("hs")} FROM top WHERE len(hs) > 1),
+levels AS (SELECT lang, list(hs ORDER BY l) AS ls FROM nodes WHERE len(hs) > 1 GROUP BY lang),
+tops AS (SELECT coalesce(list(hs ORDER BY l) FILTER (len(hs) > 1), []) AS ls, max(hs[1]) FILTER (len(hs) = 1) AS root FROM top),
+ways AS (SELECT p.*, subroot, root,
+    list_transform(range(0, coalesce(len(w.ls), 0)), lambda l: {{'right': (p.pos >> l) & 1 = 1, 'side': w.ls[l + 1][xor(p.pos >> l, 1) + 1]}})
+    || list_transform(range(0, len(tops.ls)), lambda l: {{'right': (s.place >> l) & 1 = 1, 'side': tops.ls[l + 1][xor(s.place >> l, 1) + 1]}}) AS way
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang LEFT JOIN levels w ON p.lang IS NOT DISTINCT FROM w.lang, tops),
+folded AS (SELECT *, list_reduce([{{'right': false, 'side': coalesce(other, leaf)}}] || way, lambda h, x:
+    {{'right': false, 'side': sha256(CASE WHEN x.side IS NULL THEN h.side WHEN x.right THEN x.side || h.side ELSE h.side || x.side END)}}).side AS folded_root FROM ways)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_filter(list_transform(way, lambda x: x.side), lambda x: x IS NOT NULL), ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM folded
+"""
+
+_OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_licenses": _licenses_sql(),
     "op6_urls": _urls_sql(),
     "op8_decontaminate": _OP8,
     "op9_chat": _OP9,
     "op10_mix": mixing_sql("documents", mixing.WEIGHTS, mixing.SIZE, "doc_id, source, lang, n_chars, text"),
+    "op11_divergence": _OP11,
+    "op12_manifest": _OP12,
+    "op13_topk": _OP13,
 }
