@@ -49,10 +49,14 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.postings(table(spark, sf_dir, "documents"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, terms, tokens) of all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("terms"), tokens(F.col("text")).alias("tokens"))
+
+
 def searched(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
     """(doc_id, terms, tokens, y) of all documents; y is null without a label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("terms"), tokens(F.col("text")).alias("tokens"))
-    return docs.join(labels(spark, sf_dir), "doc_id", how)
+    return texts(spark, sf_dir).join(labels(spark, sf_dir), "doc_id", how)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +70,7 @@ _STOP = ", ".join(f"'{w}'" for w in (*STOP_WORDS, *FORBIDDEN))
 SQL_TERMS = f"list_sort(list_filter(list_distinct({SQL_TOKENS}), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '[0-9-]+') AND t NOT IN ({_STOP})))"
 SQL_POST = f"post AS (SELECT doc_id, unnest({SQL_TERMS}) AS term FROM documents)"
 SQL_LAB = "lab AS (SELECT doc_id, toxic AS y FROM labels)"
+SQL_TEXTS = f"texts AS (SELECT doc_id, {SQL_TERMS} AS terms, {SQL_TOKENS} AS tokens FROM documents)"
 SQL_DOCS = f"docs AS (SELECT d.doc_id, {SQL_TERMS} AS terms, {SQL_TOKENS} AS tokens, toxic AS y FROM documents d JOIN labels USING (doc_id))"
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boolsieve.catalog.registry import SQL_DOCS, SQL_LAB, SQL_POST, SQL_TERMS, labelled, labels, postings, query, r6, rounded, sql_f, sql_ratio, table
+from boolsieve.catalog.registry import SQL_DOCS, SQL_LAB, SQL_POST, SQL_TERMS, SQL_TEXTS, labelled, labels, postings, query, r6, rounded, sql_f, sql_ratio, table, texts
 from boolsieve.functions import boolean, strategies, text
 from boolsieve.functions.rules import RULE_TYPE, cost_column, rule, size_columns
 from boolsieve.functions.safe import precision, ratio, recall
 from boolsieve.operators import ablation, analytics, coverage, lexicon, setcover, splits, vocabulary
 from boolsieve.plans import trees
-from boolsieve.session import cut
+from boolsieve.session import cut, literal
 
 SQL_DF = f"{SQL_POST}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term), n AS (SELECT count(*) AS n FROM documents)"
 
@@ -106,9 +106,9 @@ _QUERY = "(trash OR clown OR worthless OR idiot OR moron) AND (the OR is) NOT (c
 _SQL_HAS = "(list_has_any(tokens, ['trash', 'clown', 'worthless', 'idiot', 'moron']) AND list_has_any(tokens, ['the', 'is']) AND NOT list_has_any(tokens, ['copyright', 'disgusting']))"
 
 
-@query(f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE {_SQL_HAS}")
+@query(f"WITH {SQL_TEXTS} SELECT doc_id FROM texts WHERE {_SQL_HAS}")
 def bool_query_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).filter(boolean.to_column(boolean.parse(_QUERY), F.col("tokens"))).select("doc_id")
+    return texts(spark, sf_dir).filter(boolean.to_column(boolean.parse(_QUERY), F.col("tokens"))).select("doc_id")
 
 
 @query(f"""WITH {SQL_DOCS}, s AS (SELECT CAST(count(*) FILTER ({_SQL_HAS} AND y = 1) AS BIGINT) AS tp, CAST(count(*) FILTER ({_SQL_HAS}) AS BIGINT) AS returned, CAST(count(*) FILTER (y = 1) AS BIGINT) AS positives FROM docs),
@@ -119,10 +119,10 @@ def bool_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "precision", "recall", "f1", "f3")
 
 
-@query(f"WITH {SQL_DOCS} SELECT doc_id FROM docs WHERE list_contains(tokens, 'the') AND NOT (list_contains(tokens, 'was') OR list_contains(tokens, 'for'))")
+@query(f"WITH {SQL_TEXTS} SELECT doc_id FROM texts WHERE list_contains(tokens, 'the') AND NOT (list_contains(tokens, 'was') OR list_contains(tokens, 'for'))")
 def bool_query_not_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = boolean.parse("NOT (was OR for) AND the")
-    return labelled(spark, sf_dir).filter(boolean.to_column(node, F.col("tokens"))).select("doc_id")
+    return texts(spark, sf_dir).filter(boolean.to_column(node, F.col("tokens"))).select("doc_id")
 
 
 @query(f"WITH {SQL_POST}, h AS (SELECT doc_id, list(term) AS t FROM post GROUP BY doc_id) SELECT doc_id FROM documents LEFT JOIN h USING (doc_id) WHERE NOT list_contains(coalesce(t, []), 'he') OR (list_contains(t, 'her') AND list_contains(t, 'trash'))")
@@ -156,20 +156,19 @@ SQL_COVER = f"{SQL_DOCS}, cover AS (" + " UNION ALL ".join(f"SELECT {i}::BIGINT
 
 
 def _cover(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    lab = labels(spark, sf_dir)
-    post = postings(spark, sf_dir).join(lab.select("doc_id"), "doc_id", "left_semi")
+    """What rules cover of all documents, the labels that rate it, and the rules."""
     table_ = coverage.rule_table(spark, RULES)
-    return coverage.coverage(post, table_), lab, table_
+    return coverage.coverage(postings(spark, sf_dir), table_), labels(spark, sf_dir), table_
 
 
-@query(f"WITH {SQL_COVER} SELECT rule_id, doc_id FROM cover")
+@query(f"WITH {SQL_TEXTS} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS rule_id, doc_id FROM texts WHERE {h}" for i, h in enumerate(_HIT)))
 def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cover(spark, sf_dir)[0]
 
 
-@query(f"WITH {SQL_DOCS} SELECT doc_id, {' OR '.join(f'({h})' for h in _HIT)} AS hit FROM docs")
+@query(f"WITH {SQL_TEXTS} SELECT doc_id, {' OR '.join(f'({h})' for h in _HIT)} AS hit FROM texts")
 def rule_any_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).select("doc_id", coverage.any_covers(RULES, F.col("terms")).alias("hit"))
+    return texts(spark, sf_dir).select("doc_id", coverage.any_covers(RULES, F.col("terms")).alias("hit"))
 
 
 @query(f"""WITH {SQL_COVER}, s AS (SELECT r.rule_id, CAST(count(doc_id) FILTER (y = 1) AS BIGINT) AS tp, CAST(count(doc_id) AS BIGINT) AS returned FROM (SELECT unnest(range(5)) AS rule_id) r LEFT JOIN cover USING (rule_id) GROUP BY 1),
@@ -196,8 +195,8 @@ SELECT r_in, r_out, tp, fp, fn, round(cost, 6) AS cost, round({f} - 0.002 * cost
 @query(_moves_sql())
 def move_scores_add_remove_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cover, lab, _ = _cover(spark, sf_dir)
-    costs = spark.createDataFrame(list(enumerate([2.5, 5.5, 4.0, 2.0, 4.5])), "rule_id long, cost double")
-    selected = spark.createDataFrame([(0,), (1,)], "rule_id long")
+    costs = literal(spark, list(enumerate([2.5, 5.5, 4.0, 2.0, 4.5])), "rule_id long, cost double")
+    selected = literal(spark, [(0,), (1,)], "rule_id long")
     return rounded(coverage.move_scores(cover, lab, selected, costs, 2.0, 0.002), "cost", "score")
 
 
@@ -291,10 +290,10 @@ def or_expand_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(splits.or_candidates(post, state, chosen, candidates, root, 3, 0.001).select("term", "drop"), "drop")
 
 
-@query(f"""WITH {SQL_DOCS} SELECT doc_id, CAST(CASE WHEN list_has_any(terms, ['trash', 'clown']) THEN CASE WHEN list_contains(terms, 'he') THEN 0.9 ELSE 0.6 END
-WHEN list_contains(terms, 'moron') THEN 0.8 ELSE 0.0 END AS DOUBLE) AS p FROM docs""")
+@query(f"""WITH {SQL_TEXTS} SELECT doc_id, CAST(CASE WHEN list_has_any(terms, ['trash', 'clown']) THEN CASE WHEN list_contains(terms, 'he') THEN 0.9 ELSE 0.6 END
+WHEN list_contains(terms, 'moron') THEN 0.8 ELSE 0.0 END AS DOUBLE) AS p FROM texts""")
 def tree_predict_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).select("doc_id", trees.tree_column(_TREE, F.col("terms"), _NAMES).alias("p"))
+    return texts(spark, sf_dir).select("doc_id", trees.tree_column(_TREE, F.col("terms"), _NAMES).alias("p"))
 
 
 _NAMES = ["trash", "clown", "he", "moron"]

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from boolsieve.functions.rules import RULE_TYPE, Rule
 from boolsieve.functions.safe import f_beta, precision, recall
-from boolsieve.session import small
+from boolsieve.session import literal, small
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
     """(rule_id, rule): rules by their place in the list."""
-    rows = [(i, [(list(f), p) for f, p in r]) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, f"rule_id long, rule {RULE_TYPE}")
+    rows = [(i, [{"feats": list(f), "pos": p} for f, p in r]) for i, r in enumerate(rules)]
+    return literal(spark, rows, f"rule_id long, rule {RULE_TYPE}")
 
 
 def rule_terms(rules: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import pickle
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Side tables of at most so many rows and bytes are broadcast by ``small``.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
@@ -40,10 +43,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's own rows that is part of the plan, so that its size is known without a job."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) or [()] * len(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind), schema)
+
+
+def _planned(df: DataFrame, rows: int) -> bool:
+    """Whether a table is made of one ``literal`` of at most so many rows. Spark keeps only small ones in a plan."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return leaves.size() == 1 and leaves.head().nodeName() == "LocalRelation" and leaves.head().data().size() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows and BROADCAST_BYTES bytes, else as it is, for a shuffled join.
 
-    Counting costs a job, so this is for tables that are cheap to make: literals, aggregates, checkpoints.
+    Counting costs a job but for literals, so this is for tables that are cheap to make: aggregates, checkpoints.
     """
     from pyspark.sql import functions as F
 
@@ -54,6 +70,8 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table may be broadcast, by its rows and the bytes of its columns: eight for a number, texts and arrays by their length."""
     from pyspark.sql import functions as F
 
+    if _planned(df, rows):
+        return True
     wide = [f for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
     size = F.lit(8 * len(df.schema))
     for f in wide:

@@ -23,3 +23,10 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
     assert set(df.columns) == {"doc_id", "query", "matched", "toxic"} and df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["bool_query_filter", "bool_query_not_branch", "rule_coverage", "rule_any_coverage", "tree_predict_nested", "learned_query_matches"])
+def test_documents_without_a_label_are_searched(spark, sf, name):
+    sf = sf.replace("sf0.001", "sf0.01")
+    found = QUERIES[name](spark, sf).select("doc_id").distinct()
+    assert found.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left_anti").count() > 0
