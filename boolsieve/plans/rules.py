@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from boolsieve.functions.bitmaps import union
 from boolsieve.functions.rules import Rule, has_positive, rule, rule_cost
 from boolsieve.functions.safe import f_beta_of, ratio_of
+from boolsieve.operators import bitmaps
 from boolsieve.plans.shards import Part, Shards
 from boolsieve.plans.trees import Node, paths
 
@@ -61,15 +63,6 @@ def prune_rare(rules: dict[Rule, set[int]], n_trees: int, min_trees: float = 0.0
     return out
 
 
-def cover(part: Part, r: Rule) -> np.ndarray:
-    """The rows of a shard that a rule fits."""
-    out = np.ones(len(part.y), bool)
-    for feats, pos in r:
-        hit = part.x.any_of(feats)
-        out &= hit if pos else ~hit
-    return out
-
-
 class Scores:
     """Measures of rules, each counted once; what is asked for together takes one pass over the shards."""
 
@@ -83,8 +76,8 @@ class Scores:
             some = new[at : at + 5000]
 
             def counted(part: Part, some: list[Rule] = some) -> list[tuple[tuple, np.ndarray]]:
-                hits = (cover(part, r) for r in some)
-                return [((0,), np.array([[h.sum(), part.y[h].sum()] for h in hits], np.int64))]
+                hits = (part.sets.cover(r) for r in some)
+                return [((0,), np.array([[len(h), h.common(part.positives)] for h in hits], np.int64))]
 
             for r, (n, tp) in zip(some, self.shards.total(counted)[0,].tolist()):
                 p, rec = ratio_of(tp, n), ratio_of(tp, self.positives)
@@ -187,11 +180,6 @@ def pool(rules: dict[Rule, set[int]], scores: Scores, min_precision: float = 0.0
     return Pool(list(found), np.array([rule_cost(r) for r in found]), [starts[k] for k in sorted(starts)])
 
 
-def covers(part: Part, rules: list[Rule]) -> np.ndarray:
-    """Rules x rows of a shard."""
-    return np.array([cover(part, r) for r in rules]) if rules else np.zeros((0, len(part.y)), bool)
-
-
 def objective(tp: np.ndarray, fp: np.ndarray, positives: int, cost: np.ndarray, beta: float, factor: float) -> np.ndarray:
     """F of the union less its cost."""
     tp, fp = np.asarray(tp, float), np.asarray(fp, float)
@@ -204,25 +192,10 @@ def objective(tp: np.ndarray, fp: np.ndarray, positives: int, cost: np.ndarray,
 
 
 def move_sums(part: Part, rules: list[Rule], chosen: list[list[int]]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """What all adds, removals and swaps of one rule would change in each set, of class 1 and of class 0.
-
-    The first row of a set's array has what the set covers, then what no rule of it covers of each rule, and then for each
-    of its rules what that rule alone covers and, of each rule, what both cover of that.
-    """
-    hit = covers(part, rules)
-    n = len(rules)
-    for at, inside in enumerate(chosen):
-        count = hit[inside].sum(axis=0) if inside else np.zeros(len(part.y), np.int64)
-        out = np.zeros((1 + len(inside), 2, n + 1), np.int64)
-        for c in (0, 1):
-            own = part.y == 1 - c
-            out[0, c, n] = ((count > 0) & own).sum()
-            out[0, c, :n] = hit[:, (count == 0) & own].sum(axis=1)
-            for k, b in enumerate(inside, 1):
-                alone = hit[b] & (count == 1) & own
-                out[k, c, n] = alone.sum()
-                out[k, c, :n] = hit[:, alone].sum(axis=1)
-        yield (at,), out
+    """What all adds, removals and swaps of one rule would change in each set, of class 1 and of class 0."""
+    hits = [part.sets.cover(r) for r in rules]
+    for at, sums in enumerate(bitmaps.move_sums(hits, (part.positives, part.all - part.positives), chosen)):
+        yield (at,), sums
 
 
 def select_local(shards: Shards, pool_: Pool, beta: float = 2.0, factor: float = 0.002, starts: Iterable[Iterable[int]] | None = None, max_rules: int = 10, max_rounds: int = 100) -> tuple[list[int], float]:
@@ -306,8 +279,10 @@ def select_genetic(shards: Shards, pool_: Pool, beta: float = 2.0, factor: float
 
     def rate(p: np.ndarray) -> np.ndarray:
         def counted(part: Part) -> list[tuple[tuple, np.ndarray]]:
-            hit = p.astype(np.float32) @ covers(part, rules).astype(np.float32) > 0
-            return [((0,), np.stack([hit[:, part.y == 1].sum(axis=1), hit[:, part.y != 1].sum(axis=1)]))]
+            hits = [part.sets.cover(r) for r in rules]
+            found = [union(hits[i] for i in np.flatnonzero(own)) for own in p]
+            tp = np.array([f.common(part.positives) for f in found], np.int64)
+            return [((0,), np.stack([tp, np.array([len(f) for f in found], np.int64) - tp]))]
 
         tp, fp = shards.total(counted)[0,]
         k = p.sum(axis=1)

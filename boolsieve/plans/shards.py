@@ -15,47 +15,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boolsieve.functions.bitmaps import Bitmap
+from boolsieve.operators.bitmaps import Sets
 from boolsieve.session import cut
 
 #: Postings of a shard, at four bytes each, and up to how many in all the shards are summed in the driver, not in tasks.
 SHARD_POSTINGS, DRIVER_POSTINGS = 1_000_000, 4_000_000
-#: Bytes that the sums of one key take in one task: terms are dealt to blocks that keep it.
+#: Bytes of sums that a task holds before it hands them on; terms are dealt to blocks whose sums take an eighth of it.
 BLOCK_BYTES = 64 << 20
+#: Sums that meet in one task for a key: those of more shards meet by salts first, level by level.
+FAN_IN = 64
 
 Step = Callable[["Part"], Iterable[tuple[tuple, np.ndarray]]]
 
 
 @dataclass
 class Matrix:
-    """A binary matrix by columns: the rows of term t are ``rows[starts[t]:starts[t + 1]]``, in order."""
+    """A binary matrix by columns: those that have rows, by number; the rows of the i-th are ``rows[starts[i]:starts[i + 1]]``, in order.
 
+    It takes memory by its postings, however wide the vocabulary is.
+    """
+
+    ids: np.ndarray
     starts: np.ndarray
     rows: np.ndarray
+    n_terms: int
     n_rows: int
 
     @classmethod
     def of(cls, term: np.ndarray, row: np.ndarray, n_terms: int, n_rows: int) -> Matrix:
         order = np.lexsort((row, term))
-        starts = np.zeros(n_terms + 1, np.int64)
-        np.cumsum(np.bincount(term, minlength=n_terms), out=starts[1:])
-        return cls(starts, row[order].astype(np.int32), n_rows)
-
-    @property
-    def n_terms(self) -> int:
-        return len(self.starts) - 1
+        ids, sizes = np.unique(term, return_counts=True)
+        return cls(ids.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), row[order].astype(np.int32), n_terms, n_rows)
 
     @cached_property
+    def place(self) -> np.ndarray:
+        """Of every posting, which of the columns that have rows it is in."""
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
+
+    @property
     def term(self) -> np.ndarray:
         """The term of every posting."""
-        return np.repeat(np.arange(self.n_terms, dtype=np.int32), np.diff(self.starts))
+        return self.ids[self.place]
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        """The sum of some row values over every column."""
+        """The sum of some row values over every column; for few columns."""
         upto = np.concatenate([[0], np.cumsum(values[self.rows])])
-        return upto[self.starts[1:]] - upto[self.starts[:-1]]
+        out = np.zeros(self.n_terms, upto.dtype)
+        out[self.ids] = upto[self.starts[1:]] - upto[self.starts[:-1]]
+        return out
 
     def column(self, t: int) -> np.ndarray:
-        return self.rows[self.starts[t] : self.starts[t + 1]]
+        i = int(np.searchsorted(self.ids, t))
+        return self.rows[self.starts[i] : self.starts[i + 1]] if i < len(self.ids) and self.ids[i] == t else self.rows[:0]
 
     def any_of(self, terms: list[int] | tuple[int, ...]) -> np.ndarray:
         out = np.zeros(self.n_rows, bool)
@@ -64,11 +76,14 @@ class Matrix:
         return out
 
     def only(self, terms: np.ndarray) -> Matrix:
-        """The columns of some terms."""
-        sizes = self.starts[terms + 1] - self.starts[terms]
+        """Some columns, numbered by their place among them."""
+        at = np.minimum(np.searchsorted(self.ids, terms), max(0, len(self.ids) - 1))
+        here = np.flatnonzero(self.ids[at] == terms) if len(self.ids) else np.zeros(0, np.int64)
+        at = at[here]
+        sizes = self.starts[at + 1] - self.starts[at]
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(starts[-1]) - np.repeat(starts[:-1] - self.starts[terms], sizes)
-        return Matrix(starts, self.rows[at], self.n_rows)
+        from_ = np.arange(starts[-1]) - np.repeat(starts[:-1] - self.starts[at], sizes)
+        return Matrix(here, starts, self.rows[from_], len(terms), self.n_rows)
 
 
 @dataclass
@@ -86,22 +101,41 @@ class Part:
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        more = {} if self.targets is None else {"t_starts": self.targets.starts, "t_rows": self.targets.rows}
-        np.savez_compressed(out, starts=self.x.starts, rows=self.x.rows, y=self.y, w=self.w, key=self.key, **more)
+        more = {} if self.targets is None else {"t_ids": self.targets.ids, "t_starts": self.targets.starts, "t_rows": self.targets.rows, "t_terms": self.targets.n_terms}
+        np.savez_compressed(out, ids=self.x.ids, starts=self.x.starts, rows=self.x.rows, terms=self.x.n_terms, y=self.y, w=self.w, key=self.key, **more)
         return out.getvalue()
 
     @classmethod
     def loads(cls, raw: bytes) -> Part:
         a = np.load(io.BytesIO(raw))
         n = len(a["y"])
-        return cls(Matrix(a["starts"], a["rows"], n), a["y"], a["w"], a["key"], Matrix(a["t_starts"], a["t_rows"], n) if "t_rows" in a else None)
+        targets = Matrix(a["t_ids"], a["t_starts"], a["t_rows"], int(a["t_terms"]), n) if "t_rows" in a else None
+        return cls(Matrix(a["ids"], a["starts"], a["rows"], int(a["terms"]), n), a["y"], a["w"], a["key"], targets)
+
+    @cached_property
+    def sets(self) -> Sets:
+        """Its terms' rows as compressed sets, made when they are asked for."""
+        made: dict[int, Bitmap] = {}
+
+        def find(t: int) -> Bitmap:
+            if t not in made:
+                made[t] = Bitmap.of(self.x.column(t))
+            return made[t]
+
+        return Sets(find, lambda: self.all)
+
+    @cached_property
+    def all(self) -> Bitmap:
+        return Bitmap.span(len(self.y))
+
+    @cached_property
+    def positives(self) -> Bitmap:
+        return Bitmap.of(np.flatnonzero(self.y == 1))
 
 
-def add(arrays: list[np.ndarray], sparse: bool) -> np.ndarray:
-    """The sum of arrays; of sparse ones, whose first row has ids, by id."""
-    if not sparse:
-        return np.sum(arrays, axis=0)
-    both = np.concatenate(arrays, axis=1)
+def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two sparse arrays, whose first row has ids in order, by id."""
+    both = np.concatenate([a, b], axis=1)
     both = both[:, np.argsort(both[0], kind="stable")]
     if not both.shape[1]:
         return both
@@ -109,6 +143,72 @@ def add(arrays: list[np.ndarray], sparse: bool) -> np.ndarray:
     return np.concatenate([both[:1, starts], np.add.reduceat(both[1:], starts, axis=1)])
 
 
+class Sum:
+    """A running sum that holds no more than what it comes to; sparse arrays wait until they are as much as the sum."""
+
+    def __init__(self, sparse: bool) -> None:
+        self.sparse, self.value, self.waiting, self.size = sparse, None, [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.value is None:
+            self.value = values.copy()
+        elif not self.sparse:
+            self.value += values
+        else:
+            self.waiting.append(values)
+            self.size += values.shape[1]
+            if self.size >= self.value.shape[1]:
+                self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self.waiting:
+            self.value = _merge(self.value, np.concatenate(self.waiting, axis=1))
+            self.waiting, self.size = [], 0
+        return self.value
+
+
+def add_up(rows: Iterable[tuple[str, np.ndarray]], sparse: bool, held: int) -> Iterator[tuple[str, np.ndarray]]:
+    """Sums by key of what comes in any order; beyond ``held`` bytes it hands on what it has and starts anew."""
+    by: dict[str, Sum] = {}
+    size = 0
+    for key, values in rows:
+        if key not in by:
+            by[key] = Sum(sparse)
+        by[key].add(values)
+        size += values.nbytes if sparse else 0
+        if max(size, 0 if sparse else len(by) * values.nbytes) > held:
+            yield from ((k, s.settle()) for k, s in by.items())
+            by, size = {}, 0
+    yield from ((k, s.settle()) for k, s in by.items())
+
+
+def add_sorted(rows: Iterable[tuple[str, np.ndarray]], sparse: bool) -> Iterator[tuple[str, np.ndarray]]:
+    """Sums by key of what comes in the order of keys: one sum and one array at a time."""
+    key, total = None, Sum(sparse)
+    for k, values in rows:
+        if k != key:
+            if key is not None:
+                yield key, total.settle()
+            key, total = k, Sum(sparse)
+        total.add(values)
+    if key is not None:
+        yield key, total.settle()
+
+
+_SUMS = "key string, data binary"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # one value at a time
+            yield batch.column("key")[i].as_py(), pickle.loads(batch.column("data")[i].as_py())
+
+
+def _written(rows: Iterable[tuple[str, Any]]) -> Iterator[pa.RecordBatch]:
+    for key, value in rows:
+        yield pa.RecordBatch.from_pydict({"key": [key], "data": pa.array([pickle.dumps(value)], pa.binary())})
+
+
 class Shards:
     """The shards of a matrix, in the driver or in the checkpoint folder."""
 
@@ -124,32 +224,32 @@ class Shards:
     def total(self, step: Step, finish: Callable[[tuple, np.ndarray], Any] | None = None, sparse: bool = False) -> dict[tuple, Any]:
         """What ``step`` gives for each key, added up over the shards and finished where it is added up."""
         if self.parts is not None:
-            by: dict[tuple, list[np.ndarray]] = {}
-            for part in self.parts:
-                for key, values in step(part):
-                    by.setdefault(key, []).append(values)
-            sums = {k: add(v, sparse) for k, v in by.items()}
-            return {k: finish(k, v) if finish else v for k, v in sums.items()}
+            sums = add_up(((repr(k), v) for part in self.parts for k, v in step(part)), sparse, 1 << 62)
+            return {ast.literal_eval(k): finish(ast.literal_eval(k), v) if finish else v for k, v in sums}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for raw in batch.column("part").to_pylist():
-                    for key, values in step(Part.loads(raw)):
-                        yield pa.RecordBatch.from_pydict({"key": [repr(key)], "data": [pickle.dumps(values)]})
+            parts = (Part.loads(batch.column("part")[i].as_py()) for batch in batches for i in range(batch.num_rows))
+            yield from _written(add_up(((repr(k), v) for part in parts for k, v in step(part)), sparse, BLOCK_BYTES))
+
+        def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _written(add_sorted(_read(batches), sparse))
 
-        def reduce(table: pa.Table) -> pa.Table:
-            name = table["key"][0].as_py()
-            value = add([pickle.loads(d) for d in table["data"].to_pylist()], sparse)
-            key = ast.literal_eval(name)
-            return pa.table({"key": [name], "data": [pickle.dumps(finish(key, value) if finish else value)]})
+        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, value in add_sorted(_read(batches), sparse):
+                yield from _written([(key, finish(ast.literal_eval(key), value) if finish else value)])
 
-        rows = self.table.mapInArrow(run, "key string, data binary").groupBy("key").applyInArrow(reduce, "key string, data binary").toArrow()
-        return {ast.literal_eval(r["key"]): pickle.loads(r["data"]) for r in rows.to_pylist()}
+        rows, salts = self.table.select("part").mapInArrow(run, _SUMS), self.n_shards
+        while salts > FAN_IN:
+            salts = -(-salts // FAN_IN)
+            salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+            rows = salted.repartition("key", "salt").sortWithinPartitions("salt", "key").select("key", "data").mapInArrow(level, _SUMS)
+        done = rows.repartition("key").sortWithinPartitions("key").mapInArrow(last, _SUMS).toArrow()
+        return {ast.literal_eval(r["key"]): pickle.loads(r["data"]) for r in done.to_pylist()}
 
     @property
     def block(self) -> int:
-        """Terms of a block, so that the sums of a block from all shards fit a task."""
-        return max(1024, BLOCK_BYTES // (40 * self.n_shards))
+        """Terms of a block, so that the sums of one are BLOCK_BYTES // 8 bytes however many shards there are."""
+        return BLOCK_BYTES // (8 * 40)
 
 
 def build(post: DataFrame, docs: DataFrame, n_terms: int, targets: DataFrame | None = None, driver_postings: int | None = None) -> Shards:

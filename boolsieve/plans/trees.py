@@ -128,10 +128,10 @@ def place(part: Part, w: np.ndarray, features: dict[int, list[int]]) -> np.ndarr
 def _four(x: Matrix, here: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Rows, rows of class 1, weight and weight of class 1 of every column, of the rows that are ``here``."""
     on = here[x.rows]
-    term, row = x.term[on], x.rows[on]
-    ids = np.flatnonzero(np.bincount(term, minlength=x.n_terms))
-    sums = [np.bincount(term, v, x.n_terms)[ids] for v in (None, y[row], w[row], (w * y)[row])]
-    return np.stack([ids, *[np.rint(s).astype(np.int64) for s in sums]])
+    place, row = x.place[on], x.rows[on]
+    used = np.flatnonzero(np.bincount(place, minlength=len(x.ids)))
+    sums = [np.bincount(place, v, len(x.ids))[used] for v in (None, y[row], w[row], (w * y)[row])]
+    return np.stack([x.ids[used], *[np.rint(s).astype(np.int64) for s in sums]])
 
 
 @dataclass
@@ -220,10 +220,10 @@ def grow_forest(shards: Shards, plans: list[Plan]) -> dict[int, Node]:
                 at = place(part, w, known)
                 for o in own:
                     four = _four(part.x, at == o.at, y, w)
-                    edges = np.searchsorted(four[0], np.arange(0, part.x.n_terms + block, block))
-                    for b, (i, j) in enumerate(zip(edges, edges[1:])):
-                        if j > i:
-                            yield (k, o.at, b), four[:, i:j]
+                    cuts = np.flatnonzero(np.diff(four[0] // block)) + 1
+                    for some in np.split(four, cuts, axis=1):
+                        if some.shape[1]:
+                            yield (k, o.at, int(some[0, 0]) // block), some
 
         def rated(key: tuple, four: np.ndarray) -> dict[str, Any]:
             return _candidates(four, open_[key[:2]], root[key[0]])
