@@ -22,8 +22,8 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.search(_vectors(spark, sf_dir), _queries(spark, sf_dir))
+def _ranking(spark: SparkSession, sf_dir: str, qrels: DataFrame | None = None) -> DataFrame:
+    return ranking.search(_vectors(spark, sf_dir), _queries(spark, sf_dir), qrels=qrels)
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     qrels = _qrels(spark, sf_dir)
-    return ranking.relevance(_ranking(spark, sf_dir), qrels), ranking.totals(qrels)
+    return _ranking(spark, sf_dir, qrels), ranking.totals(qrels)
 
 
 SQL_RANK = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q, label AS ql FROM v WHERE vec_id % {EVERY} = 0),
@@ -179,7 +179,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = docs.select("doc_id", F.size("w").alias("length"))
     queries = spark.createDataFrame([(0, "trash"), (0, "he"), (1, "license"), (1, "les")], "query_id int, term string")
     scores = ranking.bm25(post, lengths, queries).withColumn("score", F.round("score", 9))
-    return rounded(ranking.ranked(scores).filter("rank < 20"), "score")
+    return rounded(ranking.ranked(scores, 20), "score")
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:-[a-z0-9]+)*') AS w FROM documents)

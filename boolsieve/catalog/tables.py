@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boolsieve.catalog.registry import query, r6, rounded, table
 from boolsieve.operators import ablation, analytics, lexicon
+from boolsieve.operators.quantiles import quantile_columns
 from boolsieve.plans import study
 from boolsieve.sources import files
 
@@ -144,8 +145,9 @@ def dataset_macro_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, min(value) AS low, round(avg(value), 6) AS mean, max(value) AS high, round(quantile_cont(value, 0.5), 6) AS median FROM events WHERE value > 1 GROUP BY 1")
 def run_time_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").filter("value > 1").groupBy("event_type")
-    return rows.agg(F.min("value").alias("low"), r6(F.avg("value")).alias("mean"), F.max("value").alias("high"), r6(F.percentile("value", 0.5)).alias("median"))
+    rows = table(spark, sf_dir, "events").filter("value > 1").select("event_type", "value")
+    stats = rows.groupBy("event_type").agg(F.min("value").alias("low"), r6(F.avg("value")).alias("mean"), F.max("value").alias("high"))
+    return stats.join(rounded(quantile_columns(rows, ["event_type"], "value", {"median": 0.5}), "median"), "event_type")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) > 50")

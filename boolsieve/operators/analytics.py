@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boolsieve.functions.safe import ratio
+from boolsieve.operators.quantiles import quantile_columns, quantiles
+from boolsieve.operators.scans import prefixes
 from boolsieve.session import small
 
 
@@ -26,17 +28,17 @@ def spread(rows: DataFrame, by: Column | str, name: str, value: str) -> DataFram
 
 def bin_percentiles(rows: DataFrame, x: str, y: str, width: float, percents: tuple[float, ...] = (0.25, 0.5, 0.75), min_rows: int = 1) -> DataFrame:
     """(bin, mean, n, p25, ...) over bins [i * width, (i + 1) * width); exact percentiles, linear between values."""
-    names = [F.percentile(y, p).alias(f"p{round(p * 100)}") for p in percents]
-    binned = rows.groupBy((F.floor(F.col(x) / F.lit(float(width))) * F.lit(float(width))).alias("bin"))
-    return binned.agg(F.avg(y).alias("mean"), F.count("*").alias("n"), *names).filter(F.col("n") >= min_rows)
+    binned = rows.select((F.floor(F.col(x) / F.lit(float(width))) * F.lit(float(width))).alias("bin"), F.col(y).alias("_y"))
+    stats = binned.groupBy("bin").agg(F.avg("_y").alias("mean"), F.count("*").alias("n")).filter(F.col("n") >= min_rows)
+    points = quantile_columns(binned, ["bin"], "_y", {f"p{round(p * 100)}": p for p in percents}).withColumnRenamed("bin", "_bin")
+    return stats.join(points, F.col("bin").eqNullSafe(F.col("_bin")), "left").drop("_bin")
 
 
 def quantile_buckets(rows: DataFrame, x: str, y: str, q: int) -> DataFrame:
     """(bucket, mean, n): buckets between the q-quantiles of x, open at the left but for the first."""
-    shares = [i / q for i in range(q + 1)]
-    edges = rows.agg(F.percentile(x, F.array(*[F.lit(s) for s in shares])).alias("e"))
+    edges = quantiles(rows, [], x, [i / q for i in range(1, q)]).agg(F.array_sort(F.collect_list("q")).alias("e"))  # q - 1 numbers
     value = F.col(x).cast("double")
-    bucket = F.aggregate(F.slice("e", 2, q - 1), F.lit(0), lambda n, e: n + F.when(value > e, 1).otherwise(0))
+    bucket = F.aggregate("e", F.lit(0), lambda n, e: n + F.when(value > e, 1).otherwise(0))
     return rows.join(F.broadcast(edges)).groupBy(bucket.alias("bucket")).agg(F.avg(y).alias("mean"), F.count("*").alias("n"))  # one row of edges
 
 
@@ -95,8 +97,10 @@ def widest_group(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def running_mean(rows: DataFrame, by: str, step: str, value: str) -> DataFrame:
-    """Rows with ``running``, the mean of the group's values so far."""
-    return rows.withColumn("running", F.avg(value).over(Window.partitionBy(by).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Rows with ``running``, the mean of the group's values so far; a group of any size is many tasks."""
+    sums = {"_sum": F.col(value).cast("double"), "_count": F.when(F.col(value).isNotNull(), 1)}
+    out = prefixes(rows, [by], [step], "_place", sums)
+    return out.select(*rows.columns, F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count")).alias("running"))
 
 
 def open_work(grid: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boolsieve.functions.safe import f_beta, ratio
+from boolsieve.operators.scans import prefixes
 from boolsieve.session import cut, fits, small
 
 # fixed values: calibrated cutoffs for a mean recall of 0.7 (number of positives, documents to take)
@@ -40,10 +41,10 @@ def cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int | None = None, threshold: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding", skip_self: bool = True) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int | None = None, threshold: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding", skip_self: bool = True, qrels: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) for a stated set of queries (query_id, q) against all vectors.
 
-    ``rank`` starts at 0, ties go by id. With k only the best k stay: each task keeps k rows a query before the shuffle.
+    The rows of ``ranked``: ``rank`` starts at 0, ties go by id. With k only the best k stay: each task keeps k rows a query before the shuffle.
     Queries that are too large for a broadcast go in blocks of QUERY_BLOCK by a hash of their id, each against all vectors.
     """
     queries = cut(queries)
@@ -59,17 +60,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None = None, thresho
     scored = rows.select("query_id", "doc_id", cosine(F.col("v"), F.col("q")).alias("score"))
     if threshold is not None:
         scored = scored.filter(F.col("score") >= threshold)
-    ranked = scored.withColumn("rank", F.row_number().over(rank_order()) - 1)
-    return ranked.filter(F.col("rank") < k) if k is not None else ranked
+    return ranked(scored, k, qrels)
 
 
-def rank_order() -> Window:
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+def ranked(scores: DataFrame, k: int | None = None, qrels: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) with ``rank`` from 0 by falling score, ties by id; with k the best k of each query.
+
+    Whole rankings are numbered by ranges of scores, so that one query's is many tasks; of the best k each task keeps k.
+    With judgements ``rel`` (1 or 0) and ``hits``, the running number of relevant documents, come from the same scan.
+    """
+    order = [F.desc("score"), F.col("doc_id")]
+    if k is not None:
+        return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).filter(F.col("rank") < k)
+    if qrels is None:
+        return prefixes(scores, ["query_id"], order, "rank").withColumn("rank", F.col("rank").cast("int"))
+    return prefixes(_judged(scores, qrels), ["query_id"], order, "rank", {"hits": "rel"}).withColumn("rank", F.col("rank").cast("int"))
 
 
-def ranked(scores: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) with ``rank`` from 0 by falling score, ties by id."""
-    return scores.withColumn("rank", F.row_number().over(rank_order()) - 1)
+def _judged(rows: DataFrame, qrels: DataFrame) -> DataFrame:
+    rel = qrels.filter("rel > 0").select("query_id", "doc_id", F.lit(1).alias("rel"))
+    return rows.join(rel, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
 def plane(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -143,10 +153,7 @@ def cutoffs(ranking: DataFrame, positives: DataFrame) -> DataFrame:
 
 def relevance(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
     """The ranking with ``rel`` (1 or 0) and ``hits``, the running number of relevant documents."""
-    rel = qrels.filter("rel > 0").select("query_id", "doc_id", F.lit(1).alias("rel"))
-    joined = ranking.join(rel, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.withColumn("hits", F.sum("rel").over(upto))
+    return prefixes(_judged(ranking, qrels), ["query_id"], ["rank"], "_place", {"hits": "rel"}).drop("_place")
 
 
 def totals(qrels: DataFrame) -> DataFrame:
@@ -208,14 +215,15 @@ def true_negative_rates(rel: DataFrame, positives: DataFrame, recall: float) ->
 
 def k_at_recall(curve: DataFrame, p: float) -> DataFrame:
     """(query_id, k): where a curve (query_id, k, v) first reaches p, linear between points; its ends otherwise."""
-    order = Window.partitionBy("query_id").orderBy("k")
-    rows = curve.withColumn("v0", F.lag("v").over(order)).withColumn("k0", F.lag("k").over(order))
-    first = rows.filter(F.col("v") >= p).groupBy("query_id").agg(F.min_by(F.struct("k", "v", "k0", "v0"), "k").alias("x"))
-    line = F.when(F.col("x.v0").isNull() | (F.col("x.v") == F.col("x.v0")), F.col("x.k").cast("double")).otherwise(
-        F.col("x.k0") + (F.lit(p) - F.col("x.v0")) / (F.col("x.v") - F.col("x.v0")) * (F.col("x.k") - F.col("x.k0"))
+    reached = curve.filter(F.col("v") >= p).groupBy("query_id").agg(F.min_by(F.struct("k", "v"), "k").alias("x"))
+    ends = curve.groupBy("query_id").agg(F.max("k").alias("last")).join(reached, "query_id", "left")
+    ends = cut(ends)  # a row a query
+    point_before = curve.join(small(ends), "query_id").filter(F.col("k") < F.col("x.k")).groupBy("query_id").agg(F.max_by(F.struct("k", "v"), "k").alias("b"))
+    rows = ends.join(point_before, "query_id", "left")
+    line = F.when(F.col("b").isNull() | (F.col("x.v") == F.col("b.v")), F.col("x.k").cast("double")).otherwise(
+        F.col("b.k") + (F.lit(p) - F.col("b.v")) / (F.col("x.v") - F.col("b.v")) * (F.col("x.k") - F.col("b.k"))
     )
-    last = curve.groupBy("query_id").agg(F.max("k").alias("last"))
-    return last.join(first, "query_id", "left").select("query_id", F.when(F.col("x").isNull(), F.col("last").cast("double")).otherwise(line).alias("k"))
+    return rows.select("query_id", F.when(F.col("x").isNull(), F.col("last").cast("double")).otherwise(line).alias("k"))
 
 
 def least_k_for_recall(rel: DataFrame, positives: DataFrame, ks: list[int], recall: float, min_positives: int) -> DataFrame:
@@ -303,7 +311,6 @@ def stratified_sample(rows: DataFrame, by: str, allocation: dict[str, int], key:
     """The allotted number of rows of each stratum, those with the smallest hashes of seed and key."""
     spark = rows.sparkSession
     table = spark.createDataFrame(list(allocation.items()), f"`{by}` string, _take int")
-    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
-    return rows.join(small(table), by).withColumn("_n", F.row_number().over(order)).filter("_n <= _take").drop("_n", "_take")
-
-
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    placed = prefixes(rows.withColumn("_h", hashed), [by], ["_h", key], "_n")  # a stratum of any size is many tasks
+    return placed.join(small(table), by).filter("_n < _take").drop("_n", "_take", "_h")
