@@ -318,8 +318,9 @@ def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     ``sets_of`` gives (node, shingles) of the nodes (node) that share a bucket with another; the rest are never compared.
     Texts whose sketches agree in a whole band are in a bucket. Up to FEW of them are compared with each other. Of more, each
     is compared with the one that meets most others in all its buckets, which is what they are copies of: a hot bucket
-    of copies costs a comparison for each. Those that are like none of these are then compared with all members of their
-    buckets, by their shingles and in blocks. So no text stays without a link that it has, however full its buckets are.
+    of copies costs a comparison for each. Then, in every bucket that holds several groups of what is linked so far, all
+    members but those of its largest group are compared with all members, by their shingles and in blocks. Any two
+    members of different groups are then compared, so no two groups that share a bucket stay apart if a link joins them.
     """
     member = bands(distinct)
     wanted = cut(member.select("node").distinct())
@@ -332,11 +333,20 @@ def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     ends = member.join(cut(central.unionAll(few).distinct()), "bucket").filter("node <> centre")
     pairs = cut(ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
     found = verified(pairs, sketches, sets, least)
-    linked = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
-    alone = cut(member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi").join(linked.distinct(), "node", "left_anti"))
-    if alone.isEmpty():
+    apart = _apart(member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi"), found)
+    if apart.isEmpty():
         return found
-    return found.unionAll(rest_links(alone, member, sets, least)).distinct()
+    return found.unionAll(rest_links(apart, member, sets, least)).distinct()
+
+
+def _apart(member: DataFrame, found: DataFrame) -> DataFrame:
+    """The members (bucket, node) that are not in the largest group, by links (a, b), of their bucket; ties to the smaller root."""
+    roots = components(found)
+    known = cut(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
+    grouped = cut(member.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
+    sizes = grouped.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.min_by("root", F.struct((-F.col("n")).alias("n"), "root")).alias("most"), F.count("*").alias("groups"))
+    return cut(grouped.join(largest.filter("groups > 1"), "bucket").filter("root <> most").select("bucket", "node"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS) -> DataFrame:

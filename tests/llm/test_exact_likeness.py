@@ -52,6 +52,25 @@ def test_members_that_centres_miss_meet_all_others(spark):
     assert {tuple(r) for r in sh.like_links(df, lambda _: df.select("node", "shingles")).collect()} == {(40, 17)}
 
 
+def test_groups_that_share_a_full_bucket_meet(spark):
+    """Two linked pairs whose only common bucket is full: the link between them is found, too."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, 400))]
+    for _ in range(3):
+        sets.append(np.concatenate([sets[-1][30:], rng.integers(0, 1 << 62, 30)]))  # like the one before it alone
+    sets += [rng.integers(0, 1 << 62, 400) for _ in range(3)]
+    sketches = []
+    for k in range(len(sets)):
+        sketch = np.arange(256, dtype=np.uint8)
+        for band in range(1, 32):
+            own = {(1, 1): 0, (3, 2): 2}.get((k, band), k)  # one pair shares the second band, the other the third
+            sketch[8 * band + own % 8] = 255 - 8 * band % 97 - own
+        sketches.append(bytearray(sketch.tobytes()))
+    rows = [(k, sketches[k], np.unique(x).tolist()) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, sketch binary, shingles array<long>").selectExpr("*", "bigint(size(shingles)) n")
+    assert {tuple(r) for r in sh.like_links(df, lambda _: df.select("node", "shingles")).collect()} == {(1, 0), (2, 1), (3, 2)}
+
+
 def test_pairs_about_the_bound_are_compared_exactly(spark):
     found = pairs()
     docs = spark.createDataFrame(list(enumerate(found[True] + found[False])), "doc_id long, text string")
