@@ -318,9 +318,10 @@ def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     ``sets_of`` gives (node, shingles) of the nodes (node) that share a bucket with another; the rest are never compared.
     Texts whose sketches agree in a whole band are in a bucket. Up to FEW of them are compared with each other. Of more, each
     is compared with the one that meets most others in all its buckets, which is what they are copies of: a hot bucket
-    of copies costs a comparison for each. Then, in every bucket that holds several groups of what is linked so far, all
-    members but those of its largest group are compared with all members, by their shingles and in blocks. Any two
-    members of different groups are then compared, so no two groups that share a bucket stay apart if a link joins them.
+    of copies costs a comparison for each. Those that are like none of these are then compared with all members of their
+    buckets, by their shingles and in blocks; and so are, in every bucket that still holds several groups of what is
+    linked, the members that are not in its largest group. Any two members of different groups are then compared, so no
+    two groups that share a bucket stay apart if a link joins them.
     """
     member = bands(distinct)
     wanted = cut(member.select("node").distinct())
@@ -333,10 +334,13 @@ def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     ends = member.join(cut(central.unionAll(few).distinct()), "bucket").filter("node <> centre")
     pairs = cut(ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
     found = verified(pairs, sketches, sets, least)
-    apart = _apart(member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi"), found)
-    if apart.isEmpty():
-        return found
-    return found.unionAll(rest_links(apart, member, sets, least)).distinct()
+    full = cut(member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi"))
+    linked = cut(found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct())
+    alone = cut(full.join(linked, "node", "left_anti"))
+    if not alone.isEmpty():
+        found = cut(found.unionAll(rest_links(alone, member, sets, least)).distinct())
+    apart = cut(_apart(full, found).join(linked, "node", "left_semi"))  # the others have met all members
+    return found if apart.isEmpty() else found.unionAll(rest_links(apart, member, sets, least)).distinct()
 
 
 def _apart(member: DataFrame, found: DataFrame) -> DataFrame:
