@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boolsieve.catalog.registry import SQL_LAB, SQL_POST, labels, postings, query, r6, table
-from boolsieve.functions import boolean
-from boolsieve.functions.rules import mean_literal_length, render, rule
+from boolsieve.functions.rules import rule
 from boolsieve.operators import analytics, embedding, vocabulary
-from boolsieve.plans import learn, reports, rules, shards, study, trees
+from boolsieve.plans import learn, reports, rules, shards, trees
 from boolsieve.session import cut, shared_folder
 from boolsieve.sources import files, patents, search
 from boolsieve.streaming.resume import process_new
@@ -346,58 +345,6 @@ def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(docs.select(F.col("doc_id").cast("string"), "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("l").alias("unit"))
 
 
-_RULES = {
-    "one": [rule([(("b", "a"), True), (('"x"[mh]',), True), (("c",), False)])], "two": [rule([(("d",), True)]), rule([(("a", "e"), True), (("f", "g"), False)])],
-    "bare": [rule([(("e",), False)])], "wide": [rule([((t,), True)]) for t in "abc"],
-}
-
-
-@query("""SELECT * FROM (VALUES ('one', '("x"[mh] AND (a OR b) NOT c[tiab])', 1, 1, 1, 0, 1, round(4 / 3.0, 6)), ('two', 'd OR ((a OR e) NOT (f[tiab] OR g[tiab]))', 2, 0, 1, 1, 2, round(5 / 3.0, 6)), ('bare', '', 0, 0, 0, 0, 0, 1.0),
-('wide', 'a OR b OR c', 3, 0, 0, 2, 0, 1.0)) AS t(name, query, paths, ands, nots, ors, added, mean_literal)""")
-def rendered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules as strings, with their size, and the mean length of their literals."""
-    rows = []
-    for name, own in _RULES.items():
-        text, size = render(own)
-        rows.append((name, text, size["paths"], size["ANDs"], size["NOTs"], size["ORs"], size["added_ORs"], [[(list(f), p) for f, p in r] for r in own]))
-    kind = "name string, query string, paths int, ands int, nots int, ors int, added int, rules array<array<struct<feats:array<string>,pos:boolean>>>"
-    return spark.createDataFrame(rows, kind).withColumn("mean_literal", r6(mean_literal_length(F.col("rules")))).drop("rules")
-
-
-@query("""SELECT * FROM (VALUES ('a AND b', true, 'a AND b', 1, 0, 0), ('a OR OR b', false, NULL, NULL, NULL, NULL), ('(a', false, NULL, NULL, NULL, NULL), ('NOT a', true, 'NOT a', 0, 0, 1),
-('(a OR b) NOT c', true, '(a OR b) NOT c', 0, 1, 1), ('', false, NULL, NULL, NULL, NULL)) AS t(query, valid, canonical, ands, ors, nots)""")
-def checked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which strings are queries, and the operators of those."""
-    rows = []
-    for text in ("a AND b", "a OR OR b", "(a", "NOT a", "(a OR b) NOT c", ""):
-        ok = boolean.is_valid(text)
-        n = boolean.counts(boolean.parse(text)) if ok else {}
-        rows.append((text, ok, str(boolean.parse(text)) if ok else None, n.get("AND"), n.get("OR"), n.get("NOT")))
-    return spark.createDataFrame(rows, "query string, valid boolean, canonical string, ands int, ors int, nots int")
-
-
-@query("""SELECT * FROM (VALUES ('(a OR b) NOT c', '(**a** OR b) NOT c', '(a (12) OR b (1.5k)) NOT c', '(a OR b) \\textbf{NOT} c')) AS t(query, marked, counted, latex)""")
-def marked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a query with marks, with the counts of its terms, and in LaTeX."""
-    q = "(a OR b) NOT c"
-    return spark.createDataFrame([(q, reports.highlight(q, {"a"}), reports.annotated(q, {"a": 12, "b": 1500}), reports.latex(q, {"NOT"}))], "query string, marked string, counted string, latex string")
-
-
-@query("SELECT * FROM (VALUES (1.0, 20000, true), (3.0, 20000, true)) AS t(exponent, n, near)")
-def drawn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """numbers drawn towards the lower end have the mean that their exponent gives."""
-    rng = np.random.default_rng(3)
-    rows = [(e, 20_000, bool(abs(np.mean([trees.biased_random(2, 10, e, rng) for _ in range(20_000)]) - (2 + 8 / (e + 1))) < 0.1)) for e in (1.0, 3.0)]
-    return spark.createDataFrame(rows, "exponent double, n int, near boolean")
-
-
-@query("""SELECT * FROM (VALUES ('max_depth', '6'), ('min_df', '3')) AS t(name, value)""")
-def known_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tuned values of the parameters that there are."""
-    merged = study.known_only({"max_depth": 4, "min_df": 3}, {"max_depth": 6, "top_k": 1.2})
-    return spark.createDataFrame([(k, str(v)) for k, v in merged.items()], "name string, value string")
-
-
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, shards.Shards, list[str], trees.Node]:
     docs = learn.weighted(labels(spark, sf_dir), None)
     names = ["trash", "clown", "worthless", "idiot", "moron", "stupid"]
@@ -485,4 +432,3 @@ def kept_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = sorted({f for r in rules.prune_rare(found, 4, 0.3, 0.3) for feats, _ in r for f in feats} - {"rare"})
     post = postings(spark, sf_dir).join(labels(spark, sf_dir).filter("y = 1"), "doc_id", "left_semi")
     return post.filter(F.col("term").isin(kept)).groupBy("term").agg(F.count("*").alias("n"))
-

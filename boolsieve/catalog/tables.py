@@ -207,54 +207,6 @@ def upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.upsert(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), "user_id", "event_id")
 
 
-_TRIALS = [
-    ("s1", 0, "COMPLETE", '{"depth": 4}', t, i, p, r, p + r) for t, i, p, r in (("a", 0, 0.5, 0.4), ("b", 1, 0.3, 0.9))
-] + [("s1", 1, "COMPLETE", '{"depth": 6}', t, i, p, r, p + r) for t, i, p, r in (("a", 0, 0.1, 1.0), ("b", 1, 0.2, 0.8))] + [
-    ("s1", 2, "PRUNED", '{"depth": 9}', "a", 0, 0.9, 0.9, 1.8), ("s2", 0, "COMPLETE", '{"depth": 4}', "a", 0, 0.6, 0.3, 0.9), ("s2", 1, "DUPLICATE", '{"depth": 4}', None, None, None, None, None),
-]
-
-
-def _lit(v: object) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
-
-
-_SQL_TRIALS = "tr AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_lit, t)) + ")" for t in _TRIALS) + ") t(study, trial, state, params, topic, step, precision, recall, value))"
-_SQL_MEANS = f"""{_SQL_TRIALS}, b AS (SELECT unnest([1.0, 3.0, 50.0])::DOUBLE AS beta),
-m AS (SELECT study, trial, params, beta, avg((1 + beta * beta) * precision * recall / (beta * beta * precision + recall)) AS avg_fbeta, avg(precision) AS avg_precision, avg(recall) AS avg_recall, count(*) AS topics FROM tr, b WHERE state = 'COMPLETE' GROUP BY ALL)"""
-
-
-def _trials(spark: SparkSession) -> DataFrame:
-    return study.trials_table(spark, _TRIALS)
-
-
-@query(f"WITH {_SQL_MEANS} SELECT beta, study, trial, params, round(avg_fbeta, 6) AS avg_fbeta, round(avg_precision, 6) AS avg_precision, round(avg_recall, 6) AS avg_recall, topics FROM m QUALIFY row_number() OVER (PARTITION BY beta ORDER BY avg_fbeta DESC, study, trial) = 1")
-def trial_best_per_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(study.best_per_beta(study.trial_means(_trials(spark), [1, 3, 50])), "avg_fbeta", "avg_precision", "avg_recall")
-
-
-@query(f"WITH {_SQL_MEANS} SELECT beta, study, trial, round(avg_fbeta, 6) AS avg_fbeta, round(avg_recall, 6) AS avg_recall FROM m WHERE avg_recall >= 0.7 QUALIFY row_number() OVER (PARTITION BY beta ORDER BY avg_fbeta DESC, study, trial) = 1")
-def trial_best_with_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = study.best_with_recall(study.trial_means(_trials(spark), [1, 3, 50]), 0.7)
-    return rounded(best.select("beta", "study", "trial", "avg_fbeta", "avg_recall"), "avg_fbeta", "avg_recall")
-
-
-@query(f"WITH {_SQL_MEANS}, x AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY beta ORDER BY avg_fbeta DESC, study, trial) = 1) SELECT params, count(*) AS n_betas, string_agg(CAST(beta AS INTEGER), ',' ORDER BY beta) AS betas FROM x GROUP BY params")
-def params_dedupe_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = study.merge_best(study.best_per_beta(study.trial_means(_trials(spark), [1, 3, 50])))
-    keys = F.array_sort(F.map_keys("betas"))
-    return merged.select("params", F.size(keys).cast("long").alias("n_betas"), F.array_join(F.transform(keys, lambda b: b.cast("int").cast("string")), ",").alias("betas"))
-
-
-@query(f"WITH {_SQL_TRIALS} SELECT study, state, count(*) AS n FROM tr GROUP BY GROUPING SETS ((study, state), (state))")
-def trial_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.state_counts(_trials(spark))
-
-
-@query(f"WITH {_SQL_TRIALS} SELECT json_extract_string(params, '$.depth') AS value, round(avg(value), 6) AS mean, count(*) AS n FROM tr WHERE value IS NOT NULL GROUP BY 1")
-def mean_by_param_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(study.mean_by_value(_trials(spark), "depth"), "mean")
-
-
 @query("""WITH m AS (SELECT l_returnflag || l_linestatus AS file, avg(l_discount * 10) AS p, avg(l_tax * 10) AS r FROM lineitem WHERE l_quantity >= 10 GROUP BY 1)
 SELECT file, round(p, 6) AS precision, round(r, 6) AS recall, round(2501.0 * p * r / (2500 * p + r), 6) AS f FROM m ORDER BY f DESC, file LIMIT 1""")
 def best_run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,30 +214,6 @@ def best_run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(study.best_run(rows, 50.0, 10), "precision", "recall", "f")
 
 
-_EDGES = [("a", "b"), ("b", "c"), ("c", "x"), ("A", "B"), ("A", "X"), ("X", "Y"), ("Y", "Z"), ("K", "Y"), ("q", "r")]
-_SQL_EDGES = "e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ") t(key, form))"
-
-
-@query(f"""WITH RECURSIVE {_SQL_EDGES}, u AS (SELECT key AS a, form AS b FROM e UNION SELECT form, key FROM e), p AS (SELECT a AS word, a AS other FROM u UNION SELECT p.word, u.b FROM p JOIN u ON u.a = p.other)
-SELECT word, min(other) AS root FROM p GROUP BY word""")
-def lexicon_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.merge_targets(spark.createDataFrame(_EDGES, "key string, form string"))
-
-
-@query(f"""WITH RECURSIVE {_SQL_EDGES}, c AS (SELECT 'a' AS word, 'a' AS related UNION SELECT 'A', 'A' UNION SELECT c.word, e.form FROM c JOIN e ON e.key = c.related) SELECT word, related FROM c""")
-def related_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame(_EDGES, "word string, related string")
-    return lexicon.closure(edges, spark.createDataFrame([("a",), ("A",)], "word string"))
-
-
-@query(f"""WITH {_SQL_EDGES}, w AS (SELECT key AS word FROM e UNION SELECT form FROM e), n AS (SELECT word, count(DISTINCT form) AS n FROM w LEFT JOIN e ON e.key = w.word GROUP BY word), c AS (SELECT key AS word, form AS choice FROM e UNION SELECT word, word FROM w)
-SELECT c.word, choice AS target FROM c JOIN n ON n.word = c.choice QUALIFY row_number() OVER (PARTITION BY c.word ORDER BY n DESC, choice) = 1""")
-def dominating_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame(_EDGES, "word string, related string")
-    words = edges.select("word").union(edges.select("related")).distinct()
-    return lexicon.dominating_words(words, edges)
-
-
 @query("""WITH t AS (SELECT r_name AS name, 'R' || r_regionkey AS number FROM region UNION ALL SELECT n_name, 'R' || n_regionkey || '.N' || n_nationkey FROM nation UNION ALL SELECT c_name, 'R' || n_regionkey || '.N' || n_nationkey || '.C' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
 p AS (SELECT name, unnest(list_transform(range(1, len(string_split(number, '.'))), lambda i: array_to_string(string_split(number, '.')[1:i], '.'))) AS number FROM t)
 SELECT p.name, t.name AS ancestor FROM p JOIN t USING (number) UNION SELECT name, name FROM t""")

@@ -99,10 +99,10 @@ def evaluate(query: str, docs: DataFrame, tokens: Column, y: Column) -> DataFram
     return coverage.mask_metrics(docs, boolean.to_column(boolean.parse(query), tokens), y, betas=(1.0, 3.0, 50.0))
 
 
-def synthetic_corpus(spark: SparkSession, formula: str, n_docs: int, pool: int = 1000, mean_length: int = 60, share: float = 1.0, error: float = 0.0, seed: int = 42) -> DataFrame:
+def synthetic_corpus(spark: SparkSession, formula: str, n_docs: int = 0, pool: int = 1000, mean_length: int = 60, share: float = 1.0, error: float = 0.0, seed: int = 42, ids: DataFrame | None = None) -> DataFrame:
     """(doc_id, terms, y): documents over all assignments of a formula's variables, with random filler terms.
 
-    ``share`` of the assignments are used, ``error`` of the labels flipped. All randomness is a hash of seed and row.
+    Documents are numbered from 0, or are those of ``ids`` (id). ``share`` of the assignments are used, ``error`` of the labels flipped. All randomness is a hash of seed and row.
     """
     node = boolean.parse(formula)
     variables = sorted({t.text for t in boolean.terms_of(node)})
@@ -118,4 +118,4 @@ def synthetic_corpus(spark: SparkSession, formula: str, n_docs: int, pool: int =
     words = F.when(filler > 0, F.transform(F.sequence(F.lit(1), F.greatest(filler, F.lit(1))), lambda k: F.concat(F.lit("r"), F.floor(uniform(row, k) * max(1, pool - n)).cast("string")))).otherwise(F.array().cast("array<string>"))
     truth = boolean.fold(node, lambda t: bit(assigned, variables.index(t.text)), lambda a, b: a & b, lambda a, b: a | b, lambda a: ~a)
     flipped = truth != (uniform(row, F.lit("flip")) < error)
-    return spark.range(n_docs).select(row.alias("doc_id"), F.array_distinct(F.concat(own, words)).alias("terms"), flipped.cast("int").alias("y"))
+    return (spark.range(n_docs) if ids is None else ids).select(row.alias("doc_id"), F.array_distinct(F.concat(own, words)).alias("terms"), flipped.cast("int").alias("y"))

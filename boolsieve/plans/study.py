@@ -145,6 +145,11 @@ def known_only(base: dict, tuned: dict) -> dict:
     return base | {k: v for k, v in tuned.items() if k in base}
 
 
+def known_rows(base: DataFrame, tuned: DataFrame) -> DataFrame:
+    """``known_only`` of tables (name, value)."""
+    return base.join(tuned.select("name", F.col("value").alias("_tuned")), "name", "left").select("name", F.coalesce("_tuned", "value").alias("value"))
+
+
 def mean_by_value(trials: DataFrame, name: str) -> DataFrame:
     """(value, mean, n): the mean measure of every value of one parameter."""
     value = F.get_json_object("params", f"$.{name}")

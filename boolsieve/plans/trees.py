@@ -89,6 +89,11 @@ def biased_random(low: float, high: float, exponent: float, rng: np.random.Gener
     return low + (high - low) * rng.random() ** exponent
 
 
+def biased_column(low: float, high: float, exponent: float, u: F.Column) -> F.Column:
+    """``biased_random`` of an even number between 0 and 1 of each row."""
+    return F.lit(float(low)) + F.lit(float(high - low)) * F.pow(u, F.lit(float(exponent)))
+
+
 @dataclass(frozen=True)
 class Plan:
     """What a tree learns: its number, how it grows, the mean of its rows' Poisson weights (None: each row once), and its target."""
