@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from boolsieve.catalog.registry import query, rounded, sql_ratio, table
 from boolsieve.functions.text import tokens
-from boolsieve.operators import analytics, ranking
-from boolsieve.session import small
+from boolsieve.operators import analytics, ranking, textsearch
+from boolsieve.session import cut, literal, small
 
 #: Every vector whose id this divides is a query against all vectors; relevant is what has its label.
 EVERY = 20
@@ -174,12 +174,13 @@ f AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM qs) GRO
 x AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM p JOIN f USING (term) JOIN qs USING (term) JOIN l USING (doc_id), s GROUP BY 1, 2)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS INTEGER) AS rank FROM x QUALIFY rank < 20""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = literal(spark, [(0, "trash"), (0, "he"), (1, "license"), (1, "les")], "query_id long, term string")
     docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
-    post = docs.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select("doc_id", F.size("w").alias("length"))
-    queries = spark.createDataFrame([(0, "trash"), (0, "he"), (1, "license"), (1, "les")], "query_id int, term string")
-    scores = ranking.bm25(post, lengths, queries).withColumn("score", F.round("score", 9))
-    return rounded(ranking.ranked(scores, 20), "score")
+    asked = F.filter("w", lambda t: t.isin("trash", "he", "license", "les"))  # other terms' postings are never made
+    docs = cut(docs.select("doc_id", F.size("w").alias("length"), asked.alias("asked")))
+    post = docs.select("doc_id", F.explode("asked").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    found = textsearch.top_documents(post, docs.select("doc_id", "length"), queries, 20)
+    return rounded(found.withColumn("query_id", F.col("query_id").cast("int")), "score")
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:-[a-z0-9]+)*') AS w FROM documents)

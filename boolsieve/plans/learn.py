@@ -18,6 +18,7 @@ from boolsieve.plans.trees import Forest, Params
 from boolsieve.session import cut
 
 
+# fixed values: the defaults
 @dataclass(frozen=True)
 class Settings:
     """A learning run. Bounds of the vocabulary, trees, forest, and how rules are pruned, selected and written."""

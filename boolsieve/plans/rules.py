@@ -100,19 +100,16 @@ def variations(r: Rule) -> list[tuple[str, bool, Rule]]:
 
 
 def choose(options: list[dict], limits: dict = PRUNING) -> tuple[int | None, bool]:
-    """The accepted option of the best F, and whether it replaces its parent. Once one replaces, only such count after it."""
-    best, top, replaces = None, float("-inf"), False
-    for i, o in enumerate(options):
-        lim = limits[o["kind"], o["negated"]]
-        value = o[lim.measure]
-        if value < lim.accept and value < lim.replace:
-            continue
-        strong = value >= lim.replace
-        if strong and not replaces:
-            best, top, replaces = i, o["f"], True
-        elif strong >= replaces and o["f"] > top:
-            best, top = i, o["f"]
-    return best, replaces
+    """The accepted option that replaces its parent, has the best F and comes first, in this order; and whether it replaces."""
+    rated = []
+    for place, o in enumerate(options):
+        bound = limits[o["kind"], o["negated"]]
+        if o[bound.measure] >= min(bound.accept, bound.replace):
+            rated.append((o[bound.measure] >= bound.replace, o["f"], -place))
+    if not rated:
+        return None, False
+    replaces, _, place = max(rated)
+    return -place, replaces
 
 
 def prune_all(rules: Iterable[Rule], scores: Scores, limits: dict = PRUNING) -> dict[Rule, list[Rule]]:

@@ -23,6 +23,7 @@ from boolsieve.operators import splits
 from boolsieve.plans.shards import Matrix, Part, Shards
 from boolsieve.session import cut
 
+# fixed values: the defaults
 @dataclass(frozen=True)
 class Params:
     """How trees grow. The impurity drop that an added OR term needs goes from ``min_drop_start`` at the root to ``min_drop_end``."""
@@ -480,6 +481,7 @@ def describe(node: Node, names: list[str], depth: int = 0) -> str:
     return head + describe(node.left, names, depth + 1) + f"{pad}none\n" + describe(node.right, names, depth + 1)
 
 
+# fixed values: the defaults
 @dataclass(frozen=True)
 class Forest:
     """How many trees and how each differs. Tree 0 has all rows and all features.
