@@ -334,23 +334,29 @@ def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     ends = member.join(cut(central.unionAll(few).distinct()), "bucket").filter("node <> centre")
     pairs = cut(ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
     found = verified(pairs, sketches, sets, least)
-    full = cut(member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi"))
-    linked = cut(found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct())
+    full = member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi")
+    linked = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
     alone = cut(full.join(linked, "node", "left_anti"))
     if not alone.isEmpty():
-        found = cut(found.unionAll(rest_links(alone, member, sets, least)).distinct())
+        found = found.unionAll(rest_links(alone, member, sets, least)).distinct()
     apart = cut(_apart(full, found).join(linked, "node", "left_semi"))  # the others have met all members
     return found if apart.isEmpty() else found.unionAll(rest_links(apart, member, sets, least)).distinct()
 
 
 def _apart(member: DataFrame, found: DataFrame) -> DataFrame:
-    """The members (bucket, node) that are not in the largest group, by links (a, b), of their bucket; ties to the smaller root."""
-    roots = components(found)
-    known = cut(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
-    grouped = cut(member.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
+    """The members (bucket, node) that are not in the largest group, by links (a, b), of their bucket; ties to the smaller root.
+
+    A group is what has the smallest node within two links in common: part of a component, and all of one whose texts are
+    like a text that all of them are like. So texts of different components are never of one group.
+    """
+    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    near = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("low"))
+    met = ends.join(near.toDF("other", "far"), "other").groupBy("node").agg(F.min("far").alias("far"))
+    known = near.join(met, "node").select("node", F.least("low", "far").alias("root"))
+    grouped = member.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     sizes = grouped.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.min_by("root", F.struct((-F.col("n")).alias("n"), "root")).alias("most"), F.count("*").alias("groups"))
-    return cut(grouped.join(largest.filter("groups > 1"), "bucket").filter("root <> most").select("bucket", "node"))
+    return grouped.join(largest.filter("groups > 1"), "bucket").filter("root <> most").select("bucket", "node")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS) -> DataFrame:
