@@ -312,16 +312,16 @@ def rest_links(alone: DataFrame, member: DataFrame, sets: DataFrame, least: floa
     return cut(rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
-def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float = LIKENESS) -> DataFrame:
+def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float = LIKENESS, meet_groups: bool = False) -> DataFrame:
     """(a, b), a > b: links between distinct texts (node, sketch, n) that share ``least`` of their shingles.
 
     ``sets_of`` gives (node, shingles) of the nodes (node) that share a bucket with another; the rest are never compared.
     Texts whose sketches agree in a whole band are in a bucket. Up to FEW of them are compared with each other. Of more, each
     is compared with the one that meets most others in all its buckets, which is what they are copies of: a hot bucket
     of copies costs a comparison for each. Those that are like none of these are then compared with all members of their
-    buckets, by their shingles and in blocks; and so are, in every bucket that still holds several groups of what is
-    linked, the members that are not in its largest group. Any two members of different groups are then compared, so no
-    two groups that share a bucket stay apart if a link joins them.
+    buckets, by their shingles and in blocks. So no text stays without a link that it has, however full its buckets are.
+    With ``meet_groups`` so are, in every full bucket that still holds several groups of what is linked, the members that
+    are not in its largest group: then no two groups that share a bucket stay apart if a link joins them.
     """
     member = bands(distinct)
     wanted = cut(member.select("node").distinct())
@@ -334,38 +334,34 @@ def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     ends = member.join(cut(central.unionAll(few).distinct()), "bucket").filter("node <> centre")
     pairs = cut(ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
     found = verified(pairs, sketches, sets, least)
-    full = member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi")
+    full = cut(member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi"))
     linked = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
     alone = cut(full.join(linked, "node", "left_anti"))
     if not alone.isEmpty():
-        found = found.unionAll(rest_links(alone, member, sets, least)).distinct()
+        found = cut(found.unionAll(rest_links(alone, member, sets, least)).distinct())
+    if not meet_groups:
+        return found
     apart = cut(_apart(full, found).join(linked, "node", "left_semi"))  # the others have met all members
     return found if apart.isEmpty() else found.unionAll(rest_links(apart, member, sets, least)).distinct()
 
 
 def _apart(member: DataFrame, found: DataFrame) -> DataFrame:
-    """The members (bucket, node) that are not in the largest group, by links (a, b), of their bucket; ties to the smaller root.
-
-    A group is what has the smallest node within two links in common: part of a component, and all of one whose texts are
-    like a text that all of them are like. So texts of different components are never of one group.
-    """
-    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(found.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    near = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("low"))
-    met = ends.join(near.toDF("other", "far"), "other").groupBy("node").agg(F.min("far").alias("far"))
-    known = near.join(met, "node").select("node", F.least("low", "far").alias("root"))
+    """The members (bucket, node) that are not in the largest group, by links (a, b), of their bucket; ties to the smaller root."""
+    roots = components(found)
+    known = cut(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
     grouped = member.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     sizes = grouped.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.min_by("root", F.struct((-F.col("n")).alias("n"), "root")).alias("most"), F.count("*").alias("groups"))
     return grouped.join(largest.filter("groups > 1"), "bucket").filter("root <> most").select("bucket", "node")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS, meet_groups: bool = False) -> DataFrame:
     """``docs`` with one row of every group of near copies, the one of its smallest id, and all columns.
 
     Texts link if their fingerprints differ in two bits or fewer, or if they share ``least`` of their five-word
     shingles; a group is what links connect. Fingerprints alone can't reach a likeness of 0.8: it stands for
     some ten bits, and covering masks double with each. Of repeated rows with a group's smallest id one stays, the one with
-    the smallest hash of all columns; so it is in groups without any id. Null and blank texts are copies of each other. An
+    the smallest hash of all columns; so it is in groups without any id. ``meet_groups`` is that of ``like_links``. Null and blank texts are copies of each other. An
     empty table stays empty.
     """
     found = cut(features(docs, id_col, text_col, shingle))
@@ -374,7 +370,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     distinct = cut(distinct.select("node", "rep", "s.*"))
     nodes = cut(distinct.groupBy("fp").agg(F.min("rep").alias("rep")))
     of = distinct.select("node", "fp")
-    alike_texts = like_links(distinct.select("node", "sketch", "n"), lambda wanted: shingle_sets(docs, text_col, wanted), least)
+    alike_texts = like_links(distinct.select("node", "sketch", "n"), lambda wanted: shingle_sets(docs, text_col, wanted), least, meet_groups)
     between = alike_texts.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").filter("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     heads = _heads(nodes, links(nodes).unionByName(between))
     chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n")))

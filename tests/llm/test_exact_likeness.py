@@ -68,7 +68,7 @@ def test_groups_that_share_a_full_bucket_meet(spark):
         sketches.append(bytearray(sketch.tobytes()))
     rows = [(k, sketches[k], np.unique(x).tolist()) for k, x in enumerate(sets)]
     df = spark.createDataFrame(rows, "node long, sketch binary, shingles array<long>").selectExpr("*", "bigint(size(shingles)) n")
-    assert {tuple(r) for r in sh.like_links(df, lambda _: df.select("node", "shingles")).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert {tuple(r) for r in sh.like_links(df, lambda _: df.select("node", "shingles"), meet_groups=True).collect()} == {(1, 0), (2, 1), (3, 2)}
 
 
 def test_pairs_about_the_bound_are_compared_exactly(spark):
