@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boolsieve.catalog.registry import query, rounded, sql_ratio, table
 from boolsieve.functions.text import tokens
-from boolsieve.operators import analytics, ranking, textsearch
+from boolsieve.operators import analytics, ranking, textsearch, vectorindex
 from boolsieve.session import cut, literal, small
 
 #: Every vector whose id this divides is a query against all vectors; relevant is what has its label.
@@ -50,6 +50,17 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("query_id", "doc_id", "rank", "score"), "score")
 
 
+@query()
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, nearest, found): how many of each query's exact ten nearest the index finds. Cells and rows to rate again are calibrated to 0.97."""
+    vectors, queries = _vectors(spark, sf_dir), cut(_queries(spark, sf_dir))
+    index = vectorindex.build(vectors)
+    found = vectorindex.search(index, vectors, queries, 10, vectorindex.calibrate(index, vectors, 10, 0.97))
+    exact = ranking.search(vectors, queries, k=10).select("query_id", "doc_id")
+    rows = exact.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return rows.groupBy("query_id").agg(F.count("*").alias("nearest"), F.count("hit").alias("found"))
+
+
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT vec_id AS target, list_cosine_similarity(e, (SELECT e FROM v WHERE vec_id = 0)) AS weight FROM v WHERE vec_id <> 0)
 SELECT 0::BIGINT AS source, target, round(weight, 6) AS weight FROM s WHERE weight >= 0.2 ORDER BY weight DESC, target LIMIT 50""")
 def dense_threshold_star(spark: SparkSession, sf_dir: str) -> DataFrame:
