@@ -19,6 +19,7 @@ DOCUMENT = (
     f"ipc array<struct<symbol:string,version:string,is_primary:boolean>>, cpc array<struct<symbol:string,is_inventive:boolean>>, applicants {_PARTY}, inventors {_PARTY}, "
     f"titles {_TEXT}, abstracts {_TEXT}, claims array<struct<num:string,lang:string,text:string>>, states array<string>"
 )
+# fixed values: a classification symbol, and an entity of a document type
 _SYMBOL = re.compile(r"[A-H]\d{2}[A-Z]\s*\d+/?\d*")
 _ENTITY = re.compile(rb"<!ENTITY\s+([\w.-]+)\s+\"([^\"]*)\"")
 
