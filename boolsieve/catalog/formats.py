@@ -282,10 +282,10 @@ def _patents(spark: SparkSession, sf_dir: str) -> DataFrame:
             inner = archive([(f"d{i}.xml", f'<exch:exchange-documents xmlns:exch="http://x">{x}</exch:exchange-documents>'.encode()) for i, x in enumerate(docs)])
             yield pa.RecordBatch.from_arrays([pa.array([archive([("DOC/inner.zip", inner), ("DOC/toc.xml", b"<toc/>"), ("DTD/a.dtd", b'<!ENTITY corp "Corp">')])], pa.binary())], ["zip"])
 
-    made = s.select(body.alias("xml")).repartition(2).mapInArrow(zipped, "zip binary")
-    made.withColumn("n", F.spark_partition_id()).select(F.base64("zip").alias("value"), "n").write.partitionBy("n").text(path)
-    # a text sink holds the archives as base64; the source reads the bytes
-    rows = spark.read.text(path, wholetext=True).select(F.unbase64("value").alias("content"), F.concat(F.lit("a"), F.col("n").cast("string"), F.lit(".zip")).alias("path"))
+    made = s.select(body.alias("xml")).repartition("xml").mapInArrow(zipped, "zip binary")
+    made.withColumn("n", F.spark_partition_id()).select(F.regexp_replace(F.base64("zip"), "\\s", "").alias("value"), "n").write.partitionBy("n").text(path)
+    # a text sink holds the archives as base64, a line each: a partition of several batches has several; the source reads the bytes
+    rows = spark.read.text(path).select(F.unbase64("value").alias("content"), F.concat(F.lit("a"), F.col("n").cast("string"), F.lit(".zip")).alias("path"))
     return patents.documents(patents.members(rows))
 
 

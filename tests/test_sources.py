@@ -222,3 +222,18 @@ def test_query_entries(spark):
     rows = spark.createDataFrame([("(a OR b) AND c",), ("bad (",), (None,)], "pubmed_query string")
     got = {r.pubmed_query: (r.terms, r.nested) for r in reports.query_entries(rows).collect()}
     assert got["(a OR b) AND c"] == (["a", "b", "c"], [[["a", "b"], ["c"]]]) and got["bad ("] == (None, None) and got[None] == (None, None)
+
+
+@pytest.mark.parametrize("name", ["patent_archives", "patent_texts"])
+def test_partitions_of_several_archives(spark, sf, name):
+    """A partition of more rows than a batch has several archives."""
+    from boolsieve.catalog import ORACLE_SQL, QUERIES
+    from oracle import compare
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        compare(QUERIES[name](spark, sf.replace("sf0.001", "sf0.01")), ORACLE_SQL[name], sf.replace("sf0.001", "sf0.01"))
+    finally:
+        spark.conf.set(key, old)
