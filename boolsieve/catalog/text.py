@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boolsieve.catalog.registry import SQL_DOCS, SQL_LAB, SQL_POST, SQL_TERMS, SQL_TEXTS, labelled, labels, postings, query, r6, rounded, sql_f, sql_ratio, table, texts
+from boolsieve.catalog.registry import LABEL_ROWS, SQL_DOCS, SQL_LAB, SQL_POST, SQL_TERMS, SQL_TEXTS, labelled, labels, postings, query, r6, rounded, sql_f, sql_ratio, table, texts
 from boolsieve.functions import boolean, strategies, text
 from boolsieve.functions.rules import rule
 from boolsieve.functions.safe import precision, ratio, recall
 from boolsieve.operators import ablation, analytics, coverage, lexicon, setcover, splits, vocabulary
 from boolsieve.plans import trees
-from boolsieve.session import cut, literal
+from boolsieve.session import cut, literal, small
 
 SQL_DF = f"{SQL_POST}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term), n AS (SELECT count(*) AS n FROM documents)"
 
@@ -258,8 +258,9 @@ _TREE = trees.Node(1, 1, 0.5, [0, 1], trees.Node(1, 1, 0.7, [2], trees.Node(1, 1
 t AS (SELECT DISTINCT s AS t FROM s WHERE s > 0), m AS (SELECT t, CAST(count(*) FILTER (y = 1) AS BIGINT) AS tp, CAST(count(*) AS BIGINT) AS returned FROM t JOIN s ON s.s >= t GROUP BY t)
 SELECT t::DOUBLE AS threshold, tp, returned, round({sql_ratio("tp", "returned")}, 6) AS precision, round({sql_ratio("tp", "(SELECT count(*) FROM docs WHERE y = 1)")}, 6) AS recall FROM m""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = lambda *w: F.arrays_overlap("terms", F.array(*[F.lit(x) for x in w])).cast("double")
-    rows = labelled(spark, sf_dir).select("y", (has("trash", "clown") + has("idiot") + has("he") * 0.5).alias("s"))
+    has = lambda *w: text.has_token(F.col("text"), *w).cast("double")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.join(small(labels(spark, sf_dir), LABEL_ROWS), "doc_id").select("y", (has("trash", "clown") + has("idiot") + has("he") * 0.5).alias("s"))
     by = rows.groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
     total = by.agg(F.sum("p").alias("positives"))
     grid = F.broadcast(by.filter("s > 0").select(F.col("s").alias("threshold")))  # a tree's leaves
