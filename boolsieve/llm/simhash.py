@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -31,6 +32,12 @@ FEW = 3
 BLOCK_SHINGLES, COLUMNS = 500_000, 2048
 #: Texts that share a band with another up to which tasks get their hashes as a broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_TEXTS = 4_000_000
+#: Slots of shingles' hashes that are counted, and a share of a task's texts, one of so many, from which on a slot's shingles are common.
+SLOTS, COMMON = 1 << 20, 200
+#: Texts of a shared shingle up to which those of different groups are compared as pairs.
+MEETING = 256
+#: One shingle more of so many must be shared for texts to be compared.
+NEEDED = 12
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -259,7 +266,10 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, least: floa
             slack = SLACK * np.sqrt(BINS / np.minimum(part.column("n").to_numpy(), BINS))
             yield part.filter(pa.array(alike(sa, sb) >= least - slack)).select(["a", "b"])
 
-    near = cut(both.mapInArrow(run, "a long, b long"))
+    return _exact(cut(both.mapInArrow(run, "a long, b long")), sets, least)
+
+
+def _exact(near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     exact = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = exact.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return cut(common.filter(F.col("both") >= F.lit(least) * (F.col("n") - F.col("both"))).select("a", "b"))
@@ -347,12 +357,112 @@ def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
 
 def _apart(member: DataFrame, found: DataFrame) -> DataFrame:
     """The members (bucket, node) that are not in the largest group, by links (a, b), of their bucket; ties to the smaller root."""
+    return _groups(member, found).filter("root <> most").select("bucket", "node")
+
+
+def _groups(member: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, node, root, most): the members of buckets that hold several groups, with their group and the largest one."""
     roots = components(found)
     known = cut(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
-    grouped = member.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    grouped = cut(member.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
     sizes = grouped.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.min_by("root", F.struct((-F.col("n")).alias("n"), "root")).alias("most"), F.count("*").alias("groups"))
-    return grouped.join(largest.filter("groups > 1"), "bucket").filter("root <> most").select("bucket", "node")
+    return grouped.join(largest.filter("groups > 1").select("bucket", "most"), "bucket")
+
+
+def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How common shingles are: of each of SLOTS slots of their hashes the logarithm of its texts if it is in one of COMMON, else 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(SLOTS, np.int64), 0
+        for part in slices(batches, "text"):
+            hashes = [np.unique(shingle_hashes(t)) for t in utf8(part.column("text"))]
+            n += len(hashes)
+            seen += np.bincount((np.concatenate([*hashes, np.zeros(0, np.uint64)]) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(seen >= max(4, n / COMMON))
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(seen[slot])], ["slot", "n"])
+
+    found = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "slot long, n long")
+    rows = found.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row a slot at most
+    out = np.zeros(SLOTS, np.uint8)
+    out[rows["slot"].to_numpy()] = np.log2(rows["n"].to_numpy().astype(float)).astype(np.uint8)
+    return out
+
+
+def _needed(n: int) -> int:
+    """How many of their ``first_shingles`` two texts must share, by the smaller one's number of shingles."""
+    return 1 + n // NEEDED
+
+
+def first_shingles(docs: DataFrame, text_col: str, least: float) -> DataFrame:
+    """(bucket, node): the shingles that texts must share some of if they share ``least`` of all, if others have them, too.
+
+    In any order of shingles that is the same for all, two such texts share k of their first n - ceil(least n) + k, for each k. Rare
+    ones come first, so that few texts meet. Each text's shingles are dealt by their hash, and those of one text alone go as they are read.
+    """
+    order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for part in slices(batches, "text"):
+            nodes, tokens = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for t in utf8(part.column("text")):
+                node = word_hash(t)
+                if node in done:
+                    continue
+                done.add(node)
+                h = np.unique(shingle_hashes(t))
+                first = h[np.argsort(order.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")]
+                first = first[: len(h) - math.ceil(least * len(h) - 1e-9) + _needed(len(h))]
+                tokens.append(first)
+                nodes.append(np.full(len(first), node, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (tokens, nodes)], ["bucket", "node"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, node, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        for part in batches:
+            bucket, node = (np.concatenate([x, part.column(c).to_numpy()]) for x, c in ((bucket, "bucket"), (node, "node")))
+            kept = np.concatenate([kept, np.zeros(len(bucket) - len(kept), bool)])
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])])[: len(bucket)]
+            bucket, node, kept = bucket[new], node[new], kept[new]
+            same = bucket[1:] == bucket[:-1]
+            kept[1:] |= same
+            kept[:-1] |= same
+            ready = kept[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[:-1][ready]), pa.array(node[:-1][ready])], ["bucket", "node"])
+            bucket, node, kept = bucket[-1:], node[-1:], kept[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[kept]), pa.array(node[kept])], ["bucket", "node"])
+
+    made = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "bucket long, node long")
+    return cut(made.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(shared, "bucket long, node long"))
+
+
+def missing_links(docs: DataFrame, text_col: str, sizes: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """(a, b), a > b: the links between groups of texts (node, n), by links ``found``, that sketches and full buckets left out. None is lost.
+
+    Where texts of several groups share one of their ``first_shingles``, those that are not in the largest group there meet all others:
+    as pairs where few do, which are compared if they share enough of these and their sizes allow it; in the blocks of ``rest_links``
+    where many do.
+    """
+    member = first_shingles(docs, text_col, least)
+    groups = cut(_groups(member, found))
+    if groups.isEmpty():
+        return found.limit(0)
+    full = cut(groups.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > MEETING).select("bucket"))
+    few = groups.join(full, "bucket", "left_anti").join(sizes, "node")
+    other = few.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "most")])
+    once = (F.col("root2") == F.col("most2")) | (F.col("node") < F.col("node2"))
+    low, high = F.least("n", "n2"), F.greatest("n", "n2")
+    met = few.filter("root <> most").join(other, "bucket").filter((F.col("root") != F.col("root2")) & once & (low >= F.lit(least - 1e-9) * high))
+    shared = met.groupBy(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).agg(F.count("*").alias("k"), F.min(low).alias("n"))
+    pairs = cut(shared.filter(F.col("k") >= 1 + F.floor(F.col("n") / NEEDED)).select("a", "b"))
+    many = cut(groups.join(full, "bucket", "left_semi"))
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(many.select("node"))
+    sets = shingle_sets(docs, text_col, cut(asked.distinct()))
+    out = _exact(pairs, sets, least)
+    if full.isEmpty():
+        return out
+    return out.unionAll(rest_links(many.filter("root <> most").select("bucket", "node"), many.select("bucket", "node"), sets, least))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS, meet_groups: bool = False) -> DataFrame:
@@ -360,7 +470,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts link if their fingerprints differ in two bits or fewer, or if they share ``least`` of their five-word
     shingles; a group is what links connect. Fingerprints alone can't reach a likeness of 0.8: it stands for
-    some ten bits, and covering masks double with each. Of repeated rows with a group's smallest id one stays, the one with
+    some ten bits, and covering masks double with each. Bands of sketches find most links and ``missing_links`` all others
+    that join groups. Of repeated rows with a group's smallest id one stays, the one with
     the smallest hash of all columns; so it is in groups without any id. ``meet_groups`` is that of ``like_links``. Null and blank texts are copies of each other. An
     empty table stays empty.
     """
@@ -371,6 +482,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = cut(distinct.groupBy("fp").agg(F.min("rep").alias("rep")))
     of = distinct.select("node", "fp")
     alike_texts = like_links(distinct.select("node", "sketch", "n"), lambda wanted: shingle_sets(docs, text_col, wanted), least, meet_groups)
+    alike_texts = alike_texts.unionAll(missing_links(docs, text_col, distinct.select("node", "n"), alike_texts, least))
     between = alike_texts.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").filter("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     heads = _heads(nodes, links(nodes).unionByName(between))
     chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n")))

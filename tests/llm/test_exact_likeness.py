@@ -1,6 +1,7 @@
 """Near copies by what their shingles share, not by what sketches say of it."""
 
 import numpy as np
+import pytest
 
 from boolsieve.llm import simhash as sh
 
@@ -87,3 +88,49 @@ def test_overlaps_equal_sets():
 def test_blocks_of_a_bucket_meet(spark, monkeypatch):
     monkeypatch.setattr(sh, "BLOCK_SHINGLES", 150)
     test_members_that_centres_miss_meet_all_others(spark)
+
+
+def _chained(seed):
+    """Texts whose links join groups: each chain's next text is like the one before it alone; a common line is in all."""
+    rng = np.random.default_rng(seed)
+    line = [f"line{i}" for i in range(12)]
+    texts = []
+    for c in range(6):
+        words = [f"c{c}w{i}" for i in range(int(rng.integers(60, 200)))]
+        for _ in range(5):
+            texts.append(" ".join(words + line))
+            words = list(words)
+            at = int(rng.integers(0, len(words) - 20))
+            words[at : at + max(1, len(words) // int(rng.integers(8, 30)))] = [f"n{rng.integers(1 << 30)}"]
+    return texts + ["few words", "few words", "", "some other few words here", "some other few words"]
+
+
+def _one_of_each_group(texts):
+    sets = [set(sh.shingle_hashes(t.encode()).tolist()) for t in texts]
+    prints = [sh.fingerprint(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or (sets[i] and sets[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i for i in range(len(texts)) if top(i) == i}
+
+
+@pytest.mark.parametrize("meeting", [64, 1])
+@pytest.mark.parametrize("blind", [True, False])
+def test_no_link_depends_on_sketches(spark, monkeypatch, meeting, blind):
+    """Even if no sketches agree in a band, every link that joins groups is found, as pairs and in blocks."""
+    if blind:
+        monkeypatch.setattr(sh, "bands", lambda distinct: distinct.limit(0).selectExpr("node AS bucket", "node"))
+    monkeypatch.setattr(sh, "MEETING", meeting)
+    texts = _chained(meeting)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in sh.drop_near_copies(df).collect()} == _one_of_each_group(texts)
