@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boolsieve.catalog import QUERIES, derived
+from boolsieve.catalog import ORACLE_SQL, QUERIES, derived
 from boolsieve.operators import ranking
+from oracle import compare
 
 
 @pytest.fixture()
@@ -52,3 +53,39 @@ def test_no_row_for_each_pair_is_sorted(spark, sf, name):
 
 def test_edges_are_searched_once(spark, sf):
     assert "MapInArrow" not in derived._edges(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [7, None])
+def test_labels_say_what_judged_pairs_do(vectors, k):
+    """The same hits by labels as by a table of pairs; of whole rankings relevant rows and the last keep their ranks."""
+    queries = vectors.filter("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    qrels = vectors.join(queries.select("query_id", F.col("label").alias("asked"))).filter("label = asked").select("query_id", F.col("vec_id").alias("doc_id"), F.lit(1).alias("rel"))
+    whole = ranking.search(vectors, queries, k, qrels=qrels)
+    assert _rows(ranking.search(vectors, queries, k, label="label")) == _rows(whole)
+    own = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
+    assert _rows(ranking._search_rows(own, queries, k, None, True, None, "label")) == _rows(whole)
+    told = whole if k else whole.filter("rel = 1 or rank < 2 or rank = 158")
+    assert _rows(ranking.search(vectors, queries, k, label="label", first=None if k else 2)) == _rows(told)
+
+
+def test_falling_keeps_the_order_of_ties():
+    rng = np.random.default_rng(1)
+    for scores in (rng.integers(0, 40, 500) / 7, rng.normal(size=500), np.zeros(9), np.zeros(0), np.array([1, np.nan, 1, 2])):
+        assert ranking._falling(scores).tolist() == np.argsort(-scores, kind="stable").tolist()
+
+
+@pytest.mark.parametrize("name", ["k_at_recall", "min_k_for_recall", "min_threshold_for_recall", "rank_metrics_at_k", "rank_panel", "judged_precision", "pseudo_label_ramps"])
+def test_no_table_of_pairs_is_joined(spark, sf, name, monkeypatch):
+    """Judgements are labels of both sides, not a row for each pair; a query without any relevant vector stays."""
+    met = []
+    monkeypatch.setattr(ranking, "_judged", lambda rows, qrels: met.append(name))
+    text = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not met and "collect_set" not in text and text.count("NestedLoop") <= (1 if name == "pseudo_label_ramps" else 2)
+
+
+def test_a_query_without_relevant_vectors_has_its_row(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist(), 5 if i == 20 else None if i == 40 else i % 2) for i in range(50)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("rank_panel", "k_at_recall", "tnr_at_recall", "cutoffs", "micro_macro_pr", "rank_metrics_at_k"):
+        compare(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'"), str(tmp_path / "none"))
