@@ -28,8 +28,8 @@ BINS, ROWS = 256, 8
 SLACK = 0.1
 #: Members of a bucket up to which all are compared with each other.
 FEW = 3
-#: Shingles of the texts that a task compares with each other, and of those that it counts together.
-BLOCK_SHINGLES, COLUMNS = 500_000, 2048
+#: Shingles and number of the texts that a task compares with each other, and shingles of those that it counts together.
+BLOCK_SHINGLES, BLOCK_TEXTS, COLUMNS = 500_000, 2048, 2048
 #: Texts that share a band with another up to which tasks get their hashes as a broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_TEXTS = 4_000_000
 #: Slots of shingles' hashes that are counted, and a share of a task's texts, one of so many, from which on a slot's shingles are common.
@@ -294,14 +294,19 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _blocks() -> Column:
+    """Into how many blocks texts of ``n`` shingles each are cut."""
+    return F.ceil(F.greatest(F.sum("n") / F.lit(float(BLOCK_SHINGLES)), F.count("*") / F.lit(float(BLOCK_TEXTS))))
+
+
 def rest_links(alone: DataFrame, member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b): exact links of the members ``alone`` (bucket, node) with all members of their buckets.
 
-    A bucket is cut into blocks of BLOCK_SHINGLES by a hash of its members; a task compares one block with another and
-    gives links only, so no task holds a whole bucket and no pairs are written.
+    A bucket is cut into blocks of BLOCK_SHINGLES and BLOCK_TEXTS by a hash of its members; a task compares one block with
+    another and gives links only, so no task holds a whole bucket and no pairs are written.
     """
     own = member.join(alone.select("bucket").distinct(), "bucket", "left_semi")
-    size = own.join(sets.select("node", F.size("shingles").alias("n")), "node").groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    size = own.join(sets.select("node", F.size("shingles").alias("n")), "node").groupBy("bucket").agg(_blocks().cast("int").alias("blocks"))
     size = cut(size)
     block, every = F.pmod(F.xxhash64("bucket", "node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = alone.join(size, "bucket").select("bucket", "node", block.alias("i"), every.alias("j"), F.lit(True).alias("open"))
@@ -437,12 +442,39 @@ def first_shingles(docs: DataFrame, text_col: str, least: float) -> DataFrame:
     return cut(made.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(shared, "bucket long, node long"))
 
 
+def _shared(low: Column, high: Column, least: float) -> Column:
+    """How many of their ``first_shingles`` texts of ``low`` and ``high`` shingles share if they share ``least`` of all.
+
+    Of the text whose first ones end earlier in the order, whatever else both share is among the other ones.
+    """
+    other = [F.ceil(F.lit(least) * n - F.lit(1e-9)) - 1 - F.floor(n / NEEDED) for n in (low, high)]
+    common = F.ceil(F.lit(least / (1 + least)) * (low + high) - F.lit(1e-9))
+    return F.greatest(1 + F.floor(low / NEEDED), common - F.greatest(*other))
+
+
+def joined_buckets(member: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(bucket, node, open) with buckets that share members as one bucket, where fewer shingles then go to tasks. No pair is lost.
+
+    Many shingles of one passage have the same texts: these are sent once, not for each shingle. ``sizes`` has the texts' (node, n).
+    """
+    low = member.groupBy("bucket").agg(F.min("node").alias("b"))
+    roots = components(member.join(low, "bucket").select(F.col("node").alias("a"), "b"))
+    known = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "whole")
+    rows = cut(member.join(known, "node").join(sizes, "node"))
+    cost = F.sum("n") * _blocks()
+    apart = rows.groupBy("whole", "bucket").agg(cost.alias("cost")).groupBy("whole").agg(F.sum("cost").alias("apart"))
+    at_once = rows.select("whole", "node", "n").distinct().groupBy("whole").agg(cost.alias("at_once"))
+    chosen = cut(apart.join(at_once, "whole").select("whole", (F.col("at_once") <= F.col("apart")).alias("join")))
+    out = rows.join(chosen, "whole").select(F.when(F.col("join"), F.col("whole")).otherwise(F.col("bucket")).alias("bucket"), "node", "open")
+    return cut(out.groupBy("bucket", "node").agg(F.max("open").alias("open")))
+
+
 def missing_links(docs: DataFrame, text_col: str, sizes: DataFrame, found: DataFrame, least: float) -> DataFrame:
     """(a, b), a > b: the links between groups of texts (node, n), by links ``found``, that sketches and full buckets left out. None is lost.
 
     Where texts of several groups share one of their ``first_shingles``, those that are not in the largest group there meet all others:
     as pairs where few do, which are compared if they share enough of these and their sizes allow it; in the blocks of ``rest_links``
-    where many do.
+    where many do, once for all shingles of a passage.
     """
     member = first_shingles(docs, text_col, least)
     groups = cut(_groups(member, found))
@@ -454,15 +486,18 @@ def missing_links(docs: DataFrame, text_col: str, sizes: DataFrame, found: DataF
     once = (F.col("root2") == F.col("most2")) | (F.col("node") < F.col("node2"))
     low, high = F.least("n", "n2"), F.greatest("n", "n2")
     met = few.filter("root <> most").join(other, "bucket").filter((F.col("root") != F.col("root2")) & once & (low >= F.lit(least - 1e-9) * high))
-    shared = met.groupBy(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).agg(F.count("*").alias("k"), F.min(low).alias("n"))
-    pairs = cut(shared.filter(F.col("k") >= 1 + F.floor(F.col("n") / NEEDED)).select("a", "b"))
-    many = cut(groups.join(full, "bucket", "left_semi"))
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(many.select("node"))
+    shared = met.groupBy(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).agg(F.count("*").alias("k"), F.min(low).alias("low"), F.min(high).alias("high"))
+    pairs = cut(shared.filter(F.col("k") >= _shared(F.col("low"), F.col("high"), least)).select("a", "b"))
+    many = groups.join(full, "bucket", "left_semi").select("bucket", "node", (F.col("root") != F.col("most")).alias("open")) if not full.isEmpty() else None
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    if many is not None:
+        many = joined_buckets(cut(many), sizes)
+        asked = asked.unionAll(many.select("node"))
     sets = shingle_sets(docs, text_col, cut(asked.distinct()))
     out = _exact(pairs, sets, least)
-    if full.isEmpty():
+    if many is None:
         return out
-    return out.unionAll(rest_links(many.filter("root <> most").select("bucket", "node"), many.select("bucket", "node"), sets, least))
+    return out.unionAll(rest_links(many.filter("open").select("bucket", "node"), many.select("bucket", "node"), sets, least))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, least: float = LIKENESS, meet_groups: bool = False) -> DataFrame:

@@ -134,3 +134,40 @@ def test_no_link_depends_on_sketches(spark, monkeypatch, meeting, blind):
     texts = _chained(meeting)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in sh.drop_near_copies(df).collect()} == _one_of_each_group(texts)
+
+
+def test_alike_texts_share_as_many_first_shingles_as_are_asked_for(spark):
+    """Of sets over the bound none shares fewer; of two texts of 396 shingles 69 are asked for, not 34."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    first = lambda x: set(np.sort(x)[: len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + sh._needed(len(x))].tolist())
+    rows = []
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        a = np.unique(rng.integers(0, 1 << 40, n))
+        both = rng.choice(a, int(rng.integers(int(0.75 * len(a)), len(a) + 1)), replace=False)
+        b = np.unique(np.concatenate([both, rng.integers(0, 1 << 40, int(rng.integers(0, n // 4 + 1)))]))
+        if len(both) and len(both) >= 0.8 * (len(a) + len(b) - len(both)):
+            rows.append((min(len(a), len(b)), max(len(a), len(b)), len(first(a) & first(b))))
+    assert len(rows) > 500
+    df = spark.createDataFrame(rows, "low long, high long, k long")
+    assert df.filter(F.col("k") < sh._shared(F.col("low"), F.col("high"), 0.8)).count() == 0
+    assert spark.range(1).select(sh._shared(F.lit(396), F.lit(396), 0.8)).first()[0] == 69  # 34 before
+
+
+def test_buckets_of_the_same_texts_are_sent_once(spark):
+    """Ten buckets of the same texts and one of others: their shingles are sent once, not ten times."""
+    rows = [(b, node, node == 3) for b in range(100, 110) for node in range(20)] + [(200, node, True) for node in range(50, 60)]
+    sizes = spark.createDataFrame([(node, 30) for node in range(60)], "node long, n long")
+    out = sh.joined_buckets(spark.createDataFrame(rows, "bucket long, node long, open boolean"), sizes).collect()
+    assert sorted((r.node, r.open) for r in out) == [(k, k == 3) for k in range(20)] + [(k, True) for k in range(50, 60)]
+    assert len({r.bucket for r in out}) == 2
+
+
+def test_a_chain_of_buckets_is_not_joined_where_that_costs_more(spark, monkeypatch):
+    monkeypatch.setattr(sh, "BLOCK_TEXTS", 10)
+    rows = [(b, node, True) for b in range(20) for node in range(9 * b, 9 * b + 10)]
+    sizes = spark.createDataFrame([(node, 30) for node in range(200)], "node long, n long")
+    out = sh.joined_buckets(spark.createDataFrame(rows, "bucket long, node long, open boolean"), sizes).collect()
+    assert sorted((r.bucket, r.node, r.open) for r in out) == rows
