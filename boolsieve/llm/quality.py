@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boolsieve.llm.common import free, offsets, slices, without
+from boolsieve.llm.common import free, offsets, release, slices, without
 from boolsieve.session import Shared, cut
 
 #: Bytes of an n-gram, all 256 of them told apart: six pack into 48 bits of a long.
@@ -291,6 +291,8 @@ def values_of(counts: DataFrame) -> DataFrame:
         off = {o: discounts([told.get(-(10 * o + j), 0) for j in range(4)]) for o in range(LOW + 1, ORDER + 1)}
         lows.append(low_orders(key[own][by], n[own][by], off))
     shared = Shared(counts.sparkSession, lows)
+    del table, model, key, n, lows
+    release()
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for numbers, n, shard in _shards(batches):
@@ -341,6 +343,8 @@ Scored = Callable[[DataFrame, str, str], DataFrame]
 def _by_broadcast(values: DataFrame, text_col: str, kind_col: str) -> Scored:
     known = _scores(values.toArrow().to_pydict())
     table = values.sparkSession.sparkContext.broadcast((known.numbers, known.values))
+    del known
+    release()
 
     def scored(of: DataFrame, size: str, nll: str) -> DataFrame:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in of.schema)

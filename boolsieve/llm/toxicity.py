@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boolsieve.llm.common import slices, utf8, without, words
+from boolsieve.llm.common import release, slices, utf8, without, words
 from boolsieve.session import Shared, cut
 
 #: Labelled rows of each class that the model is fitted on, at most, of those whose text takes at most so many bytes.
@@ -312,8 +313,8 @@ def _regress(model: Model, texts: list[list[bytes]], toxic: list[bool], shares:
     model.document = b
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[bytes, bool]], tuple[float, float]]:
-    """Up to SAMPLE_ROWS training texts of each class, those with the smallest hashes, and what each row stands for."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, dict[bool, int]]:
+    """(_id, _toxic, text): up to SAMPLE_ROWS training texts of each class, those with the smallest hashes; and the rows of each class."""
     key, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     known = labels.filter(f"`{label_col}` is not null and `{id_col}` is not null").filter(fold(id_col) != 0)
     known = known.groupBy(key.alias("_id")).agg((F.max(label_col) > 0).alias("_toxic")).withColumn("_h", F.xxhash64("_id"))
@@ -323,18 +324,30 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     parts = [known.filter(F.col("_toxic") == flag).orderBy("_h", "_id").limit(SAMPLE_ROWS) for flag in (False, True)]
     chosen = F.broadcast(cut(parts[0].unionAll(parts[1]).select("_id", "_toxic")))  # 2 * SAMPLE_ROWS rows at most
     rows = fitting.select(key.alias("_d"), text.alias("text")).join(chosen, F.col("_d") == F.col("_id"))
-    got = rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).collect()
-    got = sorted(((r["_id"], r["text"].encode(), r["_toxic"]) for r in got))
-    counts = [max(1, sum(1 for r in got if r[2] == flag)) for flag in (False, True)]
-    return [(t, b) for _, t, b in got], (sizes.get(False, 0) / counts[0], sizes.get(True, 0) / counts[1])
+    return cut(rows.groupBy("_id", "_toxic").agg(F.min("text").alias("text"))), sizes
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of a bounded sample of labelled rows outside the held-out fifth; ids are compared as strings.
 
-    Of an id with several texts the smallest is learnt; labels of an id that has several count as toxic if one is.
+    Of an id with several texts the smallest is learnt; labels of an id that has several count as toxic if one is. One task
+    fits it: the sample is bounded, and the driver gets the weights only.
     """
-    return fit(*sample(docs, labels, id_col, text_col, label_col))
+    rows, sizes = sample(docs, labels, id_col, text_col, label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple[str, bytes, bool]] = []
+        for batch in batches:
+            got += zip(batch.column("_id").to_pylist(), utf8(batch.column("text")), batch.column("_toxic").to_pylist())
+        got.sort()
+        counts = [max(1, sum(1 for r in got if r[2] == flag)) for flag in (False, True)]
+        model = fit([(t, b) for _, t, b in got], (sizes.get(False, 0) / counts[0], sizes.get(True, 0) / counts[1]))
+        got.clear()
+        release()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(vars(model))], pa.binary())})
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()  # 2 * SAMPLE_ROWS texts of SAMPLE_BYTES at most
+    return Model(**pickle.loads(found["model"])) if found else fit([], (0.0, 0.0))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -189,3 +189,20 @@ def test_held_out_labels_are_not_learnt(spark):
     flipped = labels.withColumn("toxic", F.when(tx.fold("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a = {r.doc_id: r.score for r in tx.score(docs, labels).collect()}
     assert a == {r.doc_id: r.score for r in tx.score(docs, flipped).collect()}
+
+
+def test_the_driver_does_not_fit_the_model(spark, monkeypatch):
+    """The sample's texts and the fit's working memory stay in a task; the model is that of a fit on the same rows."""
+    docs, labels = labelled_corpus(spark)
+    toxic = {r.doc_id: bool(r.toxic) for r in labels.filter(tx.fold("doc_id") != 0).collect()}
+    rows = [(r.text.encode(), toxic[r.doc_id]) for r in sorted(docs.collect(), key=lambda r: str(r.doc_id)) if r.doc_id in toxic]
+    want = tx.fit(rows, (1.0, 1.0))
+    here, fit = os.getpid(), tx.fit
+
+    def elsewhere(*args):
+        assert os.getpid() != here
+        return fit(*args)
+
+    monkeypatch.setattr(tx, "fit", elsewhere)
+    got = tx.learn(docs, labels)
+    assert got.weights == want.weights and got.bias == want.bias and np.array_equal(got.document, want.document)
