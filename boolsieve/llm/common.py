@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from boolsieve.session import release, small_batches
+
 #: Text that one step of a Python operator holds at a time, in bytes; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 
@@ -22,15 +22,9 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-#: Rows and bytes of the batches that Python workers get, at most; a longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name in the folder. The session's batches for Python are made smaller if they are larger than ours."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,13 +46,6 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def release() -> None:
-    """Gives memory that this process has freed back to the system: workers are kept from task to task, and what they hold adds up."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that the texts of a piece take ``limit`` bytes, or are a single row."""
     for batch in batches:

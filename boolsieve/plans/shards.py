@@ -12,12 +12,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boolsieve.functions.bitmaps import Bitmap
 from boolsieve.operators.bitmaps import Sets
-from boolsieve.session import cut
+from boolsieve.session import cut, release, small_batches
 
 #: Postings of a shard, at four bytes each, and up to how many in all the shards are summed in the driver, not in tasks.
 SHARD_POSTINGS, DRIVER_POSTINGS = 1_000_000, 4_000_000
@@ -198,10 +199,20 @@ def add_sorted(rows: Iterable[tuple[str, np.ndarray]], sparse: bool) -> Iterator
 _SUMS = "key string, data binary"
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """The values of some columns, a row at a time; what a batch took is given back before the next one is read."""
     for batch in batches:
-        for i in range(batch.num_rows):  # one value at a time
-            yield batch.column("key")[i].as_py(), pickle.loads(batch.column("data")[i].as_py())
+        columns = [batch.column(name) for name in names]
+        del batch
+        for i in range(len(columns[0])):
+            yield tuple(c[i].as_py() for c in columns)
+        del columns
+        release()
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    for key, data in _rows(batches, "key", "data"):
+        yield key, pickle.loads(data)
 
 
 def _written(rows: Iterable[tuple[str, Any]]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +239,7 @@ class Shards:
             return {ast.literal_eval(k): finish(ast.literal_eval(k), v) if finish else v for k, v in sums}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = (Part.loads(batch.column("part")[i].as_py()) for batch in batches for i in range(batch.num_rows))
+            parts = (Part.loads(raw) for (raw,) in _rows(batches, "part"))
             yield from _written(add_up(((repr(k), v) for part in parts for k, v in step(part)), sparse, BLOCK_BYTES))
 
         def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +249,7 @@ class Shards:
             for key, value in add_sorted(_read(batches), sparse):
                 yield from _written([(key, finish(ast.literal_eval(key), value) if finish else value)])
 
+        small_batches(self.table.sparkSession)
         rows, salts = self.table.select("part").mapInArrow(run, _SUMS), self.n_shards
         while salts > FAN_IN:
             salts = -(-salts // FAN_IN)
@@ -274,13 +286,16 @@ def build(post: DataFrame, docs: DataFrame, n_terms: int, targets: DataFrame | N
         table = table.take(pa.array(order))
 
         def matrix(name: str, width: int) -> Matrix:
-            lists = table[name].to_pylist()
-            row = np.repeat(np.arange(n), [len(x or ()) for x in lists])
-            return Matrix.of(np.fromiter((t for x in lists for t in x or ()), np.int64, len(row)), row, width, n)
+            lists = table[name].combine_chunks()
+            row = np.repeat(np.arange(n, dtype=np.int32), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            return Matrix.of(pc.list_flatten(lists).to_numpy(zero_copy_only=False), row, width, n)
 
         y, w, key = (table[c].to_numpy() for c in ("y", "w", "key"))
         part = Part(matrix("terms", n_terms), y, w, key, matrix("targets", n_targets) if n_targets else None)
-        return pa.table({"shard": table["shard"].slice(0, 1), "part": pa.array([part.dumps()], pa.binary())})
+        out = pa.table({"shard": table["shard"].slice(0, 1), "part": pa.array([part.dumps()], pa.binary())})
+        del table, part
+        release()
+        return out
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(n_shards)))
     packed = cut(dealt.groupBy("shard").applyInArrow(pack, "shard long, part binary"))
