@@ -90,3 +90,27 @@ def test_a_query_without_relevant_vectors_has_its_row(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name in ("rank_panel", "k_at_recall", "tnr_at_recall", "cutoffs", "micro_macro_pr", "rank_metrics_at_k"):
         compare(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'"), str(tmp_path / "none"))
+
+
+def test_vectors_are_not_sent_for_each_block(spark, vectors, monkeypatch):
+    """However many blocks of queries there are, no row for each block and vector goes to a shuffle; a task reads the vectors' one checkpoint."""
+    monkeypatch.setattr(ranking, "QUERY_TASK", 1)
+    queries = vectors.filter("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    plan = ranking.search(vectors, queries, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan.lower() and "Generate" not in plan
+
+
+def test_each_query_has_its_own_threshold(spark, vectors):
+    queries = vectors.filter("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), (F.col("vec_id") / 200).alias("least"))
+    own = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    whole = ranking.search(vectors, queries.drop("least")).drop("rank").join(queries.select("query_id", "least"), "query_id").filter("score >= least").drop("least")
+    assert _rows(ranking.search(vectors, queries, threshold="least").drop("rank")) == _rows(whole) != []
+    assert _rows(ranking._search_rows(own, queries, None, "least", True, None)) == _rows(ranking.search(vectors, queries, threshold="least"))
+
+
+def test_a_rising_curve_is_read_once(spark):
+    rows = [(1, k, v) for k, v in ((1, 0.0), (2, 0.5), (3, 0.5), (4, 0.9), (5, 1.0))] + [(2, 1, 0.8), (3, 1, 0.1), (3, 2, 0.2)] + [(4, k, float("nan")) for k in (1, 2)]
+    curve = spark.createDataFrame(rows, "query_id int, k int, v double")
+    got = ranking.k_at_recall(curve, 0.7, rising=True)
+    assert _rows(got) == _rows(ranking.k_at_recall(curve, 0.7)) and got.count() == 4
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
