@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boolsieve.llm.common import free, slices, utf8
-from boolsieve.session import cut
+from boolsieve.session import cut, forget
 
 BITS = 64
 SEED = 42
@@ -38,6 +38,8 @@ SLOTS, COMMON = 1 << 20, 200
 MEETING = 256
 #: One shingle more of so many must be shared for texts to be compared.
 NEEDED = 12
+#: Rounds of ``components`` after which the driver forgets those before.
+FORGET_ROUNDS = 4
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -110,7 +112,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     mark = None
-    for _ in range(max_rounds):
+    for done in range(1, max_rounds + 1):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
@@ -120,8 +122,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(joined.select("a", F.col("m").alias("b"))).filter("a > b").distinct())
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):
+            del both, low, large, joined
+            forget(edges.sparkSession)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = (seen["n"], seen["h"])
+        if done % FORGET_ROUNDS == 0:
+            del both, low, large, joined
+            forget(edges.sparkSession)
     raise RuntimeError("components did not settle")
 
 
@@ -348,12 +355,15 @@ def like_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     few = member.join(sizes.filter(F.col("size") <= FEW), "bucket").select("bucket", F.col("node").alias("centre"))
     ends = member.join(cut(central.unionAll(few).distinct()), "bucket").filter("node <> centre")
     pairs = cut(ends.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
+    del weight, central, few, ends
     found = verified(pairs, sketches, sets, least)
+    forget(distinct.sparkSession)
     full = cut(member.join(sizes.filter(F.col("size") > FEW), "bucket", "left_semi"))
     linked = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
     alone = cut(full.join(linked, "node", "left_anti"))
     if not alone.isEmpty():
         found = cut(found.unionAll(rest_links(alone, member, sets, least)).distinct())
+        forget(distinct.sparkSession)
     if not meet_groups:
         return found
     apart = cut(_apart(full, found).join(linked, "node", "left_semi"))  # the others have met all members
@@ -477,7 +487,9 @@ def missing_links(docs: DataFrame, text_col: str, sizes: DataFrame, found: DataF
     where many do, once for all shingles of a passage.
     """
     member = first_shingles(docs, text_col, least)
+    forget(docs.sparkSession)
     groups = cut(_groups(member, found))
+    del member
     if groups.isEmpty():
         return found.limit(0)
     full = cut(groups.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > MEETING).select("bucket"))
@@ -493,8 +505,11 @@ def missing_links(docs: DataFrame, text_col: str, sizes: DataFrame, found: DataF
     if many is not None:
         many = joined_buckets(cut(many), sizes)
         asked = asked.unionAll(many.select("node"))
+    del groups, few, other, met, shared
+    forget(docs.sparkSession)
     sets = shingle_sets(docs, text_col, cut(asked.distinct()))
     out = _exact(pairs, sets, least)
+    forget(docs.sparkSession)
     if many is None:
         return out
     return out.unionAll(rest_links(many.filter("open").select("bucket", "node"), many.select("bucket", "node"), sets, least))
@@ -517,8 +532,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = cut(distinct.groupBy("fp").agg(F.min("rep").alias("rep")))
     of = distinct.select("node", "fp")
     alike_texts = like_links(distinct.select("node", "sketch", "n"), lambda wanted: shingle_sets(docs, text_col, wanted), least, meet_groups)
+    forget(docs.sparkSession)
     alike_texts = alike_texts.unionAll(missing_links(docs, text_col, distinct.select("node", "n"), alike_texts, least))
     between = alike_texts.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").filter("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    between = cut(between)
+    del alike_texts
+    forget(docs.sparkSession)
     heads = _heads(nodes, links(nodes).unionByName(between))
     chosen = cut(prints.join(heads, "fp").filter(F.col("head").eqNullSafe(F.col("id"))).groupBy("root", "head").agg(F.count("*").alias("n")))
     this = F.col(f"`{id_col}`").cast("long")

@@ -1,0 +1,25 @@
+"""What finished steps of the near-copies stage leave is given up while the stage goes on."""
+
+import time
+
+from pyspark.sql import functions as F
+
+from boolsieve.llm import simhash
+
+
+def _files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_of_finished_rounds_go(spark):
+    before = _files(spark)
+    edges = spark.range(200).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    roots = simhash.components(edges)
+    for _ in range(20):
+        left = _files(spark) - before
+        if len(left) < 100:
+            break
+        time.sleep(0.5)
+    assert len(left) < 100  # some rounds of five shuffles each make more
+    assert roots.filter("root <> 0").isEmpty() and roots.count() == 200
